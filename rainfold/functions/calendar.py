@@ -76,6 +76,11 @@ def month_label(m: Column | str) -> Column:
     return F.try_element_at(F.array(*[F.lit(x) for x in MONTH_LABELS]), _c(m).cast("int"))
 
 
-def hours_between(start: Column, end: Column) -> Column:
-    """Elapsed hours from ``start`` to ``end``."""
-    return F.timestampdiff("MICROSECOND", start, end) / F.lit(3.6e9)
+def seconds_between(start: str, end: str) -> Column:
+    """Whole seconds from column ``start`` to column ``end``."""
+    return F.expr(f"timestampdiff(SECOND, `{start}`, `{end}`)")
+
+
+def hours_between(start: str, end: str) -> Column:
+    """Elapsed hours from column ``start`` to column ``end``."""
+    return F.expr(f"timestampdiff(MICROSECOND, `{start}`, `{end}`)") / F.lit(3.6e9)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainfold.functions.calendar import seconds_between
+
 
 def rain_periods(df: DataFrame, by: Sequence[str] = ("station",), ts: str = "datetime_utc",
                  value: str = "rain_mm", threshold: float = 0.2, max_gap_minutes: int = 30) -> DataFrame:
@@ -26,7 +28,8 @@ def rain_periods(df: DataFrame, by: Sequence[str] = ("station",), ts: str = "dat
     wet = df.where(F.col(value) > threshold).select(*by, F.year(ts).alias("year"), F.col(ts).alias("_t"),
                                                      F.col(value).alias("_v"))
     w = Window.partitionBy(*by, "year").orderBy("_t")
-    gap = F.timestampdiff("SECOND", F.lag("_t").over(w), F.col("_t"))
+    wet = wet.withColumn("_prev", F.lag("_t").over(w))
+    gap = seconds_between("_prev", "_t")
     flagged = wet.withColumn("_new", F.when(gap.isNull() | (gap > max_gap_minutes * 60), 1).otherwise(0))
     numbered = flagged.withColumn("period_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return (numbered.groupBy(*by, "year", "period_no")

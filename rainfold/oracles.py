@@ -8,9 +8,10 @@ counts, self-joins or generate_series.  Tables are the driver's views.
 from __future__ import annotations
 
 
-def r6(expr: str, digits: int = 6) -> str:
-    s = f"1e{digits}"
-    return f"(floor(({expr}) * {s} + 0.5) / {s})"
+def r6(expr: str, bits: int = 20) -> str:
+    """Round to a 2^-bits grid (values beyond 1e12 pass unchanged)."""
+    s = f"{float(2 ** bits)!r}"
+    return f"(CASE WHEN abs({expr}) < 1e12 THEN floor(({expr}) * {s} + 0.5) / {s} ELSE ({expr}) END)"
 
 
 # --- fixture views -------------------------------------------------------
@@ -67,3 +68,517 @@ SELECT station, hour, mean_rain, rank FROM (
          CAST(row_number() OVER (PARTITION BY station ORDER BY avg(rain_mm) DESC, hour) AS INTEGER) AS rank
   FROM valid GROUP BY station, hour) t
 WHERE rank <= 3""", VALID_HOURLY)
+
+
+# --- numeric helpers (SQL) -----------------------------------------------
+
+def normal_p(z: str) -> str:
+    """2(1 − Φ(|z|)) via the erfc Chebyshev fit (same published constants)."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    t = f"(1.0 / (1.0 + 0.5 * {x}))"
+    c = ["-1.26551223", "1.00002368", "0.37409196", "0.09678418", "-0.18628806",
+         "0.27886807", "-1.13520398", "1.48851587", "-0.82215223", "0.17087277"]
+    poly = f"{c[-1]}::DOUBLE"
+    for coef in reversed(c[1:-1]):
+        poly = f"({coef}::DOUBLE + {t} * {poly})"
+    return f"({t} * exp(-{x} * {x} + ({c[0]})::DOUBLE + {t} * {poly}))"
+
+
+def student_p(t: str, df: str) -> str:
+    """Two-sided Student-t p with integer df: A&S 26.7.3/4 with the series
+    coefficients written as Gamma-function ratios."""
+    th = f"atan(abs({t}) / sqrt({df}))"
+    lc2 = f"ln(greatest(cos({th}) * cos({th}), 1e-300))"
+    even = (f"sin({th}) * (1 + coalesce(list_sum(list_transform(range(1, CAST({df} // 2 AS BIGINT)), "
+            f"lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1) + k * {lc2}))), 0))")
+    odd = (f"2 / pi() * ({th} + sin({th}) * cos({th}) * (1 + coalesce(list_sum(list_transform("
+           f"range(1, CAST(({df} - 3) // 2 + 1 AS BIGINT)), "
+           f"lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + k * {lc2}))), 0)))")
+    a = f"(CASE WHEN {df} = 1 THEN 2 / pi() * {th} WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+    return f"greatest(0.0, least(1.0, 1 - {a}))"
+
+
+def ks_q(lam: str) -> str:
+    s = (f"list_sum(list_transform(range(1, 101), lambda k: 2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END)"
+         f" * exp(-2 * k * k * ({lam}) * ({lam}))))")
+    return f"(CASE WHEN ({lam}) < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, {s})) END)"
+
+
+def kendall_cdf(n: str, c: str) -> str:
+    """P(C ≤ c) of the concordant-pair count of a random permutation of n."""
+    pmf = (f"list_reduce(range(2, {n} + 1), lambda acc, m: list_transform(range(0, len(acc) + m - 1), "
+           f"lambda cc: list_sum(list_transform(range(greatest(0, cc - m + 1), least(cc, len(acc) - 1) + 1), "
+           f"lambda k: acc[k + 1])) / m), [1.0]::DOUBLE[])")
+    return f"list_sum(list_slice({pmf}, 1, {c} + 1))"
+
+
+# --- statistics over a series CTE `ser(sid, pos, x, y, label)` ------------
+
+def mk_sql(ser: str, sid: list[str], min_n: int = 4, variant: str = "library") -> str:
+    """Mann-Kendall from the double sum over ordered pairs."""
+    k = ", ".join(sid)
+    on = " AND ".join(f"a.{c} = b.{c}" for c in sid)
+    pair = f"""SELECT {", ".join("a." + c for c in sid)},
+           count(*) FILTER (WHERE b.y > a.y) AS conc, count(*) FILTER (WHERE b.y < a.y) AS disc
+         FROM {ser} a JOIN {ser} b ON {on} AND a.pos < b.pos GROUP BY ALL"""
+    ties = f"""SELECT {k}, sum(t * (t - 1) / 2) AS tp, sum(t * (t - 1) * (2 * t + 5)) AS tv
+         FROM (SELECT {k}, y, count(*) AS t FROM {ser} GROUP BY ALL) GROUP BY ALL"""
+    base = f"""SELECT g.*, coalesce(p.conc, 0) AS conc, coalesce(p.disc, 0) AS disc, t.tp, t.tv
+      FROM (SELECT {k}, count(*) AS n FROM {ser} GROUP BY ALL) g
+      LEFT JOIN ({pair}) p USING ({k}) JOIN ({ties}) t USING ({k})"""
+    N = "(n * (n - 1) / 2)"
+    s = "(conc - disc)"
+    var = "((n * (n - 1) * (2 * n + 5) - tv) / 18.0)"
+    tau = f"(CASE WHEN {N} - tp > 0 THEN {s} / sqrt({N} * ({N} - tp)) END)"
+    z = f"(CASE WHEN {var} > 0 THEN {s} / sqrt({var}) END)"
+    cmin = "least(conc, disc)"
+    exact = f"(tp = 0 AND (n <= 33 OR {cmin} <= 1))"
+    pex = (f"(CASE WHEN n <= 33 THEN least(1.0, 2 * {kendall_cdf('CAST(n AS BIGINT)', f'CAST({cmin} AS BIGINT)')}) "
+           f"WHEN {cmin} = 0 THEN 2 * exp(-lgamma(n + 1)) ELSE 2 * exp(-lgamma(n)) END)")
+    p = f"(CASE WHEN {tau} IS NULL THEN NULL WHEN {exact} THEN {pex} ELSE {normal_p(z)} END)"
+    if variant == "library":
+        trend = (f"CASE WHEN n < {min_n} THEN 'insufficient data' WHEN tau > 0 AND p_value < 0.05 THEN 'increasing' "
+                 f"WHEN tau < 0 AND p_value < 0.05 THEN 'decreasing' WHEN p_value < 0.05 THEN "
+                 f"printf('tau=%.3f (check)', tau) ELSE 'no trend' END")
+    else:
+        trend = (f"CASE WHEN n < {min_n} THEN 'insufficient data' WHEN p_value < 0.05 AND tau > 0 THEN 'increasing' "
+                 f"WHEN p_value < 0.05 AND tau < 0 THEN 'decreasing' WHEN p_value < 0.05 THEN 'no trend' "
+                 f"ELSE 'no significant trend' END")
+    en = f"n >= {min_n}"
+    return f"""SELECT {k}, n,
+      CASE WHEN {en} THEN CAST(s AS BIGINT) END AS s, CASE WHEN {en} THEN {r6('var_s')} END AS var_s,
+      CASE WHEN {en} THEN {r6('tau')} END AS tau, CASE WHEN {en} THEN {r6('z')} END AS z,
+      CASE WHEN {en} THEN {r6('p_value')} END AS p_value, CASE WHEN {en} THEN method END AS method,
+      {trend} AS trend,
+      coalesce({en} AND p_value < 0.05, false) AS sign_0_05, coalesce({en} AND p_value < 0.01, false) AS sign_0_01,
+      coalesce({en} AND p_value < 0.001, false) AS sign_0_001
+    FROM (SELECT *, {s} AS s, {var} AS var_s, {tau} AS tau, {z} AS z, {p} AS p_value,
+                 CASE WHEN {tau} IS NULL THEN NULL WHEN {exact} THEN 'exact' ELSE 'normal' END AS method
+          FROM ({base}))"""
+
+
+def sen_sql(ser: str, sid: list[str], min_n: int = 4) -> str:
+    """Theil-Sen from the sorted list of all pairwise slopes (brute force)."""
+    k = ", ".join(sid)
+    on = " AND ".join(f"a.{c} = b.{c}" for c in sid)
+    slopes = f"""SELECT {", ".join("a." + c for c in sid)}, list_sort(list((b.y - a.y) / (b.x - a.x))) AS sl
+        FROM {ser} a JOIN {ser} b ON {on} AND a.pos < b.pos GROUP BY ALL"""
+    ties = f"""SELECT {k}, sum(t * (t - 1) * (2 * t + 5)) AS tv
+         FROM (SELECT {k}, y, count(*) AS t FROM {ser} GROUP BY ALL) GROUP BY ALL"""
+    g = f"SELECT {k}, count(*) AS n, median(y) AS my, median(x) AS mx FROM {ser} GROUP BY ALL"
+    big = "len(sl)"
+    sig = "sqrt((n * (n - 1) * (2 * n + 5) - tv) / 18.0)"
+    ru = f"least(CAST(round_even(({big} + 1.959963984540054 * {sig}) / 2, 0) AS BIGINT), {big} - 1)"
+    rl = f"greatest(CAST(round_even(({big} - 1.959963984540054 * {sig}) / 2, 0) AS BIGINT) - 1, 0)"
+    med = f"(CASE WHEN {big} % 2 = 1 THEN sl[({big} + 1) // 2] ELSE (sl[{big} // 2] + sl[{big} // 2 + 1]) / 2 END)"
+    en = f"n >= {min_n}"
+    return f"""SELECT {k}, n, CASE WHEN {en} THEN {r6('slope')} END AS slope,
+        CASE WHEN {en} THEN {r6('my - slope * mx')} END AS intercept,
+        CASE WHEN {en} THEN {r6('lo')} END AS ci_lower, CASE WHEN {en} THEN {r6('hi')} END AS ci_upper
+      FROM (SELECT g.*, {med} AS slope, sl[{rl} + 1] AS lo, sl[{ru} + 1] AS hi
+            FROM ({g}) g JOIN ({slopes}) s USING ({k}) JOIN ({ties}) t USING ({k}))"""
+
+
+def pettitt_sql(ser: str, sid: list[str], min_n: int = 4) -> str:
+    """Pettitt U_k as the double sum of signs across each split point."""
+    k = ", ".join(sid)
+    on = " AND ".join(f"a.{c} = b.{c}" for c in sid)
+    idx = f"(SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY {k}) AS n FROM {ser})"
+    splits = f"SELECT {k}, n, unnest(range(1, n)) AS kk FROM (SELECT {k}, count(*) AS n FROM {ser} GROUP BY ALL)"
+    u = f"""SELECT s.{sid[0]}{''.join(', s.' + c for c in sid[1:])}, s.n, s.kk,
+               abs(sum(sign(b.y - a.y))) AS au
+        FROM ({splits}) s JOIN {idx} a ON {" AND ".join(f"a.{c} = s.{c}" for c in sid)} AND a.idx < s.kk
+        JOIN {idx} b ON {on} AND b.idx >= s.kk GROUP BY ALL"""
+    best = f"""SELECT {k}, n, max(au) AS kstat, arg_min(kk, (-au, kk)) AS cp FROM ({u}) GROUP BY ALL"""
+    lab = f"SELECT {k}, idx, label FROM {idx}"
+    en = f"n >= {min_n}"
+    p = "least(1.0, 2 * exp(-2.0 * kstat * kstat / (n * n * n + n * n)))"
+    return f"""SELECT b.{k.replace(', ', ', b.')}, b.n, CASE WHEN {en} THEN CAST(cp AS BIGINT) END AS cp_index,
+        CASE WHEN {en} THEN l.label END AS cp_label, CASE WHEN {en} THEN CAST(kstat AS DOUBLE) END AS u_stat,
+        CASE WHEN {en} THEN {r6(p)} END AS p_value, coalesce({en} AND {p} < 0.05, false) AS significant
+      FROM ({best}) b LEFT JOIN ({lab}) l ON {" AND ".join(f"l.{c} = b.{c}" for c in sid)} AND l.idx = b.cp"""
+
+
+def ols_sql(ser: str, sid: list[str], min_n: int = 3) -> str:
+    k = ", ".join(sid)
+    r = "(CASE WHEN sxx > 0 AND syy > 0 THEN greatest(-1.0, least(1.0, sxy / sqrt(sxx * syy))) END)"
+    t = f"({r} * sqrt((n - 2) / ((1 - {r}) * (1 + {r}))))"
+    p = f"(CASE WHEN {r} IS NULL OR n - 2 < 1 THEN NULL WHEN abs({r}) >= 1 THEN 0.0 ELSE {student_p(t, '(n - 2)')} END)"
+    en = f"n >= {min_n}"
+    return f"""SELECT {k}, n, CASE WHEN {en} AND sxx > 0 THEN {r6('sxy / sxx')} END AS slope,
+        CASE WHEN {en} AND sxx > 0 THEN {r6('my - sxy / sxx * mx')} END AS intercept,
+        CASE WHEN {en} THEN {r6(r)} END AS r, CASE WHEN {en} THEN {r6(f'{r} * {r}')} END AS r2,
+        CASE WHEN {en} THEN {r6(p)} END AS p_value
+      FROM (SELECT {k}, count(*) AS n, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy,
+                   avg(x) AS mx, avg(y) AS my FROM {ser} GROUP BY ALL)"""
+
+
+def trend_row_sql(ser: str, sid: list[str]) -> str:
+    k = ", ".join(sid)
+    return f"""SELECT {k}, mk.n, mk.tau AS mk_tau, mk.p_value AS mk_p_value, mk.trend AS mk_trend,
+        mk.sign_0_05 AS mk_sign_0_05, mk.sign_0_01 AS mk_sign_0_01,
+        se.slope AS sens_slope, se.intercept AS sens_intercept, se.ci_lower AS sens_ci_lower,
+        se.ci_upper AS sens_ci_upper, pt.cp_index AS pt_cp_index, pt.cp_label AS pt_cp_label,
+        pt.u_stat AS pt_u_stat, pt.p_value AS pt_p_value, pt.significant AS pt_significant
+      FROM ({mk_sql(ser, sid)}) mk LEFT JOIN ({sen_sql(ser, sid)}) se USING ({k})
+      LEFT JOIN ({pettitt_sql(ser, sid)}) pt USING ({k})"""
+
+
+# --- more fixture views ----------------------------------------------------
+
+DD_YM = DD + """,
+mt AS (SELECT station, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
+              coalesce(sum(rain_mm), 0) AS total FROM dd GROUP BY ALL)"""
+
+MONTHLY_SER = DD_YM + """,
+ser AS (SELECT station, row_number() OVER w - 1 AS pos, CAST(row_number() OVER w - 1 AS DOUBLE) AS x,
+               total AS y, printf('%04d-%02d', year, month) AS label
+        FROM mt WINDOW w AS (PARTITION BY station ORDER BY year, month))"""
+
+SUMMER = DD + """,
+sd AS (SELECT *, CAST(year(date) AS INTEGER) AS year FROM dd
+       WHERE month(date) * 100 + day(date) BETWEEN 621 AND 921 AND T_min IS NOT NULL),
+vy AS (SELECT station, year FROM sd GROUP BY ALL HAVING count(date) / 93.0 >= 0.70),
+days AS (SELECT * FROM sd WHERE (station, year) IN (SELECT (station, year) FROM vy))"""
+
+WARM = SUMMER + """,
+th(threshold) AS (VALUES (20.0::DOUBLE), (22.0::DOUBLE), (24.0::DOUBLE), (26.0::DOUBLE)),
+wc AS (SELECT d.station, d.year, t.threshold, count(*) FILTER (WHERE d.T_min > t.threshold) AS count
+       FROM days d, th t GROUP BY ALL)"""
+
+STREAKS = SUMMER + """,
+th(threshold) AS (VALUES (20.0::DOUBLE), (22.0::DOUBLE), (24.0::DOUBLE), (26.0::DOUBLE)),
+marked AS (SELECT d.station, d.year, t.threshold, d.date, d.T_min > t.threshold AS above,
+                  sum(CASE WHEN d.T_min > t.threshold THEN 0 ELSE 1 END)
+                    OVER (PARTITION BY d.station, d.year, t.threshold ORDER BY d.date) AS resets
+           FROM days d, th t),
+runs AS (SELECT station, year, threshold, resets, count(*) AS len FROM marked WHERE above GROUP BY ALL),
+st AS (SELECT k.station, k.year, k.threshold, coalesce(max(r.len), 0) AS longest_streak,
+              count(r.len) FILTER (WHERE r.len >= 3) AS n_streaks_min
+       FROM (SELECT DISTINCT station, year, threshold FROM marked) k
+       LEFT JOIN runs r USING (station, year, threshold) GROUP BY ALL)"""
+
+NIGHTS = HH + """,
+nr AS (SELECT *, CASE WHEN hour(datetime_utc) <= 5 THEN CAST(datetime_utc AS DATE) - 1
+                      ELSE CAST(datetime_utc AS DATE) END AS night_date
+       FROM hh WHERE hour(datetime_utc) >= 23 OR hour(datetime_utc) <= 5),
+nights AS (SELECT station, night_date, min(T_min) AS night_T_min, max(T_max) AS night_T_max,
+                  count(T_avg) AS readings_count, CAST(year(min(datetime_utc)) AS INTEGER) AS year,
+                  count(T_avg) >= 11 AS is_complete
+           FROM nr WHERE month(night_date) * 100 + day(night_date) BETWEEN 105 AND 125
+           GROUP BY ALL HAVING min(T_min) IS NOT NULL AND max(T_max) IS NOT NULL)"""
+
+HH_Y = HH + """,
+hy AS (SELECT *, CAST(year(datetime_utc) AS INTEGER) AS year FROM hh)"""
+
+DD_Y = DD + """,
+dy AS (SELECT *, CAST(year(date) AS INTEGER) AS year FROM dd)"""
+
+MONTHS = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
+
+
+def _cols(names, f):
+    return ", ".join(f(n) for n in names)
+
+
+ORACLES["hour_profile_extremes"] = sql(f"""
+SELECT a.station, a.hour AS max_hour, {r6('a.m')} AS max_mean_rain, b.hour AS min_hour, {r6('b.m')} AS min_mean_rain
+FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY m DESC, hour) AS rn FROM prof) a
+JOIN (SELECT *, row_number() OVER (PARTITION BY station ORDER BY m ASC, hour) AS rn FROM prof) b
+  ON a.station = b.station AND a.rn = 1 AND b.rn = 1""",
+    VALID_HOURLY, "prof AS (SELECT station, hour, avg(rain_mm) AS m FROM valid GROUP BY ALL)")
+
+ORACLES["station_hour_comparison"] = sql(f"""
+SELECT hour, {r6('l')} AS mean_left, {r6('r')} AS mean_right, {r6('r - l')} AS difference FROM (
+  SELECT hour, avg(rain_mm) FILTER (WHERE station = 'click') AS l, avg(rain_mm) FILTER (WHERE station = 'view') AS r
+  FROM valid WHERE station IN ('click', 'view') GROUP BY hour)""", VALID_HOURLY)
+
+ORACLES["month_hour_matrix"] = sql(
+    "SELECT station, month, " + ", ".join(f"{r6(f'avg(rain_mm) FILTER (WHERE hour = {h})')} AS h{h:02d}"
+                                          for h in range(24)) + " FROM valid GROUP BY ALL", VALID_HOURLY)
+
+ORACLES["distribution_shift"] = sql(f"""
+SELECT k.station, k.n1, k.n2, {r6('k.d')} AS ks_d, {r6(ks_q('k.d * sqrt(k.n1 * k.n2 / (k.n1 + k.n2))'))} AS ks_p_value,
+       {r6('t.m1')} AS mean1, {r6('t.m2')} AS mean2, {r6('t.tt')} AS t, {r6(student_p('t.tt', 't.df'))} AS t_p_value
+FROM (SELECT station, max(n1) AS n1, max(n2) AS n2, max(abs(ca / n1 - cb / n2)) AS d FROM (
+        SELECT v.station, v.v, count(*) FILTER (WHERE s.sample = 'early') AS ca,
+               count(*) FILTER (WHERE s.sample = 'late') AS cb, max(c.n1) AS n1, max(c.n2) AS n2
+        FROM (SELECT DISTINCT station, rain_mm AS v FROM samp) v
+        JOIN samp s ON s.station = v.station AND s.rain_mm <= v.v
+        JOIN (SELECT station, count(*) FILTER (WHERE sample = 'early') AS n1,
+                     count(*) FILTER (WHERE sample = 'late') AS n2 FROM samp GROUP BY station) c
+          ON c.station = v.station
+        GROUP BY v.station, v.v) GROUP BY station) k
+JOIN (SELECT station, m1, m2, df, (m1 - m2) / sqrt(sp2 * (1.0 / n1 + 1.0 / n2)) AS tt FROM (
+        SELECT station, n1, n2, m1, m2, n1 + n2 - 2 AS df,
+               ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS sp2 FROM (
+          SELECT station, count(*) FILTER (WHERE sample = 'early') AS n1, count(*) FILTER (WHERE sample = 'late') AS n2,
+                 avg(rain_mm) FILTER (WHERE sample = 'early') AS m1, avg(rain_mm) FILTER (WHERE sample = 'late') AS m2,
+                 var_samp(rain_mm) FILTER (WHERE sample = 'early') AS v1,
+                 var_samp(rain_mm) FILTER (WHERE sample = 'late') AS v2
+          FROM samp GROUP BY station))) t USING (station)""", HOURLY,
+    """vd AS (SELECT station, day FROM hourly GROUP BY ALL HAVING count(rain_mm) / 24.0 >= 0.70),
+ranked AS (SELECT station, day, row_number() OVER (PARTITION BY station ORDER BY day) AS ra,
+                  row_number() OVER (PARTITION BY station ORDER BY day DESC) AS rd FROM vd),
+samp AS (SELECT h.station, h.rain_mm, 'early' AS sample FROM hourly h JOIN ranked r USING (station, day) WHERE r.ra <= 5
+         UNION ALL
+         SELECT h.station, h.rain_mm, 'late' AS sample FROM hourly h JOIN ranked r USING (station, day) WHERE r.rd <= 5)""")
+
+
+def _seasonal_sql(ser_view: str, extra_views: tuple[str, ...]) -> str:
+    det = f"""SELECT station, season, n, CAST(s AS DOUBLE) AS s, var_s FROM ({mk_sql('sser', ['station', 'season'], 3)})
+              WHERE n >= 3"""
+    body = f"""SELECT station, seasons, CASE WHEN v > 0 THEN {r6('st')} END AS s_total,
+        CASE WHEN v > 0 THEN {r6('v')} END AS var_s, CASE WHEN v > 0 THEN {r6('z')} END AS z,
+        CASE WHEN v > 0 THEN {r6(normal_p('z'))} END AS p_value,
+        CASE WHEN NOT (v > 0) THEN 'insufficient data' WHEN z > 0 AND {normal_p('z')} < 0.05 THEN 'increasing'
+             WHEN z < 0 AND {normal_p('z')} < 0.05 THEN 'decreasing' ELSE 'no trend' END AS trend
+      FROM (SELECT *, CASE WHEN st > 0 THEN (st - 1) / sqrt(v) WHEN st < 0 THEN (st + 1) / sqrt(v) ELSE 0.0 END AS z
+            FROM (SELECT station, count(*) AS seasons, sum(s) AS st, sum(var_s) AS v FROM ({det}) GROUP BY station))"""
+    return sql(body, *extra_views, ser_view)
+
+
+# mk_sql rounds var_s; the seasonal sum needs exact values, so use a dedicated unrounded detail
+def _season_detail(ser: str) -> str:
+    return f"""SELECT station, season, n, CAST(conc - disc AS DOUBLE) AS s,
+        (n * (n - 1) * (2 * n + 5) - tv) / 18.0 AS var_s FROM (
+      SELECT g.station, g.season, g.n, coalesce(p.conc, 0) AS conc, coalesce(p.disc, 0) AS disc, t.tv
+      FROM (SELECT station, season, count(*) AS n FROM {ser} GROUP BY ALL) g
+      LEFT JOIN (SELECT a.station, a.season, count(*) FILTER (WHERE b.y > a.y) AS conc,
+                        count(*) FILTER (WHERE b.y < a.y) AS disc
+                 FROM {ser} a JOIN {ser} b ON a.station = b.station AND a.season = b.season AND a.pos < b.pos
+                 GROUP BY ALL) p USING (station, season)
+      JOIN (SELECT station, season, sum(t * (t - 1) * (2 * t + 5)) AS tv
+            FROM (SELECT station, season, y, count(*) AS t FROM {ser} GROUP BY ALL) GROUP BY ALL) t
+        USING (station, season)) WHERE n >= 3"""
+
+
+def seasonal_sql(views: tuple[str, ...]) -> str:
+    body = f"""SELECT station, seasons, CASE WHEN v > 0 THEN {r6('st')} END AS s_total,
+        CASE WHEN v > 0 THEN {r6('v')} END AS var_s, CASE WHEN v > 0 THEN {r6('z')} END AS z,
+        CASE WHEN v > 0 THEN {r6(normal_p('z'))} END AS p_value,
+        CASE WHEN NOT (v > 0) THEN 'insufficient data' WHEN z > 0 AND {normal_p('z')} < 0.05 THEN 'increasing'
+             WHEN z < 0 AND {normal_p('z')} < 0.05 THEN 'decreasing' ELSE 'no trend' END AS trend
+      FROM (SELECT *, CASE WHEN st > 0 THEN (st - 1) / sqrt(v) WHEN st < 0 THEN (st + 1) / sqrt(v) ELSE 0.0 END AS z
+            FROM (SELECT station, count(*) AS seasons, sum(s) AS st, sum(var_s) AS v
+                  FROM ({_season_detail('sser')}) GROUP BY station))"""
+    return sql(body, *views)
+
+
+ORACLES["seasonal_mk_monthly_means"] = seasonal_sql((DD, """sser AS (
+  SELECT station, CAST(month(date) AS INTEGER) AS season,
+         row_number() OVER (PARTITION BY station, month(date) ORDER BY year(date)) - 1 AS pos, avg(rain_mm) AS y
+  FROM dd GROUP BY station, year(date), month(date))"""))
+
+ORACLES["seasonal_mk_daily"] = seasonal_sql((DD, """sser AS (
+  SELECT station, CAST(month(date) AS INTEGER) AS season,
+         row_number() OVER (PARTITION BY station, month(date) ORDER BY year(date), date) - 1 AS pos, rain_mm AS y
+  FROM dd WHERE rain_mm IS NOT NULL)"""))
+
+ORACLES["halfhourly_readings"] = sql(
+    f"SELECT station, datetime_utc, {r6('T_avg')} AS T_avg, {r6('T_min')} AS T_min, {r6('T_max')} AS T_max, "
+    f"{r6('rain_mm')} AS rain_mm, {r6('wind_dir')} AS wind_dir FROM hh", HH)
+
+ORACLES["daily_from_halfhourly"] = sql(f"""
+SELECT station, CAST(datetime_utc AS DATE) AS date, {r6('avg(T_avg)')} AS T_avg, {r6('max(T_max)')} AS T_max,
+       {r6('min(T_min)')} AS T_min, {r6('coalesce(sum(rain_mm), 0)')} AS rain_mm,
+       {r6('(degrees(atan2(avg(sin(radians(wind_dir))), avg(cos(radians(wind_dir))))) + 360) % 360')} AS wind_dir
+FROM hh GROUP BY ALL""", HH)
+
+ORACLES["hourly_resample_filled"] = sql(
+    f"SELECT station, datetime_utc, {r6('rain_mm')} AS rain_mm, {r6('T_avg')} AS T_avg, {r6('T_min')} AS T_min, "
+    f"{r6('T_max')} AS T_max, {r6('wind_dir')} AS wind_dir, hour, year, month FROM hourly", HOURLY)
+
+ORACLES["hourly_sparse_sum"] = sql(
+    f"SELECT station, date_trunc('hour', datetime_utc) AS hour_start, {r6('sum(rain_mm)')} AS rain_mm FROM hh GROUP BY ALL",
+    HH)
+
+ORACLES["coverage_by_year"] = sql(f"""
+SELECT station, year, count(rain_mm) AS present, 365.0::DOUBLE AS expected, {r6('count(rain_mm) / 365.0')} AS pct,
+       CASE WHEN count(rain_mm) / 365.0 >= 0.70 THEN 'OK' ELSE 'Incomplete' END AS status,
+       count(rain_mm) / 365.0 >= 0.70 AS is_valid
+FROM dy GROUP BY ALL""", DD_Y)
+
+ORACLES["valid_year_range"] = sql("""
+SELECT station, min(year) AS first_valid, max(year) AS last_valid, count(*) AS n_valid FROM (
+  SELECT station, year FROM dy GROUP BY ALL HAVING count(rain_mm) / 365.0 >= 0.70) GROUP BY station""", DD_Y)
+
+ORACLES["dataset_profile"] = sql(
+    "SELECT station, count(*) AS rows, min(datetime_utc) AS first_ts, max(datetime_utc) AS last_ts FROM hh GROUP BY ALL",
+    HH)
+
+ORACLES["intensity_histogram"] = sql(f"""
+SELECT s.station, b.bin, b.label, count(w.rain_mm) AS count, s.total,
+       {r6('CAST(count(w.rain_mm) AS DOUBLE) / s.total * 100')} AS pct
+FROM (SELECT station, count(*) AS total FROM wet GROUP BY station) s CROSS JOIN bins b
+LEFT JOIN wet w ON w.station = s.station AND w.rain_mm >= b.lo AND (b.hi IS NULL OR w.rain_mm < b.hi)
+GROUP BY s.station, b.bin, b.label, s.total""", HH,
+    """wet AS (SELECT station, rain_mm FROM hh WHERE rain_mm > 0),
+bins(bin, label, lo, hi) AS (VALUES (0, '0-0.2', 0.0, 0.2), (1, '0.2-1', 0.2, 1.0), (2, '1-3', 1.0, 3.0),
+  (3, '3-5', 3.0, 5.0), (4, '5-10', 5.0, 10.0), (5, '10-20', 10.0, 20.0), (6, '20+', 20.0, NULL))""")
+
+ORACLES["intensity_vs_time"] = sql(ols_sql("pts", ["station"]), HH, """t0 AS (SELECT station, min(datetime_utc) AS t0 FROM hh GROUP BY station),
+pts AS (SELECT h.station, date_diff('microsecond', t0.t0, h.hs) / 3.6e9 AS x, h.y FROM (
+          SELECT station, date_trunc('hour', datetime_utc) AS hs, sum(rain_mm) AS y FROM hh WHERE rain_mm > 1 GROUP BY ALL) h
+        JOIN t0 USING (station))""")
+
+RAIN_PERIODS = HH_Y + """,
+wet AS (SELECT station, year, datetime_utc AS t, rain_mm FROM hy WHERE rain_mm > 0.2),
+starts AS (SELECT w.*, NOT EXISTS (SELECT 1 FROM wet p WHERE p.station = w.station AND p.year = w.year
+                                     AND p.t < w.t AND p.t >= w.t - INTERVAL 30 MINUTE) AS is_start FROM wet w),
+numbered AS (SELECT *, CAST(sum(CASE WHEN is_start THEN 1 ELSE 0 END) OVER (PARTITION BY station, year ORDER BY t)
+                            AS BIGINT) AS period_no FROM starts),
+periods AS (SELECT station, year, period_no, min(t) AS start, max(t) AS "end", count(*) AS intervals,
+                   sum(rain_mm) AS total, max(rain_mm) AS peak FROM numbered GROUP BY ALL)"""
+
+ORACLES["rain_periods"] = sql(
+    f"SELECT station, year, period_no, start, \"end\", intervals, {r6('total')} AS total, {r6('peak')} AS peak FROM periods",
+    RAIN_PERIODS)
+
+ORACLES["rain_period_counts"] = sql("""
+SELECT k.station, k.year, coalesce(c.periods, 0) AS periods
+FROM (SELECT s.station, y.year FROM (SELECT DISTINCT station FROM hy) s, (SELECT DISTINCT year FROM hy) y) k
+LEFT JOIN (SELECT station, year, count(*) AS periods FROM periods GROUP BY ALL) c USING (station, year)""",
+    RAIN_PERIODS)
+
+ORACLES["specific_rain_filtered"] = sql(f"""
+SELECT station, year, {r6('avg(h / 1 * 100)')} AS specific_rain, count(*) AS wet_hours FROM (
+  SELECT station, year, date_trunc('hour', datetime_utc) AS hs, sum(rain_mm) AS h FROM hy WHERE rain_mm > 0.2 GROUP BY ALL)
+GROUP BY ALL""", HH_Y)
+
+ORACLES["specific_rain_any_wet"] = sql(f"""
+SELECT station, year, {r6('avg(h / 2 * 100)')} AS specific_rain, count(*) AS wet_hours FROM (
+  SELECT station, year, date_trunc('hour', datetime_utc) AS hs, coalesce(sum(rain_mm), 0) AS h,
+         bool_or(rain_mm > 0.2) AS wet FROM hy GROUP BY ALL) WHERE wet
+GROUP BY ALL""", HH_Y)
+
+ORACLES["yearly_maxima"] = sql(f"""
+SELECT k.station, k.year, {r6('d.m')} AS max_daily, {r6('h.m')} AS max_hourly, {r6('x.m')} AS max_30min
+FROM (SELECT DISTINCT station, year FROM hy) k
+LEFT JOIN (SELECT station, year, max(s) AS m FROM (SELECT station, year, CAST(datetime_utc AS DATE), sum(rain_mm) AS s
+           FROM hy GROUP BY ALL) GROUP BY ALL) d USING (station, year)
+LEFT JOIN (SELECT station, year, max(s) AS m FROM (SELECT station, year, date_trunc('hour', datetime_utc), sum(rain_mm) AS s
+           FROM hy GROUP BY ALL) GROUP BY ALL) h USING (station, year)
+LEFT JOIN (SELECT station, year, max(rain_mm) AS m FROM hy WHERE rain_mm > 0 GROUP BY ALL) x USING (station, year)""",
+    HH_Y)
+
+ORACLES["yearly_max_trend"] = sql(
+    f"SELECT * FROM ({mk_sql('ser', ['station'], 3, 'local')}) WHERE n >= 4", DD_Y,
+    """ym AS (SELECT station, year, max(rain_mm) AS m FROM dy GROUP BY ALL),
+ser AS (SELECT station, row_number() OVER (PARTITION BY station ORDER BY year) - 1 AS pos,
+               CAST(year AS DOUBLE) AS x, m AS y, year AS label FROM ym)""")
+
+HEAVY = DD_Y + """,
+wetd AS (SELECT station, year, rain_mm FROM dy WHERE rain_mm > 0),
+hv AS (SELECT w.station, w.year, count(*) FILTER (WHERE w.rain_mm > q.p95) AS count, q.p95, q.n_wet
+       FROM wetd w JOIN (SELECT station, year, quantile_cont(rain_mm, 0.95) AS p95, count(*) AS n_wet
+                         FROM wetd GROUP BY ALL HAVING count(*) >= 10) q USING (station, year)
+       GROUP BY w.station, w.year, q.p95, q.n_wet)"""
+
+ORACLES["heavy_event_counts"] = sql(f"SELECT station, year, count, {r6('p95')} AS p95, n_wet FROM hv", HEAVY)
+
+ORACLES["heavy_event_trend"] = sql(mk_sql("ser", ["station"], 3, "local"), HEAVY, """ser AS (
+  SELECT station, row_number() OVER (PARTITION BY station ORDER BY year) - 1 AS pos, CAST(year AS DOUBLE) AS x,
+         CAST(count AS DOUBLE) AS y, year AS label FROM hv)""")
+
+ORACLES["monthly_totals"] = sql(
+    f"SELECT station, year, month, {r6('total')} AS total, {r6('avg(total) OVER (PARTITION BY station, month)')} AS month_mean FROM mt",
+    DD_YM)
+
+ORACLES["monthly_climatology"] = sql(
+    f"SELECT station, month, {r6('avg(total)')} AS mean_total, count(year) AS n_years FROM mt GROUP BY ALL", DD_YM)
+
+ORACLES["wettest_months"] = sql(f"""
+SELECT station, month, {r6('mean_total')} AS mean_total, n_years, {MONTHS}[month] AS month_name, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY station ORDER BY mean_total DESC, month) AS INTEGER) AS rank
+  FROM (SELECT station, month, avg(total) AS mean_total, count(year) AS n_years FROM mt GROUP BY station, month))
+WHERE rank <= 3""", DD_YM)
+
+ORACLES["climatology_comparison"] = sql(f"""
+SELECT month, {r6('l')} AS mean_left, {r6('r')} AS mean_right, {r6('r - l')} AS difference FROM (
+  SELECT month, avg(total) FILTER (WHERE station = '1-URGENT') AS l, avg(total) FILTER (WHERE station = '2-HIGH') AS r
+  FROM mt WHERE station IN ('1-URGENT', '2-HIGH') GROUP BY month)""", DD_YM)
+
+ORACLES["monthly_trend_table"] = sql(trend_row_sql("ser", ["station", "month"]), DD_YM, """ser AS (
+  SELECT station, month, row_number() OVER (PARTITION BY station, month ORDER BY year) - 1 AS pos,
+         CAST(row_number() OVER (PARTITION BY station, month ORDER BY year) - 1 AS DOUBLE) AS x,
+         total AS y, year AS label FROM mt)""")
+
+ORACLES["annual_trend_table"] = sql(trend_row_sql("ser", ["station"]), DD_Y, """ser AS (
+  SELECT station, row_number() OVER (PARTITION BY station ORDER BY year) - 1 AS pos,
+         CAST(row_number() OVER (PARTITION BY station ORDER BY year) - 1 AS DOUBLE) AS x, total AS y, year AS label
+  FROM (SELECT station, year, coalesce(sum(rain_mm), 0) AS total FROM dy GROUP BY ALL))""")
+
+ORACLES["mann_kendall_monthly"] = sql(mk_sql("ser", ["station"]), MONTHLY_SER)
+ORACLES["theil_sen_monthly"] = sql(sen_sql("ser", ["station"]), MONTHLY_SER)
+ORACLES["pettitt_monthly"] = sql(pettitt_sql("ser", ["station"]), MONTHLY_SER)
+ORACLES["ols_monthly"] = sql(ols_sql("ser", ["station"]), MONTHLY_SER)
+
+ORACLES["night_table"] = sql(
+    f"SELECT station, night_date, {r6('night_T_min')} AS night_T_min, {r6('night_T_max')} AS night_T_max, "
+    f"readings_count, year, is_complete FROM nights", NIGHTS)
+
+ORACLES["night_coverage"] = sql(f"""
+SELECT station, year, count(night_date) AS total, count(*) FILTER (WHERE is_complete) AS complete,
+       {r6('count(*) FILTER (WHERE is_complete) / 21.0')} AS pct,
+       count(*) FILTER (WHERE is_complete) / 21.0 >= 0.70 AS is_valid
+FROM nights GROUP BY ALL""", NIGHTS)
+
+ORACLES["summer_days"] = sql(
+    f"SELECT station, date, year, {r6('T_min')} AS T_min, {r6('T_max')} AS T_max FROM days", SUMMER)
+
+ORACLES["warm_counts"] = sql("SELECT station, year, threshold, count FROM wc", WARM)
+
+ORACLES["warm_count_trend"] = sql(ols_sql("ser", ["station", "threshold"]), WARM,
+                                  "ser AS (SELECT station, threshold, CAST(year AS DOUBLE) AS x, "
+                                  "CAST(count AS DOUBLE) AS y FROM wc)")
+
+ORACLES["warm_streaks"] = sql("SELECT station, year, threshold, longest_streak, n_streaks_min FROM st", STREAKS)
+
+ORACLES["warm_percentiles"] = sql(f"""
+SELECT station, year, {r6('quantile_cont(T_min, 0.90)')} AS p90, {r6('quantile_cont(T_min, 0.95)')} AS p95,
+       count(T_min) AS n FROM days GROUP BY ALL""", SUMMER)
+
+ORACLES["yearly_box"] = sql(f"""
+SELECT station, year, n, {r6('q1')} AS q1, {r6('med')} AS median, {r6('q3')} AS q3, {r6('q3 - q1')} AS iqr,
+       {r6('wl')} AS whisker_low, {r6('wh')} AS whisker_high, n_out AS n_outliers FROM (
+  SELECT d.station, d.year, q.n, q.q1, q.med, q.q3,
+         min(d.T_max) FILTER (WHERE d.T_max >= q.q1 - 1.5 * (q.q3 - q.q1)) AS wl,
+         max(d.T_max) FILTER (WHERE d.T_max <= q.q3 + 1.5 * (q.q3 - q.q1)) AS wh,
+         count(*) FILTER (WHERE d.T_max < q.q1 - 1.5 * (q.q3 - q.q1) OR d.T_max > q.q3 + 1.5 * (q.q3 - q.q1)) AS n_out
+  FROM days d JOIN (SELECT station, year, count(T_max) AS n, quantile_cont(T_max, 0.25) AS q1,
+                           quantile_cont(T_max, 0.5) AS med, quantile_cont(T_max, 0.75) AS q3
+                    FROM days WHERE T_max IS NOT NULL GROUP BY ALL) q USING (station, year)
+  WHERE d.T_max IS NOT NULL GROUP BY ALL)""", SUMMER)
+
+ORACLES["yearly_summary"] = sql(f"""
+SELECT station, year, count(*) AS n, count(*) FILTER (WHERE T_min > 20) AS gt_20,
+       count(*) FILTER (WHERE T_min > 22) AS gt_22, count(*) FILTER (WHERE T_min > 24) AS gt_24,
+       count(*) FILTER (WHERE T_min > 26) AS gt_26, {r6('median(T_min)')} AS T_min_median,
+       {r6('median(T_max)')} AS T_max_median
+FROM days GROUP BY ALL""", SUMMER)
+
+ORACLES["two_station_warm_counts"] = sql("""
+SELECT year, threshold, coalesce(l, 0) AS count_left, coalesce(r, 0) AS count_right,
+       coalesce(r, 0) - coalesce(l, 0) AS difference FROM (
+  SELECT coalesce(a.year, b.year) AS year, coalesce(a.threshold, b.threshold) AS threshold, a.count AS l, b.count AS r
+  FROM (SELECT * FROM wc WHERE station = '1-URGENT') a
+  FULL OUTER JOIN (SELECT * FROM wc WHERE station = '2-HIGH') b USING (year, threshold))""", WARM)
+
+ORACLES["two_station_streaks"] = sql("""
+SELECT year, threshold, coalesce(l, 0) AS longest_left, coalesce(r, 0) AS longest_right,
+       coalesce(r, 0) - coalesce(l, 0) AS difference FROM (
+  SELECT coalesce(a.year, b.year) AS year, coalesce(a.threshold, b.threshold) AS threshold,
+         a.longest_streak AS l, b.longest_streak AS r
+  FROM (SELECT * FROM st WHERE station = '1-URGENT') a
+  FULL OUTER JOIN (SELECT * FROM st WHERE station = '2-HIGH') b USING (year, threshold))""", STREAKS)
+
+ORACLES["median_trend_common_years"] = sql(ols_sql("ser", ["station"]), SUMMER, """common AS (
+  SELECT year FROM days WHERE station = '1-URGENT' INTERSECT SELECT year FROM days WHERE station = '2-HIGH'),
+ser AS (SELECT station, CAST(year AS DOUBLE) AS x, median(T_min) AS y FROM days
+        WHERE station IN ('1-URGENT', '2-HIGH') AND year IN (SELECT year FROM common) GROUP BY ALL)""")
+
+ORACLES["warm_mean_trend_table"] = sql(trend_row_sql("ser", ["station"]), SUMMER, """ser AS (
+  SELECT station, row_number() OVER (PARTITION BY station ORDER BY year) - 1 AS pos,
+         CAST(row_number() OVER (PARTITION BY station ORDER BY year) - 1 AS DOUBLE) AS x, m AS y, year AS label
+  FROM (SELECT station, year, avg(T_min) AS m FROM days GROUP BY ALL))""")

@@ -41,3 +41,325 @@ DAY_COVERAGE = dict(period="day", expected=rain_hours.HOURS_PER_DAY, threshold=0
 def q_hour_profile_top3(spark, sf_dir):
     df = rain_hours.hour_profile_top3(_hh(spark, sf_dir), **DAY_COVERAGE)
     return finalize(df.select("station", "hour", "mean_rain", "rank"))
+
+
+# Fixture parameters shared by several queries.
+SUMMER_DAYS_KW = dict(season=(621, 921), expected=93, threshold=0.70)
+LEFT, RIGHT = "1-URGENT", "2-HIGH"          # two daily "stations" for comparisons
+EV_LEFT, EV_RIGHT = "click", "view"         # two half-hourly "stations"
+JAN_NIGHTS = (105, 125)                     # the events table covers January only
+
+
+def _days(spark, sf_dir):
+    from rainfold.plans import nights
+    return nights.summer_days(_dd(spark, sf_dir), **SUMMER_DAYS_KW)
+
+
+# ------------------------------------------------------------ rain by hour (Q1-Q6)
+
+@register("hour_profile_extremes")
+def q_hour_profile_extremes(spark, sf_dir):
+    return finalize(rain_hours.hour_profile_extremes(_hh(spark, sf_dir), **DAY_COVERAGE))
+
+
+@register("station_hour_comparison")
+def q_station_hour_comparison(spark, sf_dir):
+    df = rain_hours.station_hour_comparison(_hh(spark, sf_dir), EV_LEFT, EV_RIGHT, **DAY_COVERAGE)
+    return finalize(df.select("hour", "mean_left", "mean_right", "difference"))
+
+
+@register("month_hour_matrix")
+def q_month_hour_matrix(spark, sf_dir):
+    return finalize(rain_hours.month_hour_matrix(_hh(spark, sf_dir), **DAY_COVERAGE))
+
+
+@register("distribution_shift")
+def q_distribution_shift(spark, sf_dir):
+    from rainfold.operators.coverage import coverage, first_last_periods
+    from rainfold.operators.resample import resample_hourly
+    from rainfold.operators.trend import ks_two_sample, t_test
+    hourly = resample_hourly(_hh(spark, sf_dir)).withColumn("day", F.to_date("datetime_utc"))
+    cov = coverage(hourly, ["station"], "day", "rain_mm", 24, 0.70)
+    marks = first_last_periods(cov, ["station"], "day", 5)
+    early = hourly.join(marks.where("is_early"), ["station", "day"], "left_semi").withColumn("sample", F.lit("early"))
+    late = hourly.join(marks.where("is_late"), ["station", "day"], "left_semi").withColumn("sample", F.lit("late"))
+    both = early.unionByName(late)
+    ks = ks_two_sample(both, ["station"], "sample", "rain_mm")
+    tt = t_test(both, ["station"], "sample", "rain_mm")
+    out = ks.select("station", "n1", "n2", F.col("d").alias("ks_d"), F.col("p_value").alias("ks_p_value")).join(
+        tt.select("station", "mean1", "mean2", "t", F.col("p_value").alias("t_p_value")), "station")
+    return finalize(out)
+
+
+@register("seasonal_mk_monthly_means")
+def q_seasonal_mk_monthly_means(spark, sf_dir):
+    from rainfold.plans import seasons
+    return finalize(seasons.seasonal_mk_monthly_means(_dd(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ resampling and coverage
+
+@register("halfhourly_readings")
+def q_halfhourly_readings(spark, sf_dir):
+    return finalize(_hh(spark, sf_dir))
+
+
+@register("daily_from_halfhourly")
+def q_daily_from_halfhourly(spark, sf_dir):
+    from rainfold.operators.resample import daily_from_halfhourly
+    return finalize(daily_from_halfhourly(_hh(spark, sf_dir)))
+
+
+@register("hourly_resample_filled")
+def q_hourly_resample_filled(spark, sf_dir):
+    from rainfold.operators.resample import resample_hourly
+    return finalize(resample_hourly(_hh(spark, sf_dir), mean_cols=["T_avg", "T_min", "T_max", "wind_dir"]))
+
+
+@register("hourly_sparse_sum")
+def q_hourly_sparse_sum(spark, sf_dir):
+    from rainfold.operators.resample import hourly_sum
+    return finalize(hourly_sum(_hh(spark, sf_dir)))
+
+
+@register("coverage_by_year")
+def q_coverage_by_year(spark, sf_dir):
+    from rainfold.operators.coverage import coverage
+    d = _dd(spark, sf_dir).withColumn("year", F.year("date"))
+    return finalize(coverage(d, ["station"], "year", "rain_mm", 365, 0.70))
+
+
+@register("valid_year_range")
+def q_valid_year_range(spark, sf_dir):
+    from rainfold.operators.coverage import coverage, valid_range
+    d = _dd(spark, sf_dir).withColumn("year", F.year("date"))
+    return valid_range(coverage(d, ["station"], "year", "rain_mm", 365, 0.70), ["station"], "year")
+
+
+@register("dataset_profile")
+def q_dataset_profile(spark, sf_dir):
+    from rainfold.operators.aggregates import dataset_profile
+    return dataset_profile(_hh(spark, sf_dir), ["station"], "datetime_utc")
+
+
+# ------------------------------------------------------------ intensity (Q7-Q13)
+
+@register("intensity_histogram")
+def q_intensity_histogram(spark, sf_dir):
+    from rainfold.plans import intensity
+    return finalize(intensity.intensity_histogram(_hh(spark, sf_dir)))
+
+
+@register("intensity_vs_time")
+def q_intensity_vs_time(spark, sf_dir):
+    from rainfold.plans import intensity
+    return finalize(intensity.intensity_vs_time(_hh(spark, sf_dir)))
+
+
+@register("rain_periods")
+def q_rain_periods(spark, sf_dir):
+    from rainfold.operators.periods import rain_periods
+    return finalize(rain_periods(_hh(spark, sf_dir)))
+
+
+@register("rain_period_counts")
+def q_rain_period_counts(spark, sf_dir):
+    from rainfold.operators.periods import rain_period_counts
+    return rain_period_counts(_hh(spark, sf_dir))
+
+
+@register("specific_rain_filtered")
+def q_specific_rain_filtered(spark, sf_dir):
+    from rainfold.operators.aggregates import specific_rain
+    return finalize(specific_rain(_hh(spark, sf_dir), mode="filtered"))
+
+
+@register("specific_rain_any_wet")
+def q_specific_rain_any_wet(spark, sf_dir):
+    from rainfold.operators.aggregates import specific_rain
+    return finalize(specific_rain(_hh(spark, sf_dir), mode="any_wet"))
+
+
+@register("yearly_maxima")
+def q_yearly_maxima(spark, sf_dir):
+    from rainfold.plans import intensity
+    return finalize(intensity.yearly_maxima(_hh(spark, sf_dir)))
+
+
+@register("yearly_max_trend")
+def q_yearly_max_trend(spark, sf_dir):
+    from rainfold.plans import intensity
+    return finalize(intensity.yearly_max_trend(_dd(spark, sf_dir)))
+
+
+@register("heavy_event_counts")
+def q_heavy_event_counts(spark, sf_dir):
+    from rainfold.operators.aggregates import heavy_event_counts
+    d = _dd(spark, sf_dir).withColumn("year", F.year("date"))
+    return finalize(heavy_event_counts(d, ["station"], "year", "rain_mm"))
+
+
+@register("heavy_event_trend")
+def q_heavy_event_trend(spark, sf_dir):
+    from rainfold.plans import intensity
+    return finalize(intensity.heavy_event_trend(_dd(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ seasons (Q14-Q18)
+
+@register("monthly_totals")
+def q_monthly_totals(spark, sf_dir):
+    from rainfold.operators.aggregates import monthly_totals
+    return finalize(monthly_totals(_dd(spark, sf_dir)))
+
+
+@register("monthly_climatology")
+def q_monthly_climatology(spark, sf_dir):
+    from rainfold.operators.aggregates import monthly_climatology
+    return finalize(monthly_climatology(_dd(spark, sf_dir)))
+
+
+@register("wettest_months")
+def q_wettest_months(spark, sf_dir):
+    from rainfold.plans import seasons
+    return finalize(seasons.wettest_months(_dd(spark, sf_dir)))
+
+
+@register("climatology_comparison")
+def q_climatology_comparison(spark, sf_dir):
+    from rainfold.operators.aggregates import monthly_climatology
+    from rainfold.operators.combine import two_way_compare
+    clim = monthly_climatology(_dd(spark, sf_dir))
+    return finalize(two_way_compare(clim, ["month"], "station", LEFT, RIGHT, "mean_total",
+                                    names=("mean_left", "mean_right")))
+
+
+@register("seasonal_mk_daily")
+def q_seasonal_mk_daily(spark, sf_dir):
+    from rainfold.plans import seasons
+    return finalize(seasons.seasonal_mk_daily(_dd(spark, sf_dir)))
+
+
+@register("monthly_trend_table")
+def q_monthly_trend_table(spark, sf_dir):
+    from rainfold.plans import seasons
+    return finalize(seasons.monthly_trend_table(_dd(spark, sf_dir)))
+
+
+@register("annual_trend_table")
+def q_annual_trend_table(spark, sf_dir):
+    from rainfold.plans import seasons
+    return finalize(seasons.annual_trend_table(_dd(spark, sf_dir)))
+
+
+def _monthly_series(spark, sf_dir):
+    from rainfold.operators.aggregates import grouped_total
+    from rainfold.operators.trend import make_series
+    d = _dd(spark, sf_dir).withColumn("year", F.year("date")).withColumn("month", F.month("date"))
+    t = grouped_total(d, ["station", "year", "month"], "rain_mm", "total")
+    t = t.withColumn("ym", F.format_string("%04d-%02d", "year", "month"))
+    return make_series(t, ["station"], ["year", "month"], "total", label="ym")
+
+
+@register("mann_kendall_monthly")
+def q_mann_kendall_monthly(spark, sf_dir):
+    from rainfold.operators.trend import mann_kendall
+    return finalize(mann_kendall(_monthly_series(spark, sf_dir), ["station"]))
+
+
+@register("theil_sen_monthly")
+def q_theil_sen_monthly(spark, sf_dir):
+    from rainfold.operators.theil_sen import theil_sen
+    return finalize(theil_sen(_monthly_series(spark, sf_dir), ["station"]))
+
+
+@register("pettitt_monthly")
+def q_pettitt_monthly(spark, sf_dir):
+    from rainfold.operators.trend import pettitt
+    return finalize(pettitt(_monthly_series(spark, sf_dir), ["station"]))
+
+
+@register("ols_monthly")
+def q_ols_monthly(spark, sf_dir):
+    from rainfold.operators.trend import ols
+    return finalize(ols(_monthly_series(spark, sf_dir), ["station"]))
+
+
+# ------------------------------------------------------------ nights and warm days (Q19-Q28)
+
+@register("night_table")
+def q_night_table(spark, sf_dir):
+    from rainfold.plans import nights
+    return finalize(nights.night_table(_hh(spark, sf_dir), season=JAN_NIGHTS))
+
+
+@register("night_coverage")
+def q_night_coverage(spark, sf_dir):
+    from rainfold.plans import nights
+    n = nights.night_table(_hh(spark, sf_dir), season=JAN_NIGHTS)
+    return finalize(nights.night_coverage(n, expected=21))
+
+
+@register("summer_days")
+def q_summer_days(spark, sf_dir):
+    return finalize(_days(spark, sf_dir).select("station", "date", "year", "T_min", "T_max"))
+
+
+@register("warm_counts")
+def q_warm_counts(spark, sf_dir):
+    from rainfold.plans import nights
+    return nights.warm_counts(_days(spark, sf_dir))
+
+
+@register("warm_count_trend")
+def q_warm_count_trend(spark, sf_dir):
+    from rainfold.plans import nights
+    return finalize(nights.warm_count_trend(_days(spark, sf_dir)))
+
+
+@register("warm_streaks")
+def q_warm_streaks(spark, sf_dir):
+    from rainfold.plans import nights
+    return nights.warm_streaks(_days(spark, sf_dir))
+
+
+@register("warm_percentiles")
+def q_warm_percentiles(spark, sf_dir):
+    from rainfold.plans import nights
+    return finalize(nights.warm_percentiles(_days(spark, sf_dir)))
+
+
+@register("yearly_box")
+def q_yearly_box(spark, sf_dir):
+    from rainfold.plans import nights
+    return finalize(nights.yearly_box(_days(spark, sf_dir)))
+
+
+@register("yearly_summary")
+def q_yearly_summary(spark, sf_dir):
+    from rainfold.plans import nights
+    return finalize(nights.summary_table(_days(spark, sf_dir)))
+
+
+@register("two_station_warm_counts")
+def q_two_station_warm_counts(spark, sf_dir):
+    from rainfold.plans import nights
+    return nights.two_station_counts(_days(spark, sf_dir), LEFT, RIGHT)
+
+
+@register("two_station_streaks")
+def q_two_station_streaks(spark, sf_dir):
+    from rainfold.plans import nights
+    return nights.two_station_streaks(_days(spark, sf_dir), LEFT, RIGHT)
+
+
+@register("median_trend_common_years")
+def q_median_trend_common_years(spark, sf_dir):
+    from rainfold.plans import nights
+    return finalize(nights.median_trend_common_years(_days(spark, sf_dir), LEFT, RIGHT))
+
+
+@register("warm_mean_trend_table")
+def q_warm_mean_trend_table(spark, sf_dir):
+    from rainfold.plans import nights
+    return finalize(nights.yearly_mean_trend(_days(spark, sf_dir)))

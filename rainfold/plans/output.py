@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainfold.functions.numeric import round6
+from rainfold.functions.numeric import round_binary
 
 
-def finalize(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Round every double column (except ``keep``) to ``digits`` decimals with
-    floor(x·10^d + 0.5)/10^d, so independent engines agree bit for bit."""
+def finalize(df: DataFrame, bits: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Round every double column (except ``keep``) to a 2^-bits grid so that
+    independent engines agree bit for bit despite summation order."""
     cols = []
     for name, typ in df.dtypes:
         if typ in ("double", "float") and name not in keep:
-            cols.append(round6(F.col(name), digits).alias(name))
+            cols.append(round_binary(F.col(name), bits).alias(name))
         else:
             cols.append(F.col(name))
     return df.select(*cols)
