@@ -57,6 +57,8 @@ valid AS (
 
 
 def sql(body: str, *views: str) -> str:
+    if not views:
+        return body.strip()
     return "WITH " + ",\n".join(views) + "\n" + body
 
 
@@ -582,3 +584,138 @@ ORACLES["warm_mean_trend_table"] = sql(trend_row_sql("ser", ["station"]), SUMMER
   SELECT station, row_number() OVER (PARTITION BY station ORDER BY year) - 1 AS pos,
          CAST(row_number() OVER (PARTITION BY station ORDER BY year) - 1 AS DOUBLE) AS x, m AS y, year AS label
   FROM (SELECT station, year, avg(T_min) AS m FROM days GROUP BY ALL))""")
+
+
+# --- cleaning and ingestion --------------------------------------------------
+
+MESSY = """m AS (
+  SELECT event_id, value AS v, event_id % 20 AS k,
+    CASE WHEN event_id % 20 < 16 THEN ['N', ' nne', 'NE ', 'ene', 'E', 'ESE', 'se', 'SSE', '5', 'SSW', 'sw', 'WSW',
+                                       'W', 'wnw', 'NW', 'NNW'][event_id % 20 + 1]
+         WHEN event_id % 20 = 16 THEN printf('%.2f', value) WHEN event_id % 20 = 17 THEN '---'
+         WHEN event_id % 20 = 18 THEN '' ELSE 'calm' END AS raw_wind_dir,
+    CASE WHEN event_id % 20 < 5 THEN printf('%.2f', value)
+         WHEN event_id % 20 < 8 THEN replace(printf('%.2f', value), '.', ',')
+         WHEN event_id % 20 < 10 THEN '~' || printf('%.2f', value)
+         WHEN event_id % 20 = 10 THEN '-----' WHEN event_id % 20 = 11 THEN '---'
+         WHEN event_id % 20 = 12 THEN 'O' || printf('%d', CAST(floor(value) AS BIGINT))
+         WHEN event_id % 20 = 13 THEN ' ' WHEN event_id % 20 = 14 THEN '12abc'
+         ELSE printf('%d', CAST(floor(value * 10) AS BIGINT)) END AS raw_number,
+    CASE WHEN event_id % 20 < 10 THEN printf('%d:%02d', event_id % 26, event_id * 7 % 61)
+         WHEN event_id % 20 < 15 THEN printf('%d;%02d', event_id % 26, event_id * 7 % 61)
+         ELSE printf('%02d%02d', event_id % 26, event_id * 7 % 61) END AS raw_time,
+    CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value_with_nulls,
+    CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id END AS user_with_nulls,
+    CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS type_with_nulls
+  FROM events)"""
+
+_DEG = ("CASE upper(trim(raw_wind_dir)) " + " ".join(
+    f"WHEN '{p}' THEN {d}" for p, d in [("N", 0.0), ("NNE", 22.5), ("NE", 45.0), ("ENE", 67.5), ("E", 90.0),
+                                         ("ESE", 112.5), ("SE", 135.0), ("SSE", 157.5), ("S", 180.0),
+                                         ("SSW", 202.5), ("SW", 225.0), ("WSW", 247.5), ("W", 270.0),
+                                         ("WNW", 292.5), ("NW", 315.0), ("NNW", 337.5)])
+        + " ELSE TRY_CAST(upper(trim(raw_wind_dir)) AS DOUBLE) END")
+
+_NUM = ("replace(replace(translate(replace(replace(trim(raw_number), ',', '.'), '~', ''), 'Oo', '00'), '—', ''), '--', '')")
+
+ORACLES["clean_report_text"] = sql(f"""
+SELECT event_id, {r6(_DEG)} AS wind_deg, translate(upper(trim(raw_wind_dir)), '5', 'S') AS wind_dir_norm,
+       {r6(f"CASE WHEN {_NUM} IN ('', '-') THEN NULL ELSE TRY_CAST({_NUM} AS DOUBLE) END")} AS number,
+       CASE WHEN regexp_full_match(translate(trim(raw_number), 'Oo', '00'), '[0-9]+')
+            THEN TRY_CAST(translate(trim(raw_number), 'Oo', '00') AS INTEGER) END AS number_int,
+       {r6("CASE WHEN raw_number IN ('-----', '---', '-', '') THEN NULL ELSE TRY_CAST(replace(raw_number, '~', '') AS DOUBLE) END")} AS plain_number,
+       CASE WHEN regexp_full_match(tt, '\\d{{1,2}}:\\d{{2}}')
+             AND CAST(regexp_extract(tt, '^(\\d+):', 1) AS INTEGER) <= 23
+             AND CAST(regexp_extract(tt, ':(\\d+)$', 1) AS INTEGER) <= 59
+            THEN printf('%02d:%02d', CAST(regexp_extract(tt, '^(\\d+):', 1) AS INTEGER),
+                        CAST(regexp_extract(tt, ':(\\d+)$', 1) AS INTEGER)) END AS time_hhmm
+FROM (SELECT *, replace(trim(raw_time), ';', ':') AS tt FROM m)""", MESSY)
+
+ORACLES["category_audit"] = sql(f"SELECT DISTINCT raw_wind_dir FROM m WHERE ({_DEG}) IS NULL", MESSY)
+
+ORACLES["null_profile"] = sql(f"""
+SELECT c AS "column", n_null, n_rows, {r6('CAST(n_null AS DOUBLE) / n_rows * 100')} AS pct_null FROM (
+  SELECT 'value_with_nulls' AS c, count(*) FILTER (WHERE value_with_nulls IS NULL) AS n_null, count(*) AS n_rows FROM m
+  UNION ALL SELECT 'user_with_nulls', count(*) FILTER (WHERE user_with_nulls IS NULL), count(*) FROM m
+  UNION ALL SELECT 'type_with_nulls', count(*) FILTER (WHERE type_with_nulls IS NULL), count(*) FROM m)""", MESSY)
+
+_ERA_COLS = (f"station, date, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, "
+             f"CAST(day(date) AS INTEGER) AS day, {r6('T_max')} AS T_max, {r6('T_min')} AS T_min, "
+             f"{r6('T_avg')} AS T_avg, {r6('rain_mm')} AS rain_mm, "
+             f"{r6('(CAST(floor(T_max * 100) AS BIGINT) % 16) * 22.5')} AS wind_dir")
+
+ORACLES["union_two_eras"] = sql(f"""
+SELECT {_ERA_COLS} FROM dd WHERE date < DATE '1998-02-01'
+UNION ALL SELECT {_ERA_COLS} FROM dd WHERE date >= DATE '1998-01-01'""", DD)
+
+ORACLES["union_two_eras_dedup"] = sql(f"SELECT {_ERA_COLS} FROM dd", DD)
+
+_ONE = "floor(({x}) * 10 + 0.5) / 10"
+
+
+def _one(x: str) -> str:
+    return _ONE.format(x=x)
+
+
+REPORT_VALUES = DD + f""",
+rv AS (SELECT station, date, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
+              CAST(day(date) AS INTEGER) AS day,
+              {_one('(T_min + T_max) / 2')} AS mean_temp_c, {_one('T_max')} AS max_temp_c,
+              printf('%02d:%02d', day(date) * 5 % 24, day(date) * 7 % 60) AS max_temp_time,
+              {_one('T_min')} AS min_temp_c, printf('%02d:%02d', day(date) * 3 % 24, day(date) * 11 % 60) AS min_temp_time,
+              {_one('greatest(0.0, 18.3 - (T_min + T_max) / 2)')} AS heat_deg_days,
+              {_one('greatest(0.0, (T_min + T_max) / 2 - 18.3)')} AS cool_deg_days,
+              {_one('T_max - T_min')} AS rain_mm, {_one('T_min / 2')} AS avg_wind_kmh, {_one('T_max / 2')} AS max_wind_kmh,
+              printf('%02d:%02d', day(date) * 7 % 24, day(date) * 13 % 60) AS max_wind_time,
+              ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW']
+                [CAST(floor(T_max * 100) AS BIGINT) % 16 + 1] AS dom_wind_dir
+       FROM dd)"""
+
+_RV_NUM = ["mean_temp_c", "max_temp_c", "min_temp_c", "heat_deg_days", "cool_deg_days", "rain_mm", "avg_wind_kmh",
+           "max_wind_kmh"]
+_RV_COLS = ("station, year, month, day, date, " + ", ".join(f"{r6(c)} AS {c}" for c in _RV_NUM)
+            + ", max_temp_time, min_temp_time, max_wind_time, dom_wind_dir")
+
+ORACLES["text_report_roundtrip"] = sql(f"SELECT {_RV_COLS}, 'txt' AS source_format FROM rv WHERE day % 9 <> 0",
+                                       REPORT_VALUES)
+
+ORACLES["html_report_roundtrip"] = sql(f"""
+SELECT {_RV_COLS}, 'html' AS source_format,
+       {r6("CAST(printf('%.1f', mean_temp_c - 20) AS DOUBLE)")} AS dep_from_normal_c,
+       CAST(NULL AS DOUBLE) AS avg_dew_point_c,
+       {r6("CAST(printf('%.1f', max_temp_c / 5) AS DOUBLE)")} AS sun_hours,
+       {r6('1013.2')} AS avg_sea_level_pressure_hpa
+FROM rv""", REPORT_VALUES)
+
+ORACLES["ingest_ledger"] = sql("""
+SELECT format, status, count(*) AS documents, CAST(sum(rows) AS BIGINT) AS rows FROM (
+  SELECT 'txt' AS format, CASE WHEN count(*) FILTER (WHERE day % 9 <> 0) > 0 THEN 'ok' ELSE 'parsed_zero_rows' END AS status,
+         count(*) FILTER (WHERE day % 9 <> 0) AS rows FROM rv GROUP BY station, year, month
+  UNION ALL
+  SELECT 'html', 'ok', count(*) FROM rv GROUP BY station, year, month
+  UNION ALL
+  SELECT fmt, CASE WHEN fmt = 'unsupported' THEN 'unsupported_format'
+                   WHEN lower(html) LIKE '%<table%' THEN 'parsed_zero_rows' ELSE 'no_table' END, 0
+  FROM (SELECT html, CASE WHEN u LIKE '%.txt' THEN 'txt' WHEN u LIKE '%.html' OR u LIKE '%.htm' THEN 'html'
+                          ELSE 'unsupported' END AS fmt
+        FROM (SELECT html, lower(regexp_replace(url, '[?#].*$', '')) AS u FROM pages)))
+GROUP BY ALL""", REPORT_VALUES)
+
+ORACLES["missing_days"] = sql("""
+SELECT station, CAST(d AS DATE) AS date FROM (
+  SELECT station, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM dd GROUP BY station)
+EXCEPT SELECT station, date FROM dd""", DD)
+
+ORACLES["month_manifest"] = sql("""
+SELECT station, CAST(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)),
+                                            INTERVAL 1 MONTH)) AS DATE) AS month_start
+FROM dd GROUP BY station""", DD)
+
+ORACLES["source_pick"] = sql("""
+SELECT station, year, month, arg_min(source, prio) AS picked, count(*) AS n_available FROM (
+  SELECT DISTINCT o_orderpriority AS station, CAST(year(o_orderdate) AS INTEGER) AS year,
+         CAST(month(o_orderdate) AS INTEGER) AS month,
+         CASE o_orderstatus WHEN 'F' THEN 'txt' WHEN 'P' THEN 'txt_variant' ELSE 'html' END AS source
+  FROM orders) s
+JOIN (VALUES ('txt', 1), ('txt_variant', 2), ('html', 3)) p(src, prio) ON p.src = s.source
+GROUP BY ALL""")

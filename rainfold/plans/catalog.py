@@ -363,3 +363,81 @@ def q_median_trend_common_years(spark, sf_dir):
 def q_warm_mean_trend_table(spark, sf_dir):
     from rainfold.plans import nights
     return finalize(nights.yearly_mean_trend(_days(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ cleaning and ingestion (Q29-Q31)
+
+def _messy(spark, sf_dir):
+    return fx.messy_text_view(fx.load(spark, sf_dir, "events"))
+
+
+@register("clean_report_text")
+def q_clean_report_text(spark, sf_dir):
+    from rainfold.plans import ingest
+    return finalize(ingest.clean_report_text(_messy(spark, sf_dir)))
+
+
+@register("category_audit")
+def q_category_audit(spark, sf_dir):
+    from rainfold.plans import ingest
+    return ingest.category_audit(_messy(spark, sf_dir))
+
+
+@register("null_profile")
+def q_null_profile(spark, sf_dir):
+    from rainfold.operators.aggregates import null_profile
+    m = _messy(spark, sf_dir)
+    return finalize(null_profile(m, ["value_with_nulls", "user_with_nulls", "type_with_nulls"]))
+
+
+@register("union_two_eras")
+def q_union_two_eras(spark, sf_dir):
+    from rainfold.plans import ingest
+    return finalize(ingest.two_era_city_table(_dd(spark, sf_dir)))
+
+
+@register("union_two_eras_dedup")
+def q_union_two_eras_dedup(spark, sf_dir):
+    from rainfold.plans import ingest
+    return finalize(ingest.two_era_city_table(_dd(spark, sf_dir), dedupe="prefer_new"))
+
+
+@register("text_report_roundtrip")
+def q_text_report_roundtrip(spark, sf_dir):
+    from rainfold.plans import ingest
+    return finalize(ingest.text_roundtrip(_dd(spark, sf_dir)))
+
+
+@register("html_report_roundtrip")
+def q_html_report_roundtrip(spark, sf_dir):
+    from rainfold.plans import ingest
+    return finalize(ingest.html_roundtrip(_dd(spark, sf_dir)))
+
+
+@register("ingest_ledger")
+def q_ingest_ledger(spark, sf_dir):
+    from rainfold.plans import ingest
+    return ingest.ingest_ledger(_dd(spark, sf_dir), fx.load(spark, sf_dir, "pages"))
+
+
+@register("missing_days")
+def q_missing_days(spark, sf_dir):
+    from rainfold.sources.manifest import missing_days
+    return missing_days(_dd(spark, sf_dir), ["station"])
+
+
+@register("month_manifest")
+def q_month_manifest(spark, sf_dir):
+    from rainfold.sources.manifest import month_manifest
+    return month_manifest(_dd(spark, sf_dir), ["station"])
+
+
+@register("source_pick")
+def q_source_pick(spark, sf_dir):
+    from rainfold.sources.manifest import pick_source
+    o = fx.load(spark, sf_dir, "orders")
+    fmt = (F.when(F.col("o_orderstatus") == "F", "txt").when(F.col("o_orderstatus") == "P", "txt_variant")
+           .otherwise("html"))
+    avail = o.select(F.col("o_orderpriority").alias("station"), F.year("o_orderdate").alias("year"),
+                     F.month("o_orderdate").alias("month"), fmt.alias("source")).distinct()
+    return pick_source(avail, ["station", "year", "month"], "source", ["txt", "txt_variant", "html"])

@@ -69,19 +69,19 @@ def messy_text_view(events: DataFrame) -> DataFrame:
                         ["N", " nne", "NE ", "ene", "E", "ESE", "se", "SSE",
                          "5", "SSW", "sw", "WSW", "W", "wnw", "NW", "NNW"]])
     raw_dir = (F.when(k < 16, F.get(compass, k.cast("int")))
-               .when(k == 16, F.format_string("%.1f", v))
+               .when(k == 16, F.format_string("%.2f", v))
                .when(k == 17, F.lit("---"))
                .when(k == 18, F.lit(""))
                .otherwise(F.lit("calm")))
     raw_num = (F.when(k < 5, F.format_string("%.2f", v))
                .when(k < 8, F.replace(F.format_string("%.2f", v), F.lit("."), F.lit(",")))
-               .when(k < 10, F.concat(F.lit("~"), F.format_string("%.1f", v)))
+               .when(k < 10, F.concat(F.lit("~"), F.format_string("%.2f", v)))
                .when(k == 10, F.lit("-----"))
                .when(k == 11, F.lit("---"))
-               .when(k == 12, F.concat(F.lit("O"), F.format_string("%.0f", v)))
+               .when(k == 12, F.concat(F.lit("O"), F.format_string("%d", F.floor(v))))
                .when(k == 13, F.lit(" "))
                .when(k == 14, F.lit("12abc"))
-               .otherwise(F.format_string("%d", (v * 10).cast("long"))))
+               .otherwise(F.format_string("%d", F.floor(v * 10))))
     hh = F.pmod(F.col("event_id"), F.lit(26))
     mm = F.pmod(F.col("event_id") * 7, F.lit(61))
     raw_time = (F.when(k < 10, F.format_string("%d:%02d", hh, mm))
