@@ -49,10 +49,12 @@ def _targets(series: DataFrame, sid: list[str], z: float) -> DataFrame:
                   F.struct(F.lit("med_b").alias("target"), med_b.cast("long").alias("r")),
                   F.struct(F.lit("ci_lo").alias("target"), (rl + 1).cast("long").alias("r")),
                   F.struct(F.lit("ci_hi").alias("target"), (ru + 1).cast("long").alias("r")))
-    span = F.col("_ymax") - F.col("_ymin") + 1
+    width = F.col("_ymax") - F.col("_ymin") + 1
     return (g.where(F.col("n") >= 2)
-            .select(*sid, "n", "span", F.explode(tgt).alias("_t"), (-span).alias("lo"), span.alias("hi"))
-            .select(*sid, "n", "span", "_t.target", "_t.r", "lo", "hi")
+            .select(*sid, "n", "span", F.explode(tgt).alias("_t"), (-width).alias("lo"), width.alias("hi"),
+                    big_n.cast("long").alias("_big"))
+            .select(*sid, "n", "span", "_t.target", "_t.r", "lo", F.lit(0).cast("long").alias("c_lo"),
+                    "hi", F.col("_big").alias("c_hi"))
             .where(F.col("r").isNotNull()))
 
 
@@ -66,25 +68,38 @@ def _count_le(series: DataFrame, trials: DataFrame, sid: list[str], part_extra:
     return c.groupBy(*part).agg(F.sum("_c").alias("cnt"))
 
 
-def theil_sen(series: DataFrame, sid: Sequence[str], min_n: int = 4, trials: int = 128,
-              rounds: int = 8, z: float = Z_975) -> DataFrame:
-    """Per series: slope, intercept, ci_lower, ci_upper (x must be integer-spaced)."""
+def theil_sen(series: DataFrame, sid: Sequence[str], min_n: int = 4, trials: int = 64,
+              max_rounds: int = 10, max_bracket_pairs: int = 4096, z: float = Z_975) -> DataFrame:
+    """Per series: slope, intercept, ci_lower, ci_upper (x must be integer-spaced).
+
+    Rounds run while some bracket still holds more than ``max_bracket_pairs``
+    pairs (at least one round, so a small series never lists all of its
+    pairs); the few pairs left inside each bracket are then enumerated
+    exactly and ranked.
+    """
     sid = list(sid)
-    base = cut_lineage(series.select(*sid, "pos", "x", "y", "span"))
-    state = cut_lineage(_targets(base, sid, z))
-    for _ in range(rounds):
-        tr = (state.select(*sid, "target", "r", "lo", "hi", "span",
-                           F.explode(F.sequence(F.lit(1), F.lit(trials - 1))).alias("_k"))
+    base = series.select(*sid, "pos", "x", "y", "span")
+    if not getattr(series, "_rainfold_checkpointed", False):
+        base = cut_lineage(base)
+    state = _targets(base, sid, z)
+    for rnd in range(max_rounds):
+        open_ = F.col("c_hi") - F.col("c_lo") > F.lit(max_bracket_pairs)
+        if rnd > 0 and state.where(open_).limit(1).count() == 0:
+            break
+        active = state if rnd == 0 else state.where(open_)
+        tr = (active.select(*sid, "target", "r", "lo", "hi", "span",
+                            F.explode(F.sequence(F.lit(1), F.lit(trials - 1))).alias("_k"))
               .withColumn("s", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_k") / F.lit(float(trials))))
         cnt = _count_le(base, tr.select(*sid, "target", "span", "s"), sid, ["target"])
         upd = (cnt.join(state.select(*sid, "target", "r"), [*sid, "target"])
                .groupBy(*sid, "target")
-               .agg(F.min(F.when(F.col("cnt") >= F.col("r"), F.col("s"))).alias("_nhi"),
-                    F.max(F.when(F.col("cnt") < F.col("r"), F.col("s"))).alias("_nlo")))
+               .agg(F.min_by(F.struct("s", "cnt"), F.when(F.col("cnt") >= F.col("r"), F.col("s"))).alias("_h"),
+                    F.max_by(F.struct("s", "cnt"), F.when(F.col("cnt") < F.col("r"), F.col("s"))).alias("_l")))
         state = cut_lineage(state.join(upd, [*sid, "target"], "left").select(
             *sid, "n", "span", "target", "r",
-            F.coalesce("_nlo", "lo").alias("lo"), F.coalesce("_nhi", "hi").alias("hi")))
-    exact = _snap(base, state, sid)
+            F.coalesce("_l.s", "lo").alias("lo"), F.coalesce("_l.cnt", "c_lo").alias("c_lo"),
+            F.coalesce("_h.s", "hi").alias("hi"), F.coalesce("_h.cnt", "c_hi").alias("c_hi")))
+    exact = _pick(base, state, sid, max_bracket_pairs)
     wide = exact.groupBy(*sid).agg(
         F.first("n").alias("n"),
         *[F.max(F.when(F.col("target") == t, F.col("slope_t"))).alias(t)
@@ -100,9 +115,17 @@ def theil_sen(series: DataFrame, sid: Sequence[str], min_n: int = 4, trials: int
                       F.when(enough, F.col("ci_hi")).alias("ci_upper"))
 
 
-def _snap(base: DataFrame, state: DataFrame, sid: list[str]) -> DataFrame:
-    """Exact pairwise slope for each (series, target) from its final bracket."""
-    ends = state.select(*sid, "target", "span", F.explode(F.array(
+def _pick(base: DataFrame, state: DataFrame, sid: list[str], max_pairs: int) -> DataFrame:
+    """Exact order statistic from each final bracket (lo, hi].
+
+    Elements whose count of earlier partners changes between lo and hi are
+    the right ends of the bracketed pairs; each is paired with its own
+    series only, and the pairs inside the bracket are ranked.  A bracket
+    that could not be narrowed below ``max_pairs`` (many equal slopes) has
+    collapsed to a point and reports ``hi``.
+    """
+    small = state.where(F.col("c_hi") - F.col("c_lo") <= max_pairs)
+    ends = small.select(*sid, "target", "span", F.explode(F.array(
         F.struct(F.lit(0).alias("end"), F.col("lo").alias("s")),
         F.struct(F.lit(1).alias("end"), F.col("hi").alias("s")))).alias("_e"))
     ends = ends.select(*sid, "target", "span", "_e.end", "_e.s")
@@ -110,18 +133,20 @@ def _snap(base: DataFrame, state: DataFrame, sid: list[str]) -> DataFrame:
     lev = leveled(rows, "pos", F.col("span"))
     part = [*sid, "target", "end"]
     per = (lev.select(*part, "pos", right_le_counts(lev, part, "_key").alias("_c"))
-           .groupBy(*sid, "target", "pos").agg(F.sum(F.when(F.col("end") == 1, F.col("_c")).otherwise(-F.col("_c")))
-                                               .alias("_d")))
+           .groupBy(*sid, "target", "pos")
+           .agg(F.sum(F.when(F.col("end") == 1, F.col("_c")).otherwise(-F.col("_c"))).alias("_d")))
     movers = per.where(F.col("_d") > 0).select(*sid, "target", F.col("pos").alias("_j"))
-    cand = (movers.join(base.select(*sid, F.col("pos").alias("_j"), F.col("x").alias("_xj"), F.col("y").alias("_yj")),
-                        [*sid, "_j"])
-            .join(base.select(*sid, F.col("pos").alias("_i"), F.col("x").alias("_xi"), F.col("y").alias("_yi")), sid)
-            .where(F.col("_i") < F.col("_j"))
-            .select(*sid, "target", ((F.col("_yj") - F.col("_yi")) / (F.col("_xj") - F.col("_xi"))).alias("_sl")))
-    st = state.select(*sid, "n", "target", "lo", "hi")
-    scored = cand.join(st, [*sid, "target"]).withColumn(
-        "_dist", F.when(F.col("_sl") > F.col("hi"), F.col("_sl") - F.col("hi"))
-        .when(F.col("_sl") <= F.col("lo"), F.col("lo") - F.col("_sl") + F.lit(1e-300)).otherwise(F.lit(0.0)))
-    best = scored.groupBy(*sid, "target").agg(F.min_by("_sl", F.struct("_dist", (-F.col("_sl")))).alias("slope_t"))
-    return st.join(best, [*sid, "target"], "left").select(*sid, "n", "target",
-                                                          F.coalesce("slope_t", "hi").alias("slope_t"))
+    right = base.select(*sid, F.col("pos").alias("_j"), F.col("x").alias("_xj"), F.col("y").alias("_yj"))
+    left = base.select(*sid, F.col("pos").alias("_i"), F.col("x").alias("_xi"), F.col("y").alias("_yi"))
+    st = small.select(*sid, "target", "lo", "hi", "c_lo", "r")
+    pairs = (movers.join(right, [*sid, "_j"]).join(left, sid).where(F.col("_i") < F.col("_j"))
+             .select(*sid, "target",
+                     F.try_divide(F.col("_yj") - F.col("_yi"), F.col("_xj") - F.col("_xi")).alias("_sl"))
+             .join(st, [*sid, "target"])
+             .where((F.col("_sl") > F.col("lo")) & (F.col("_sl") <= F.col("hi"))))
+    w = Window.partitionBy(*sid, "target").orderBy("_sl")
+    ranked = pairs.withColumn("_rk", F.row_number().over(w))
+    hit = (ranked.where(F.col("_rk") == F.col("r") - F.col("c_lo"))
+           .select(*sid, "target", F.col("_sl").alias("_hit")))
+    return (state.select(*sid, "n", "target", "hi").join(hit, [*sid, "target"], "left")
+            .select(*sid, "n", "target", F.coalesce("_hit", "hi").alias("slope_t")))

@@ -14,9 +14,6 @@ rejects form a ledger.
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,43 +66,6 @@ def text_line_stats(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Dat
                                     F.count_if(F.col("line").rlike(TEXT_ROW_PATTERN)).alias("accepted"))
 
 
-class _CellCollector(HTMLParser):
-    """Collects, per table, the text of every <td>/<th> cell row by row."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.tables: list[list[list[str]]] = []
-        self._depth = 0
-        self._row: list[str] | None = None
-        self._cell: list[str] | None = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self._depth += 1
-            self.tables.append([])
-        elif tag == "tr" and self._depth:
-            self._row = []
-        elif tag in ("td", "th") and self._row is not None:
-            self._cell = []
-        elif tag == "br" and self._cell is not None:
-            self._cell.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th") and self._cell is not None and self._row is not None:
-            self._row.append("".join(self._cell).replace("\xa0", " ").strip())
-            self._cell = None
-        elif tag == "tr" and self._row is not None:
-            if self.tables:
-                self.tables[-1].append(self._row)
-            self._row = None
-        elif tag == "table" and self._depth:
-            self._depth -= 1
-
-    def handle_data(self, data):
-        if self._cell is not None:
-            self._cell.append(data)
-
-
 HTML_CELLS_SCHEMA = "doc_id long, n_tables int, table_no int, row_no int, cells array<string>, error string"
 
 
@@ -113,28 +73,65 @@ def html_cells(docs: DataFrame) -> DataFrame:
     """Cell text of every table row of every HTML document.
 
     Documents without rows still produce one row (table_no NULL) carrying
-    the table count, so rejects are kept as data.
+    the table count, so rejects are kept as data.  The task function and
+    its parser class are self-contained, so they ship by value to the
+    Python workers (no package install needed on the executors).
     """
     def extract(batches):
+        import pandas as pd_
+        from html.parser import HTMLParser as _Base
+
+        class Collector(_Base):
+            """Collects, per table, the text of every <td>/<th> cell row by row."""
+
+            def __init__(self):
+                super().__init__(convert_charrefs=True)
+                self.tables, self.depth, self.row, self.cell = [], 0, None, None
+
+            def handle_starttag(self, tag, attrs):
+                if tag == "table":
+                    self.depth += 1
+                    self.tables.append([])
+                elif tag == "tr" and self.depth:
+                    self.row = []
+                elif tag in ("td", "th") and self.row is not None:
+                    self.cell = []
+                elif tag == "br" and self.cell is not None:
+                    self.cell.append("\n")
+
+            def handle_endtag(self, tag):
+                if tag in ("td", "th") and self.cell is not None and self.row is not None:
+                    self.row.append("".join(self.cell).replace("\xa0", " ").strip())
+                    self.cell = None
+                elif tag == "tr" and self.row is not None:
+                    if self.tables:
+                        self.tables[-1].append(self.row)
+                    self.row = None
+                elif tag == "table" and self.depth:
+                    self.depth -= 1
+
+            def handle_data(self, data):
+                if self.cell is not None:
+                    self.cell.append(data)
+
         for pdf in batches:
             out = []
             for doc_id, body in zip(pdf["doc_id"], pdf["body"]):
-                p = _CellCollector()
+                p = Collector()
                 err = None
                 try:
                     p.feed(body or "")
                     p.close()
                 except Exception as e:  # noqa: BLE001 - malformed markup is a reject, not a crash
                     err = f"{type(e).__name__}: {e}"[:200]
-                n = len(p.tables)
                 emitted = False
                 for t, rows in enumerate(p.tables):
                     for r, cells in enumerate(rows):
-                        out.append((int(doc_id), n, t, r, cells, err))
+                        out.append((int(doc_id), len(p.tables), t, r, cells, err))
                         emitted = True
                 if not emitted:
-                    out.append((int(doc_id), n, None, None, None, err))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tables", "table_no", "row_no", "cells", "error"])
+                    out.append((int(doc_id), len(p.tables), None, None, None, err))
+            yield pd_.DataFrame(out, columns=["doc_id", "n_tables", "table_no", "row_no", "cells", "error"])
     return docs.select("doc_id", "body").mapInPandas(extract, HTML_CELLS_SCHEMA)
 
 
