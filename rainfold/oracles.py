@@ -719,3 +719,65 @@ SELECT station, year, month, arg_min(source, prio) AS picked, count(*) AS n_avai
   FROM orders) s
 JOIN (VALUES ('txt', 1), ('txt_variant', 2), ('html', 3)) p(src, prio) ON p.src = s.source
 GROUP BY ALL""")
+
+
+# --- day pages, stacked reports and further compositions ---------------------
+
+_NULLS = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in
+                   ["humidity", "avg_wind_kmh", "max_wind_kmh", "pressure", "radiation"])
+
+ORACLES["day_page_roundtrip"] = sql(f"""
+SELECT station, datetime_utc, {r6(_one('(T_min + T_max) / 2'))} AS T_avg, {r6(_one('T_max'))} AS T_max,
+       {r6(_one('T_min'))} AS T_min, {r6(_one('T_max - T_min'))} AS rain_mm, {r6(_one('wind_dir'))} AS wind_dir, {_NULLS}
+FROM hh WHERE day(datetime_utc) % 7 <> 0""", HH)
+
+ORACLES["day_page_rejects"] = sql("""
+SELECT DISTINCT station, strftime(CAST(datetime_utc AS DATE), '%Y-%m-%d') AS date, 'Less than 3 tables found' AS error
+FROM hh WHERE day(datetime_utc) % 7 = 0""", HH)
+
+_STACK_NULL = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in
+                        ["dep_from_normal", "dew_point", "wet_bulb", "heating", "cooling", "sun_hrs", "snow_fall",
+                         "pressure", "wind_speed", "wind_max", "wind_max_dir"])
+
+ORACLES["stacked_report_roundtrip"] = sql(f"""
+SELECT c.station, CAST(year(c.d) AS INTEGER) AS year, CAST(month(c.d) AS INTEGER) AS month,
+       CAST(day(c.d) AS INTEGER) AS day, CAST(c.d AS DATE) AS date,
+       {r6(_one('x.T_max'))} AS max, {r6(_one('x.T_min'))} AS min, {r6(_one('(x.T_min + x.T_max) / 2'))} AS avg,
+       {r6(_one('x.T_max - x.T_min'))} AS rain, {r6('(CAST(floor(x.T_max * 100) AS BIGINT) % 16) * 22.5')} AS wind_dir,
+       CASE WHEN x.T_max IS NOT NULL THEN 'fog' END AS sig_cond, {_STACK_NULL}
+FROM (SELECT station, unnest(generate_series(m0, m0 + INTERVAL 1 MONTH - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d
+      FROM (SELECT DISTINCT station, date_trunc('month', date) AS m0 FROM dd)) c
+LEFT JOIN dd x ON x.station = c.station AND x.date = CAST(c.d AS DATE)""", DD)
+
+ORACLES["hourly_rain_trend_by_day"] = sql(trend_row_sql("ser", ["station"]), VALID_HOURLY, """ser AS (
+  SELECT station, row_number() OVER (PARTITION BY station ORDER BY day) - 1 AS pos,
+         CAST(row_number() OVER (PARTITION BY station ORDER BY day) - 1 AS DOUBLE) AS x, m AS y, day AS label
+  FROM (SELECT station, day, avg(rain_mm) AS m FROM valid GROUP BY ALL))""")
+
+ORACLES["hourly_null_profile"] = sql(f"""
+SELECT station, c AS "column", n_null, n_rows, {r6('CAST(n_null AS DOUBLE) / n_rows * 100')} AS pct_null FROM (
+  SELECT station, 'rain_mm' AS c, count(*) FILTER (WHERE rain_mm IS NULL) AS n_null, count(*) AS n_rows FROM hourly GROUP BY ALL
+  UNION ALL SELECT station, 'T_avg', count(*) FILTER (WHERE T_avg IS NULL), count(*) FROM hourly GROUP BY ALL
+  UNION ALL SELECT station, 'T_min', count(*) FILTER (WHERE T_min IS NULL), count(*) FROM hourly GROUP BY ALL
+  UNION ALL SELECT station, 'T_max', count(*) FILTER (WHERE T_max IS NULL), count(*) FROM hourly GROUP BY ALL
+  UNION ALL SELECT station, 'wind_dir', count(*) FILTER (WHERE wind_dir IS NULL), count(*) FROM hourly GROUP BY ALL)""",
+    HOURLY)
+
+ORACLES["specific_rain_comparison"] = sql(f"""
+SELECT coalesce(a.year, b.year) AS year, {r6('a.s')} AS specific_left, {r6('b.s')} AS specific_right,
+       {r6('b.s - a.s')} AS difference
+FROM (SELECT year, avg(h / 1 * 100) AS s FROM (
+        SELECT year, date_trunc('hour', datetime_utc), sum(rain_mm) AS h FROM hy
+        WHERE station = 'click' AND rain_mm > 0.2 GROUP BY ALL) GROUP BY year) a
+FULL OUTER JOIN (SELECT year, avg(h / 2 * 100) AS s FROM (
+        SELECT year, date_trunc('hour', datetime_utc), coalesce(sum(rain_mm), 0) AS h, bool_or(rain_mm > 0.2) AS w
+        FROM hy WHERE station = 'view' GROUP BY ALL) WHERE w GROUP BY year) b ON a.year = b.year""", HH_Y)
+
+ORACLES["monthly_trend_results"] = sql(f"""
+SELECT station || ' ' || CAST(month AS VARCHAR) AS label, mk_tau, mk_p_value, sens_slope,
+       substring(mk_trend, 1, 14) AS trend, CASE WHEN mk_sign_0_05 THEN 'Y' ELSE 'N' END AS sig_0_05,
+       pt_cp_label AS cp_label
+FROM ({trend_row_sql("ser", ["station", "month"])})""", DD_YM, """ser AS (
+  SELECT station, month, row_number() OVER (PARTITION BY station, month ORDER BY year) - 1 AS pos,
+         CAST(row_number() OVER (PARTITION BY station, month ORDER BY year) - 1 AS DOUBLE) AS x,
+         total AS y, year AS label FROM mt)""")

@@ -441,3 +441,64 @@ def q_source_pick(spark, sf_dir):
     avail = o.select(F.col("o_orderpriority").alias("station"), F.year("o_orderdate").alias("year"),
                      F.month("o_orderdate").alias("month"), fmt.alias("source")).distinct()
     return pick_source(avail, ["station", "year", "month"], "source", ["txt", "txt_variant", "html"])
+
+
+@register("day_page_roundtrip")
+def q_day_page_roundtrip(spark, sf_dir):
+    from rainfold.plans import ingest
+    rows, _ = ingest.day_page_roundtrip(_hh(spark, sf_dir))
+    return finalize(rows)
+
+
+@register("day_page_rejects")
+def q_day_page_rejects(spark, sf_dir):
+    from rainfold.plans import ingest
+    _, rejects = ingest.day_page_roundtrip(_hh(spark, sf_dir))
+    return rejects
+
+
+@register("stacked_report_roundtrip")
+def q_stacked_report_roundtrip(spark, sf_dir):
+    from rainfold.plans import ingest
+    return finalize(ingest.stacked_roundtrip(_dd(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ more compositions
+
+@register("hourly_rain_trend_by_day")
+def q_hourly_rain_trend_by_day(spark, sf_dir):
+    """Q4 on a one-month record: mean hourly rain per valid day → trend row."""
+    from rainfold.operators.trend import make_series
+    from rainfold.plans.trends import trend_row
+    valid = rain_hours.valid_hourly(_hh(spark, sf_dir), **DAY_COVERAGE)
+    m = valid.groupBy("station", "day").agg(F.avg("rain_mm").alias("mean_rain"))
+    return finalize(trend_row(make_series(m, ["station"], "day", "mean_rain"), ["station"]))
+
+
+@register("hourly_null_profile")
+def q_hourly_null_profile(spark, sf_dir):
+    """Share of missing values per column and station of the gap-filled hourly table."""
+    from rainfold.operators.aggregates import null_profile
+    from rainfold.operators.resample import resample_hourly
+    h = resample_hourly(_hh(spark, sf_dir), mean_cols=["T_avg", "T_min", "T_max", "wind_dir"])
+    return finalize(null_profile(h, ["rain_mm", "T_avg", "T_min", "T_max", "wind_dir"], by=["station"]))
+
+
+@register("specific_rain_comparison")
+def q_specific_rain_comparison(spark, sf_dir):
+    """Two stations' yearly specific rain over the union of their years."""
+    from rainfold.operators.aggregates import specific_rain
+    from rainfold.operators.combine import two_way_compare
+    hh = _hh(spark, sf_dir)
+    a = specific_rain(hh, mode="filtered").where(F.col("station") == EV_LEFT)
+    b = specific_rain(hh, mode="any_wet").where(F.col("station") == EV_RIGHT)
+    return finalize(two_way_compare(a.unionByName(b), ["year"], "station", EV_LEFT, EV_RIGHT, "specific_rain",
+                                    names=("specific_left", "specific_right")))
+
+
+@register("monthly_trend_results")
+def q_monthly_trend_results(spark, sf_dir):
+    """Compact results table of the per-month trend rows."""
+    from rainfold.plans import seasons
+    from rainfold.plans.trends import results_table
+    return finalize(results_table(seasons.monthly_trend_table(_dd(spark, sf_dir)), ["station", "month"]))

@@ -82,3 +82,16 @@ def ingest_ledger(daily: DataFrame, pages: DataFrame) -> DataFrame:
                        F.lit(None).cast("int").alias("month"))
     docs = _with_ids(txt.unionByName(html).unionByName(web))
     return reports.ledger_summary(reports.ingest_status(docs))
+
+
+def day_page_roundtrip(halfhourly: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Render half-hourly day pages and parse them back; returns (rows, rejects)."""
+    docs = _with_ids(reports.render_day_pages(halfhourly))
+    cells = reports.html_cells(docs)
+    return reports.parse_day_pages(cells, docs)
+
+
+def stacked_roundtrip(daily: DataFrame) -> DataFrame:
+    """Render column-stacked monthly reports and parse them back."""
+    docs = _with_ids(reports.render_stacked_reports(daily))
+    return reports.parse_stacked_reports(reports.html_cells(docs), docs)

@@ -264,3 +264,151 @@ def render_html_reports(values: DataFrame) -> DataFrame:
     return g.select("station", "year", "month",
                     F.format_string("reports/%s/%d/climatedata%d%d.html", "station", "year", "month", "year")
                     .alias("url"), body.alias("body"))
+
+
+# ----------------------------------------------------------------- day pages
+
+# Header labels of the half-hourly day page and the raw report
+# names they are renamed to (F1), then the canonical names (F2).
+DAY_PAGE_HEADERS = {
+    "PeríodeTU": "period_utc",
+    "TM°C": "temp_mean (°C)",
+    "TX°C": "temp_max (°C)",
+    "TN°C": "temp_min (°C)",
+    "HRM%": "humidity (%)",
+    "PPTmm": "precip (mm)",
+    "VVM (10 m)km/h": "wind_mean_10m (km/h)",
+    "DVM (10 m)graus": "wind_dir_10m (degrees)",
+    "VVX (10 m)km/h": "wind_max_10m (km/h)",
+    "PMhPa": "pressure (hPa)",
+    "RSW/m2": "radiation (W/m²)",
+}
+CANONICAL_NAMES = {
+    "temp_mean (°C)": "T_avg", "temp_min (°C)": "T_min", "temp_max (°C)": "T_max",
+    "wind_dir_10m (degrees)": "wind_dir", "precip (mm)": "rain_mm",
+    "wind_max_10m (km/h)": "max_wind_kmh", "wind_mean_10m (km/h)": "avg_wind_kmh",
+    # our own identifier-safe names for the remaining raw columns
+    "humidity (%)": "humidity", "pressure (hPa)": "pressure", "radiation (W/m²)": "radiation",
+}
+DAY_PAGE_MIN_TABLES = 3
+
+
+def parse_day_pages(cells: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readings from the third table of each day page, and the reject
+    ledger of pages with fewer than three tables.
+
+    Columns are located by header text (renamed to raw, then canonical names),
+    the period 'HH:MM - HH:MM' gives the reading's start time on the page's
+    day, unparsable times are dropped, numbers are coerced to double.
+    """
+    ok = cells.where((F.col("n_tables") >= DAY_PAGE_MIN_TABLES) & (F.col("table_no") == DAY_PAGE_MIN_TABLES - 1))
+    header = ok.where(F.col("row_no") == 0).select("doc_id", F.col("cells").alias("_hdr"))
+    data = ok.where(F.col("row_no") > 0).join(header, "doc_id").join(docs.select("doc_id", "station", "date"), "doc_id")
+    raw_cols = {}
+    for label, raw in DAY_PAGE_HEADERS.items():
+        pos = F.array_position(F.col("_hdr"), F.lit(label))
+        raw_cols[raw] = F.when(pos > 0, F.try_element_at(F.col("cells"), pos.cast("int")))
+    start = F.get(F.split(raw_cols["period_utc"], " - ", 2), 0)
+    ts = F.try_to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), start), F.lit("yyyy-MM-dd HH:mm"))
+    out = data.select("station", ts.cast("timestamp_ntz").alias("datetime_utc"),
+                      *[raw_cols[raw].try_cast("double").alias(CANONICAL_NAMES.get(raw, raw))
+                        for raw in DAY_PAGE_HEADERS.values() if raw != "period_utc"])
+    rejects = (cells.where(F.col("n_tables") < DAY_PAGE_MIN_TABLES).select("doc_id").distinct()
+               .join(docs.select("doc_id", "station", "date"), "doc_id")
+               .select("station", F.date_format("date", "yyyy-MM-dd").alias("date"),
+                       F.lit("Less than 3 tables found").alias("error")))
+    return out.where(F.col("datetime_utc").isNotNull()), rejects
+
+
+def render_day_pages(halfhourly: DataFrame, reject_every: int = 7) -> DataFrame:
+    """One page per (station, day): navigation and summary tables, then the
+    readings table.  Days whose day-of-month is divisible by ``reject_every``
+    lose the readings table (the 'Less than 3 tables' case)."""
+    lo, hi = F.col("T_min"), F.col("T_max")
+    t = F.col("datetime_utc")
+    period = F.format_string("%s - %s", F.date_format(t, "HH:mm"),
+                             F.date_format(t + F.expr("INTERVAL 30 MINUTES"), "HH:mm"))
+    vals = [period, F.format_string("%.1f", _one((lo + hi) / 2)), F.format_string("%.1f", _one(hi)),
+            F.format_string("%.1f", _one(lo)), F.format_string("%.1f", _one(hi - lo)),
+            F.format_string("%.1f", _one(F.col("wind_dir"))), F.lit("s/d")]
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), v, F.lit("</td>")) for v in vals], F.lit("</tr>"))
+    heads = ["PeríodeTU", "TM°C", "TX°C", "TN°C", "PPTmm", "DVM (10 m)graus", "RSW/m2"]
+    header = "<tr>" + "".join(f"<th>{h}</th>" for h in heads) + "</tr>"
+    g = (halfhourly.groupBy("station", F.to_date("datetime_utc").alias("date"))
+         .agg(F.sort_array(F.collect_list(F.struct("datetime_utc", row.alias("r")))).alias("_r")))
+    data_table = F.concat(F.lit("<table>" + header), F.concat_ws("", F.col("_r.r")), F.lit("</table>"))
+    keep = F.dayofmonth("date") % reject_every != 0
+    body = F.concat(F.lit("<html><body><table><tr><td>menu</td></tr></table><table><tr><td>summary</td></tr></table>"),
+                    F.when(keep, data_table).otherwise(F.lit("")), F.lit("</body></html>"))
+    return g.select("station", "date", F.format_string("pages/%s/%s.html", "station",
+                                                       F.date_format("date", "yyyy-MM-dd")).alias("url"),
+                    body.alias("body"))
+
+
+# ----------------------------------------------------------------- stacked monthly report
+
+# Column order of the column-stacked monthly HTML report; the
+# 19th cell repeats the day list and is ignored.
+STACKED_FIELDS = ["day", "max", "min", "avg", "dep_from_normal", "dew_point", "wet_bulb", "heating", "cooling",
+                  "sig_cond", "sun_hrs", "snow_fall", "rain", "pressure", "wind_speed", "wind_dir", "wind_max",
+                  "wind_max_dir"]
+STACKED_MIN_CELLS = 19
+STACKED_MIN_DAYS = 28
+
+
+def parse_stacked_reports(cells: DataFrame, docs: DataFrame) -> DataFrame:
+    """The data row is the first with ≥ 19 cells whose first cell lists
+    the days (contains '1', at least 28 day numbers).  Each stacked column is
+    split on line breaks and cut or padded to the number of days."""
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    first = lines(F.get(F.col("cells"), 0))
+    days = F.filter(first, lambda s: s.rlike("^[0-9]+$"))
+    cand = (cells.where(F.col("cells").isNotNull() & (F.size("cells") >= STACKED_MIN_CELLS))
+            .select("doc_id", "table_no", "row_no", "cells", days.alias("_days"))
+            .where(F.array_contains("_days", "1") & (F.size("_days") >= STACKED_MIN_DAYS)))
+    pick = cand.groupBy("doc_id").agg(F.min_by(F.struct("cells", "_days"), F.struct("table_no", "row_no")).alias("_p"))
+    n = F.size("_p._days")
+    cols = {"day": F.col("_p._days")}
+    def fit(values):
+        """Cut or pad to the number of days (a short column yields NULLs)."""
+        return F.transform(F.sequence(F.lit(1), n), lambda k: F.try_element_at(values, k))
+
+    for i, name in enumerate(STACKED_FIELDS[1:], start=1):
+        cols[name] = fit(lines(F.get(F.col("_p.cells"), i)))
+    zipped = pick.select("doc_id", F.explode(F.arrays_zip(*[c.alias(k) for k, c in cols.items()])).alias("_z"))
+    out = zipped.select("doc_id", *[F.col(f"_z.{k}").alias(k) for k in STACKED_FIELDS])
+    typed = []
+    for k in STACKED_FIELDS:
+        c = F.when(~F.col(k).isin(*["-----", "---", "-", ""]), F.col(k))
+        if k in ("wind_dir", "wind_max_dir"):
+            c = F.replace(c, F.lit("~"), F.lit(""))
+        typed.append((c if k == "sig_cond" else c.try_cast("double") if k != "day" else c.try_cast("int")).alias(k))
+    res = out.select("doc_id", *typed).join(docs.select("doc_id", "station", "year", "month"), "doc_id")
+    return res.withColumn("date", iso_date("year", "month", "day")).drop("doc_id")
+
+
+def render_stacked_reports(daily: DataFrame) -> DataFrame:
+    """One column-stacked report per (station, year, month) over every
+    calendar day of the month; days without data print '---'."""
+    months = daily.groupBy("station", F.trunc("date", "month").alias("m0")).agg(F.count(F.lit(1)).alias("_n"))
+    cal = months.select("station", "m0", F.explode(F.sequence("m0", F.last_day("m0"))).alias("date"))
+    d = cal.join(daily, ["station", "date"], "left")
+    lo, hi = F.col("T_min"), F.col("T_max")
+    fmt = lambda c: F.coalesce(F.format_string("%.1f", _one(c)), F.lit("---"))
+    vals = {"max": fmt(hi), "min": fmt(lo), "avg": fmt((lo + hi) / 2), "rain": fmt(hi - lo),
+            "wind_dir": F.coalesce(F.concat(F.lit("~"), F.format_string("%.1f", F.pmod(F.floor(hi * 100), F.lit(16)) * 22.5)),
+                                   F.lit("---")),
+            "sig_cond": F.when(hi.isNull(), F.lit("---")).otherwise(F.lit("fog"))}
+    items = F.struct(F.dayofmonth("date").alias("day"),
+                     *[vals.get(k, F.lit("---")).alias(k) for k in STACKED_FIELDS[1:]])
+    g = d.groupBy("station", F.year("date").alias("year"), F.month("date").alias("month")) \
+        .agg(F.sort_array(F.collect_list(items)).alias("_d"))
+    cell = lambda c: F.concat(F.lit("<td>"), F.concat_ws("<br>", c), F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(F.col("_d.day").cast("array<string>")),
+                   *[cell(F.col(f"_d.{k}")) for k in STACKED_FIELDS[1:]],
+                   cell(F.col("_d.day").cast("array<string>")), F.lit("</tr>"))
+    body = F.concat(F.lit("<html><body><table><tr><th>CLIMATE DATA</th></tr><tr><td>1</td><td>x</td></tr>"), row,
+                    F.lit("</table></body></html>"))
+    return g.select("station", "year", "month",
+                    F.format_string("stacked/%s/%d/%02d.html", "station", "year", "month").alias("url"),
+                    body.alias("body"))
