@@ -14,7 +14,7 @@ rejects form a ledger.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainfold.functions.clean import COMPASS_DEGREES, iso_date, report_number, report_time, report_wind_dir
@@ -48,13 +48,13 @@ def parse_text_reports(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "year
     for i, name in enumerate(TEXT_FIELDS, start=1):
         raw = F.regexp_extract("line", TEXT_ROW_PATTERN, i)
         if name == "day":
-            cols.append(raw.cast("int").alias(name))
+            cols.append(raw.try_cast("int").alias(name))
         elif name in TEXT_TIMES:
             cols.append(report_time(raw).alias(name))
         elif name == "dom_wind_dir":
             cols.append(report_wind_dir(raw).alias(name))
         else:
-            cols.append(raw.cast("double").alias(name))
+            cols.append(raw.try_cast("double").alias(name))
     out = hit.select(*keys, *cols)
     return out.withColumn("date", iso_date("year", "month", "day")).withColumn("source_format", F.lit("txt"))
 
@@ -137,14 +137,12 @@ def html_cells(docs: DataFrame) -> DataFrame:
 
 def parse_html_rows(cells: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows whose first cell is a day 1..31 and that have ≥ 17 cells."""
-    first = F.trim(F.get(F.col("cells"), 0))
-    rows = cells.where((F.size("cells") >= HTML_MIN_CELLS) & first.rlike(r"^[0-9]{1,2}$")
-                       & first.cast("int").between(1, 31))
+    rows = cells.where(_is_html_day_row(F.col("cells")))
     cols = []
     for i, name in enumerate(HTML_FIELDS):
         raw = F.get(F.col("cells"), i)
         if name == "day":
-            cols.append(raw.cast("int").alias(name))
+            cols.append(raw.try_cast("int").alias(name))
         elif name in TEXT_TIMES:
             cols.append(report_time(raw).alias(name))
         elif name == "dom_wind_dir":
@@ -163,25 +161,37 @@ def format_of(url: str | F.Column) -> F.Column:
             .otherwise("unsupported"))
 
 
+def _is_html_day_row(cells: F.Column) -> F.Column:
+    first = F.trim(F.get(cells, 0))
+    return (cells.isNotNull() & (F.size(cells) >= HTML_MIN_CELLS) & first.rlike(r"^[0-9]{1,2}$")
+            & first.try_cast("int").between(1, 31))
+
+
 def ingest_status(docs: DataFrame) -> DataFrame:
-    """One status row per document; ``ok`` documents carry row counts."""
+    """One status row per document; ``ok`` documents carry row counts.
+
+    The parsed HTML cells are consumed by a single aggregation (table count,
+    parse error and accepted rows together), so the Python extraction runs
+    once per document.
+    """
     d = docs.withColumn("format", format_of("url"))
     txt = d.where(F.col("format") == "txt")
     html = d.where(F.col("format") == "html")
-    txt_counts = (parse_text_reports(txt.select("doc_id", "year", "month", "body"))
-                  .groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    cells = html_cells(html)
-    tables = cells.groupBy("doc_id").agg(F.max("n_tables").alias("n_tables"), F.max("error").alias("error"))
-    html_counts = (parse_html_rows(cells.where(F.col("cells").isNotNull()), html)
-                   .groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    txt_counts = (text_line_stats(txt.select("doc_id", "body"))
+                  .select("doc_id", F.lit(None).cast("int").alias("n_tables"), F.lit(None).cast("string").alias("error"),
+                          F.col("accepted").alias("rows")))
+    html_counts = (html_cells(html).groupBy("doc_id")
+                   .agg(F.max("n_tables").alias("n_tables"), F.max("error").alias("error"),
+                        F.count_if(_is_html_day_row(F.col("cells"))).alias("rows")))
     counts = txt_counts.unionByName(html_counts)
-    st = (d.select("doc_id", "url", "format").join(tables, "doc_id", "left").join(counts, "doc_id", "left"))
+    st = d.select("doc_id", "url", "format").join(counts, "doc_id", "left")
     status = (F.when(F.col("format") == "unsupported", "unsupported_format")
               .when(F.col("error").isNotNull(), "parse_error")
               .when((F.col("format") == "html") & (F.coalesce("n_tables", F.lit(0)) == 0), "no_table")
               .when(F.coalesce("rows", F.lit(0)) == 0, "parsed_zero_rows")
               .otherwise("ok"))
-    return st.select("doc_id", "url", "format", F.coalesce("rows", F.lit(0)).alias("rows"), status.alias("status"))
+    return st.select("doc_id", "url", "format", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
+                     status.alias("status"))
 
 
 def ledger_summary(status: DataFrame) -> DataFrame:
@@ -302,8 +312,11 @@ def parse_day_pages(cells: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     day, unparsable times are dropped, numbers are coerced to double.
     """
     ok = cells.where((F.col("n_tables") >= DAY_PAGE_MIN_TABLES) & (F.col("table_no") == DAY_PAGE_MIN_TABLES - 1))
-    header = ok.where(F.col("row_no") == 0).select("doc_id", F.col("cells").alias("_hdr"))
-    data = ok.where(F.col("row_no") > 0).join(header, "doc_id").join(docs.select("doc_id", "station", "date"), "doc_id")
+    # the header row reaches every data row of its page through a window
+    # (one pass over the parsed cells instead of a self-join)
+    hdr = F.first(F.when(F.col("row_no") == 0, F.col("cells")), ignorenulls=True).over(Window.partitionBy("doc_id"))
+    data = (ok.withColumn("_hdr", hdr).where(F.col("row_no") > 0)
+            .join(docs.select("doc_id", "station", "date"), "doc_id"))
     raw_cols = {}
     for label, raw in DAY_PAGE_HEADERS.items():
         pos = F.array_position(F.col("_hdr"), F.lit(label))
