@@ -50,3 +50,20 @@ def first_last_periods(cov: DataFrame, by: Sequence[str], period: str, k: int =
     desc = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(period).desc()))
     return (v.select(*by, period, (asc <= k).alias("is_early"), (desc <= k).alias("is_late"))
             .where("is_early OR is_late"))
+
+
+def filter_covered(df: DataFrame, by: Sequence[str], period: str, count_col: str,
+                   expected: float, threshold: float = 0.70) -> DataFrame:
+    """P5 in one pass: keep rows of (keys, period) groups whose non-null
+    count reaches ``threshold × expected``.
+
+    Equivalent to ``keep_valid(df, coverage(df, ...))`` but the input is
+    computed once: the count is a window over (keys, period).  Applied to
+    aggregated tables (one row per hour or day), each window partition is
+    bounded by the calendar whatever the data volume.
+    """
+    by = list(by)
+    present = F.count(count_col).over(Window.partitionBy(*by, period))
+    return (df.withColumn("_present", present)
+            .where(F.col("_present") / F.lit(float(expected)) >= F.lit(threshold))
+            .drop("_present"))

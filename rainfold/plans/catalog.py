@@ -75,20 +75,7 @@ def q_month_hour_matrix(spark, sf_dir):
 
 @register("distribution_shift")
 def q_distribution_shift(spark, sf_dir):
-    from rainfold.operators.coverage import coverage, first_last_periods
-    from rainfold.operators.resample import resample_hourly
-    from rainfold.operators.trend import ks_two_sample, t_test
-    hourly = resample_hourly(_hh(spark, sf_dir)).withColumn("day", F.to_date("datetime_utc"))
-    cov = coverage(hourly, ["station"], "day", "rain_mm", 24, 0.70)
-    marks = first_last_periods(cov, ["station"], "day", 5)
-    early = hourly.join(marks.where("is_early"), ["station", "day"], "left_semi").withColumn("sample", F.lit("early"))
-    late = hourly.join(marks.where("is_late"), ["station", "day"], "left_semi").withColumn("sample", F.lit("late"))
-    both = early.unionByName(late)
-    ks = ks_two_sample(both, ["station"], "sample", "rain_mm")
-    tt = t_test(both, ["station"], "sample", "rain_mm")
-    out = ks.select("station", "n1", "n2", F.col("d").alias("ks_d"), F.col("p_value").alias("ks_p_value")).join(
-        tt.select("station", "mean1", "mean2", "t", F.col("p_value").alias("t_p_value")), "station")
-    return finalize(out)
+    return finalize(rain_hours.distribution_shift(_hh(spark, sf_dir), **DAY_COVERAGE))
 
 
 @register("seasonal_mk_monthly_means")

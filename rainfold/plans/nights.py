@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rainfold.functions.calendar import in_season, is_night, night_date
 from rainfold.operators.aggregates import box_summary, exact_quantiles, threshold_counts, yearly_summary
 from rainfold.operators.combine import common_keys, two_way_compare
-from rainfold.operators.coverage import coverage, keep_valid
+from rainfold.operators.coverage import filter_covered, keep_valid
 from rainfold.operators.periods import streaks
 from rainfold.operators.trend import make_series, ols
 from rainfold.plans.trends import trend_row
@@ -65,8 +65,7 @@ def summer_days(daily: DataFrame, by: Sequence[str] = ("station",), date: str =
     by = list(by)
     d = (daily.where(in_season(date, *season) & F.col(value).isNotNull())
          .withColumn("year", F.year(date)))
-    cov = coverage(d, by, "year", date, expected, threshold)
-    return keep_valid(d, cov, by, "year")
+    return filter_covered(d, by, "year", date, expected, threshold)
 
 
 def warm_counts(days: DataFrame, by: Sequence[str] = ("station",), value: str = "T_min",

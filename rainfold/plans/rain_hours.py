@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.operators.combine import two_way_compare
-from rainfold.operators.coverage import coverage, keep_valid
+from rainfold.operators.coverage import filter_covered
 from rainfold.operators.ranking import arg_extremes, top_k
 from rainfold.operators.resample import resample_hourly
 
@@ -28,8 +28,7 @@ def valid_hourly(halfhourly: DataFrame, by: Sequence[str] = ("station",), period
     hourly = resample_hourly(halfhourly, by, fill_gaps=fill_gaps)
     if period == "day":
         hourly = hourly.withColumn("day", F.to_date("datetime_utc"))
-    cov = coverage(hourly, by, period, "rain_mm", expected, threshold)
-    return keep_valid(hourly, cov, by, period)
+    return filter_covered(hourly, by, period, "rain_mm", expected, threshold)
 
 
 def hour_profile(valid: DataFrame, by: Sequence[str] = ("station",), value: str = "rain_mm") -> DataFrame:
@@ -63,3 +62,31 @@ def month_hour_matrix(halfhourly: DataFrame, by: Sequence[str] = ("station",), *
     valid = valid_hourly(halfhourly, by, **valid_kw)
     wide = valid.groupBy(*by, "month").pivot("hour", list(range(24))).agg(F.avg("rain_mm"))
     return wide.select(*by, "month", *[F.col(str(h)).alias(f"h{h:02d}") for h in range(24)])
+
+
+def early_late_samples(valid: DataFrame, by: Sequence[str], period: str, k: int = 5) -> DataFrame:
+    """Rows of the first k and last k valid periods per key, tagged
+    'early'/'late' (a row is in both samples when there are < 2k periods).
+    Dense ranks over the key's rows replace a driver-side list of periods."""
+    from pyspark.sql import Window
+    by = list(by)
+    ra = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.col(period).asc()))
+    rd = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.col(period).desc()))
+    ranked = valid.withColumn("_ra", ra).withColumn("_rd", rd)
+    tags = F.array_compact(F.array(F.when(F.col("_ra") <= k, F.lit("early")),
+                                   F.when(F.col("_rd") <= k, F.lit("late"))))
+    return ranked.withColumn("sample", F.explode(tags)).drop("_ra", "_rd")
+
+
+def distribution_shift(halfhourly: DataFrame, by: Sequence[str] = ("station",), k: int = 5,
+                       **valid_kw) -> DataFrame:
+    """Q5: KS two-sample test and pooled t test of hourly rain, first k vs
+    last k valid periods."""
+    from rainfold.operators.trend import ks_two_sample, t_test
+    by = list(by)
+    period = valid_kw.get("period", "year")
+    both = early_late_samples(valid_hourly(halfhourly, by, **valid_kw), by, period, k)
+    ks = ks_two_sample(both, by, "sample", "rain_mm")
+    tt = t_test(both, by, "sample", "rain_mm")
+    return ks.select(*by, "n1", "n2", F.col("d").alias("ks_d"), F.col("p_value").alias("ks_p_value")).join(
+        tt.select(*by, "mean1", "mean2", "t", F.col("p_value").alias("t_p_value")), by)
