@@ -22,27 +22,24 @@ def _name(p: float, prefix: str = "p") -> str:
     return f"{prefix}{txt}"
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, with_count: bool = True) -> DataFrame:
-    """Exact linear-interpolation quantiles per group.
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(keys, _v, _c): non-null values collapsed to counts (map-side combined)."""
+    return (df.where(F.col(value).isNotNull())
+            .groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
 
-    For n non-null values and probability p, h = (n-1)p; the result is
-    x[floor h] + (h - floor h)(x[ceil h] - x[floor h]) with 0-based order
-    statistics x[i].
-    """
+
+def quantiles_from_counts(counts: DataFrame, by: Sequence[str], probs: Sequence[float],
+                          names: Sequence[str], with_count: bool = True) -> DataFrame:
+    """Linear-interpolation quantiles from a value-count table."""
     by = list(by)
-    names = list(names) if names else [_name(p) for p in probs]
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     w_cum = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w_all = Window.partitionBy(*by)
     cum = counts.select(*by, "_v", F.sum("_c").over(w_cum).alias("_cum"), F.sum("_c").over(w_all).alias("_n"))
     aggs: list[Column] = [F.first("_n").alias("_n")]
     for p, nm in zip(probs, names):
         h = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        aggs.append(F.min(F.when(F.col("_cum") > lo, F.col("_v"))).alias(f"_lo_{nm}"))
-        aggs.append(F.min(F.when(F.col("_cum") > hi, F.col("_v"))).alias(f"_hi_{nm}"))
+        aggs.append(F.min(F.when(F.col("_cum") > F.floor(h), F.col("_v"))).alias(f"_lo_{nm}"))
+        aggs.append(F.min(F.when(F.col("_cum") > F.ceil(h), F.col("_v"))).alias(f"_hi_{nm}"))
     g = cum.groupBy(*by).agg(*aggs)
     outs = []
     for p, nm in zip(probs, names):
@@ -56,6 +53,18 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     return g.select(*cols)
 
 
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
+                    names: Sequence[str] | None = None, with_count: bool = True) -> DataFrame:
+    """Exact linear-interpolation quantiles per group.
+
+    For n non-null values and probability p, h = (n-1)p; the result is
+    x[floor h] + (h - floor h)(x[ceil h] - x[floor h]) with 0-based order
+    statistics x[i].
+    """
+    names = list(names) if names else [_name(p) for p in probs]
+    return quantiles_from_counts(value_counts(df, by, value), by, probs, names, with_count)
+
+
 def grouped_total(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """A5: grouped sum; an all-null group sums to 0 as in the reference."""
     return df.groupBy(*by).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(out))
@@ -130,32 +139,35 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, edges: Sequence[floa
 def heavy_event_counts(df: DataFrame, by: Sequence[str], period: str, value: str, p: float = 0.95,
                        min_wet: int = 10) -> DataFrame:
     """Per (keys, period): among wet rows (value > 0), count of rows above
-    that period's own P95; periods with fewer than ``min_wet`` wet rows are skipped."""
+    that period's own P95; periods with fewer than ``min_wet`` wet rows are skipped.
+    Both the percentile and the count come from the value-count table."""
     by = list(by)
-    wet = df.where(F.col(value) > 0)
-    q = exact_quantiles(wet, [*by, period], value, [p], names=["p_thr"]).where(F.col("n") >= min_wet)
-    return (wet.join(q, on=[*by, period], how="inner")
-            .groupBy(*by, period)
-            .agg(F.count_if(F.col(value) > F.col("p_thr")).alias("count"),
+    keys = [*by, period]
+    counts = value_counts(df.where(F.col(value) > 0), keys, value)
+    q = quantiles_from_counts(counts, keys, [p], ["p_thr"]).where(F.col("n") >= min_wet)
+    return (counts.join(q, on=keys, how="inner")
+            .groupBy(*keys)
+            .agg(F.sum(F.when(F.col("_v") > F.col("p_thr"), F.col("_c")).otherwise(F.lit(0))).alias("count"),
                  F.first("p_thr").alias("p95"), F.first("n").alias("n_wet")))
 
 
 def box_summary(df: DataFrame, by: Sequence[str], value: str, whisker: float = 1.5) -> DataFrame:
     """Quartiles, IQR, whisker ends (most extreme data inside the fences)
-    and outlier count per group."""
+    and outlier count per group, all from the value-count table."""
     by = list(by)
-    q = exact_quantiles(df, by, value, [0.25, 0.5, 0.75], names=["q1", "median", "q3"])
+    counts = value_counts(df, by, value)
+    q = quantiles_from_counts(counts, by, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_f = F.col("q1") - F.lit(whisker) * F.col("iqr")
     hi_f = F.col("q3") + F.lit(whisker) * F.col("iqr")
-    v = F.col(value)
-    j = df.where(v.isNotNull()).select(*by, value).join(q, on=by, how="inner")
+    v = F.col("_v")
+    j = counts.join(q, on=by, how="inner")
     return (j.groupBy(*by).agg(
         F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
         F.first("q3").alias("q3"), F.first("iqr").alias("iqr"),
         F.min(F.when(v >= lo_f, v)).alias("whisker_low"),
         F.max(F.when(v <= hi_f, v)).alias("whisker_high"),
-        F.count_if((v < lo_f) | (v > hi_f)).alias("n_outliers")))
+        F.sum(F.when((v < lo_f) | (v > hi_f), F.col("_c")).otherwise(F.lit(0))).alias("n_outliers")))
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
