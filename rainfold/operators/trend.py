@@ -53,7 +53,9 @@ def make_series(df: DataFrame, by: Sequence[str], order: Sequence[str] | str, va
 
 @lru_cache(maxsize=1)
 def _kendall_cdf_rows(max_n: int = EXACT_MAX_N) -> list[tuple[int, int, float]]:
-    """P(C ≤ c) for the number C of concordant pairs of a random permutation
+    """Pure-Python reference of :func:`kendall_cdf_table` (used by tests).
+
+    P(C ≤ c) for the number C of concordant pairs of a random permutation
     of n untied values (Mahonian distribution), built by the recurrence
     p_n(c) = (1/n) Σ_{k=0}^{min(c, n-1)} p_{n-1}(c-k)."""
     rows = []
@@ -76,9 +78,34 @@ def _kendall_cdf_rows(max_n: int = EXACT_MAX_N) -> list[tuple[int, int, float]]:
     return rows
 
 
-def kendall_cdf_table(spark: SparkSession) -> DataFrame:
-    """Exact null CDF for n ≤ 33 (about 6,000 rows, fixed size)."""
-    return spark.createDataFrame(_kendall_cdf_rows(), "kn INT, kc INT, kcdf DOUBLE")
+_CDF_CACHE: dict = {}
+
+
+def kendall_cdf_table(spark: SparkSession, max_n: int = EXACT_MAX_N) -> DataFrame:
+    """Cached per session: a fixed ~6,000-row lookup (recomputed from its rule if evicted)."""
+    key = (id(spark), max_n)
+    if key not in _CDF_CACHE:
+        _CDF_CACHE[key] = _kendall_cdf_native(spark, max_n).cache()
+    return _CDF_CACHE[key]
+
+
+def _kendall_cdf_native(spark: SparkSession, max_n: int = EXACT_MAX_N) -> DataFrame:
+    """Exact null CDF for n ≤ 33 (about 6,000 rows, fixed size), generated
+    natively from the recurrence: one row per n builds its probability
+    array with ``aggregate`` over m = 2..n, then prefix sums give the CDF."""
+    def step(acc, m):
+        def cell(c):
+            lo = F.greatest(F.lit(1), c - m + 2)
+            length = F.least(c + 1, F.size(acc)) - lo + 1
+            return F.aggregate(F.slice(acc, lo, length), F.lit(0.0), lambda a, x: a + x) / m
+        return F.transform(F.sequence(F.lit(0), F.size(acc) + m - 2), cell)
+
+    pmf = F.aggregate(F.sequence(F.lit(2), F.col("kn")), F.array(F.lit(1.0)), step)
+    ns = spark.range(2, max_n + 1).select(F.col("id").cast("int").alias("kn"))
+    probs = ns.select("kn", pmf.alias("_pmf"))
+    rows = probs.select("kn", F.posexplode("_pmf").alias("kc", "_p"))
+    w = Window.partitionBy("kn").orderBy("kc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("kn", F.col("kc").cast("int").alias("kc"), F.least(F.lit(1.0), F.sum("_p").over(w)).alias("kcdf"))
 
 
 def mk_counts(series: DataFrame, sid: Sequence[str]) -> DataFrame:

@@ -113,3 +113,12 @@ def test_theil_sen_matches_brute_force(spark):
         assert out[k].ci_lower == pytest.approx(sl[rl], abs=1e-12), k
         assert out[k].ci_upper == pytest.approx(sl[ru], abs=1e-12), k
     assert out["line"].slope == 2 and out["line"].intercept == 2
+
+
+def test_native_kendall_table_matches_recurrence(spark):
+    got = {(r.kn, r.kc): r.kcdf for r in trend.kendall_cdf_table(spark).collect()}
+    ref = {(n, c): v for n, c, v in trend._kendall_cdf_rows()}
+    assert set(got) == set(ref)
+    assert all(abs(got[k] - ref[k]) < 1e-12 for k in ref)
+    # published small-sample value: P(C ≤ 0) = 1/n!
+    assert got[(5, 0)] == pytest.approx(1 / 120)
