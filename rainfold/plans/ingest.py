@@ -67,9 +67,8 @@ def text_roundtrip(daily: DataFrame) -> DataFrame:
 def html_roundtrip(daily: DataFrame) -> DataFrame:
     """S8 (+S4 cell extraction): render row-wise HTML monthly reports and parse them back."""
     docs = _with_ids(reports.render_html_reports(reports.report_values(daily)))
-    cells = reports.html_cells(docs)
-    rows = reports.parse_html_rows(cells.where(F.col("cells").isNotNull()), docs)
-    return rows.join(docs.select("doc_id", "station"), "doc_id").drop("doc_id")
+    cells = reports.html_cells(docs, keep=("station", "year", "month"))
+    return reports.parse_html_rows(cells.where(F.col("cells").isNotNull()), docs).drop("doc_id")
 
 
 def ingest_ledger(daily: DataFrame, pages: DataFrame) -> DataFrame:
@@ -87,11 +86,11 @@ def ingest_ledger(daily: DataFrame, pages: DataFrame) -> DataFrame:
 def day_page_roundtrip(halfhourly: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Render half-hourly day pages and parse them back; returns (rows, rejects)."""
     docs = _with_ids(reports.render_day_pages(halfhourly))
-    cells = reports.html_cells(docs)
+    cells = reports.html_cells(docs, keep=("station", "date"))
     return reports.parse_day_pages(cells, docs)
 
 
 def stacked_roundtrip(daily: DataFrame) -> DataFrame:
     """Render column-stacked monthly reports and parse them back."""
     docs = _with_ids(reports.render_stacked_reports(daily))
-    return reports.parse_stacked_reports(reports.html_cells(docs), docs)
+    return reports.parse_stacked_reports(reports.html_cells(docs, keep=("station", "year", "month")), docs)

@@ -67,16 +67,22 @@ def text_line_stats(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Dat
 
 
 HTML_CELLS_SCHEMA = "doc_id long, n_tables int, table_no int, row_no int, cells array<string>, error string"
+HTML_CELL_COLUMNS = ["doc_id", "n_tables", "table_no", "row_no", "cells", "error"]
 
 
-def html_cells(docs: DataFrame) -> DataFrame:
+def html_cells_python(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cell text of every table row of every HTML document.
 
     Documents without rows still produce one row (table_no NULL) carrying
-    the table count, so rejects are kept as data.  The task function and
-    its parser class are self-contained, so they ship by value to the
-    Python workers (no package install needed on the executors).
+    the table count, so rejects are kept as data.  Columns named in
+    ``keep`` are carried through, so callers never join back to the
+    documents.  The task function and its parser class are self-contained,
+    so they ship by value to the Python workers (no package install needed
+    on the executors).
     """
+    keep = tuple(keep)
+    keep_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) \
+        if keep else ""
     def extract(batches):
         import pandas as pd_
         from html.parser import HTMLParser as _Base
@@ -116,7 +122,9 @@ def html_cells(docs: DataFrame) -> DataFrame:
 
         for pdf in batches:
             out = []
-            for doc_id, body in zip(pdf["doc_id"], pdf["body"]):
+            extra = list(zip(*[pdf[k] for k in keep])) if keep else [()] * len(pdf)
+            for doc_id, body, kept in zip(pdf["doc_id"], pdf["body"], extra):
+                kept = tuple(None if pd_.isna(v) else v for v in kept)
                 p = Collector()
                 err = None
                 try:
@@ -127,12 +135,51 @@ def html_cells(docs: DataFrame) -> DataFrame:
                 emitted = False
                 for t, rows in enumerate(p.tables):
                     for r, cells in enumerate(rows):
-                        out.append((int(doc_id), len(p.tables), t, r, cells, err))
+                        out.append((int(doc_id), len(p.tables), t, r, cells, err) + kept)
                         emitted = True
                 if not emitted:
-                    out.append((int(doc_id), len(p.tables), None, None, None, err))
-            yield pd_.DataFrame(out, columns=["doc_id", "n_tables", "table_no", "row_no", "cells", "error"])
-    return docs.select("doc_id", "body").mapInPandas(extract, HTML_CELLS_SCHEMA)
+                    out.append((int(doc_id), len(p.tables), None, None, None, err) + kept)
+            yield pd_.DataFrame(out, columns=["doc_id", "n_tables", "table_no", "row_no", "cells", "error", *keep])
+    schema = HTML_CELLS_SCHEMA + (", " + keep_schema if keep else "")
+    return docs.select("doc_id", "body", *keep).mapInPandas(extract, schema)
+
+
+# The HTML character references decoded in cell text.
+HTML_ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+                 ("&#39;", "'"), ("&amp;", "&")]
+
+
+def _cell_text(c: F.Column) -> F.Column:
+    t = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
+    t = F.regexp_replace(t, r"<[^>]*>", "")
+    for ent, ch in HTML_ENTITIES:
+        t = F.replace(t, F.lit(ent), F.lit(ch))
+    t = F.replace(t, F.lit("\u00a0"), F.lit(" "))
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
+
+
+def html_cells(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cell text of every table row of every HTML document, natively.
+
+    Tables, rows and cells are located with regular expressions (flat,
+    non-nested report tables), tags are stripped, ``<br>`` becomes a line
+    break and character references are decoded — all JVM-side, so the
+    extraction scales with the cluster instead of a Python parser.  Same
+    output as :func:`html_cells_python`: documents without rows keep one
+    row with NULL cells and their table count.
+    """
+    keep = list(keep)
+    tables = F.regexp_extract_all(F.col("body"), F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), 1)
+    t = docs.select("doc_id", *keep, F.size(tables).alias("n_tables"),
+                    F.posexplode_outer(tables).alias("table_no", "_t"))
+    rows = F.regexp_extract_all(F.col("_t"), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)
+    r = t.select("doc_id", *keep, "n_tables", "table_no", F.posexplode_outer(rows).alias("row_no", "_r"))
+    cells = F.transform(F.regexp_extract_all(F.col("_r"), F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), 1),
+                        _cell_text)
+    return r.select("doc_id", F.col("n_tables").cast("int").alias("n_tables"),
+                    F.col("table_no").cast("int").alias("table_no"), F.col("row_no").cast("int").alias("row_no"),
+                    F.when(F.col("_r").isNotNull(), cells).alias("cells"),
+                    F.lit(None).cast("string").alias("error"), *keep)
 
 
 def parse_html_rows(cells: DataFrame, docs: DataFrame) -> DataFrame:
@@ -149,7 +196,11 @@ def parse_html_rows(cells: DataFrame, docs: DataFrame) -> DataFrame:
             cols.append(report_wind_dir(raw).alias(name))
         else:
             cols.append(report_number(raw).alias(name))
-    out = rows.select("doc_id", *cols).join(docs.select("doc_id", "year", "month"), "doc_id")
+    carried = [c for c in cells.columns if c not in HTML_CELL_COLUMNS]
+    if {"year", "month"} <= set(carried):
+        out = rows.select("doc_id", *carried, *cols)
+    else:
+        out = rows.select("doc_id", *cols).join(docs.select("doc_id", "year", "month"), "doc_id")
     return out.withColumn("date", iso_date("year", "month", "day")).withColumn("source_format", F.lit("html"))
 
 
@@ -315,8 +366,9 @@ def parse_day_pages(cells: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     # the header row reaches every data row of its page through a window
     # (one pass over the parsed cells instead of a self-join)
     hdr = F.first(F.when(F.col("row_no") == 0, F.col("cells")), ignorenulls=True).over(Window.partitionBy("doc_id"))
-    data = (ok.withColumn("_hdr", hdr).where(F.col("row_no") > 0)
-            .join(docs.select("doc_id", "station", "date"), "doc_id"))
+    data = ok.withColumn("_hdr", hdr).where(F.col("row_no") > 0)
+    if not {"station", "date"} <= set(cells.columns):
+        data = data.join(docs.select("doc_id", "station", "date"), "doc_id")
     raw_cols = {}
     for label, raw in DAY_PAGE_HEADERS.items():
         pos = F.array_position(F.col("_hdr"), F.lit(label))
@@ -326,8 +378,10 @@ def parse_day_pages(cells: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     out = data.select("station", ts.cast("timestamp_ntz").alias("datetime_utc"),
                       *[raw_cols[raw].try_cast("double").alias(CANONICAL_NAMES.get(raw, raw))
                         for raw in DAY_PAGE_HEADERS.values() if raw != "period_utc"])
-    rejects = (cells.where(F.col("n_tables") < DAY_PAGE_MIN_TABLES).select("doc_id").distinct()
-               .join(docs.select("doc_id", "station", "date"), "doc_id")
+    bad = cells.where(F.col("n_tables") < DAY_PAGE_MIN_TABLES)
+    bad = (bad.select("doc_id", "station", "date") if {"station", "date"} <= set(cells.columns)
+           else bad.select("doc_id").join(docs.select("doc_id", "station", "date"), "doc_id"))
+    rejects = (bad.distinct()
                .select("station", F.date_format("date", "yyyy-MM-dd").alias("date"),
                        F.lit("Less than 3 tables found").alias("error")))
     return out.where(F.col("datetime_utc").isNotNull()), rejects
@@ -376,10 +430,12 @@ def parse_stacked_reports(cells: DataFrame, docs: DataFrame) -> DataFrame:
     lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     first = lines(F.get(F.col("cells"), 0))
     days = F.filter(first, lambda s: s.rlike("^[0-9]+$"))
+    carried = [c for c in ("station", "year", "month") if c in cells.columns]
     cand = (cells.where(F.col("cells").isNotNull() & (F.size("cells") >= STACKED_MIN_CELLS))
-            .select("doc_id", "table_no", "row_no", "cells", days.alias("_days"))
+            .select("doc_id", *carried, "table_no", "row_no", "cells", days.alias("_days"))
             .where(F.array_contains("_days", "1") & (F.size("_days") >= STACKED_MIN_DAYS)))
-    pick = cand.groupBy("doc_id").agg(F.min_by(F.struct("cells", "_days"), F.struct("table_no", "row_no")).alias("_p"))
+    pick = cand.groupBy("doc_id").agg(
+        F.min_by(F.struct("cells", "_days", *carried), F.struct("table_no", "row_no")).alias("_p"))
     n = F.size("_p._days")
     cols = {"day": F.col("_p._days")}
     def fit(values):
@@ -388,15 +444,18 @@ def parse_stacked_reports(cells: DataFrame, docs: DataFrame) -> DataFrame:
 
     for i, name in enumerate(STACKED_FIELDS[1:], start=1):
         cols[name] = fit(lines(F.get(F.col("_p.cells"), i)))
-    zipped = pick.select("doc_id", F.explode(F.arrays_zip(*[c.alias(k) for k, c in cols.items()])).alias("_z"))
-    out = zipped.select("doc_id", *[F.col(f"_z.{k}").alias(k) for k in STACKED_FIELDS])
+    zipped = pick.select("doc_id", *[F.col(f"_p.{c}").alias(c) for c in carried],
+                         F.explode(F.arrays_zip(*[c.alias(k) for k, c in cols.items()])).alias("_z"))
+    out = zipped.select("doc_id", *carried, *[F.col(f"_z.{k}").alias(k) for k in STACKED_FIELDS])
     typed = []
     for k in STACKED_FIELDS:
         c = F.when(~F.col(k).isin(*["-----", "---", "-", ""]), F.col(k))
         if k in ("wind_dir", "wind_max_dir"):
             c = F.replace(c, F.lit("~"), F.lit(""))
         typed.append((c if k == "sig_cond" else c.try_cast("double") if k != "day" else c.try_cast("int")).alias(k))
-    res = out.select("doc_id", *typed).join(docs.select("doc_id", "station", "year", "month"), "doc_id")
+    res = out.select("doc_id", *carried, *typed)
+    if len(carried) < 3:
+        res = res.drop(*carried).join(docs.select("doc_id", "station", "year", "month"), "doc_id")
     return res.withColumn("date", iso_date("year", "month", "day")).drop("doc_id")
 
 

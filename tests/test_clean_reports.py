@@ -73,3 +73,20 @@ def test_html_cells_and_rejects(spark):
         (5, 0.4, "NNE", None, 1015.0)
     st = {r.doc_id: r.status for r in reports.ingest_status(docs).collect()}
     assert st == {1: "ok", 2: "no_table", 3: "unsupported_format"}
+
+
+def test_native_cells_match_python_parser(spark):
+    from rainfold.plans.catalog import _dd
+    from conftest import SF
+    from rainfold.plans.ingest import _with_ids
+    d = _dd(spark, SF)
+    vals = reports.report_values(d)
+    for docs in (_with_ids(reports.render_html_reports(vals)), _with_ids(reports.render_stacked_reports(d))):
+        cols = ["doc_id", "n_tables", "table_no", "row_no", "cells"]
+        a = reports.html_cells(docs).where("cells IS NOT NULL").select(*cols)
+        b = reports.html_cells_python(docs).where("cells IS NOT NULL").select(*cols)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    page = spark.createDataFrame([(1, "<p>a &amp; b</p><TABLE class='x'><TR><TD> x&nbsp;<b>1</b> </TD>"
+                                      "<th>2<br/>3</th></TR></TABLE>")], "doc_id BIGINT, body STRING")
+    r = reports.html_cells(page).collect()[0]
+    assert (r.n_tables, r.table_no, r.row_no, r.cells) == (1, 0, 0, ["x 1", "2\n3"])
