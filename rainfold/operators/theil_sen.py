@@ -32,12 +32,11 @@ from rainfold.session import cut_lineage
 
 
 def _targets(series: DataFrame, sid: list[str], z: float) -> DataFrame:
-    ties = (series.groupBy(*sid, "y").agg(F.count(F.lit(1)).alias("t"))
-            .groupBy(*sid).agg(F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).cast("double")
-                               .alias("_tv")))
-    g = (series.groupBy(*sid).agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("_ymin"),
-                                  F.max("y").alias("_ymax"), F.first("span").alias("span"))
-         .join(ties, sid))
+    t = F.col("t")
+    g = (series.groupBy(*sid, "y").agg(F.count(F.lit(1)).alias("t"), F.max("span").alias("span"))
+         .groupBy(*sid).agg(F.sum("t").alias("n"), F.min("y").alias("_ymin"), F.max("y").alias("_ymax"),
+                            F.max("span").alias("span"),
+                            F.sum(t * (t - 1) * (2 * t + 5)).cast("double").alias("_tv")))
     n = F.col("n").cast("long")
     big_n = n * (n - 1) / 2
     sigma = F.sqrt((n * (n - 1) * (2 * n + 5) - F.col("_tv")) / F.lit(18.0))

@@ -111,13 +111,13 @@ def _kendall_cdf_native(spark: SparkSession, max_n: int = EXACT_MAX_N) -> DataFr
 def mk_counts(series: DataFrame, sid: Sequence[str]) -> DataFrame:
     """S, tie terms and concordance counts per series."""
     sid = list(sid)
-    base = series.groupBy(*sid).agg(F.count(F.lit(1)).alias("n"), F.first("span").alias("span"))
-    ties = (series.groupBy(*sid, "y").agg(F.count(F.lit(1)).alias("t"))
-            .groupBy(*sid).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).cast("long").alias("tied_pairs"),
-                               F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).cast("double")
-                               .alias("tie_var")))
+    t = F.col("t")
+    base = (series.groupBy(*sid, "y").agg(F.count(F.lit(1)).alias("t"), F.max("span").alias("span"))
+            .groupBy(*sid).agg(F.sum("t").alias("n"), F.max("span").alias("span"),
+                               F.sum(t * (t - 1) / 2).cast("long").alias("tied_pairs"),
+                               F.sum(t * (t - 1) * (2 * t + 5)).cast("double").alias("tie_var")))
     le = pairs_le(series, sid, "pos", "y", "span")
-    j = base.join(ties, sid).join(le, sid)
+    j = base.join(le, sid)
     n = F.col("n")
     total = (n * (n - 1) / 2).cast("long")
     conc = F.col("pairs_le") - F.col("tied_pairs")
