@@ -57,6 +57,38 @@ def _targets(series: DataFrame, sid: list[str], z: float) -> DataFrame:
             .where(F.col("r").isNotNull()))
 
 
+# Trial slopes are offset by this irrational fraction so that no trial can
+# coincide with a (rational-looking) pairwise slope, where the key comparison
+# and the direct slope could disagree in the last bit.
+JITTER = 0.41421356237309503
+
+
+def _sample_trials(base: DataFrame, state: DataFrame, sid: list[str], trials: int, sample_size: int) -> DataFrame:
+    """Trial slopes for round 0 from a hash-sampled set of pairwise slopes."""
+    n_of = base.groupBy(*sid).agg(F.count(F.lit(1)).alias("_n"))
+    k = F.explode(F.sequence(F.lit(1), F.lit(sample_size))).alias("_k")
+    picks = n_of.where(F.col("_n") >= 2).select(*sid, "_n", k)
+    h1 = F.pmod(F.xxhash64(*[F.col(c) for c in sid], F.col("_k"), F.lit(1)), F.col("_n"))
+    h2 = F.pmod(F.xxhash64(*[F.col(c) for c in sid], F.col("_k"), F.lit(2)), F.col("_n") - 1)
+    picks = picks.select(*sid, h1.alias("_i"), F.when(h2 >= h1, h2 + 1).otherwise(h2).alias("_j"))
+    a = base.select(*sid, F.col("idx").alias("_i"), F.col("x").alias("_xa"), F.col("y").alias("_ya"))
+    b = base.select(*sid, F.col("idx").alias("_j"), F.col("x").alias("_xb"), F.col("y").alias("_yb"))
+    sl = picks.join(a, [*sid, "_i"]).join(b, [*sid, "_j"]).select(
+        *sid, F.try_divide(F.col("_yb") - F.col("_ya"), F.col("_xb") - F.col("_xa")).alias("_sl"))
+    sample = sl.where(F.col("_sl").isNotNull()).groupBy(*sid).agg(F.sort_array(F.collect_list("_sl")).alias("_smp"))
+    half = trials // 2
+    st = state.join(sample, sid, "left")
+    size = F.size("_smp")
+    centre = F.round(F.col("r").cast("double") / F.col("c_hi").cast("double") * size).cast("int")
+    offs = F.explode(F.sequence(F.lit(-half), F.lit(half - 1))).alias("_d")
+    tr = st.where(size > 0).select(*sid, "target", "r", "lo", "hi", "span", "_smp", centre.alias("_c"), offs)
+    pos = F.greatest(F.lit(1), F.least(size, F.col("_c") + F.col("_d")))
+    t = F.element_at("_smp", pos)
+    # step just above the sampled slope by an irrational fraction of its size
+    s = t + F.greatest(F.abs(t), F.lit(1e-9)) * F.lit(1e-9 * JITTER)
+    return tr.select(*sid, "target", "r", "lo", "hi", "span", s.alias("s")).distinct()
+
+
 def _count_le(series: DataFrame, trials: DataFrame, sid: list[str], part_extra: list[str]) -> DataFrame:
     """Pairs with slope ≤ s for every trial row (sid..., *part_extra, s)."""
     rows = trials.join(series.select(*sid, "pos", "x", "y"), sid)
@@ -67,37 +99,59 @@ def _count_le(series: DataFrame, trials: DataFrame, sid: list[str], part_extra:
     return c.groupBy(*part).agg(F.sum("_c").alias("cnt"))
 
 
-def theil_sen(series: DataFrame, sid: Sequence[str], min_n: int = 4, trials: int = 64,
-              max_rounds: int = 10, max_bracket_pairs: int = 4096, z: float = Z_975) -> DataFrame:
+def theil_sen(series: DataFrame, sid: Sequence[str], min_n: int = 4, trials: int = 32,
+              max_rounds: int = 40, max_bracket_pairs: int = 128, checkpoint_every: int = 3,
+              sample_size: int = 256, z: float = Z_975) -> DataFrame:
     """Per series: slope, intercept, ci_lower, ci_upper (x must be integer-spaced).
 
     Rounds run while some bracket still holds more than ``max_bracket_pairs``
-    pairs (at least one round, so a small series never lists all of its
-    pairs); the few pairs left inside each bracket are then enumerated
-    exactly and ranked.
+    pairs and has not collapsed to a point (at least one round, so a small
+    series never lists all of its pairs).  The few pairs left inside each
+    bracket are enumerated exactly — at most ``max_bracket_pairs`` right
+    ends, each against its own series, i.e. O(n) rows per target — and
+    ranked.  A bracket that collapsed with more pairs inside holds equal
+    slopes only and reports that slope.  Rows per round: n·⌈log2 n⌉ per
+    trial and target.  The small bracket state is persisted every round and
+    cut with a reliable checkpoint every ``checkpoint_every`` rounds.
+
+    Round 0 takes its trial slopes from a deterministic (hash-chosen) sample
+    of ``sample_size`` pairwise slopes per series, around each target's rank
+    fraction, so the first bracket is already narrow in rank space; later
+    rounds split the bracket evenly.  Trials only steer the search: the
+    result is exact whatever they are.
     """
     sid = list(sid)
-    base = series.select(*sid, "pos", "x", "y", "span")
-    if not getattr(series, "_rainfold_checkpointed", False):
-        base = cut_lineage(base)
+    dense = (F.row_number().over(Window.partitionBy(*sid).orderBy("pos")) - 1).alias("idx")
+    base = cut_lineage(series.select(*sid, "pos", "x", "y", "span", dense))
     state = _targets(base, sid, z)
+    open_ = (F.col("c_hi") - F.col("c_lo") > F.lit(max_bracket_pairs)) & \
+        (F.col("hi") - F.col("lo") > F.lit(1e-12) * F.greatest(F.lit(1.0), F.abs(F.col("hi"))))
+    prev = None
     for rnd in range(max_rounds):
-        open_ = F.col("c_hi") - F.col("c_lo") > F.lit(max_bracket_pairs)
-        if rnd > 0 and state.where(open_).limit(1).count() == 0:
-            break
-        active = state if rnd == 0 else state.where(open_)
-        tr = (active.select(*sid, "target", "r", "lo", "hi", "span",
-                            F.explode(F.sequence(F.lit(1), F.lit(trials - 1))).alias("_k"))
-              .withColumn("s", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_k") / F.lit(float(trials))))
+        if rnd == 0:
+            tr = _sample_trials(base, state, sid, trials, sample_size)
+        else:
+            tr = (state.where(open_).select(*sid, "target", "r", "lo", "hi", "span",
+                                            F.explode(F.sequence(F.lit(1), F.lit(trials - 1))).alias("_k"))
+                  .withColumn("s", F.col("lo") + (F.col("hi") - F.col("lo"))
+                              * (F.col("_k") + F.lit(JITTER)) / F.lit(float(trials))))
         cnt = _count_le(base, tr.select(*sid, "target", "span", "s"), sid, ["target"])
         upd = (cnt.join(state.select(*sid, "target", "r"), [*sid, "target"])
                .groupBy(*sid, "target")
                .agg(F.min_by(F.struct("s", "cnt"), F.when(F.col("cnt") >= F.col("r"), F.col("s"))).alias("_h"),
                     F.max_by(F.struct("s", "cnt"), F.when(F.col("cnt") < F.col("r"), F.col("s"))).alias("_l")))
-        state = cut_lineage(state.join(upd, [*sid, "target"], "left").select(
+        nxt = state.join(upd, [*sid, "target"], "left").select(
             *sid, "n", "span", "target", "r",
             F.coalesce("_l.s", "lo").alias("lo"), F.coalesce("_l.cnt", "c_lo").alias("c_lo"),
-            F.coalesce("_h.s", "hi").alias("hi"), F.coalesce("_h.cnt", "c_hi").alias("c_hi")))
+            F.coalesce("_h.s", "hi").alias("hi"), F.coalesce("_h.cnt", "c_hi").alias("c_hi"))
+        # one action per round: materialise the (small) state and count open brackets
+        nxt = cut_lineage(nxt) if (rnd + 1) % checkpoint_every == 0 else nxt.persist()
+        still_open = nxt.where(open_).count()
+        if prev is not None:
+            prev.unpersist()
+        prev, state = nxt, nxt
+        if still_open == 0:
+            break
     exact = _pick(base, state, sid, max_bracket_pairs)
     wide = exact.groupBy(*sid).agg(
         F.first("n").alias("n"),

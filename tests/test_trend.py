@@ -122,3 +122,14 @@ def test_native_kendall_table_matches_recurrence(spark):
     assert all(abs(got[k] - ref[k]) < 1e-12 for k in ref)
     # published small-sample value: P(C ≤ 0) = 1/n!
     assert got[(5, 0)] == pytest.approx(1 / 120)
+
+
+def test_theil_sen_many_equal_slopes(spark):
+    from brute import sen
+    from rainfold.operators.theil_sen import theil_sen
+    # long runs of a constant step give hundreds of identical pairwise slopes
+    data = {"steps": [float(i // 3) for i in range(60)], "flat": [5.0] * 30 + [6.0] * 30}
+    out = {r.sid: r for r in theil_sen(_series(spark, data), ["sid"]).collect()}
+    for k, ys in data.items():
+        med, sl = sen(ys)
+        assert out[k].slope == pytest.approx(med, abs=1e-9), k
