@@ -112,11 +112,13 @@ INTENSITY_LABELS = ["0-0.2", "0.2-1", "1-3", "3-5", "5-10", "10-20", "20+"]
 
 
 def histogram(df: DataFrame, by: Sequence[str], value: str, edges: Sequence[float] = INTENSITY_EDGES,
-              labels: Sequence[str] = INTENSITY_LABELS, where: Column | None = None) -> DataFrame:
+              labels: Sequence[str] = INTENSITY_LABELS, where: Column | None = None,
+              pct_decimals: int | None = None) -> DataFrame:
     """Left-closed bins [e_i, e_{i+1}) with an open last bin; empty bins kept.
 
     One aggregation with a conditional count per bin, unpivoted to long
-    form; the share of the total is exact (not rounded).
+    form; the share of the total is exact unless ``pct_decimals`` asks for
+    the report's half-to-even rounding (B22).
     """
     by = list(by)
     src = df.where(where) if where is not None else df
@@ -131,9 +133,11 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, edges: Sequence[floa
     stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(lab).alias("label"),
                                            F.col(f"b_{i}").alias("count"))
                                   for i, lab in enumerate(labels)])).alias("_s")
+    pct = F.col("_s.count") / F.col("total") * 100
+    if pct_decimals is not None:
+        pct = F.bround(pct, pct_decimals)
     return (wide.select(*by, "total", stacked)
-            .select(*by, "_s.bin", "_s.label", "_s.count", "total",
-                    (F.col("_s.count") / F.col("total") * 100).alias("pct")))
+            .select(*by, "_s.bin", "_s.label", "_s.count", "total", pct.alias("pct")))
 
 
 def heavy_event_counts(df: DataFrame, by: Sequence[str], period: str, value: str, p: float = 0.95,
@@ -185,9 +189,15 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None, by: Sequen
 
 
 def dataset_profile(df: DataFrame, by: Sequence[str], ts: str) -> DataFrame:
-    """Rows and first/last timestamp per key."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first_ts"),
-                               F.max(ts).alias("last_ts"))
+    """A26 + A12: rows, distinct days and first/last timestamp per key.
+
+    The distinct count is exact: days are deduplicated per key by a
+    (key, day) aggregation (a shuffle split across tasks), then counted."""
+    by = list(by)
+    days = (df.groupBy(*by, F.to_date(ts).alias("_d")).agg(F.count(F.lit(1)).alias("_n"),
+                                                           F.min(ts).alias("_lo"), F.max(ts).alias("_hi")))
+    return days.groupBy(*by).agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("days"),
+                                 F.min("_lo").alias("first_ts"), F.max("_hi").alias("last_ts"))
 
 
 def specific_rain(df: DataFrame, by: Sequence[str] = ("station",), ts: str = "datetime_utc",

@@ -406,8 +406,8 @@ SELECT station, min(year) AS first_valid, max(year) AS last_valid, count(*) AS n
   SELECT station, year FROM dy GROUP BY ALL HAVING count(rain_mm) / 365.0 >= 0.70) GROUP BY station""", DD_Y)
 
 ORACLES["dataset_profile"] = sql(
-    "SELECT station, count(*) AS rows, min(datetime_utc) AS first_ts, max(datetime_utc) AS last_ts FROM hh GROUP BY ALL",
-    HH)
+    "SELECT station, count(*) AS rows, count(DISTINCT CAST(datetime_utc AS DATE)) AS days, min(datetime_utc) AS first_ts, "
+    "max(datetime_utc) AS last_ts FROM hh GROUP BY ALL", HH)
 
 ORACLES["intensity_histogram"] = sql(f"""
 SELECT s.station, b.bin, b.label, count(w.rain_mm) AS count, s.total,

@@ -32,11 +32,21 @@ def drop_stray_index(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in STRAY_INDEX_COLUMNS if c in df.columns])
 
 
+def reorder_columns(df: DataFrame, preferred: list[str]) -> DataFrame:
+    """Preferred columns first (those present, in the given order), then the rest."""
+    first = [c for c in preferred if c in df.columns]
+    return df.select(*first, *[c for c in df.columns if c not in set(first)])
+
+
 def write_station_table(df: DataFrame, path: str, fmt: str = "parquet",
                         partition_by: tuple[str, ...] = ("station", "year"),
-                        mode: str = "overwrite") -> None:
-    """Partitioned sink; no index column is ever written."""
+                        sort_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
+    """Partitioned sink; rows sorted by ``sort_by`` inside each task
+    (no global sort, no index column)."""
     cols = [c for c in partition_by if c in df.columns]
+    order = [c for c in sort_by if c in df.columns]
+    if order:
+        df = df.sortWithinPartitions(*order)
     writer = df.write.mode(mode)
     if cols:
         writer = writer.partitionBy(*cols)

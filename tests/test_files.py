@@ -26,3 +26,9 @@ def test_csv_round_trip(spark):
     back = spark.read.parquet(out)
     assert back.where("station = 'beta'").count() == 1
     assert drop_stray_index(back).columns == back.columns
+
+
+def test_reorder_columns(spark):
+    from rainfold.sources.files import reorder_columns
+    df = spark.createDataFrame([(1, 2, 3)], "c INT, a INT, b INT")
+    assert reorder_columns(df, ["a", "zz", "b"]).columns == ["a", "b", "c"]

@@ -187,3 +187,12 @@ def test_null_profile(spark):
     df = spark.createDataFrame([(1, None), (None, None), (3, "x")], "a INT, b STRING")
     p = {r.column: (r.n_null, r.pct_null) for r in agg.null_profile(df).collect()}
     assert p["a"] == (1, pytest.approx(100 / 3)) and p["b"] == (2, pytest.approx(200 / 3))
+
+
+def test_histogram_pct_half_even(spark):
+    df = spark.createDataFrame([("a", v) for v in [0.1] * 1 + [0.5] * 7], "station STRING, rain_mm DOUBLE")
+    h = {r.label: r.pct for r in agg.histogram(df, ["station"], "rain_mm", pct_decimals=1).collect()}
+    assert h["0-0.2"] == 12.5 and h["0.2-1"] == 87.5
+    df2 = spark.createDataFrame([("a", 0.1)] + [("a", 0.5)] * 15, "station STRING, rain_mm DOUBLE")
+    h2 = {r.label: r.pct for r in agg.histogram(df2, ["station"], "rain_mm", pct_decimals=1).collect()}
+    assert h2["0-0.2"] == 6.2  # 6.25 rounds half to even
