@@ -231,17 +231,23 @@ def specific_rain(df: DataFrame, by: Sequence[str] = ("station",), ts: str = "da
 
 def yearly_summary(df: DataFrame, by: Sequence[str], period: str, cols: Sequence[str],
                    threshold_col: str, thresholds: Sequence[float]) -> DataFrame:
-    """Count, medians of ``cols`` and counts above thresholds, one row per (keys, period)."""
+    """Count, medians of ``cols`` and counts above thresholds, one row per (keys, period).
+
+    The columns are stacked into one (keys, column, value) table so that all
+    medians come from a single value-count pass."""
     by = list(by)
+    cols = list(cols)
     keys = [*by, period]
     base = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(threshold_col) > F.lit(float(t))).alias(f"gt_{_num(t)}") for t in thresholds])
-    out = base
-    for c in cols:
-        med = exact_quantiles(df, keys, c, [0.5], names=[f"{c}_median"], with_count=False)
-        out = out.join(med, on=keys, how="left")
-    return out
+    stacked = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in cols])).alias("_s"))
+    stacked = stacked.select(*keys, "_s._col", "_s._val")
+    med = exact_quantiles(stacked, [*keys, "_col"], "_val", [0.5], names=["_med"], with_count=False)
+    wide = (med.groupBy(*keys).agg(*[F.max(F.when(F.col("_col") == c, F.col("_med"))).alias(f"{c}_median")
+                                     for c in cols]))
+    return base.join(wide, on=keys, how="left")
 
 
 def _num(t: float) -> str:

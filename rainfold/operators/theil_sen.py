@@ -122,6 +122,7 @@ def theil_sen(series: DataFrame, sid: Sequence[str], min_n: int = 4, trials: int
     """
     sid = list(sid)
     dense = (F.row_number().over(Window.partitionBy(*sid).orderBy("pos")) - 1).alias("idx")
+    # the series is read by every round: materialise it once (with a dense index)
     base = cut_lineage(series.select(*sid, "pos", "x", "y", "span", dense))
     state = _targets(base, sid, z)
     open_ = (F.col("c_hi") - F.col("c_lo") > F.lit(max_bracket_pairs)) & \

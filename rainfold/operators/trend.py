@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from rainfold.functions.numeric import (factorial, kolmogorov_q, normal_two_sided_p,
                                         student_t_two_sided_p)
 from rainfold.operators.dominance import pairs_le
+from rainfold.session import materialise_once
 
 EXACT_MAX_N = 33
 
@@ -111,6 +112,7 @@ def _kendall_cdf_native(spark: SparkSession, max_n: int = EXACT_MAX_N) -> DataFr
 def mk_counts(series: DataFrame, sid: Sequence[str]) -> DataFrame:
     """S, tie terms and concordance counts per series."""
     sid = list(sid)
+    series = materialise_once(series)
     t = F.col("t")
     base = (series.groupBy(*sid, "y").agg(F.count(F.lit(1)).alias("t"), F.max("span").alias("span"))
             .groupBy(*sid).agg(F.sum("t").alias("n"), F.max("span").alias("span"),

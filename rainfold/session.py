@@ -71,3 +71,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def materialise_once(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` unless it already is a checkpointed series.
+
+    Used where an operator reads its (small, aggregated) input in more than
+    one branch: without it each branch would recompute the input from the
+    raw tables."""
+    if getattr(df, "_rainfold_checkpointed", False):
+        return df
+    out = cut_lineage(df)
+    out._rainfold_checkpointed = True
+    return out
