@@ -44,9 +44,13 @@ def parse_text_reports(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "year
     keys = list(keys)
     lines = docs.select(*keys, F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
     hit = lines.where(F.col("line").rlike(TEXT_ROW_PATTERN))
+    # the pattern is 13 whitespace-separated fields anchored at both ends, so a
+    # matching line splits into exactly its 13 groups (one split, not 13 regexes)
+    tokens = F.split(F.regexp_replace(F.col("line"), r"^\s+|\s+$", ""), r"\s+")
+    hit = hit.withColumn("_tok", tokens)
     cols = []
-    for i, name in enumerate(TEXT_FIELDS, start=1):
-        raw = F.regexp_extract("line", TEXT_ROW_PATTERN, i)
+    for i, name in enumerate(TEXT_FIELDS):
+        raw = F.get(F.col("_tok"), i)
         if name == "day":
             cols.append(raw.try_cast("int").alias(name))
         elif name in TEXT_TIMES:
