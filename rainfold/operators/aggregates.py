@@ -256,3 +256,13 @@ def _num(t: float) -> str:
 
 def log2_ceil(n: int) -> int:
     return max(1, math.ceil(math.log2(max(n, 2))))
+
+
+def drop_sparse_columns(df: DataFrame, columns: Sequence[str], max_pct_null: float) -> DataFrame:
+    """Q30/B2: drop the columns whose share of NULLs exceeds ``max_pct_null`` %.
+
+    Choosing a schema needs the profile on the driver; it is one row per
+    candidate column (computed in one distributed aggregation)."""
+    prof = null_profile(df, columns).where(F.col("pct_null") > F.lit(float(max_pct_null)))
+    sparse = [r["column"] for r in prof.select("column").collect()]
+    return df.drop(*sparse)

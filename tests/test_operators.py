@@ -196,3 +196,9 @@ def test_histogram_pct_half_even(spark):
     df2 = spark.createDataFrame([("a", 0.1)] + [("a", 0.5)] * 15, "station STRING, rain_mm DOUBLE")
     h2 = {r.label: r.pct for r in agg.histogram(df2, ["station"], "rain_mm", pct_decimals=1).collect()}
     assert h2["0-0.2"] == 6.2  # 6.25 rounds half to even
+
+
+def test_drop_sparse_columns(spark):
+    df = spark.createDataFrame([(1, None, 1.0), (2, None, None), (3, 5, 3.0)], "a INT, b INT, c DOUBLE")
+    assert agg.drop_sparse_columns(df, ["a", "b", "c"], 50).columns == ["a", "c"]
+    assert agg.drop_sparse_columns(df, ["a", "b", "c"], 30).columns == ["a"]
