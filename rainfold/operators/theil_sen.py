@@ -5,11 +5,15 @@ pairs.  For a trial slope s, the number of pairs i < j with
 (y_j − y_i)/(x_j − x_i) ≤ s equals the number of pairs with
 key_i ≤ key_j for key = s·x − y, which the level decomposition of
 :mod:`rainfold.operators.dominance` counts in n·log n rows.  Each round
-evaluates K trial slopes per (series, target rank) in one job and shrinks
-the bracket (lo, hi] that holds the target order statistic by a factor K.
-At the end a bounded partner search — only the elements whose pair count
-changes inside the final bracket, each against its own series — recovers
-the exact pairwise slope.  The bracket state is checkpointed each round.
+evaluates K trial slopes per (series, target rank) in one job and narrows
+the bracket (lo, hi] that holds the target order statistic: round 0 picks
+its trials from a hash-sampled set of pairwise slopes (so the bracket is
+narrow in rank space), later rounds split the bracket evenly.  Once a
+bracket holds few pairs, a bounded partner search — only the elements
+whose pair count changes inside the bracket, each against its own series —
+lists those pairs and ranks them, recovering the exact pairwise slope.
+The small bracket state is persisted each round and checkpointed
+periodically.
 
 Targets follow the library definition: the median (mean of the two middle
 slopes when the count is even) and the interval ranks
