@@ -179,11 +179,11 @@ def _pick(base: DataFrame, state: DataFrame, sid: list[str], max_pairs: int) ->
     Elements whose count of earlier partners changes between lo and hi are
     the right ends of the bracketed pairs; each is paired with its own
     series only, and the pairs inside the bracket are ranked.  A bracket
-    that could not be narrowed below ``max_pairs`` (many equal slopes) has
-    collapsed to a point and reports ``hi``.
+    that could not be narrowed below ``max_pairs`` has collapsed onto equal
+    slopes: one right end is enough to read that slope exactly.
     """
-    small = state.where(F.col("c_hi") - F.col("c_lo") <= max_pairs)
-    ends = small.select(*sid, "target", "span", F.explode(F.array(
+    big = (F.col("c_hi") - F.col("c_lo")) > F.lit(max_pairs)
+    ends = state.select(*sid, "target", "span", F.explode(F.array(
         F.struct(F.lit(0).alias("end"), F.col("lo").alias("s")),
         F.struct(F.lit(1).alias("end"), F.col("hi").alias("s")))).alias("_e"))
     ends = ends.select(*sid, "target", "span", "_e.end", "_e.s")
@@ -193,10 +193,14 @@ def _pick(base: DataFrame, state: DataFrame, sid: list[str], max_pairs: int) ->
     per = (lev.select(*part, "pos", right_le_counts(lev, part, "_key").alias("_c"))
            .groupBy(*sid, "target", "pos")
            .agg(F.sum(F.when(F.col("end") == 1, F.col("_c")).otherwise(-F.col("_c"))).alias("_d")))
-    movers = per.where(F.col("_d") > 0).select(*sid, "target", F.col("pos").alias("_j"))
+    flags = state.select(*sid, "target", big.alias("_big"))
+    movers = (per.where(F.col("_d") > 0).join(flags, [*sid, "target"])
+              .withColumn("_first", F.row_number().over(Window.partitionBy(*sid, "target").orderBy("pos")))
+              .where(~F.col("_big") | (F.col("_first") == 1))
+              .select(*sid, "target", F.col("pos").alias("_j")))
     right = base.select(*sid, F.col("pos").alias("_j"), F.col("x").alias("_xj"), F.col("y").alias("_yj"))
     left = base.select(*sid, F.col("pos").alias("_i"), F.col("x").alias("_xi"), F.col("y").alias("_yi"))
-    st = small.select(*sid, "target", "lo", "hi", "c_lo", "r")
+    st = state.select(*sid, "target", "lo", "hi", "c_lo", "r", big.alias("_big"))
     pairs = (movers.join(right, [*sid, "_j"]).join(left, sid).where(F.col("_i") < F.col("_j"))
              .select(*sid, "target",
                      F.try_divide(F.col("_yj") - F.col("_yi"), F.col("_xj") - F.col("_xi")).alias("_sl"))
@@ -204,7 +208,7 @@ def _pick(base: DataFrame, state: DataFrame, sid: list[str], max_pairs: int) ->
              .where((F.col("_sl") > F.col("lo")) & (F.col("_sl") <= F.col("hi"))))
     w = Window.partitionBy(*sid, "target").orderBy("_sl")
     ranked = pairs.withColumn("_rk", F.row_number().over(w))
-    hit = (ranked.where(F.col("_rk") == F.col("r") - F.col("c_lo"))
+    hit = (ranked.where(F.when(F.col("_big"), F.col("_rk") == 1).otherwise(F.col("_rk") == F.col("r") - F.col("c_lo")))
            .select(*sid, "target", F.col("_sl").alias("_hit")))
     return (state.select(*sid, "n", "target", "hi").join(hit, [*sid, "target"], "left")
             .select(*sid, "n", "target", F.coalesce("_hit", "hi").alias("slope_t")))

@@ -133,3 +133,10 @@ def test_theil_sen_many_equal_slopes(spark):
     for k, ys in data.items():
         med, sl = sen(ys)
         assert out[k].slope == pytest.approx(med, abs=1e-9), k
+
+
+def test_theil_sen_collapsed_bracket_is_exact(spark):
+    from rainfold.operators.theil_sen import theil_sen
+    data = {"line": [2.0 * i + 1.0 for i in range(40)]}  # 780 identical slopes
+    r = theil_sen(_series(spark, data), ["sid"]).collect()[0]
+    assert r.slope == 2.0 and r.intercept == 1.0 and r.ci_lower == 2.0 and r.ci_upper == 2.0
