@@ -88,8 +88,8 @@ def trend_line(data: DataFrame, x: str, y: str, by: Sequence[str] = ("station",)
     return _trend.ols(s.where(F.col("y").isNotNull()), list(by))
 
 
-def _series(df, by, order, value):
-    return _trend.make_series(df, list(by), order, value)
+def _series(df, by, order, value, x=None):
+    return _trend.make_series(df, list(by), order, value, x=x)
 
 
 def mann_kendall(df: DataFrame, value: str, order: str = "year", by: Sequence[str] = ("station",)) -> DataFrame:
@@ -97,9 +97,14 @@ def mann_kendall(df: DataFrame, value: str, order: str = "year", by: Sequence[st
     return _trend.mann_kendall(_series(df, by, order, value), list(by))
 
 
-def sens_slope(df: DataFrame, value: str, order: str = "year", by: Sequence[str] = ("station",)) -> DataFrame:
-    """Theil-Sen slope per position step, intercept and 95 % interval (n ≥ 4)."""
-    return _theil_sen(_series(df, by, order, value), list(by))
+def sens_slope(df: DataFrame, value: str, order: str = "year", by: Sequence[str] = ("station",),
+               x: str | None = None) -> DataFrame:
+    """Theil-Sen slope, intercept and 95 % interval (n ≥ 4).
+
+    ``x=None`` measures the slope per position step (the reference's
+    definition: a skipped year does not widen the step); ``x="year"`` uses the
+    period values instead."""
+    return _theil_sen(_series(df, by, order, value, x), list(by))
 
 
 def pettitt_test(df: DataFrame, value: str, order: str = "year", by: Sequence[str] = ("station",)) -> DataFrame:
@@ -114,9 +119,10 @@ def seasonal_mann_kendall(df: DataFrame, value_col: str, month_col: str = "month
     return _trend.seasonal_mann_kendall(s, list(by), "season")
 
 
-def mk_analysis_series(df: DataFrame, value: str, order: str = "year", by: Sequence[str] = ("station",)) -> DataFrame:
-    """Mann-Kendall + Sen's slope + Pettitt in one row per series."""
-    return _trends.trend_row(_series(df, by, order, value), list(by))
+def mk_analysis_series(df: DataFrame, value: str, order: str = "year", by: Sequence[str] = ("station",),
+                       x: str | None = None) -> DataFrame:
+    """Mann-Kendall + Sen's slope + Pettitt in one row per series (``x`` as in :func:`sens_slope`)."""
+    return _trends.trend_row(_series(df, by, order, value, x), list(by))
 
 
 def mk_table(trend_rows: DataFrame, by: Sequence[str] = ("station",)) -> DataFrame:

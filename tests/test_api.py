@@ -28,3 +28,11 @@ def test_api_chain(spark):
     assert api.monthly_average(dd).count() == months
     assert api.get_monthly_series(dd).select("station", "year", "month").distinct().count() == \
         api.get_monthly_series(dd).count()
+
+
+def test_sens_slope_step_vs_period(spark):
+    df = spark.createDataFrame([("a", 2000, 1.0), ("a", 2001, 2.0), ("a", 2003, 4.0), ("a", 2004, 5.0)],
+                               "station STRING, year INT, v DOUBLE")
+    by_step = api.sens_slope(df, "v").collect()[0].slope
+    by_year = api.sens_slope(df, "v", x="year").collect()[0].slope
+    assert by_year == 1.0 and by_step > by_year  # a missing year inflates the per-step slope
