@@ -51,7 +51,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
                                "(iterative operators checkpoint their state there)")
         configured = tempfile.mkdtemp(prefix="rainfold-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
