@@ -781,3 +781,9 @@ FROM ({trend_row_sql("ser", ["station", "month"])})""", DD_YM, """ser AS (
   SELECT station, month, row_number() OVER (PARTITION BY station, month ORDER BY year) - 1 AS pos,
          CAST(row_number() OVER (PARTITION BY station, month ORDER BY year) - 1 AS DOUBLE) AS x,
          total AS y, year AS label FROM mt)""")
+
+ORACLES["seasonal_mk_detail"] = sql(f"""
+SELECT station, season, n, {r6('s')} AS s, {r6('var_s')} AS var_s FROM ({_season_detail('sser')})""", DD, """sser AS (
+  SELECT station, CAST(month(date) AS INTEGER) AS season,
+         row_number() OVER (PARTITION BY station, month(date) ORDER BY year(date), date) - 1 AS pos, rain_mm AS y
+  FROM dd WHERE rain_mm IS NOT NULL)""")

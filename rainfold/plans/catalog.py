@@ -489,3 +489,13 @@ def q_monthly_trend_results(spark, sf_dir):
     from rainfold.plans import seasons
     from rainfold.plans.trends import results_table
     return finalize(results_table(seasons.monthly_trend_table(_dd(spark, sf_dir)), ["station", "month"]))
+
+
+@register("seasonal_mk_detail")
+def q_seasonal_mk_detail(spark, sf_dir):
+    """T4 per-season detail: S, Var(S) and n for each month (daily grain, ordered by year and date)."""
+    from rainfold.operators.trend import make_series, seasonal_mann_kendall
+    d = _dd(spark, sf_dir).withColumn("year", F.year("date")).withColumn("season", F.month("date"))
+    s = make_series(d, ["station", "season"], ["year", "date"], "rain_mm")
+    _, detail = seasonal_mann_kendall(s, ["station"], "season")
+    return finalize(detail)
