@@ -125,9 +125,12 @@ def theil_sen(series: DataFrame, sid: Sequence[str], min_n: int = 4, trials: int
     result is exact whatever they are.
     """
     sid = list(sid)
-    dense = (F.row_number().over(Window.partitionBy(*sid).orderBy("pos")) - 1).alias("idx")
     # the series is read by every round: materialise it once (with a dense index)
-    base = cut_lineage(series.select(*sid, "pos", "x", "y", "span", dense))
+    if "idx" in series.columns and getattr(series, "_rainfold_checkpointed", False):
+        base = series.select(*sid, "pos", "x", "y", "span", "idx")
+    else:
+        dense = (F.row_number().over(Window.partitionBy(*sid).orderBy("pos")) - 1).alias("idx")
+        base = cut_lineage(series.select(*sid, "pos", "x", "y", "span", dense))
     state = _targets(base, sid, z)
     open_ = (F.col("c_hi") - F.col("c_lo") > F.lit(max_bracket_pairs)) & \
         (F.col("hi") - F.col("lo") > F.lit(1e-12) * F.greatest(F.lit(1.0), F.abs(F.col("hi"))))

@@ -33,7 +33,7 @@ EXACT_MAX_N = 33
 
 def make_series(df: DataFrame, by: Sequence[str], order: Sequence[str] | str, value: str,
                 x: str | None = None, label: str | None = None) -> DataFrame:
-    """Shape a table into series rows (by..., pos, x, y, label, n, span)."""
+    """Shape a table into series rows (by..., pos, x, y, label, n, span, idx)."""
     by = list(by)
     order = [order] if isinstance(order, str) else list(order)
     label = label or order[0]
@@ -44,10 +44,12 @@ def make_series(df: DataFrame, by: Sequence[str], order: Sequence[str] | str, va
     s = s.where(F.col("y").isNotNull() & ~F.isnan("y"))
     xcol = F.col("_x").cast("double") if x else F.col("pos").cast("double")
     wa = Window.partitionBy(*by)
+    # dense 0-based index among the kept rows (same partitioning and order: no extra shuffle)
+    idx = (F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1).cast("long")
     return s.select(*by, "pos", xcol.alias("x"), F.col("y").cast("double").alias("y"),
                     F.col(label).alias("label"),
                     F.count(F.lit(1)).over(wa).alias("n"),
-                    (F.max("pos").over(wa) + 1).alias("span"))
+                    (F.max("pos").over(wa) + 1).alias("span"), idx.alias("idx"))
 
 
 # ---------------------------------------------------------------- Mann-Kendall
