@@ -140,3 +140,21 @@ def test_theil_sen_collapsed_bracket_is_exact(spark):
     data = {"line": [2.0 * i + 1.0 for i in range(40)]}  # 780 identical slopes
     r = theil_sen(_series(spark, data), ["sid"]).collect()[0]
     assert r.slope == 2.0 and r.intercept == 1.0 and r.ci_lower == 2.0 and r.ci_upper == 2.0
+
+
+def test_kolmogorov_tail_published_values(spark):
+    from rainfold.functions.numeric import kolmogorov_q
+    # asymptotic Kolmogorov critical values: Q(1.3581) = 0.05, Q(1.6276) = 0.01, Q(1.2239) = 0.10
+    df = spark.createDataFrame([(1.3581,), (1.6276,), (1.2239,), (0.1,)], "l DOUBLE")
+    q = [r.q for r in df.select(kolmogorov_q(F.col("l")).alias("q")).collect()]
+    assert q[0] == pytest.approx(0.05, abs=2e-4) and q[1] == pytest.approx(0.01, abs=1e-4)
+    assert q[2] == pytest.approx(0.10, abs=3e-4) and q[3] == 1.0
+
+
+def test_ks_two_sample_statistic(spark):
+    rows = [("a", "early", float(v)) for v in (1, 2, 3, 4)] + [("a", "late", float(v)) for v in (3, 4, 5, 6)]
+    df = spark.createDataFrame(rows, "station STRING, sample STRING, v DOUBLE")
+    r = trend.ks_two_sample(df, ["station"], "sample", "v").collect()[0]
+    assert (r.n1, r.n2, r.d) == (4, 4, 0.5)
+    t = trend.t_test(df, ["station"], "sample", "v").collect()[0]
+    assert t.t == pytest.approx(-2.190890, abs=1e-6) and t.df == 6
