@@ -41,6 +41,11 @@ def _targets(series: DataFrame, sid: list[str], z: float) -> DataFrame:
          .groupBy(*sid).agg(F.sum("t").alias("n"), F.min("y").alias("_ymin"), F.max("y").alias("_ymax"),
                             F.max("span").alias("span"),
                             F.sum(t * (t - 1) * (2 * t + 5)).cast("double").alias("_tv")))
+    # smallest gap between consecutive x values bounds every |slope| by range / gap
+    gap = F.col("x") - F.lag("x").over(Window.partitionBy(*sid).orderBy("pos"))
+    dx = (series.select(*sid, gap.alias("_g")).where(F.col("_g") > 0)
+          .groupBy(*sid).agg(F.min("_g").alias("_dx")))
+    g = g.join(dx, sid, "left")
     n = F.col("n").cast("long")
     big_n = n * (n - 1) / 2
     sigma = F.sqrt((n * (n - 1) * (2 * n + 5) - F.col("_tv")) / F.lit(18.0))
@@ -52,7 +57,7 @@ def _targets(series: DataFrame, sid: list[str], z: float) -> DataFrame:
                   F.struct(F.lit("med_b").alias("target"), med_b.cast("long").alias("r")),
                   F.struct(F.lit("ci_lo").alias("target"), (rl + 1).cast("long").alias("r")),
                   F.struct(F.lit("ci_hi").alias("target"), (ru + 1).cast("long").alias("r")))
-    width = F.col("_ymax") - F.col("_ymin") + 1
+    width = (F.col("_ymax") - F.col("_ymin") + 1) / F.coalesce(F.col("_dx"), F.lit(1.0))
     return (g.where(F.col("n") >= 2)
             .select(*sid, "n", "span", F.explode(tgt).alias("_t"), (-width).alias("lo"), width.alias("hi"),
                     big_n.cast("long").alias("_big"))
@@ -106,7 +111,7 @@ def _count_le(series: DataFrame, trials: DataFrame, sid: list[str], part_extra:
 def theil_sen(series: DataFrame, sid: Sequence[str], min_n: int = 4, trials: int = 32,
               max_rounds: int = 40, max_bracket_pairs: int = 128, checkpoint_every: int = 3,
               sample_size: int = 256, z: float = Z_975) -> DataFrame:
-    """Per series: slope, intercept, ci_lower, ci_upper (x must be integer-spaced).
+    """Per series: slope, intercept, ci_lower, ci_upper (x increasing with position).
 
     Rounds run while some bracket still holds more than ``max_bracket_pairs``
     pairs and has not collapsed to a point (at least one round, so a small

@@ -158,3 +158,16 @@ def test_ks_two_sample_statistic(spark):
     assert (r.n1, r.n2, r.d) == (4, 4, 0.5)
     t = trend.t_test(df, ["station"], "sample", "v").collect()[0]
     assert t.t == pytest.approx(-2.190890, abs=1e-6) and t.df == 6
+
+
+def test_theil_sen_fractional_x(spark):
+    from brute import sen
+    from rainfold.operators.theil_sen import theil_sen
+    rnd = random.Random(21)
+    xs = [round(0.1 * i + rnd.random() * 0.05, 4) for i in range(30)]
+    ys = [round(rnd.uniform(-1, 1), 3) for _ in xs]
+    df = spark.createDataFrame([("a", i, x, y) for i, (x, y) in enumerate(zip(xs, ys))],
+                               "sid STRING, t INT, xv DOUBLE, v DOUBLE")
+    s = trend.make_series(df, ["sid"], "t", "v", x="xv")
+    med, _ = sen(ys, xs)
+    assert theil_sen(s, ["sid"]).collect()[0].slope == pytest.approx(med, abs=1e-12)
