@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from rainfold.llm import quality, url_filter
+from rainfold.llm.language_id import op5_language_id
+from rainfold.llm.quality import op2_quality_rules
 from rainfold.llm.token_records import op1_token_records
+from rainfold.llm.toxicity import op7_toxicity
+from rainfold.llm.url_filter import op10_url_filter
 
 LLM_QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op7_toxicity": op7_toxicity,
+    "op10_url_filter": op10_url_filter,
 }
 
 #: DuckDB SQL where it can express the query.
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality.oracle(),
+    "op10_url_filter": url_filter.oracle(),
+}

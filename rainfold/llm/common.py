@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         start = 0
         while start < len(sizes):
             total = np.cumsum(sizes[start:])
@@ -91,48 +92,46 @@ _LOWER = np.where((_CODES >= 65) & (_CODES <= 90), _CODES + 32, _CODES).astype(n
 _IN_WORD = ((_CODES >= 48) & (_CODES <= 57)) | ((_CODES >= 97) & (_CODES <= 122)) | (_CODES >= 128)
 
 
-def word_hashes(text: bytes) -> np.ndarray:
+def word_hashes(text: bytes, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
     """64-bit hashes of the words (runs of letters, digits and non-ASCII
-    bytes, A-Z lower-cased) of one text, in order."""
+    bytes, A-Z lower-cased) of one text, in order; then, for each length in
+    ``prefixes``, hashes of the words cut to so many bytes."""
     out = []
     start, n = 0, len(text)
     while start < n:
         stop = min(n, start + CHUNK_BYTES)
         while stop < n and _IN_WORD[_LOWER[text[stop]]]:
             stop += 1
-        out.append(_piece_hashes(np.frombuffer(text, np.uint8, stop - start, start)))
+        out.append(_piece_hashes(np.frombuffer(text, np.uint8, stop - start, start), prefixes)[1])
         start = stop
-    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.uint64)] * (1 + len(prefixes))
 
 
-def _piece_hashes(raw: np.ndarray) -> np.ndarray:
+def _piece_hashes(raw: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where the words begin, and their hashes as in ``word_hashes``."""
     b = _LOWER[raw]
     inside = _IN_WORD[b]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts = np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return starts, [np.zeros(0, np.uint64)] * (1 + len(prefixes))
     lens = np.flatnonzero(edge == -1) - starts
     chars = b[inside].astype(np.uint64) + np.uint64(1)
     firsts = np.concatenate([[0], np.cumsum(lens)[:-1]])
     place = np.arange(len(chars)) - np.repeat(firsts, lens)
-    return _fmix(np.add.reduceat(chars * _power_table(int(lens.max()))[place], firsts))
-
-
-def batch_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts in one array and where each text's begin
-    (one entry more than there are texts)."""
-    small = sum(map(len, texts)) <= 2 * CHUNK_BYTES
-    if small:  # one pass over the texts joined by a separator
-        joined = b"\n".join(texts)
-        b = _LOWER[np.frombuffer(joined, np.uint8)]
-        inside = _IN_WORD[b]
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        begins = np.flatnonzero(edge == 1)
-        at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        return _piece_hashes(np.frombuffer(joined, np.uint8)), np.searchsorted(begins, at)
-    parts = [word_hashes(t) for t in texts]
-    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    terms = chars * _power_table(int(lens.max()))[place]
+    return starts, [_fmix(np.add.reduceat(terms, firsts))] + [
+        _fmix(np.add.reduceat(np.where(place < n, terms, np.uint64(0)), firsts) + np.uint64(n)) for n in prefixes]
+
+
+def batch_word_hashes(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all texts' words, as in ``word_hashes``, and where each
+    text's words begin (one entry more than there are texts)."""
+    if sum(map(len, texts)) <= 2 * CHUNK_BYTES:  # one pass over the texts joined by a separator
+        begins, hashes = _piece_hashes(np.frombuffer(b"\n".join(texts), np.uint8), prefixes)
+        return hashes, np.searchsorted(begins, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+    parts = [word_hashes(t, prefixes) for t in texts]
+    return [np.concatenate(x) for x in zip(*parts)], np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

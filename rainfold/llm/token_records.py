@@ -26,15 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainfold.llm.common import CHUNK_BYTES, chunks, materialise, table, workspace
 
-INDEX_ENTRY = struct.Struct("<qQQ")
-LENGTH = struct.Struct("<Q")
-CHECK = struct.Struct("<I")
+#: Formats of an index entry, a length and a checksum.
+INDEX_ENTRY, INDEX_BYTES = "<qQQ", 24
+LENGTH, CHECK = "<Q", "<I"
 #: Stands for a null document id in the index.
 NO_ID = -(1 << 63)
 #: Pieces whose ids each worker remembers (about 200 bytes each).
@@ -51,8 +52,8 @@ def masked_crc(data: bytes) -> int:
 
 
 def frame(payload: bytes) -> bytes:
-    head = LENGTH.pack(len(payload))
-    return b"".join((head, CHECK.pack(masked_crc(head)), payload, CHECK.pack(masked_crc(payload))))
+    head = struct.pack(LENGTH, len(payload))
+    return b"".join((head, struct.pack(CHECK, masked_crc(head)), payload, struct.pack(CHECK, masked_crc(payload))))
 
 
 def read_frame(stream) -> bytes | None:
@@ -60,11 +61,11 @@ def read_frame(stream) -> bytes | None:
     head = stream.read(12)
     if not head:
         return None
-    if len(head) < 12 or CHECK.unpack(head[8:])[0] != masked_crc(head[:8]):
+    if len(head) < 12 or struct.unpack(CHECK, head[8:])[0] != masked_crc(head[:8]):
         raise CorruptRecord("length")
-    n = LENGTH.unpack(head[:8])[0]
+    n = struct.unpack(LENGTH, head[:8])[0]
     body = stream.read(n + 4)
-    if len(body) < n + 4 or CHECK.unpack(body[n:])[0] != masked_crc(body[:n]):
+    if len(body) < n + 4 or struct.unpack(CHECK, body[n:])[0] != masked_crc(body[:n]):
         raise CorruptRecord("payload")
     return body[:n]
 
@@ -151,7 +152,6 @@ class PieceEncoder:
     def encode_batch(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (no nulls) and where each text's ids begin (one
         more entry than texts)."""
-        import pyarrow.compute as pc
         pieces = pc.split_pattern(texts, " ")
         at = np.asarray(pieces.offsets) - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()
@@ -233,7 +233,7 @@ def write_token_records(df: DataFrame, out_uri: str, tokenizer_path: str, id_col
                 payload = ids[i:j].tobytes() + end
                 framed = frame(payload)
                 rec.write(framed)
-                idx.write(INDEX_ENTRY.pack(NO_ID if doc is None else doc, offset, len(payload)))
+                idx.write(struct.pack(INDEX_ENTRY, NO_ID if doc is None else doc, offset, len(payload)))
                 offset += len(framed)
                 records += 1
                 tokens += len(payload) // 4
@@ -262,10 +262,10 @@ def read_token_records(manifest: DataFrame, out_uri: str, ids: bool = True) -> D
                 with fs.open_input_stream(name + ".rec", buffer_size=1 << 20) as rec, fs.open_input_stream(name + ".idx", buffer_size=1 << 20) as idx:
                     for _ in range(n_records):
                         payload = read_frame(rec)
-                        entry = idx.read(INDEX_ENTRY.size)
-                        if payload is None or len(entry) < INDEX_ENTRY.size:
+                        entry = idx.read(INDEX_BYTES)
+                        if payload is None or len(entry) < INDEX_BYTES:
                             raise CorruptRecord(f"{name} ends early")
-                        doc, _, n = INDEX_ENTRY.unpack(entry)
+                        doc, _, n = struct.unpack(INDEX_ENTRY, entry)
                         if n != len(payload):
                             raise CorruptRecord(f"{name}: index and record differ")
                         rows.append((None if doc == NO_ID else doc, start, len(payload) // 4, zlib.crc32(payload), payload if ids else None))
