@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from rainfold.llm import quality, url_filter
+from rainfold.llm.embedding_dedup import op3_embedding_dedup
+from rainfold.llm.hmm import op6_hmm_score
 from rainfold.llm.language_id import op5_language_id
+from rainfold.llm.mixing import op8_mixing
+from rainfold.llm.packing import op9_packing
 from rainfold.llm.quality import op2_quality_rules
+from rainfold.llm.simhash import op4_simhash
 from rainfold.llm.token_records import op1_token_records
 from rainfold.llm.toxicity import op7_toxicity
 from rainfold.llm.url_filter import op10_url_filter
@@ -12,8 +17,13 @@ from rainfold.llm.url_filter import op10_url_filter
 LLM_QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_quality_rules": op2_quality_rules,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_simhash": op4_simhash,
     "op5_language_id": op5_language_id,
+    "op6_hmm_score": op6_hmm_score,
     "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
+    "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
 }
 

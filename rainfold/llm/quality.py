@@ -171,6 +171,16 @@ def quality_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     return verdict.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
 
 
+def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that pass, columns as given."""
+    prefix = "_q"
+    while prefix in docs.columns:
+        prefix += "_"
+    q = F.col(prefix)
+    passed = ~base_failed(q) & (F.size(compile_rules(q, rules)) == 0)
+    return measures(docs, text_col, prefix).where(passed).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
