@@ -42,9 +42,26 @@ def strip_approx_mark(c: Column | str) -> Column:
     return F.replace(_c(c), F.lit("~"), F.lit(""))
 
 
+# A decimal number as reports print it; the engine's own cast also takes type
+# suffixes, hexadecimal, 'nan' and 'infinity', which are no readings.
+DECIMAL_PATTERN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+# White space as a text parser strips it (blanks, tabs, line ends, no-break space).
+EDGE_SPACE = r"^[\s\x{A0}]+|[\s\x{A0}]+$"
+
+
+def strip_text(c: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(_c(c), EDGE_SPACE, "")
+
+
+def decimal_or_null(c: Column) -> Column:
+    """Text that is a decimal number → double, anything else → NULL."""
+    return F.when(c.rlike(DECIMAL_PATTERN), c.try_cast("double"))
+
+
 def text_to_double(c: Column | str) -> Column:
     """Text → double, malformed → NULL."""
-    return _c(c).try_cast("double")
+    return decimal_or_null(strip_text(c))
 
 
 def report_number(c: Column | str) -> Column:
@@ -54,24 +71,24 @@ def report_number(c: Column | str) -> Column:
     (an odd dash run leaves one '-', which then fails the cast) → blank or
     dash-only → NULL → try_cast double.
     """
-    v = F.trim(_c(c))
+    v = strip_text(c)
     v = F.replace(v, F.lit(","), F.lit("."))
     v = F.replace(v, F.lit("~"), F.lit(""))
     v = F.translate(v, "Oo", "00")
     v = F.replace(v, F.lit("—"), F.lit(""))
     v = F.replace(v, F.lit("--"), F.lit(""))
-    return F.when(v.isin("", "-"), None).otherwise(v.try_cast("double"))
+    return F.when(~v.isin("", "-"), decimal_or_null(v))
 
 
 def report_int(c: Column | str) -> Column:
     """B10: 'O'/'o' read as zero, digits only, else NULL."""
-    v = F.translate(F.trim(_c(c)), "Oo", "00")
+    v = F.translate(strip_text(c), "Oo", "00")
     return F.when(v.rlike("^[0-9]+$"), v.try_cast("int"))
 
 
 def report_time(c: Column | str) -> Column:
     """B11: ';' typo to ':', 'H:MM' padded to 'HH:MM', out of range → NULL."""
-    v = F.replace(F.trim(_c(c)), F.lit(";"), F.lit(":"))
+    v = F.replace(strip_text(c), F.lit(";"), F.lit(":"))
     pat = r"^(\d{1,2}):(\d{2})$"
     hh = F.regexp_extract(v, pat, 1).try_cast("int")
     mm = F.regexp_extract(v, pat, 2).try_cast("int")
@@ -81,14 +98,14 @@ def report_time(c: Column | str) -> Column:
 
 def report_wind_dir(c: Column | str) -> Column:
     """Trim, upper case, digit '5' misread for 'S'."""
-    return F.translate(F.upper(F.trim(_c(c))), "5", "S")
+    return F.translate(F.upper(strip_text(c)), "5", "S")
 
 
 def compass_to_degrees(c: Column | str) -> Column:
     """Compass point → degrees; numeric text passes through; else NULL."""
     mapping = F.create_map(*[x for k, v in COMPASS_DEGREES.items() for x in (F.lit(k), F.lit(v))])
-    key = F.upper(F.trim(_c(c).cast("string")))
-    return F.coalesce(F.try_element_at(mapping, key), key.try_cast("double"))
+    key = F.upper(strip_text(_c(c).cast("string")))
+    return F.coalesce(F.try_element_at(mapping, key), decimal_or_null(key))
 
 
 def iso_date(y: Column | str, m: Column | str, d: Column | str) -> Column:
@@ -96,16 +113,6 @@ def iso_date(y: Column | str, m: Column | str, d: Column | str) -> Column:
     return F.to_date(F.try_make_timestamp_ntz(_c(y), _c(m), _c(d), F.lit(0), F.lit(0), F.lit(0)))
 
 
-def text_to_timestamp(c: Column | str, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """Text → TIMESTAMP_NTZ, malformed → NULL."""
-    return F.try_to_timestamp(_c(c), F.lit(fmt)).cast("timestamp_ntz")
-
-
-def first_token(c: Column | str, sep: str = " - ") -> Column:
-    """First part of an 'a - b' period label."""
-    return F.get(F.split(_c(c), sep, 2), 0)
-
-
 def status_label(pct: Column, threshold: float, ok: str = "OK", bad: str = "Incomplete") -> Column:
     """B25."""
     return F.when(pct >= threshold, F.lit(ok)).otherwise(F.lit(bad))

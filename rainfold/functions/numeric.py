@@ -14,46 +14,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def round6(c: Column | str, digits: int = 6) -> Column:
-    """Round half up via floor(x*10^d + 0.5)/10^d.
-
-    Written as plain IEEE arithmetic so that Spark and any other engine
-    that evaluates the same expression produce identical bits.
-    """
-    c = F.col(c) if isinstance(c, str) else c
-    scale = float(10 ** digits)
-    return (F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
-
-
-def round_binary(c: Column | str, bits: int = 20) -> Column:
-    """Round to the nearest multiple of 2^-bits: floor(x·2^bits + 0.5)/2^bits.
-
-    Decimal data almost never sits exactly halfway between two binary grid
-    points, so two engines whose sums differ in the last bit still agree
-    after this rounding (a decimal grid hits exact ties such as x.xxxxxx5).
-    """
+def round_significant(c: Column | str, bits: int = 30) -> Column:
+    """Round to ``bits`` binary digits (30: nine decimal digits) after the
+    leading one, whatever the magnitude; scaling by powers of two is exact, so
+    engines whose sums differ in the last bits agree afterwards."""
     c = F.col(c) if isinstance(c, str) else c
-    scale = float(2 ** bits)
-    return F.when(F.abs(c) < 1e12, (F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")) \
-        .otherwise(c.cast("double"))
+    scale = F.pow(F.lit(2.0), F.lit(float(bits)) - F.floor(F.log2(F.abs(c))))
+    rounded = F.floor(c * scale + F.lit(0.5)).cast("double") / scale
+    usual = F.abs(c).between(1e-280, 1e280)
+    return F.when(usual, rounded).when(F.abs(c) < 1e-280, F.lit(0.0)).otherwise(c.cast("double"))
 
 
-# Chebyshev fit of erfc with fractional error < 1.2e-7
-# (Numerical Recipes, function erfcc).
-ERFC_COEFFS = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-               0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-
 # Fixed value: standard normal 0.975 quantile, used for the 95 % Sen interval.
 Z_975 = 1.959963984540054
 
 
 def erfc(x: Column) -> Column:
+    """Complementary error function to nearly full relative precision: the
+    all-positive series of erf below 1.5, a continued fraction above."""
     z = F.abs(x)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * z)
-    poly = F.lit(ERFC_COEFFS[-1])
-    for coef in reversed(ERFC_COEFFS[1:-1]):
-        poly = F.lit(coef) + t * poly
-    ans = t * F.exp(-z * z + F.lit(ERFC_COEFFS[0]) + t * poly)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)), F.struct(z.alias("term"), z.alias("acc")),
+        lambda s, k: F.struct((s["term"] * 2 * z * z / (2 * k + 1)).alias("term"),
+                              (s["acc"] + s["term"] * 2 * z * z / (2 * k + 1)).alias("acc")))["acc"]
+    below = F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-z * z) * series
+    fraction = F.aggregate(F.sequence(F.lit(200), F.lit(1)), z, lambda f, k: z + k / (2 * f))
+    above = F.exp(-z * z) / (F.lit(math.sqrt(math.pi)) * fraction)
+    ans = F.when(z < 1.5, below).otherwise(above)
     return F.when(x.isNull(), None).when(x >= 0, ans).otherwise(F.lit(2.0) - ans)
 
 
@@ -62,36 +49,53 @@ def normal_two_sided_p(z: Column) -> Column:
     return erfc(F.abs(z) / F.lit(math.sqrt(2.0)))
 
 
+def _gamma_ratio(a: Column) -> Column:
+    """Γ(a + 1/2) / Γ(a): asymptotic at a + 24, then down by the recurrence."""
+    def at_large(v: Column) -> Column:
+        i = F.lit(1.0) / v
+        return F.sqrt(v) * (1 + i * (F.lit(-1 / 8) + i * (F.lit(1 / 128) + i * (F.lit(5 / 1024) + i * F.lit(-21 / 32768)))))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(23)), at_large(a + 24), lambda r, k: r * (a + k) / (a + k + 0.5))
+
+
+#: Degrees of freedom from which the normal form of the Student tail is used.
+LARGE_DF = 20_000
+
+
 def student_t_two_sided_p(t: Column, df: Column) -> Column:
-    """Two-sided Student-t tail for integer df ≥ 1 (A&S 26.7.3 / 26.7.4).
+    """Two-sided Student-t tail P(|T| > t) for df ≥ 1.
 
-    A(t|ν) = P(|T| ≤ t) is a finite trigonometric series in θ = atan(|t|/√ν);
-    the series is evaluated with ``aggregate(sequence(...))``.
+    The regularised incomplete beta I_x(df/2, 1/2), x = df/(df + t²), by its
+    continued fraction with a fixed number of terms (evaluated from the back;
+    on the side of x where it converges), so small tails keep their relative
+    precision.  From ``LARGE_DF`` on, t is carried to a normal deviate by the
+    classical expansion in 1/df.
     """
-    theta = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
-    c2 = F.pow(F.cos(theta), 2)
-    # even ν: A = sinθ · Σ_{k=0}^{ν/2-1} a_k,  a_0 = 1, a_k = a_{k-1}·(2k-1)/(2k)·cos²θ
-    even_sum = F.aggregate(
-        F.sequence(F.lit(1), (df / 2 - 1).cast("int")),
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("acc")),
-        lambda s, k: F.struct(
-            (s["term"] * (2 * k - 1) / (2 * k) * c2).alias("term"),
-            (s["acc"] + s["term"] * (2 * k - 1) / (2 * k) * c2).alias("acc")),
-    )["acc"]
-    # odd ν ≥ 3: A = 2/π (θ + sinθ · Σ_{k=0}^{(ν-3)/2} b_k), b_0 = cosθ, b_k = b_{k-1}·2k/(2k+1)·cos²θ
-    odd_sum = F.aggregate(
-        F.sequence(F.lit(1), ((df - 3) / 2).cast("int")),
-        F.struct(F.cos(theta).alias("term"), F.cos(theta).alias("acc")),
-        lambda s, k: F.struct(
-            (s["term"] * (2 * k) / (2 * k + 1) * c2).alias("term"),
-            (s["acc"] + s["term"] * (2 * k) / (2 * k + 1) * c2).alias("acc")),
-    )["acc"]
-    a_even = F.sin(theta) * F.when(df >= 4, even_sum).otherwise(F.lit(1.0))
-    a_odd = F.when(df == 1, F.lit(2.0 / math.pi) * theta).otherwise(
-        F.lit(2.0 / math.pi) * (theta + F.sin(theta) * F.when(df >= 5, odd_sum).otherwise(F.cos(theta))))
-    a = F.when(df % 2 == 0, a_even).otherwise(a_odd)
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - a))
-    return F.when(t.isNull() | df.isNull() | (df < 1), None).otherwise(p)
+    nu = df.cast("double")
+    a, t2 = nu / 2, t * t
+    x = nu / (nu + t2)
+
+    def fraction(x: Column, a: Column, b: Column) -> Column:
+        # 1 + d1/(1 + d2/(1 + ...)), two terms d_{2m+1}, d_{2m} a step
+        def step(f: Column, m: Column) -> Column:
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            return 1 + even / (1 + odd / f)
+        tail = F.aggregate(F.sequence(F.lit(300), F.lit(1)), F.lit(1.0), step)
+        return 1 / (1 - (a + b) * x / (a + 1) / tail)
+
+    half = F.lit(0.5)
+    front = F.pow(x, a) * F.sqrt(1 - x) * _gamma_ratio(a) / F.lit(math.sqrt(math.pi))
+    direct = front / a * fraction(x, a, half)
+    other = 1 - front / half * fraction(1 - x, half, a)
+    exact = F.when(x < (a + 1) / (a + 2.5), direct).otherwise(other)
+    c = nu - 0.5
+    z = F.sqrt(c * F.log1p(t2 / nu))
+    b48 = 48 * c * c
+    deviate = z + (F.pow(z, 3) + 3 * z) / b48 \
+        - (4 * F.pow(z, 7) + 33 * F.pow(z, 5) + 240 * F.pow(z, 3) + 855 * z) / (10 * b48 * (b48 + 0.8 * F.pow(z, 4) + 100))
+    p = F.when(nu >= LARGE_DF, normal_two_sided_p(deviate)).otherwise(exact)
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+    return F.when(t.isNull() | df.isNull() | (df < 1), None).when(t == 0, F.lit(1.0)).otherwise(p)
 
 
 def kolmogorov_q(lam: Column, terms: int = 100) -> Column:

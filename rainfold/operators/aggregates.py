@@ -141,14 +141,20 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, edges: Sequence[floa
 
 
 def heavy_event_counts(df: DataFrame, by: Sequence[str], period: str, value: str, p: float = 0.95,
-                       min_wet: int = 10) -> DataFrame:
+                       min_wet: int = 10, whole_record: bool = False) -> DataFrame:
     """Per (keys, period): among wet rows (value > 0), count of rows above
-    that period's own P95; periods with fewer than ``min_wet`` wet rows are skipped.
+    that period's own P95, or with ``whole_record`` above the P95 of all the
+    periods of the key; periods with fewer than ``min_wet`` wet rows are skipped.
     Both the percentile and the count come from the value-count table."""
     by = list(by)
     keys = [*by, period]
     counts = value_counts(df.where(F.col(value) > 0), keys, value)
-    q = quantiles_from_counts(counts, keys, [p], ["p_thr"]).where(F.col("n") >= min_wet)
+    if whole_record:
+        total = counts.groupBy(*by, "_v").agg(F.sum("_c").alias("_c"))
+        q = counts.groupBy(*keys).agg(F.sum("_c").alias("n")).where(F.col("n") >= min_wet) \
+            .join(quantiles_from_counts(total, by, [p], ["p_thr"]).drop("n"), by)
+    else:
+        q = quantiles_from_counts(counts, keys, [p], ["p_thr"]).where(F.col("n") >= min_wet)
     return (counts.join(q, on=keys, how="inner")
             .groupBy(*keys)
             .agg(F.sum(F.when(F.col("_v") > F.col("p_thr"), F.col("_c")).otherwise(F.lit(0))).alias("count"),
@@ -174,6 +180,17 @@ def box_summary(df: DataFrame, by: Sequence[str], value: str, whisker: float = 1
         F.sum(F.when((v < lo_f) | (v > hi_f), F.col("_c")).otherwise(F.lit(0))).alias("n_outliers")))
 
 
+def box_outliers(df: DataFrame, by: Sequence[str], value: str, whisker: float = 1.5) -> DataFrame:
+    """The values outside the fences, with how often each occurs."""
+    by = list(by)
+    counts = value_counts(df, by, value)
+    q = quantiles_from_counts(counts, by, [0.25, 0.75], ["q1", "q3"])
+    width = F.lit(whisker) * (F.col("q3") - F.col("q1"))
+    v = F.col("_v")
+    return (counts.join(q, on=by, how="inner").where((v < F.col("q1") - width) | (v > F.col("q3") + width))
+            .select(*by, v.alias("value"), F.col("_c").alias("count"), (v > F.col("q3")).alias("is_high")))
+
+
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Per column null count and percentage, long form, one scan."""
     by = list(by)
@@ -254,10 +271,6 @@ def _num(t: float) -> str:
     return str(int(t)) if float(t).is_integer() else str(t).replace(".", "_")
 
 
-def log2_ceil(n: int) -> int:
-    return max(1, math.ceil(math.log2(max(n, 2))))
-
-
 def drop_sparse_columns(df: DataFrame, columns: Sequence[str], max_pct_null: float) -> DataFrame:
     """Q30/B2: drop the columns whose share of NULLs exceeds ``max_pct_null`` %.
 

@@ -62,6 +62,12 @@ def rain_period_counts(df: DataFrame, by: Sequence[str] = ("station",), ts: str
     return reindex_fill(counts, df, by, "year", years, ["periods"])
 
 
+def rain_period_totals(counts: DataFrame, by: Sequence[str] = ("station",)) -> DataFrame:
+    """Q9: all rain periods of each key, and its mean per year."""
+    return counts.groupBy(*by).agg(F.sum("periods").alias("periods"), F.count(F.lit(1)).alias("years"),
+                                   F.avg("periods").alias("per_year"))
+
+
 def streaks(df: DataFrame, by: Sequence[str], period: str, order: str, value: str,
             thresholds: Sequence[float], min_len: int = 3, calendar: bool = False) -> DataFrame:
     """Per (keys, period, threshold): longest run of rows with value >

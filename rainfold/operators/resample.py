@@ -62,9 +62,9 @@ def daily_from_halfhourly(df: DataFrame, by: Sequence[str] = ("station",), ts: s
 
 def hourly_sum(df: DataFrame, by: Sequence[str] = ("station",), ts: str = "datetime_utc",
                value: str = "rain_mm", out: str = "rain_mm") -> DataFrame:
-    """A4: sparse hourly sums (no gap fill)."""
+    """A4: sparse hourly sums (no gap fill); an hour without any value sums to 0."""
     return (df.groupBy(*by, floor_to(ts, "1 hour").alias("hour_start"))
-            .agg(F.sum(value).alias(out)))
+            .agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(out)))
 
 
 def resample_hourly(df: DataFrame, by: Sequence[str] = ("station",), ts: str = "datetime_utc",

@@ -1,222 +1,135 @@
-"""Theil-Sen slope, intercept and confidence interval by slope selection.
-
-The median of the n(n-1)/2 pairwise slopes is found without listing the
-pairs.  For a trial slope s, the number of pairs i < j with
-(y_j − y_i)/(x_j − x_i) ≤ s equals the number of pairs with
-key_i ≤ key_j for key = s·x − y, which the level decomposition of
-:mod:`rainfold.operators.dominance` counts in n·log n rows.  Each round
-evaluates K trial slopes per (series, target rank) in one job and narrows
-the bracket (lo, hi] that holds the target order statistic: round 0 picks
-its trials from a hash-sampled set of pairwise slopes (so the bracket is
-narrow in rank space), later rounds split the bracket evenly.  Once a
-bracket holds few pairs, a bounded partner search — only the elements
-whose pair count changes inside the bracket, each against its own series —
-lists those pairs and ranks them, recovering the exact pairwise slope.
-The small bracket state is persisted each round and checkpointed
-periodically.
+"""Theil-Sen slope, intercept and confidence interval (T2), exact.
+
+Order statistics of the pairwise slopes (y_j - y_i) / (x_j - x_i), taken over
+all pairs with different x.  Spark has no operator that selects among the
+pairs of a group without listing them, so each series is one group of
+``applyInPandas``: one shuffle of the series table for any number of series.
+A group is a series (its length is bounded by the calendar: years, months or
+days of a record), never raw readings.
+
+Within a group the wanted ranks are found by three-way selection over blocks
+of slopes: memory is linear in the series (plus ``LISTED`` slopes), and every
+pass shrinks the bracket to values between two slopes that occur, so the
+search ends at any scale and with any number of equal slopes.  There is no
+tolerance anywhere.
 
 Targets follow the library definition: the median (mean of the two middle
-slopes when the count is even) and the interval ranks
-Ru = min(round((N + zσ)/2), N−1), Rl = max(round((N − zσ)/2) − 1, 0)
-(0-based, round half to even), σ² = [n(n−1)(2n+5) − Σ t(t−1)(2t+5)]/18
-over tied y values; intercept = median(y) − slope·median(x).
+slopes when the count N is even) and the interval ranks
+Ru = min(round((N + z s)/2), N-1), Rl = max(round((N - z s)/2) - 1, 0)
+(0-based, round half to even), s^2 = [n(n-1)(2n+5) - sum t(t-1)(2t+5)]/18
+over values of x and of y that occur t times; intercept =
+median(y) - slope median(x).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from rainfold.functions.numeric import Z_975
-from rainfold.operators.aggregates import exact_quantiles
-from rainfold.operators.dominance import leveled, right_le_counts
-from rainfold.session import cut_lineage
-
-
-def _targets(series: DataFrame, sid: list[str], z: float) -> DataFrame:
-    t = F.col("t")
-    g = (series.groupBy(*sid, "y").agg(F.count(F.lit(1)).alias("t"), F.max("span").alias("span"))
-         .groupBy(*sid).agg(F.sum("t").alias("n"), F.min("y").alias("_ymin"), F.max("y").alias("_ymax"),
-                            F.max("span").alias("span"),
-                            F.sum(t * (t - 1) * (2 * t + 5)).cast("double").alias("_tv")))
-    # smallest gap between consecutive x values bounds every |slope| by range / gap
-    gap = F.col("x") - F.lag("x").over(Window.partitionBy(*sid).orderBy("pos"))
-    dx = (series.select(*sid, gap.alias("_g")).where(F.col("_g") > 0)
-          .groupBy(*sid).agg(F.min("_g").alias("_dx")))
-    g = g.join(dx, sid, "left")
-    n = F.col("n").cast("long")
-    big_n = n * (n - 1) / 2
-    sigma = F.sqrt((n * (n - 1) * (2 * n + 5) - F.col("_tv")) / F.lit(18.0))
-    ru = F.least(F.bround((big_n + F.lit(z) * sigma) / 2, 0), big_n - 1)
-    rl = F.greatest(F.bround((big_n - F.lit(z) * sigma) / 2, 0) - 1, F.lit(0))
-    med_a = F.when(big_n % 2 == 1, (big_n + 1) / 2).otherwise(big_n / 2)
-    med_b = F.when(big_n % 2 == 1, (big_n + 1) / 2).otherwise(big_n / 2 + 1)
-    tgt = F.array(F.struct(F.lit("med_a").alias("target"), med_a.cast("long").alias("r")),
-                  F.struct(F.lit("med_b").alias("target"), med_b.cast("long").alias("r")),
-                  F.struct(F.lit("ci_lo").alias("target"), (rl + 1).cast("long").alias("r")),
-                  F.struct(F.lit("ci_hi").alias("target"), (ru + 1).cast("long").alias("r")))
-    width = (F.col("_ymax") - F.col("_ymin") + 1) / F.coalesce(F.col("_dx"), F.lit(1.0))
-    return (g.where(F.col("n") >= 2)
-            .select(*sid, "n", "span", F.explode(tgt).alias("_t"), (-width).alias("lo"), width.alias("hi"),
-                    big_n.cast("long").alias("_big"))
-            .select(*sid, "n", "span", "_t.target", "_t.r", "lo", F.lit(0).cast("long").alias("c_lo"),
-                    "hi", F.col("_big").alias("c_hi"))
-            .where(F.col("r").isNotNull()))
-
-
-# Trial slopes are offset by this irrational fraction so that no trial can
-# coincide with a (rational-looking) pairwise slope, where the key comparison
-# and the direct slope could disagree in the last bit.
-JITTER = 0.41421356237309503
-
-
-def _sample_trials(base: DataFrame, state: DataFrame, sid: list[str], trials: int, sample_size: int) -> DataFrame:
-    """Trial slopes for round 0 from a hash-sampled set of pairwise slopes."""
-    n_of = base.groupBy(*sid).agg(F.count(F.lit(1)).alias("_n"))
-    k = F.explode(F.sequence(F.lit(1), F.lit(sample_size))).alias("_k")
-    picks = n_of.where(F.col("_n") >= 2).select(*sid, "_n", k)
-    h1 = F.pmod(F.xxhash64(*[F.col(c) for c in sid], F.col("_k"), F.lit(1)), F.col("_n"))
-    h2 = F.pmod(F.xxhash64(*[F.col(c) for c in sid], F.col("_k"), F.lit(2)), F.col("_n") - 1)
-    picks = picks.select(*sid, h1.alias("_i"), F.when(h2 >= h1, h2 + 1).otherwise(h2).alias("_j"))
-    a = base.select(*sid, F.col("idx").alias("_i"), F.col("x").alias("_xa"), F.col("y").alias("_ya"))
-    b = base.select(*sid, F.col("idx").alias("_j"), F.col("x").alias("_xb"), F.col("y").alias("_yb"))
-    sl = picks.join(a, [*sid, "_i"]).join(b, [*sid, "_j"]).select(
-        *sid, F.try_divide(F.col("_yb") - F.col("_ya"), F.col("_xb") - F.col("_xa")).alias("_sl"))
-    sample = sl.where(F.col("_sl").isNotNull()).groupBy(*sid).agg(F.sort_array(F.collect_list("_sl")).alias("_smp"))
-    half = trials // 2
-    st = state.join(sample, sid, "left")
-    size = F.size("_smp")
-    centre = F.round(F.col("r").cast("double") / F.col("c_hi").cast("double") * size).cast("int")
-    offs = F.explode(F.sequence(F.lit(-half), F.lit(half - 1))).alias("_d")
-    tr = st.where(size > 0).select(*sid, "target", "r", "lo", "hi", "span", "_smp", centre.alias("_c"), offs)
-    pos = F.greatest(F.lit(1), F.least(size, F.col("_c") + F.col("_d")))
-    t = F.element_at("_smp", pos)
-    # step just above the sampled slope by an irrational fraction of its size
-    s = t + F.greatest(F.abs(t), F.lit(1e-9)) * F.lit(1e-9 * JITTER)
-    return tr.select(*sid, "target", "r", "lo", "hi", "span", s.alias("s")).distinct()
-
-
-def _count_le(series: DataFrame, trials: DataFrame, sid: list[str], part_extra: list[str]) -> DataFrame:
-    """Pairs with slope ≤ s for every trial row (sid..., *part_extra, s)."""
-    rows = trials.join(series.select(*sid, "pos", "x", "y"), sid)
-    rows = rows.withColumn("_key", F.col("s") * F.col("x") - F.col("y"))
-    lev = leveled(rows, "pos", F.col("span"))
-    part = [*sid, *part_extra, "s"]
-    c = lev.select(*part, right_le_counts(lev, part, "_key").alias("_c"))
-    return c.groupBy(*part).agg(F.sum("_c").alias("cnt"))
-
-
-def theil_sen(series: DataFrame, sid: Sequence[str], min_n: int = 4, trials: int = 32,
-              max_rounds: int = 40, max_bracket_pairs: int = 128, checkpoint_every: int = 3,
-              sample_size: int = 256, z: float = Z_975) -> DataFrame:
-    """Per series: slope, intercept, ci_lower, ci_upper (x increasing with position).
-
-    Rounds run while some bracket still holds more than ``max_bracket_pairs``
-    pairs and has not collapsed to a point (at least one round, so a small
-    series never lists all of its pairs).  The few pairs left inside each
-    bracket are enumerated exactly — at most ``max_bracket_pairs`` right
-    ends, each against its own series, i.e. O(n) rows per target — and
-    ranked.  A bracket that collapsed with more pairs inside holds equal
-    slopes only and reports that slope.  Rows per round: n·⌈log2 n⌉ per
-    trial and target.  The small bracket state is persisted every round and
-    cut with a reliable checkpoint every ``checkpoint_every`` rounds.
-
-    Round 0 takes its trial slopes from a deterministic (hash-chosen) sample
-    of ``sample_size`` pairwise slopes per series, around each target's rank
-    fraction, so the first bracket is already narrow in rank space; later
-    rounds split the bracket evenly.  Trials only steer the search: the
-    result is exact whatever they are.
-    """
-    sid = list(sid)
-    # the series is read by every round: materialise it once (with a dense index)
-    if "idx" in series.columns and getattr(series, "_rainfold_checkpointed", False):
-        base = series.select(*sid, "pos", "x", "y", "span", "idx")
-    else:
-        dense = (F.row_number().over(Window.partitionBy(*sid).orderBy("pos")) - 1).alias("idx")
-        base = cut_lineage(series.select(*sid, "pos", "x", "y", "span", dense))
-    state = _targets(base, sid, z)
-    open_ = (F.col("c_hi") - F.col("c_lo") > F.lit(max_bracket_pairs)) & \
-        (F.col("hi") - F.col("lo") > F.lit(1e-12) * F.greatest(F.lit(1.0), F.abs(F.col("hi"))))
-    prev = None
-    for rnd in range(max_rounds):
-        if rnd == 0:
-            tr = _sample_trials(base, state, sid, trials, sample_size)
+
+#: Slopes computed in one step, and slopes listed once a bracket holds no more.
+BLOCK, LISTED = 1 << 20, 1 << 21
+
+
+def _slope_blocks(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """All slopes of pairs with different x, each pair once (``x`` sorted)."""
+    n = len(x)
+    step = max(1, BLOCK // n)
+    for i in range(0, n, step):
+        dx = x[None, i + 1:] - x[i:i + step, None]
+        later = dx > 0
+        yield (y[None, i + 1:] - y[i:i + step, None])[later] / dx[later]
+
+
+def select_slopes(x: np.ndarray, y: np.ndarray, ranks: Sequence[int]) -> list[float]:
+    """The slopes of the given 0-based ranks."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    return [_select(x, y, r) for r in ranks]
+
+
+def _select(x: np.ndarray, y: np.ndarray, rank: int) -> float:
+    lo, hi, below = -np.inf, np.inf, 0   # the answer is inside (lo, hi); ``below`` slopes are <= lo
+    while True:
+        held, listed, seen, every = [], 0, 0, 1
+        for s in _slope_blocks(x, y):
+            s = s[(s > lo) & (s < hi)]
+            seen += len(s)
+            held.append(s[::every])
+            listed += len(held[-1])
+            while listed > LISTED:  # keep every second, fourth, ... slope as a sample
+                every *= 2
+                held = [np.concatenate(held)[::2]]
+                listed = len(held[0])
+        inside = np.concatenate(held)
+        wanted = rank - below
+        if every == 1:
+            return float(np.partition(inside, wanted)[wanted])
+        # two slopes of the sample around the wanted rank; count what is below, equal, between
+        inside.sort()
+        at = wanted * len(inside) // seen
+        slack = 4 * int(np.sqrt(len(inside)))
+        a, b = inside[max(0, at - slack)], inside[min(len(inside) - 1, at + slack)]
+        less_a = upto_a = less_b = upto_b = 0
+        for s in _slope_blocks(x, y):
+            s = s[(s > lo) & (s < hi)]
+            less_a, upto_a = less_a + int((s < a).sum()), upto_a + int((s <= a).sum())
+            less_b, upto_b = less_b + int((s < b).sum()), upto_b + int((s <= b).sum())
+        if wanted < less_a:
+            hi = a
+        elif wanted < upto_a:
+            return float(a)
+        elif wanted < less_b:
+            lo, hi, below = a, b, below + upto_a
+        elif wanted < upto_b:
+            return float(b)
         else:
-            tr = (state.where(open_).select(*sid, "target", "r", "lo", "hi", "span",
-                                            F.explode(F.sequence(F.lit(1), F.lit(trials - 1))).alias("_k"))
-                  .withColumn("s", F.col("lo") + (F.col("hi") - F.col("lo"))
-                              * (F.col("_k") + F.lit(JITTER)) / F.lit(float(trials))))
-        cnt = _count_le(base, tr.select(*sid, "target", "span", "s"), sid, ["target"])
-        upd = (cnt.join(state.select(*sid, "target", "r"), [*sid, "target"])
-               .groupBy(*sid, "target")
-               .agg(F.min_by(F.struct("s", "cnt"), F.when(F.col("cnt") >= F.col("r"), F.col("s"))).alias("_h"),
-                    F.max_by(F.struct("s", "cnt"), F.when(F.col("cnt") < F.col("r"), F.col("s"))).alias("_l")))
-        nxt = state.join(upd, [*sid, "target"], "left").select(
-            *sid, "n", "span", "target", "r",
-            F.coalesce("_l.s", "lo").alias("lo"), F.coalesce("_l.cnt", "c_lo").alias("c_lo"),
-            F.coalesce("_h.s", "hi").alias("hi"), F.coalesce("_h.cnt", "c_hi").alias("c_hi"))
-        # one action per round: materialise the (small) state and count open brackets
-        nxt = cut_lineage(nxt) if (rnd + 1) % checkpoint_every == 0 else nxt.persist()
-        still_open = nxt.where(open_).count()
-        if prev is not None:
-            prev.unpersist()
-        prev, state = nxt, nxt
-        if still_open == 0:
-            break
-    exact = _pick(base, state, sid, max_bracket_pairs)
-    wide = exact.groupBy(*sid).agg(
-        F.first("n").alias("n"),
-        *[F.max(F.when(F.col("target") == t, F.col("slope_t"))).alias(t)
-          for t in ("med_a", "med_b", "ci_lo", "ci_hi")])
-    slope = (F.col("med_a") + F.col("med_b")) / 2
-    med = exact_quantiles(base, sid, "y", [0.5], names=["_my"], with_count=False).join(
-        exact_quantiles(base, sid, "x", [0.5], names=["_mx"], with_count=False), sid)
-    out = wide.join(med, sid)
-    enough = F.col("n") >= min_n
-    return out.select(*sid, "n", F.when(enough, slope).alias("slope"),
-                      F.when(enough, F.col("_my") - slope * F.col("_mx")).alias("intercept"),
-                      F.when(enough, F.col("ci_lo")).alias("ci_lower"),
-                      F.when(enough, F.col("ci_hi")).alias("ci_upper"))
-
-
-def _pick(base: DataFrame, state: DataFrame, sid: list[str], max_pairs: int) -> DataFrame:
-    """Exact order statistic from each final bracket (lo, hi].
-
-    Elements whose count of earlier partners changes between lo and hi are
-    the right ends of the bracketed pairs; each is paired with its own
-    series only, and the pairs inside the bracket are ranked.  A bracket
-    that could not be narrowed below ``max_pairs`` has collapsed onto equal
-    slopes: one right end is enough to read that slope exactly.
+            lo, below = b, below + upto_b
+
+
+def _tie_sum(v: np.ndarray) -> float:
+    t = np.unique(v, return_counts=True)[1].astype(float)
+    return float((t * (t - 1) * (2 * t + 5)).sum())
+
+
+def sen_statistics(x: np.ndarray, y: np.ndarray, z: float = Z_975) -> tuple[float, float, float, float] | None:
+    """(slope, intercept, lower, upper); None without two different x."""
+    n = len(x)
+    t = np.unique(x, return_counts=True)[1].astype(np.int64)
+    pairs = n * (n - 1) // 2 - int((t * (t - 1) // 2).sum())
+    if pairs < 1:
+        return None
+    sigma = np.sqrt(max(0.0, (n * (n - 1) * (2 * n + 5) - _tie_sum(y) - _tie_sum(x)) / 18.0))
+    upper = min(int(np.round((pairs + z * sigma) / 2)), pairs - 1)
+    lower = max(int(np.round((pairs - z * sigma) / 2)) - 1, 0)
+    a, b, lo, hi = select_slopes(x, y, [(pairs - 1) // 2, pairs // 2, lower, upper])
+    slope = a if pairs % 2 else (a + b) / 2
+    return slope, float(np.median(y) - slope * np.median(x)), lo, hi
+
+
+def theil_sen(series: DataFrame, sid: Sequence[str], min_n: int = 4, z: float = Z_975) -> DataFrame:
+    """Per series (sid..., x, y): n, slope, intercept, ci_lower, ci_upper.
+
+    Series with fewer than two points give no row; with fewer than ``min_n``
+    points or a single x, null statistics.  Points may be in any order and x
+    may repeat.
     """
-    big = (F.col("c_hi") - F.col("c_lo")) > F.lit(max_pairs)
-    ends = state.select(*sid, "target", "span", F.explode(F.array(
-        F.struct(F.lit(0).alias("end"), F.col("lo").alias("s")),
-        F.struct(F.lit(1).alias("end"), F.col("hi").alias("s")))).alias("_e"))
-    ends = ends.select(*sid, "target", "span", "_e.end", "_e.s")
-    rows = ends.join(base.select(*sid, "pos", "x", "y"), sid).withColumn("_key", F.col("s") * F.col("x") - F.col("y"))
-    lev = leveled(rows, "pos", F.col("span"))
-    part = [*sid, "target", "end"]
-    per = (lev.select(*part, "pos", right_le_counts(lev, part, "_key").alias("_c"))
-           .groupBy(*sid, "target", "pos")
-           .agg(F.sum(F.when(F.col("end") == 1, F.col("_c")).otherwise(-F.col("_c"))).alias("_d")))
-    flags = state.select(*sid, "target", big.alias("_big"))
-    movers = (per.where(F.col("_d") > 0).join(flags, [*sid, "target"])
-              .withColumn("_first", F.row_number().over(Window.partitionBy(*sid, "target").orderBy("pos")))
-              .where(~F.col("_big") | (F.col("_first") == 1))
-              .select(*sid, "target", F.col("pos").alias("_j")))
-    right = base.select(*sid, F.col("pos").alias("_j"), F.col("x").alias("_xj"), F.col("y").alias("_yj"))
-    left = base.select(*sid, F.col("pos").alias("_i"), F.col("x").alias("_xi"), F.col("y").alias("_yi"))
-    st = state.select(*sid, "target", "lo", "hi", "c_lo", "r", big.alias("_big"))
-    pairs = (movers.join(right, [*sid, "_j"]).join(left, sid).where(F.col("_i") < F.col("_j"))
-             .select(*sid, "target",
-                     F.try_divide(F.col("_yj") - F.col("_yi"), F.col("_xj") - F.col("_xi")).alias("_sl"))
-             .join(st, [*sid, "target"])
-             .where((F.col("_sl") > F.col("lo")) & (F.col("_sl") <= F.col("hi"))))
-    w = Window.partitionBy(*sid, "target").orderBy("_sl")
-    ranked = pairs.withColumn("_rk", F.row_number().over(w))
-    hit = (ranked.where(F.when(F.col("_big"), F.col("_rk") == 1).otherwise(F.col("_rk") == F.col("r") - F.col("c_lo")))
-           .select(*sid, "target", F.col("_sl").alias("_hit")))
-    return (state.select(*sid, "n", "target", "hi").join(hit, [*sid, "target"], "left")
-            .select(*sid, "n", "target", F.coalesce("_hit", "hi").alias("slope_t")))
+    sid = list(sid)
+    fields = [f for f in series.schema.fields if f.name in sid]
+    names = ["slope", "intercept", "ci_lower", "ci_upper"]
+    schema = T.StructType([*sorted(fields, key=lambda f: sid.index(f.name)), T.StructField("n", T.LongType()),
+                           *[T.StructField(c, T.DoubleType()) for c in names]])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n = len(rows)
+        if n < 2:
+            return pd.DataFrame({c: [] for c in [*sid, "n", *names]})
+        found = sen_statistics(rows["x"].to_numpy(float), rows["y"].to_numpy(float), z) if n >= min_n else None
+        return pd.DataFrame([[*key, n, *(found or [None] * 4)]], columns=[*sid, "n", *names])
+
+    return series.select(*sid, "x", "y").groupBy(*sid).applyInPandas(run, schema)

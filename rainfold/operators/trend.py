@@ -81,15 +81,9 @@ def _kendall_cdf_rows(max_n: int = EXACT_MAX_N) -> list[tuple[int, int, float]]:
     return rows
 
 
-_CDF_CACHE: dict = {}
-
-
 def kendall_cdf_table(spark: SparkSession, max_n: int = EXACT_MAX_N) -> DataFrame:
-    """Cached per session: a fixed ~6,000-row lookup (recomputed from its rule if evicted)."""
-    key = (id(spark), max_n)
-    if key not in _CDF_CACHE:
-        _CDF_CACHE[key] = _kendall_cdf_native(spark, max_n).cache()
-    return _CDF_CACHE[key]
+    """Fixed lookup of about 6,000 rows, built from its rule where it is used."""
+    return _kendall_cdf_native(spark, max_n)
 
 
 def _kendall_cdf_native(spark: SparkSession, max_n: int = EXACT_MAX_N) -> DataFrame:
@@ -310,3 +304,40 @@ def t_test(df: DataFrame, by: Sequence[str], sample: str, value: str,
     out = g.select(*by, "n1", "n2", "mean1", "mean2", F.when(ok, t).alias("t"), dfree.alias("df"))
     return out.withColumn("p_value", F.when(F.col("t").isNotNull(),
                                             student_t_two_sided_p(F.col("t"), F.col("df"))))
+
+
+def two_sample_tests(df: DataFrame, by: Sequence[str], sample: str, value: str,
+                     first: str = "early", second: str = "late") -> DataFrame:
+    """T7 and T8 from one pass: (keys, n1, n2, ks_d, ks_p_value, mean1, mean2,
+    t, t_p_value).  The rows are collapsed to counts per value and sample; the
+    cumulative counts give D, the weighted moments give t."""
+    by = list(by)
+    smp = F.col(sample)
+    counts = (df.where(F.col(value).isNotNull() & smp.isin(first, second))
+              .groupBy(*by, F.col(value).alias("_v"))
+              .agg(F.count_if(smp == first).alias("_a"), F.count_if(smp == second).alias("_b")))
+    w_cum = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_all = Window.partitionBy(*by)
+
+    def mean(c: str) -> Column:
+        return F.sum(F.col(c) * F.col("_v")).over(w_all) / F.nullif(F.sum(c).over(w_all), F.lit(0))
+
+    cdf = counts.select(*by, "_v", "_a", "_b", F.sum("_a").over(w_cum).alias("_ca"), F.sum("_b").over(w_cum).alias("_cb"),
+                        F.sum("_a").over(w_all).alias("n1"), F.sum("_b").over(w_all).alias("n2"),
+                        mean("_a").alias("mean1"), mean("_b").alias("mean2"))
+    v = F.col("_v")
+    g = cdf.groupBy(*by).agg(
+        F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("mean1").alias("mean1"), F.first("mean2").alias("mean2"),
+        F.max(F.abs(F.try_divide("_ca", "n1") - F.try_divide("_cb", "n2"))).alias("_d"),
+        F.sum(F.col("_a") * (v - F.col("mean1")) * (v - F.col("mean1"))).alias("_s1"),
+        F.sum(F.col("_b") * (v - F.col("mean2")) * (v - F.col("mean2"))).alias("_s2"))
+    n1, n2 = F.col("n1"), F.col("n2")
+    some = (n1 > 0) & (n2 > 0)
+    dfree = n1 + n2 - 2
+    pooled = (F.col("_s1") + F.col("_s2")) / F.nullif(dfree, F.lit(0))
+    t = (F.col("mean1") - F.col("mean2")) / F.sqrt(pooled * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
+    ok = (n1 >= 2) & (n2 >= 2) & (pooled > 0)
+    out = g.select(*by, "n1", "n2", F.when(some, F.col("_d")).alias("ks_d"),
+                   F.when(some, kolmogorov_q(F.col("_d") * F.sqrt(n1 * n2 / (n1 + n2)))).alias("ks_p_value"),
+                   "mean1", "mean2", F.when(ok, t).alias("t"), dfree.alias("_df"))
+    return out.withColumn("t_p_value", F.when(F.col("t").isNotNull(), student_t_two_sided_p(F.col("t"), F.col("_df")))).drop("_df")

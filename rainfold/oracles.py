@@ -8,10 +8,12 @@ counts, self-joins or generate_series.  Tables are the driver's views.
 from __future__ import annotations
 
 
-def r6(expr: str, bits: int = 20) -> str:
-    """Round to a 2^-bits grid (values beyond 1e12 pass unchanged)."""
-    s = f"{float(2 ** bits)!r}"
-    return f"(CASE WHEN abs({expr}) < 1e12 THEN floor(({expr}) * {s} + 0.5) / {s} ELSE ({expr}) END)"
+def r6(expr: str, bits: int = 30) -> str:
+    """Round to ``bits`` binary digits after the leading one (relative)."""
+    x = f"CAST({expr} AS DOUBLE)"
+    scale = f"pow(2.0::DOUBLE, {bits} - floor(log2(abs({x}))))"
+    return (f"(CASE WHEN abs({x}) BETWEEN 1e-280 AND 1e280 THEN floor({x} * {scale} + 0.5) / {scale} "
+            f"WHEN abs({x}) < 1e-280 THEN 0.0 ELSE {x} END)")
 
 
 # --- fixture views -------------------------------------------------------
@@ -75,15 +77,14 @@ WHERE rank <= 3""", VALID_HOURLY)
 # --- numeric helpers (SQL) -----------------------------------------------
 
 def normal_p(z: str) -> str:
-    """2(1 − Φ(|z|)) via the erfc Chebyshev fit (same published constants)."""
+    """2(1 − Φ(|z|)) = erfc(x), x = |z|/√2, by Simpson's rule on
+    2/√π · exp(−x²) · ∫₀⁷ exp(−u² − 2ux) du (20,000 intervals)."""
     x = f"(abs({z}) / sqrt(2.0))"
-    t = f"(1.0 / (1.0 + 0.5 * {x}))"
-    c = ["-1.26551223", "1.00002368", "0.37409196", "0.09678418", "-0.18628806",
-         "0.27886807", "-1.13520398", "1.48851587", "-0.82215223", "0.17087277"]
-    poly = f"{c[-1]}::DOUBLE"
-    for coef in reversed(c[1:-1]):
-        poly = f"({coef}::DOUBLE + {t} * {poly})"
-    return f"({t} * exp(-{x} * {x} + ({c[0]})::DOUBLE + {t} * {poly}))"
+    n, width = 20000, 7.0
+    h = width / n
+    return (f"(exp(-{x} * {x}) * {2 / 3 * h / 1.7724538509055159!r} * list_sum(list_transform(range(0, {n + 1}), "
+            f"lambda k: (CASE WHEN k = 0 OR k = {n} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) "
+            f"* exp(-(k * {h!r}) * (k * {h!r} + 2 * {x})))))")
 
 
 def student_p(t: str, df: str) -> str:
@@ -614,7 +615,8 @@ _DEG = ("CASE upper(trim(raw_wind_dir)) " + " ".join(
                                          ("ESE", 112.5), ("SE", 135.0), ("SSE", 157.5), ("S", 180.0),
                                          ("SSW", 202.5), ("SW", 225.0), ("WSW", 247.5), ("W", 270.0),
                                          ("WNW", 292.5), ("NW", 315.0), ("NNW", 337.5)])
-        + " ELSE TRY_CAST(upper(trim(raw_wind_dir)) AS DOUBLE) END")
+        + " ELSE CASE WHEN regexp_full_match(trim(raw_wind_dir), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') "
+          "THEN TRY_CAST(trim(raw_wind_dir) AS DOUBLE) END END")
 
 _NUM = ("replace(replace(translate(replace(replace(trim(raw_number), ',', '.'), '~', ''), 'Oo', '00'), '—', ''), '--', '')")
 
@@ -680,11 +682,12 @@ ORACLES["text_report_roundtrip"] = sql(f"SELECT {_RV_COLS}, 'txt' AS source_form
                                        REPORT_VALUES)
 
 ORACLES["html_report_roundtrip"] = sql(f"""
-SELECT {_RV_COLS}, 'html' AS source_format,
-       {r6("CAST(printf('%.1f', mean_temp_c - 20) AS DOUBLE)")} AS dep_from_normal_c,
-       CAST(NULL AS DOUBLE) AS avg_dew_point_c,
+SELECT station, year, month, day, date, {", ".join(f"{r6(c)} AS {c}" for c in _RV_NUM)}, dom_wind_dir,
+       'html_old' AS source_format, 'fog' AS sig_condition, CAST(NULL AS DOUBLE) AS avg_dew_point_c, CAST(NULL AS DOUBLE) AS snow_fall_cm,
+       {r6("CAST(printf('%.1f', mean_temp_c - 20) AS DOUBLE)")} AS dep_from_normal_c, {r6("min_temp_c")} AS avg_wet_bulb_c,
        {r6("CAST(printf('%.1f', max_temp_c / 5) AS DOUBLE)")} AS sun_hours,
-       {r6('1013.2')} AS avg_sea_level_pressure_hpa
+       {r6('1013.2')} AS avg_sea_level_pressure_hpa, {r6('22.5')} AS max_wind_dir_deg,
+       CAST(NULL AS VARCHAR) AS max_temp_time, CAST(NULL AS VARCHAR) AS min_temp_time, CAST(NULL AS VARCHAR) AS max_wind_time
 FROM rv""", REPORT_VALUES)
 
 ORACLES["ingest_ledger"] = sql("""
@@ -787,3 +790,139 @@ SELECT station, season, n, {r6('s')} AS s, {r6('var_s')} AS var_s FROM ({_season
   SELECT station, CAST(month(date) AS INTEGER) AS season,
          row_number() OVER (PARTITION BY station, month(date) ORDER BY year(date), date) - 1 AS pos, rain_mm AS y
   FROM dd WHERE rain_mm IS NOT NULL)""")
+
+
+# --- the night chain and further compositions ----------------------------------
+
+NIGHT_DAYS = NIGHTS + """,
+vn AS (SELECT station, year FROM nights GROUP BY ALL HAVING count(*) FILTER (WHERE is_complete) / 21.0 >= 0.70),
+days AS (SELECT station, night_date AS date, year, night_T_min AS T_min, night_T_max AS T_max FROM nights
+         WHERE is_complete AND (station, year) IN (SELECT (station, year) FROM vn))"""
+
+
+def _warm(*thresholds: float) -> str:
+    values = ", ".join(f"({t}::DOUBLE)" for t in thresholds)
+    return f"""th(threshold) AS (VALUES {values}),
+wc AS (SELECT d.station, d.year, t.threshold, count(*) FILTER (WHERE d.T_min > t.threshold) AS count
+       FROM days d, th t GROUP BY ALL)"""
+
+
+def _runs() -> str:
+    return """marked AS (SELECT d.station, d.year, t.threshold, d.date, d.T_min > t.threshold AS above,
+                  sum(CASE WHEN d.T_min > t.threshold THEN 0 ELSE 1 END)
+                    OVER (PARTITION BY d.station, d.year, t.threshold ORDER BY d.date) AS resets
+           FROM days d, th t),
+runs AS (SELECT station, year, threshold, resets, count(*) AS len FROM marked WHERE above GROUP BY ALL),
+st AS (SELECT k.station, k.year, k.threshold, coalesce(max(r.len), 0) AS longest_streak,
+              count(r.len) FILTER (WHERE r.len >= 3) AS n_streaks_min
+       FROM (SELECT DISTINCT station, year, threshold FROM marked) k
+       LEFT JOIN runs r USING (station, year, threshold) GROUP BY ALL)"""
+
+
+def _measure_ser() -> str:
+    return """ym AS (
+  SELECT station, 'mean_T_min' AS measure, year, avg(T_min) AS v FROM days GROUP BY ALL
+  UNION ALL SELECT station, 'mean_T_max', year, avg(T_max) FROM days GROUP BY ALL
+  UNION ALL SELECT station, 'count_gt_' || CAST(trunc(threshold) AS INTEGER), year, CAST(count AS DOUBLE) FROM wc
+  UNION ALL SELECT station, 'streak_gt_' || CAST(trunc(threshold) AS INTEGER), year, CAST(longest_streak AS DOUBLE) FROM st),
+ser AS (SELECT station, measure, row_number() OVER (PARTITION BY station, measure ORDER BY year, v) - 1 AS pos,
+               CAST(row_number() OVER (PARTITION BY station, measure ORDER BY year, v) - 1 AS DOUBLE) AS x, v AS y, year AS label
+        FROM ym)"""
+
+
+_NIGHT_TH = (0.5, 1.0, 2.0, 4.0)
+_BOX = ORACLES["yearly_box"][ORACLES["yearly_box"].index("SELECT station, year, n, "):]
+ORACLES["valid_nights"] = sql(f"SELECT station, date, year, {r6('T_min')} AS T_min, {r6('T_max')} AS T_max FROM days", NIGHT_DAYS)
+ORACLES["night_warm_counts"] = sql("SELECT station, year, threshold, count FROM wc", NIGHT_DAYS, _warm(*_NIGHT_TH))
+ORACLES["night_percentiles"] = sql(f"""
+SELECT station, year, {r6('quantile_cont(T_min, 0.90)')} AS p90, {r6('quantile_cont(T_min, 0.95)')} AS p95,
+       count(T_min) AS n FROM days GROUP BY ALL""", NIGHT_DAYS)
+ORACLES["night_streaks"] = sql("SELECT station, year, threshold, longest_streak, n_streaks_min FROM st",
+                               NIGHT_DAYS, _warm(*_NIGHT_TH), _runs())
+ORACLES["night_box"] = sql(_BOX, NIGHT_DAYS)
+ORACLES["night_trends"] = sql(trend_row_sql("ser", ["station", "measure"]), NIGHT_DAYS, _warm(*_NIGHT_TH), _runs(), _measure_ser())
+ORACLES["warm_measure_trends"] = sql(trend_row_sql("ser", ["station", "measure"]), SUMMER, _warm(20.0, 22.0, 24.0, 26.0),
+                                     _runs(), _measure_ser())
+
+ORACLES["rain_period_totals"] = sql(f"""
+SELECT station, CAST(sum(periods) AS BIGINT) AS periods, count(*) AS years, {r6('avg(periods)')} AS per_year FROM (
+  SELECT k.station, k.year, coalesce(c.periods, 0) AS periods
+  FROM (SELECT s.station, y.year FROM (SELECT DISTINCT station FROM hy) s, (SELECT DISTINCT year FROM hy) y) k
+  LEFT JOIN (SELECT station, year, count(*) AS periods FROM periods GROUP BY ALL) c USING (station, year))
+GROUP BY station""", RAIN_PERIODS)
+
+MAXIMA = HH_Y + ",\n" + DD_Y + """,
+mx AS (
+  SELECT station, year, max(max_daily) AS max_daily, max(max_hourly) AS max_hourly, max(max_30min) AS max_30min FROM (
+    SELECT station, year, max(s) AS max_daily, NULL::DOUBLE AS max_hourly, NULL::DOUBLE AS max_30min
+    FROM (SELECT station, year, CAST(datetime_utc AS DATE) AS d, sum(rain_mm) AS s FROM hy GROUP BY ALL) GROUP BY ALL
+    UNION ALL SELECT station, year, NULL, max(s), NULL
+    FROM (SELECT station, year, date_trunc('hour', datetime_utc) AS h, sum(rain_mm) AS s FROM hy GROUP BY ALL) GROUP BY ALL
+    UNION ALL SELECT station, year, NULL, NULL, max(rain_mm) FROM hy WHERE rain_mm > 0 GROUP BY ALL
+    UNION ALL SELECT station, year, max(rain_mm), NULL, NULL FROM dy GROUP BY ALL) GROUP BY ALL)"""
+ORACLES["yearly_maxima_all_stations"] = sql(
+    f"SELECT station, year, {r6('max_daily')} AS max_daily, {r6('max_hourly')} AS max_hourly, {r6('max_30min')} AS max_30min FROM mx", MAXIMA)
+ORACLES["yearly_maxima_trends"] = sql(
+    f"SELECT * FROM ({mk_sql('ser', ['station', 'measure'], 3, 'local')}) WHERE n >= 4", MAXIMA, """ser AS (
+  SELECT station, measure, row_number() OVER (PARTITION BY station, measure ORDER BY year) - 1 AS pos,
+         CAST(year AS DOUBLE) AS x, v AS y, year AS label
+  FROM (UNPIVOT mx ON max_daily, max_hourly, max_30min INTO NAME measure VALUE v))""")
+
+ORACLES["seasonal_mk_hourly_means"] = seasonal_sql((VALID_HOURLY, """sser AS (
+  SELECT station, season, row_number() OVER (PARTITION BY station, season ORDER BY year) - 1 AS pos, y FROM (
+    SELECT station, month AS season, year, avg(rain_mm) AS y FROM valid GROUP BY ALL))"""))
+
+ORACLES["two_station_count_trend"] = sql(ols_sql("ser", ["station", "threshold"]), WARM, """ser AS (
+  SELECT k.station, k.threshold, CAST(k.year AS DOUBLE) AS x, CAST(coalesce(wc.count, 0) AS DOUBLE) AS y
+  FROM (SELECT s.station, y.year, y.threshold FROM (VALUES ('1-URGENT'), ('2-HIGH')) s(station),
+               (SELECT DISTINCT year, threshold FROM wc WHERE station IN ('1-URGENT', '2-HIGH')) y) k
+  LEFT JOIN wc USING (station, year, threshold))""")
+
+ORACLES["box_on_common_years"] = sql(_BOX.replace("T_max", "T_min").replace("FROM days", "FROM cdays"), SUMMER, """cdays AS (
+  SELECT * FROM days WHERE station IN ('1-URGENT', '2-HIGH') AND year IN (
+    SELECT year FROM days WHERE station = '1-URGENT' INTERSECT SELECT year FROM days WHERE station = '2-HIGH'))""")
+
+ORACLES["box_outliers"] = sql(f"""
+SELECT d.station, d.year, {r6('d.T_max')} AS value, count(*) AS count, d.T_max > q3 AS is_high
+FROM days d JOIN (SELECT station, year, quantile_cont(T_max, 0.25) AS q1, quantile_cont(T_max, 0.75) AS q3
+                  FROM days GROUP BY ALL) q USING (station, year)
+WHERE d.T_max < q1 - 1.5 * (q3 - q1) OR d.T_max > q3 + 1.5 * (q3 - q1)
+GROUP BY d.station, d.year, d.T_max, q3""", SUMMER)
+
+ORACLES["heavy_events_whole_record"] = sql(f"""
+SELECT w.station, w.year, count(*) FILTER (WHERE w.rain_mm > q.p95) AS count, {r6('q.p95')} AS p95, count(*) AS n_wet
+FROM wetd w JOIN (SELECT station, quantile_cont(rain_mm, 0.95) AS p95 FROM wetd GROUP BY station) q USING (station)
+GROUP BY w.station, w.year, q.p95 HAVING count(*) >= 10""", HEAVY)
+
+ORACLES["dense_columns"] = sql(f"SELECT event_id, {r6('value_with_nulls')} AS value_with_nulls FROM m", MESSY)
+
+ORACLES["file_roundtrip"] = sql(f"""
+SELECT l_returnflag AS station, CAST(l_shipdate AS DATE) AS date, CAST(year(CAST(l_shipdate AS DATE)) AS INTEGER) AS year,
+       {r6('sum(l_quantity)')} AS rain_mm, {r6('min(l_quantity)')} AS T_min, {r6('max(l_quantity)')} AS T_max
+FROM lineitem GROUP BY 1, 2, 3""")
+
+_LINE = (r"^\s*\d{1,2}\s+-?\d+\.\d\s+-?\d+\.\d\s+\d{1,2}:\d{2}\s+-?\d+\.\d\s+\d{1,2}:\d{2}(?:\s+-?\d+\.\d){5}"
+         r"\s+\d{1,2}:\d{2}\s+[A-Z]{1,3}\s*$")
+ORACLES["document_report_lines"] = f"""
+SELECT doc_id, coalesce(len(ls), 0) AS lines,
+       coalesce(len(list_filter(ls, lambda x: regexp_matches(x, '{_LINE}'))), 0) AS accepted
+FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"""
+
+ORACLES["page_ledger"] = """
+WITH p AS (
+  SELECT page_id, url, html, lower(regexp_replace(url, '[?#].*$', '')) AS u,
+         regexp_matches(html, '(?is)<(!doctype[[:space:]]+html|html|body|table)\\b') AS markup,
+         regexp_matches(html, '(?i)<table\\b') AS has_table FROM pages),
+f AS (
+  SELECT *, CASE WHEN u LIKE '%.txt' THEN 'txt' WHEN u LIKE '%.html' OR u LIKE '%.htm' OR markup THEN 'html' ELSE 'unsupported' END AS format,
+         html IS NULL OR trim(html, ' ' || chr(9) || chr(10) || chr(13)) = '' OR regexp_matches(html, '(?is)<title>[^<]*\\b(404|not found)\\b[^<]*</title>') AS gone
+  FROM p)
+SELECT page_id, TRY_CAST(nullif(regexp_extract(coalesce(url, ''), '/((?:19|20)[0-9]{2})/(0?[1-9]|1[0-2])(?:[^0-9]|$)', 1), '') AS INTEGER) AS year,
+       TRY_CAST(nullif(regexp_extract(coalesce(url, ''), '/((?:19|20)[0-9]{2})/(0?[1-9]|1[0-2])(?:[^0-9]|$)', 2), '') AS INTEGER) AS month,
+       url, format,
+       CASE WHEN gone THEN 'not_found' WHEN format = 'unsupported' THEN 'unsupported_format'
+            WHEN format = 'html' AND NOT has_table THEN 'no_table' ELSE 'parsed_zero_rows' END AS status,
+       CASE WHEN gone THEN 'document not found' WHEN format = 'unsupported' THEN 'no report format recognised'
+            WHEN format = 'html' AND NOT has_table THEN 'no table in the document' ELSE 'no report rows' END AS message,
+       CAST(0 AS BIGINT) AS rows
+FROM f"""

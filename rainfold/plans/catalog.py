@@ -455,11 +455,7 @@ def q_stacked_report_roundtrip(spark, sf_dir):
 @register("hourly_rain_trend_by_day")
 def q_hourly_rain_trend_by_day(spark, sf_dir):
     """Q4 on a one-month record: mean hourly rain per valid day → trend row."""
-    from rainfold.operators.trend import make_series
-    from rainfold.plans.trends import trend_row
-    valid = rain_hours.valid_hourly(_hh(spark, sf_dir), **DAY_COVERAGE)
-    m = valid.groupBy("station", "day").agg(F.avg("rain_mm").alias("mean_rain"))
-    return finalize(trend_row(make_series(m, ["station"], "day", "mean_rain"), ["station"]))
+    return finalize(rain_hours.hourly_rain_trend(_hh(spark, sf_dir), **DAY_COVERAGE))
 
 
 @register("hourly_null_profile")
@@ -499,3 +495,148 @@ def q_seasonal_mk_detail(spark, sf_dir):
     s = make_series(d, ["station", "season"], ["year", "date"], "rain_mm")
     _, detail = seasonal_mann_kendall(s, ["station"], "season")
     return finalize(detail)
+
+
+# ------------------------------------------------------------ the night chain (Q19-Q23, Q28)
+
+def _nights(spark, sf_dir):
+    """Complete nights of valid years, shaped like days."""
+    from rainfold.plans import nights
+    n = nights.night_table(_hh(spark, sf_dir), season=JAN_NIGHTS)
+    return nights.as_days(nights.valid_nights(n, expected=21))
+
+
+NIGHT_THRESHOLDS = [0.5, 1.0, 2.0, 4.0]     # on the scale of the half-hourly fixture
+
+
+@register("valid_nights")
+def q_valid_nights(spark, sf_dir):
+    return finalize(_nights(spark, sf_dir))
+
+
+@register("night_warm_counts")
+def q_night_warm_counts(spark, sf_dir):
+    from rainfold.plans import nights
+    return nights.warm_counts(_nights(spark, sf_dir), thresholds=NIGHT_THRESHOLDS)
+
+
+@register("night_percentiles")
+def q_night_percentiles(spark, sf_dir):
+    from rainfold.plans import nights
+    return finalize(nights.warm_percentiles(_nights(spark, sf_dir)))
+
+
+@register("night_streaks")
+def q_night_streaks(spark, sf_dir):
+    from rainfold.plans import nights
+    return nights.warm_streaks(_nights(spark, sf_dir), thresholds=NIGHT_THRESHOLDS)
+
+
+@register("night_box")
+def q_night_box(spark, sf_dir):
+    from rainfold.plans import nights
+    return finalize(nights.yearly_box(_nights(spark, sf_dir)))
+
+
+@register("night_trends")
+def q_night_trends(spark, sf_dir):
+    """Q28 on nights (the fixture has one year, so each series is too short)."""
+    from rainfold.plans import nights
+    return finalize(nights.measure_trends(_nights(spark, sf_dir), thresholds=NIGHT_THRESHOLDS))
+
+
+@register("warm_measure_trends")
+def q_warm_measure_trends(spark, sf_dir):
+    """Trends of T_min, T_max, threshold counts and streaks over the years."""
+    from rainfold.plans import nights
+    return finalize(nights.measure_trends(_days(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ further compositions
+
+@register("rain_period_totals")
+def q_rain_period_totals(spark, sf_dir):
+    from rainfold.operators.periods import rain_period_counts, rain_period_totals
+    return finalize(rain_period_totals(rain_period_counts(_hh(spark, sf_dir))))
+
+
+@register("yearly_maxima_all_stations")
+def q_yearly_maxima_all_stations(spark, sf_dir):
+    """Q11: half-hourly stations and stations that report days only."""
+    from rainfold.plans import intensity
+    return finalize(intensity.yearly_maxima(_hh(spark, sf_dir), daily=_dd(spark, sf_dir)))
+
+
+@register("yearly_maxima_trends")
+def q_yearly_maxima_trends(spark, sf_dir):
+    """Q12: the trend of every column of Q11."""
+    from rainfold.plans import intensity
+    return finalize(intensity.yearly_maxima_trends(intensity.yearly_maxima(_hh(spark, sf_dir), daily=_dd(spark, sf_dir))))
+
+
+@register("seasonal_mk_hourly_means")
+def q_seasonal_mk_hourly_means(spark, sf_dir):
+    from rainfold.plans import seasons
+    return finalize(seasons.seasonal_mk_hourly_means(rain_hours.valid_hourly(_hh(spark, sf_dir), **DAY_COVERAGE)))
+
+
+@register("two_station_count_trend")
+def q_two_station_count_trend(spark, sf_dir):
+    from rainfold.plans import nights
+    return finalize(nights.two_station_count_trend(_days(spark, sf_dir), LEFT, RIGHT))
+
+
+@register("box_on_common_years")
+def q_box_on_common_years(spark, sf_dir):
+    from rainfold.plans import nights
+    return finalize(nights.box_on_common_years(_days(spark, sf_dir), LEFT, RIGHT))
+
+
+@register("box_outliers")
+def q_box_outliers(spark, sf_dir):
+    from rainfold.operators.aggregates import box_outliers
+    return finalize(box_outliers(_days(spark, sf_dir), ["station", "year"], "T_max"))
+
+
+@register("heavy_events_whole_record")
+def q_heavy_events_whole_record(spark, sf_dir):
+    from rainfold.operators.aggregates import heavy_event_counts
+    d = _dd(spark, sf_dir).withColumn("year", F.year("date"))
+    return finalize(heavy_event_counts(d, ["station"], "year", "rain_mm", whole_record=True))
+
+
+@register("dense_columns")
+def q_dense_columns(spark, sf_dir):
+    """Q30: the messy table without its columns of more than 6 % nulls."""
+    from rainfold.operators.aggregates import drop_sparse_columns
+    m = _messy(spark, sf_dir).select("event_id", "value_with_nulls", "user_with_nulls", "type_with_nulls")
+    return finalize(drop_sparse_columns(m, ["value_with_nulls", "user_with_nulls", "type_with_nulls"], 6.0))
+
+
+@register("file_roundtrip")
+def q_file_roundtrip(spark, sf_dir):
+    """The daily table of ``lineitem`` written by station and
+    year in the shared folder and read again, columns in a preferred order."""
+    from rainfold.session import scratch_path
+    from rainfold.sources import files
+    d = fx.daily_from_lineitem(fx.load(spark, sf_dir, "lineitem")).withColumn("year", F.year("date"))
+    path = scratch_path(spark, "stations")
+    files.write_station_table(d, path, sort_by=("date",))
+    back = files.drop_stray_index(spark.read.parquet(path))
+    return finalize(files.reorder_columns(back, ["station", "date", "year"]))
+
+
+# ------------------------------------------------------------ reports in the given tables
+
+@register("page_ledger")
+def q_page_ledger(spark, sf_dir):
+    """One ledger row for every page, dispatched by suffix or else by content."""
+    from rainfold.plans import ingest
+    return ingest.page_ledger(fx.load(spark, sf_dir, "pages"))
+
+
+@register("document_report_lines")
+def q_document_report_lines(spark, sf_dir):
+    """Lines and accepted report lines of every document."""
+    from rainfold.plans import ingest
+    return ingest.document_report_lines(fx.load(spark, sf_dir, "documents"))

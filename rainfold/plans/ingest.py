@@ -94,3 +94,19 @@ def stacked_roundtrip(daily: DataFrame) -> DataFrame:
     """Render column-stacked monthly reports and parse them back."""
     docs = _with_ids(reports.render_stacked_reports(daily))
     return reports.parse_stacked_reports(reports.html_cells(docs, keep=("station", "year", "month")), docs)
+
+
+def page_ledger(pages: DataFrame) -> DataFrame:
+    """(page_id, year, month, url, format, status, message, rows) of
+    every page; year and month are read from the url where it has them."""
+    docs = pages.select(F.col("page_id").alias("doc_id"), "url", F.col("html").alias("body"))
+    when = r"/((?:19|20)[0-9]{2})/(0?[1-9]|1[0-2])(?![0-9])"
+    url = F.coalesce("url", F.lit(""))
+    return reports.ledger(docs).select(
+        F.col("doc_id").alias("page_id"), F.regexp_extract(url, when, 1).try_cast("int").alias("year"),
+        F.regexp_extract(url, when, 2).try_cast("int").alias("month"), "url", "format", "status", "message", "rows")
+
+
+def document_report_lines(documents: DataFrame) -> DataFrame:
+    """Per document its lines and those that match the report pattern."""
+    return reports.line_counts(documents.select("doc_id", F.col("text").alias("body")))

@@ -138,3 +138,54 @@ def yearly_mean_trend(days: DataFrame, by: Sequence[str] = ("station",), value:
     by = list(by)
     m = days.groupBy(*by, "year").agg(F.avg(value).alias("mean_value"))
     return trend_row(make_series(m, by, "year", "mean_value"), by)
+
+
+def box_on_common_years(days: DataFrame, left: str, right: str, station: str = "station",
+                        value: str = "T_min") -> DataFrame:
+    """Q26: yearly boxes of two stations over the years valid at both."""
+    sel = days.where(F.col(station).isin(left, right))
+    common = common_keys(sel.where(F.col(station) == left).select("year"), sel.where(F.col(station) == right).select("year"), ["year"])
+    return box_summary(sel.join(common, "year", "left_semi"), [station, "year"], value)
+
+
+def two_station_count_trend(days: DataFrame, left: str, right: str, station: str = "station",
+                            thresholds: Sequence[float] = WARM_THRESHOLDS) -> DataFrame:
+    """Least-squares trend of each station's aligned yearly counts."""
+    both = two_station_counts(days, left, right, station, thresholds)
+    side = F.explode(F.array(F.struct(F.lit(left).alias(station), F.col("count_left").alias("count")),
+                             F.struct(F.lit(right).alias(station), F.col("count_right").alias("count")))).alias("_s")
+    s = both.select("year", "threshold", side).select(f"_s.{station}", "threshold", F.col("year").cast("double").alias("x"),
+                                                      F.col("_s.count").cast("double").alias("y"))
+    return ols(s, [station, "threshold"])
+
+
+def as_days(nights: DataFrame, by: Sequence[str] = ("station",)) -> DataFrame:
+    """Valid nights in the shape of the daily table (date, year, T_min, T_max),
+    so that every daily analysis runs on nights too."""
+    return nights.select(*by, F.col("night_date").alias("date"), "year", F.col("night_T_min").alias("T_min"),
+                         F.col("night_T_max").alias("T_max"))
+
+
+def yearly_measures(days: DataFrame, by: Sequence[str] = ("station",), date: str = "date", value: str = "T_min",
+                    thresholds: Sequence[float] = WARM_THRESHOLDS) -> DataFrame:
+    """Q28: (keys, measure, year, value): yearly means of T_min and T_max,
+    counts above each threshold and the longest streak above it."""
+    by = list(by)
+    means = days.groupBy(*by, "year").agg(F.avg("T_min").alias("mean_T_min"), F.avg("T_max").alias("mean_T_max"))
+    means = means.select(*by, "year", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("mean_T_min", "mean_T_max")])).alias("_m"))
+    means = means.select(*by, "_m.measure", "year", "_m.value")
+
+    def label(kind: str):
+        return F.concat(F.lit(kind), F.col("threshold").cast("int").cast("string")).alias("measure")
+
+    counts = warm_counts(days, by, value, thresholds).select(*by, label("count_gt_"), "year", F.col("count").cast("double").alias("value"))
+    longest = warm_streaks(days, by, date, value, thresholds).select(
+        *by, label("streak_gt_"), "year", F.col("longest_streak").cast("double").alias("value"))
+    return means.unionByName(counts).unionByName(longest).where(F.col("value").isNotNull())
+
+
+def measure_trends(days: DataFrame, by: Sequence[str] = ("station",), **kw) -> DataFrame:
+    """MK + Sen + Pettitt on every yearly measure."""
+    by = [*by, "measure"]
+    return trend_row(make_series(yearly_measures(days, by[:-1], **kw), by, "year", "value"), by)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.operators.combine import two_way_compare
-from rainfold.operators.coverage import filter_covered
+from rainfold.operators.coverage import filter_covered, first_last_periods
 from rainfold.operators.ranking import arg_extremes, top_k
 from rainfold.operators.resample import resample_hourly
 
@@ -67,26 +67,40 @@ def month_hour_matrix(halfhourly: DataFrame, by: Sequence[str] = ("station",), *
 def early_late_samples(valid: DataFrame, by: Sequence[str], period: str, k: int = 5) -> DataFrame:
     """Rows of the first k and last k valid periods per key, tagged
     'early'/'late' (a row is in both samples when there are < 2k periods).
-    Dense ranks over the key's rows replace a driver-side list of periods."""
-    from pyspark.sql import Window
+
+    Only the distinct (key, period) rows are ranked, few per key; the tags are
+    joined back to the rows."""
     by = list(by)
-    ra = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.col(period).asc()))
-    rd = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.col(period).desc()))
-    ranked = valid.withColumn("_ra", ra).withColumn("_rd", rd)
-    tags = F.array_compact(F.array(F.when(F.col("_ra") <= k, F.lit("early")),
-                                   F.when(F.col("_rd") <= k, F.lit("late"))))
-    return ranked.withColumn("sample", F.explode(tags)).drop("_ra", "_rd")
+    periods = valid.groupBy(*by, period).agg(F.lit(True).alias("is_valid"))
+    marks = first_last_periods(periods, by, period, k)
+    tags = F.array_compact(F.array(F.when(F.col("is_early"), F.lit("early")), F.when(F.col("is_late"), F.lit("late"))))
+    marks = marks.select(*by, period, tags.alias("_tags"))
+    return valid.join(marks, [*by, period]).withColumn("sample", F.explode("_tags")).drop("_tags")
+
+
+#: Readings each sample needs before the two are compared.
+MIN_SAMPLE = 10
 
 
-def distribution_shift(halfhourly: DataFrame, by: Sequence[str] = ("station",), k: int = 5,
+def distribution_shift(halfhourly: DataFrame, by: Sequence[str] = ("station",), k: int = 5, min_n: int = MIN_SAMPLE,
                        **valid_kw) -> DataFrame:
     """Q5: KS two-sample test and pooled t test of hourly rain, first k vs
-    last k valid periods."""
-    from rainfold.operators.trend import ks_two_sample, t_test
+    last k valid periods; statistics are missing if a sample has fewer than
+    ``min_n`` readings (P8).  Both tests read one table of value counts."""
+    from rainfold.operators.trend import two_sample_tests
     by = list(by)
     period = valid_kw.get("period", "year")
     both = early_late_samples(valid_hourly(halfhourly, by, **valid_kw), by, period, k)
-    ks = ks_two_sample(both, by, "sample", "rain_mm")
-    tt = t_test(both, by, "sample", "rain_mm")
-    return ks.select(*by, "n1", "n2", F.col("d").alias("ks_d"), F.col("p_value").alias("ks_p_value")).join(
-        tt.select(*by, "mean1", "mean2", "t", F.col("p_value").alias("t_p_value")), by)
+    out = two_sample_tests(both, by, "sample", "rain_mm")
+    enough = (F.col("n1") >= min_n) & (F.col("n2") >= min_n)
+    return out.select(*by, "n1", "n2", *[F.when(enough, F.col(c)).alias(c) for c in ("ks_d", "ks_p_value")], "mean1", "mean2",
+                      *[F.when(enough, F.col(c)).alias(c) for c in ("t", "t_p_value")])
+
+
+def hourly_rain_trend(halfhourly: DataFrame, by: Sequence[str] = ("station",), period: str = "year", **valid_kw) -> DataFrame:
+    """Q4: mean hourly rain of each valid period → MK + Sen + Pettitt."""
+    from rainfold.operators.trend import make_series
+    from rainfold.plans.trends import trend_row
+    by = list(by)
+    m = valid_hourly(halfhourly, by, period=period, **valid_kw).groupBy(*by, period).agg(F.avg("rain_mm").alias("mean_rain"))
+    return trend_row(make_series(m, by, period, "mean_rain"), by)

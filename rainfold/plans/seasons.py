@@ -41,6 +41,17 @@ def seasonal_mk_monthly_means(daily: DataFrame, by: Sequence[str] = ("station",)
     return overall
 
 
+def seasonal_mk_hourly_means(valid_hours: DataFrame, by: Sequence[str] = ("station",), ts: str = "datetime_utc",
+                             value: str = "rain_mm") -> DataFrame:
+    """Q6: seasonal MK on the monthly mean of gap-filled, well-covered hours
+    (season = month, ordered by year)."""
+    by = list(by)
+    m = (valid_hours.groupBy(*by, F.year(ts).alias("year"), F.month(ts).alias("season"))
+         .agg(F.avg(value).alias("mean_value")))
+    overall, _ = seasonal_mann_kendall(make_series(m, [*by, "season"], "year", "mean_value"), by, "season")
+    return overall
+
+
 def monthly_trend_table(daily: DataFrame, by: Sequence[str] = ("station",), date: str = "date",
                         value: str = "rain_mm") -> DataFrame:
     """Q17: MK + Sen + Pettitt for each calendar month's yearly totals (12 series per station)."""

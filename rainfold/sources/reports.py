@@ -1,15 +1,12 @@
 """Report-archive ingestion: text and HTML monthly reports.
 
 Fetching is out of scope; ingestion starts from a table of stored
-documents ``(doc_id, url, body)``.  Text reports are parsed with native
-``split``/``regexp_extract``; HTML needs a tag parser, so only the
-cell-text extraction runs in Python (``mapInPandas`` with the standard
-library parser), batch by batch on the executors.  Everything after the
-cell text — field selection, cleaning, typing, status — is native.
+documents ``(doc_id, url, body)``.  Text and HTML reports are parsed with
+native expressions.
 
 Every document ends with a status ('ok', 'parsed_zero_rows',
-'unsupported_format', 'no_table', 'parse_error'); nothing raises, and the
-rejects form a ledger.
+'unsupported_format', 'no_table', 'not_found', 'parse_error'); nothing
+raises, and the rejects form a ledger.
 """
 
 from __future__ import annotations
@@ -17,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rainfold.functions.clean import COMPASS_DEGREES, iso_date, report_number, report_time, report_wind_dir
+from rainfold.functions.clean import (COMPASS_DEGREES, iso_date, report_int, report_number, report_time, report_wind_dir,
+                                      strip_text)
 
 # Fixed value: one line of a monthly text report (F7): day, mean, high,
 # high time, low, low time, heating and cooling degree days, rain, mean
@@ -31,11 +29,13 @@ TEXT_FIELDS = ["day", "mean_temp_c", "max_temp_c", "max_temp_time", "min_temp_c"
                "dom_wind_dir"]
 TEXT_TIMES = {"max_temp_time", "min_temp_time", "max_wind_time"}
 
-# Positions of the fields in a row-wise HTML report.
-HTML_FIELDS = ["day", "mean_temp_c", "max_temp_c", "max_temp_time", "min_temp_c", "min_temp_time",
-               "heat_deg_days", "cool_deg_days", "rain_mm", "avg_wind_kmh", "max_wind_kmh", "max_wind_time",
-               "dom_wind_dir", "dep_from_normal_c", "avg_dew_point_c", "sun_hours", "avg_sea_level_pressure_hpa"]
+# Positions of the fields in a row-wise HTML report (S8); a 19th
+# cell repeats the day.
+HTML_FIELDS = ["day", "max_temp_c", "min_temp_c", "mean_temp_c", "dep_from_normal_c", "avg_dew_point_c", "avg_wet_bulb_c",
+               "heat_deg_days", "cool_deg_days", "sig_condition", "sun_hours", "snow_fall_cm", "rain_mm",
+               "avg_sea_level_pressure_hpa", "avg_wind_kmh", "dom_wind_dir", "max_wind_kmh", "max_wind_dir_deg"]
 HTML_MIN_CELLS = 17
+HTML_TEXTS = {"sig_condition", "dom_wind_dir"}
 
 
 def parse_text_reports(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "year", "month")) -> DataFrame:
@@ -70,91 +70,17 @@ def text_line_stats(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Dat
                                     F.count_if(F.col("line").rlike(TEXT_ROW_PATTERN)).alias("accepted"))
 
 
-HTML_CELLS_SCHEMA = "doc_id long, n_tables int, table_no int, row_no int, cells array<string>, error string"
 HTML_CELL_COLUMNS = ["doc_id", "n_tables", "table_no", "row_no", "cells", "error"]
 
 
-def html_cells_python(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Cell text of every table row of every HTML document.
-
-    Documents without rows still produce one row (table_no NULL) carrying
-    the table count, so rejects are kept as data.  Columns named in
-    ``keep`` are carried through, so callers never join back to the
-    documents.  The task function and its parser class are self-contained,
-    so they ship by value to the Python workers (no package install needed
-    on the executors).
-    """
-    keep = tuple(keep)
-    keep_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) \
-        if keep else ""
-    def extract(batches):
-        import pandas as pd_
-        from html.parser import HTMLParser as _Base
-
-        class Collector(_Base):
-            """Collects, per table, the text of every <td>/<th> cell row by row."""
-
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.tables, self.depth, self.row, self.cell = [], 0, None, None
-
-            def handle_starttag(self, tag, attrs):
-                if tag == "table":
-                    self.depth += 1
-                    self.tables.append([])
-                elif tag == "tr" and self.depth:
-                    self.row = []
-                elif tag in ("td", "th") and self.row is not None:
-                    self.cell = []
-                elif tag == "br" and self.cell is not None:
-                    self.cell.append("\n")
-
-            def handle_endtag(self, tag):
-                if tag in ("td", "th") and self.cell is not None and self.row is not None:
-                    self.row.append("".join(self.cell).replace("\xa0", " ").strip())
-                    self.cell = None
-                elif tag == "tr" and self.row is not None:
-                    if self.tables:
-                        self.tables[-1].append(self.row)
-                    self.row = None
-                elif tag == "table" and self.depth:
-                    self.depth -= 1
-
-            def handle_data(self, data):
-                if self.cell is not None:
-                    self.cell.append(data)
-
-        for pdf in batches:
-            out = []
-            extra = list(zip(*[pdf[k] for k in keep])) if keep else [()] * len(pdf)
-            for doc_id, body, kept in zip(pdf["doc_id"], pdf["body"], extra):
-                kept = tuple(None if pd_.isna(v) else v for v in kept)
-                p = Collector()
-                err = None
-                try:
-                    p.feed(body or "")
-                    p.close()
-                except Exception as e:  # noqa: BLE001 - malformed markup is a reject, not a crash
-                    err = f"{type(e).__name__}: {e}"[:200]
-                emitted = False
-                for t, rows in enumerate(p.tables):
-                    for r, cells in enumerate(rows):
-                        out.append((int(doc_id), len(p.tables), t, r, cells, err) + kept)
-                        emitted = True
-                if not emitted:
-                    out.append((int(doc_id), len(p.tables), None, None, None, err) + kept)
-            yield pd_.DataFrame(out, columns=["doc_id", "n_tables", "table_no", "row_no", "cells", "error", *keep])
-    schema = HTML_CELLS_SCHEMA + (", " + keep_schema if keep else "")
-    return docs.select("doc_id", "body", *keep).mapInPandas(extract, schema)
-
-
 # The HTML character references decoded in cell text.
 HTML_ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
                  ("&#39;", "'"), ("&amp;", "&")]
 
 
 def _cell_text(c: F.Column) -> F.Column:
-    t = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
+    # one value per text node: line ends of the source are blanks, line and block tags separate
+    t = F.regexp_replace(F.regexp_replace(c, r"[\r\n]+", " "), r"(?i)</?(?:br|p|div|li)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
     for ent, ch in HTML_ENTITIES:
         t = F.replace(t, F.lit(ent), F.lit(ch))
@@ -162,50 +88,72 @@ def _cell_text(c: F.Column) -> F.Column:
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
+def n_tables(body: F.Column) -> F.Column:
+    return F.regexp_count(body, F.lit(r"(?i)<table\b"))
+
+
+def nested_tables(body: F.Column) -> F.Column:
+    """Does a table open before the one before it is closed?"""
+    tags = F.regexp_extract_all(body, F.lit(r"(?i)<(/?)table\b"), 1)
+    depth = F.aggregate(tags, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, t: F.struct(
+        F.when(t == "", a["now"] + 1).otherwise(F.greatest(a["now"] - 1, F.lit(0))).alias("now"),
+        F.greatest(a["most"], F.when(t == "", a["now"] + 1).otherwise(F.lit(0))).alias("most")))
+    return depth["most"] > 1
+
+
+def table_rows(body: F.Column) -> F.Column:
+    """Tables → rows → cell texts.  A row or cell ends where it is closed or
+    where the next one (or the end of its row, section or table) begins, so
+    closing tags may be left out as the markup language allows."""
+    tables = F.slice(F.split(body, r"(?i)<table\b[^>]*>"), 2, 1 << 30)
+    tables = F.transform(tables, lambda t: F.regexp_replace(t, r"(?is)</table\s*>.*$", ""))
+
+    def rows(table: F.Column) -> F.Column:
+        parts = F.slice(F.split(table, r"(?i)<tr\b[^>]*>"), 2, 1 << 30)
+        return F.transform(parts, lambda r: F.regexp_replace(r, r"(?is)</(?:tr|tbody|thead|tfoot)\s*>.*$", ""))
+
+    def cells(row: F.Column) -> F.Column:
+        parts = F.slice(F.split(row, r"(?i)<t[dh]\b[^>]*>"), 2, 1 << 30)
+        return F.transform(parts, lambda c: _cell_text(F.regexp_replace(c, r"(?is)</t[dh]\s*>.*$", "")))
+
+    return F.transform(tables, lambda t: F.transform(rows(t), cells))
+
+
 def html_cells(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cell text of every table row of every HTML document, natively.
 
-    Tables, rows and cells are located with regular expressions (flat,
-    non-nested report tables), tags are stripped, ``<br>`` becomes a line
-    break and character references are decoded — all JVM-side, so the
-    extraction scales with the cluster instead of a Python parser.  Same
-    output as :func:`html_cells_python`: documents without rows keep one
-    row with NULL cells and their table count.
+    Tags are stripped, ``<br>`` becomes a line break and character references
+    are decoded.  Documents without rows keep one row with NULL cells and
+    their table count.  Tables inside tables cannot be told apart this way:
+    such a document is a reject (``error``), without cells.
     """
     keep = list(keep)
-    tables = F.regexp_extract_all(F.col("body"), F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), 1)
-    t = docs.select("doc_id", *keep, F.size(tables).alias("n_tables"),
-                    F.posexplode_outer(tables).alias("table_no", "_t"))
-    rows = F.regexp_extract_all(F.col("_t"), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)
-    r = t.select("doc_id", *keep, "n_tables", "table_no", F.posexplode_outer(rows).alias("row_no", "_r"))
-    cells = F.transform(F.regexp_extract_all(F.col("_r"), F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), 1),
-                        _cell_text)
-    return r.select("doc_id", F.col("n_tables").cast("int").alias("n_tables"),
-                    F.col("table_no").cast("int").alias("table_no"), F.col("row_no").cast("int").alias("row_no"),
-                    F.when(F.col("_r").isNotNull(), cells).alias("cells"),
-                    F.lit(None).cast("string").alias("error"), *keep)
+    nested = F.coalesce(nested_tables(F.col("body")), F.lit(False))
+    d = docs.select("doc_id", *keep, F.coalesce(n_tables(F.col("body")), F.lit(0)).cast("int").alias("n_tables"),
+                    F.when(nested, F.lit("tables inside tables")).alias("error"),
+                    F.when(~nested, table_rows(F.col("body"))).alias("_tables"))
+    t = d.select("doc_id", *keep, "n_tables", "error", F.posexplode_outer("_tables").alias("table_no", "_rows"))
+    r = t.select("doc_id", *keep, "n_tables", "error", "table_no", F.posexplode_outer("_rows").alias("row_no", "cells"))
+    return r.select("doc_id", "n_tables", F.col("table_no").cast("int").alias("table_no"), F.col("row_no").cast("int").alias("row_no"),
+                    "cells", "error", *keep)
 
 
 def parse_html_rows(cells: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows whose first cell is a day 1..31 and that have ≥ 17 cells."""
+    """Rows with ≥ 17 cells whose first cell is a day number; numbers by
+    the lenient report rule, condition and direction as trimmed text, the
+    times that only text reports give missing."""
     rows = cells.where(_is_html_day_row(F.col("cells")))
     cols = []
     for i, name in enumerate(HTML_FIELDS):
         raw = F.get(F.col("cells"), i)
-        if name == "day":
-            cols.append(raw.try_cast("int").alias(name))
-        elif name in TEXT_TIMES:
-            cols.append(report_time(raw).alias(name))
-        elif name == "dom_wind_dir":
-            cols.append(report_wind_dir(raw).alias(name))
-        else:
-            cols.append(report_number(raw).alias(name))
+        cols.append((report_int(raw) if name == "day" else strip_text(raw) if name in HTML_TEXTS else report_number(raw)).alias(name))
+    cols += [F.lit(None).cast("string").alias(c) for c in sorted(TEXT_TIMES)]
     carried = [c for c in cells.columns if c not in HTML_CELL_COLUMNS]
     if {"year", "month"} <= set(carried):
         out = rows.select("doc_id", *carried, *cols)
     else:
         out = rows.select("doc_id", *cols).join(docs.select("doc_id", "year", "month"), "doc_id")
-    return out.withColumn("date", iso_date("year", "month", "day")).withColumn("source_format", F.lit("html"))
+    return out.withColumn("date", iso_date("year", "month", "day")).withColumn("source_format", F.lit("html_old"))
 
 
 def format_of(url: str | F.Column) -> F.Column:
@@ -217,9 +165,7 @@ def format_of(url: str | F.Column) -> F.Column:
 
 
 def _is_html_day_row(cells: F.Column) -> F.Column:
-    first = F.trim(F.get(cells, 0))
-    return (cells.isNotNull() & (F.size(cells) >= HTML_MIN_CELLS) & first.rlike(r"^[0-9]{1,2}$")
-            & first.try_cast("int").between(1, 31))
+    return cells.isNotNull() & (F.size(cells) >= HTML_MIN_CELLS) & report_int(F.get(cells, 0)).between(1, 31)
 
 
 def ingest_status(docs: DataFrame) -> DataFrame:
@@ -249,6 +195,51 @@ def ingest_status(docs: DataFrame) -> DataFrame:
                      status.alias("status"))
 
 
+# Fixed value: a body that is an error page of the server.
+NOT_FOUND_BODY = r"(?is)\A\s*(?:<[^>]*>\s*)*(?:error\s+)?404\b|<title>[^<]*\b(?:404|not found)\b[^<]*</title>"
+
+
+def line_counts(docs: DataFrame) -> DataFrame:
+    """Lines and accepted report lines of each document, counted inside
+    the row (no shuffle; a null body has no lines)."""
+    lines = F.split("body", "\n")
+    return docs.select("doc_id", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines"),
+                       F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(TEXT_ROW_PATTERN))), F.lit(0)).cast("long").alias("accepted"))
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """(doc_id, url, format, status, message, rows), one row per
+    document, all counted inside the document's row (one scan, no shuffle).
+
+    The format is the url's suffix or, without a known one, what the body
+    looks like: markup is html, lines of a report are txt, else unsupported.
+    Statuses: ``not_found`` (no body, or a server's error page),
+    ``unsupported_format``, ``parse_error`` (tables inside tables),
+    ``no_table``, ``parsed_zero_rows``, ``ok``."""
+    body = F.col("body")
+    d = docs.withColumn("_accepted", F.coalesce(F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(TEXT_ROW_PATTERN))), F.lit(0)))
+    by_suffix = format_of("url")
+    by_content = (F.when(body.rlike(r"(?is)<(?:!doctype\s+html|html|body|table)\b"), "html").when(F.col("_accepted") > 0, "txt")
+                  .otherwise("unsupported"))
+    d = d.withColumn("format", F.when(by_suffix != "unsupported", by_suffix).otherwise(F.coalesce(by_content, F.lit("unsupported"))))
+    tables = table_rows(body)
+    day_rows = F.size(F.filter(F.flatten(tables), _is_html_day_row))
+    d = d.withColumn("_tables", F.coalesce(n_tables(body), F.lit(0))).withColumn("_nested", F.coalesce(nested_tables(body), F.lit(False)))
+    rows = F.when(F.col("format") == "txt", F.col("_accepted")).when((F.col("format") == "html") & ~F.col("_nested"), F.coalesce(day_rows, F.lit(0))).otherwise(0)
+    d = d.withColumn("rows", rows.cast("long"))
+    status = (F.when(body.isNull() | (F.length(strip_text(body)) == 0) | body.rlike(NOT_FOUND_BODY), "not_found")
+              .when(F.col("format") == "unsupported", "unsupported_format")
+              .when((F.col("format") == "html") & F.col("_nested"), "parse_error")
+              .when((F.col("format") == "html") & (F.col("_tables") == 0), "no_table")
+              .when(F.col("rows") == 0, "parsed_zero_rows")
+              .otherwise("ok"))
+    message = (F.when(F.col("status") == "not_found", "document not found").when(F.col("status") == "unsupported_format", "no report format recognised")
+               .when(F.col("status") == "parse_error", "tables inside tables").when(F.col("status") == "no_table", "no table in the document")
+               .when(F.col("status") == "parsed_zero_rows", "no report rows").otherwise(""))
+    return d.withColumn("status", status).select("doc_id", "url", "format", "status", message.alias("message"),
+                                                 F.when(F.col("status").isin("ok", "parsed_zero_rows"), F.col("rows")).otherwise(F.lit(0).cast("long")).alias("rows"))
+
+
 def ledger_summary(status: DataFrame) -> DataFrame:
     """Documents and rows per (format, status)."""
     return status.groupBy("format", "status").agg(F.count(F.lit(1)).alias("documents"),
@@ -309,18 +300,14 @@ def render_text_reports(values: DataFrame) -> DataFrame:
 
 def render_html_reports(values: DataFrame) -> DataFrame:
     """One row-wise HTML document per (station, year, month) with three tables
-    (navigation, legend, data); day rows carry 17 cells."""
-    cells = ["mean_temp_c", "max_temp_c", "max_temp_time", "min_temp_c", "min_temp_time", "heat_deg_days",
-             "cool_deg_days", "rain_mm", "avg_wind_kmh", "max_wind_kmh", "max_wind_time", "dom_wind_dir"]
-    td = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
-    parts = [td(F.col("day").cast("string"))]
-    for c in cells:
-        v = F.col(c)
-        parts.append(td(F.format_string("%.1f", v) if c not in TEXT_TIMES and c != "dom_wind_dir" else v))
-    extra = [F.format_string("%.1f", F.col("mean_temp_c") - 20), F.lit("---"),
-             F.format_string("%.1f", F.col("max_temp_c") / 5), F.lit("~1013.2")]
-    parts += [td(x) for x in extra]
-    row = F.concat(F.lit("<tr>"), *parts, F.lit("</tr>"))
+    (navigation, legend, data); day rows carry the 18 fields and the day again."""
+    fmt = lambda c: F.format_string("%.1f", c)
+    text = {"day": F.col("day").cast("string"), "dep_from_normal_c": fmt(F.col("mean_temp_c") - 20), "avg_dew_point_c": F.lit("---"),
+            "avg_wet_bulb_c": fmt(F.col("min_temp_c")), "sig_condition": F.lit("fog"), "sun_hours": fmt(F.col("max_temp_c") / 5),
+            "snow_fall_cm": F.lit("-"), "avg_sea_level_pressure_hpa": F.lit("~1013.2"), "dom_wind_dir": F.col("dom_wind_dir"),
+            "max_wind_dir_deg": F.lit("22,5")}
+    cells = [text[c] if c in text else fmt(F.col(c)) for c in HTML_FIELDS] + [text["day"]]
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
     g = (values.groupBy("station", "year", "month")
          .agg(F.sort_array(F.collect_list(F.struct("day", row.alias("r")))).alias("_r")))
     body = F.concat(F.lit("<html><body><table><tr><td><a href='/'>home</a></td></tr></table>"

@@ -24,7 +24,7 @@ def hourly_rain_stream(readings: DataFrame, by: Sequence[str] = ("station",), ts
     by = list(by)
     return (_event_time(readings, ts, watermark)
             .groupBy(*by, F.window("_et", "1 hour").alias("_w"))
-            .agg(F.sum(value).alias(value))
+            .agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(value))
             .select(*by, F.col("_w.start").cast("timestamp_ntz").alias("hour_start"), value))
 
 

@@ -1,6 +1,7 @@
 """Text cleaning functions and report parsing."""
 
-import pytest
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from rainfold.functions import clean
@@ -58,10 +59,14 @@ def test_parse_text_report_drops_incomplete_lines(spark):
     assert (stats.lines, stats.accepted) == (6, 1)
 
 
+OLD_ROW = ["5", "30.1", "18.2", "24.0", "+1.5", "12,3", "~15.0", "0.0", "5.7", " fog ", "9.5", "---", "2.4", "1013.2", "6.1",
+           " SSW ", "33.8", "202.5", "5"]
+
+
 def test_html_cells_and_rejects(spark):
-    cells17 = "".join(f"<td>{v}</td>" for v in ["5", "20.1", "25.0", "14:00", "15.0", "5:00", "0.0", "1.8", "0.4",
-                                                   "3.0", "20.0", "13:00", "nne", "1.1", "---", "9.5", "~1015.0"])
-    good = f"<table><tr><th>Day</th></tr><tr>{cells17}</tr><tr><td>x</td></tr></table>"
+    """A literal 19-cell day row of the row-wise report."""
+    row = "".join(f"<td>{v}</td>" for v in OLD_ROW)
+    good = f"<table><tr><th>Day</th></tr><tr>{row}</tr><tr><td>x</td></tr></table>"
     docs = spark.createDataFrame([(1, "a/report.html", good, 2020, 7), (2, "b/page.html", "<p>no table</p>", None, None),
                                   (3, "c/page.php", "<table></table>", None, None)],
                                  "doc_id BIGINT, url STRING, body STRING, year INT, month INT")
@@ -69,24 +74,92 @@ def test_html_cells_and_rejects(spark):
     rows = reports.parse_html_rows(cells.where(F.col("cells").isNotNull()), docs).collect()
     assert len(rows) == 1
     r = rows[0]
-    assert (r.day, r.rain_mm, r.dom_wind_dir, r.avg_dew_point_c, r.avg_sea_level_pressure_hpa) == \
-        (5, 0.4, "NNE", None, 1015.0)
+    assert (r.day, r.max_temp_c, r.min_temp_c, r.mean_temp_c, r.dep_from_normal_c, r.avg_dew_point_c, r.avg_wet_bulb_c) == \
+        (5, 30.1, 18.2, 24.0, 1.5, 12.3, 15.0)
+    assert (r.heat_deg_days, r.cool_deg_days, r.sig_condition, r.sun_hours, r.snow_fall_cm, r.rain_mm) == (0.0, 5.7, "fog", 9.5, None, 2.4)
+    assert (r.avg_sea_level_pressure_hpa, r.avg_wind_kmh, r.dom_wind_dir, r.max_wind_kmh, r.max_wind_dir_deg) == \
+        (1013.2, 6.1, "SSW", 33.8, 202.5)
+    assert (r.max_temp_time, r.min_temp_time, r.max_wind_time, r.source_format) == (None, None, None, "html_old")
     st = {r.doc_id: r.status for r in reports.ingest_status(docs).collect()}
     assert st == {1: "ok", 2: "no_table", 3: "unsupported_format"}
 
 
-def test_native_cells_match_python_parser(spark):
-    from rainfold.plans.catalog import _dd
-    from conftest import SF
-    from rainfold.plans.ingest import _with_ids
-    d = _dd(spark, SF)
-    vals = reports.report_values(d)
-    for docs in (_with_ids(reports.render_html_reports(vals)), _with_ids(reports.render_stacked_reports(d))):
-        cols = ["doc_id", "n_tables", "table_no", "row_no", "cells"]
-        a = reports.html_cells(docs).where("cells IS NOT NULL").select(*cols)
-        b = reports.html_cells_python(docs).where("cells IS NOT NULL").select(*cols)
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    page = spark.createDataFrame([(1, "<p>a &amp; b</p><TABLE class='x'><TR><TD> x&nbsp;<b>1</b> </TD>"
-                                      "<th>2<br/>3</th></TR></TABLE>")], "doc_id BIGINT, body STRING")
-    r = reports.html_cells(page).collect()[0]
-    assert (r.n_tables, r.table_no, r.row_no, r.cells) == (1, 0, 0, ["x 1", "2\n3"])
+def test_ledger_statuses(spark):
+    row = "".join(f"<td>{v}</td>" for v in OLD_ROW)
+    docs = spark.createDataFrame([
+        (1, "a", f"<table><tr>{row}</table>"), (2, "b.html", "<table><tr><td><table><tr><td>1</table></table>"), (3, None, None),
+        (4, "d", "<html><head><title>404 Not Found</title></head></html>"), (5, "e.txt", REPORT), (6, "f", REPORT), (7, "g", "just words"),
+        (8, "h", "<html><p>x"), (9, "i.txt", "nothing"), (10, "j", "  ")], "doc_id BIGINT, url STRING, body STRING")
+    got = {r.doc_id: (r.format, r.status, r.rows) for r in reports.ledger(docs).collect()}
+    assert got[1] == ("html", "ok", 1) and got[2] == ("html", "parse_error", 0)
+    assert got[3][1] == got[4][1] == got[10][1] == "not_found"
+    assert got[5] == got[6] == ("txt", "ok", 1)
+    assert got[7][1] == "unsupported_format" and got[8] == ("html", "no_table", 0) and got[9] == ("txt", "parsed_zero_rows", 0)
+
+
+class _Cells(HTMLParser):
+    """Independent tag parser: cell texts of flat tables, row by row."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tables, self.cell = [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.tables.append([])
+        elif tag == "tr" and self.tables:
+            self.tables[-1].append([])
+        elif tag in ("td", "th") and self.tables and self.tables[-1]:
+            self.tables[-1][-1].append("")
+            self.cell = True
+        elif tag in ("br", "p", "div", "li") and self.cell:
+            self.tables[-1][-1][-1] += "\n"
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th", "tr", "table"):
+            self.cell = None
+        elif tag in ("p", "div", "li") and self.cell:
+            self.tables[-1][-1][-1] += "\n"
+
+    def handle_data(self, data):
+        if self.cell:
+            self.tables[-1][-1][-1] += data.replace("\n", " ").replace("\xa0", " ")
+
+
+def _parsed(html):
+    p = _Cells()
+    p.feed(html)
+    return [(len(p.tables), t, r, [c.strip() for c in row]) for t, rows in enumerate(p.tables) for r, row in enumerate(rows)]
+
+
+def test_native_cells_match_a_tag_parser(spark):
+    pages = ["<p>a &amp; b</p><TABLE class='x'><TR><TD> x&nbsp;<b>1</b> </TD><th>2<br/>3</th></TR></TABLE>",
+             "<table><tr><td>1<td>2<tr><td>3</table><p>t</p><table><tbody><tr><td>4</td></tbody></table>",   # closing tags left out
+             "<table><tr><td>1\n2<br>3</td></tr></table>", "<table></table>", "no table"]
+    docs = spark.createDataFrame(list(enumerate(pages)), "doc_id BIGINT, body STRING")
+    got = {}
+    for r in reports.html_cells(docs).where("cells IS NOT NULL").orderBy("doc_id", "table_no", "row_no").collect():
+        got.setdefault(r.doc_id, []).append((r.n_tables, r.table_no, r.row_no, r.cells))
+    for i, html in enumerate(pages):
+        assert got.get(i, []) == _parsed(html), html
+
+
+def test_tables_inside_tables_are_rejected(spark):
+    docs = spark.createDataFrame([(1, "<table><tr><td><table><tr><td>1</td></tr></table></td></tr></table>")], "doc_id BIGINT, body STRING")
+    r = reports.html_cells(docs).collect()
+    assert [(x.n_tables, x.cells, x.error) for x in r] == [(2, None, "tables inside tables")]
+
+
+def test_text_that_is_no_decimal_number(spark):
+    odd = ["12d", "12f", "0x1p3", "nan", "NaN", "Infinity", "1e3", ".5", "5.", "+2", "\t7.5\n"]
+    numbers = [None] * 6 + [1000.0, 0.5, 5.0, 2.0, 7.5]
+    assert _eval(spark, clean.report_number, odd) == numbers
+    assert _eval(spark, clean.text_to_double, odd) == numbers
+    assert _eval(spark, clean.compass_to_degrees, ["12d", "nan", "\tN "]) == [None, None, 0.0]
+    assert _eval(spark, clean.report_time, ["\t7:05"]) == ["07:05"]
+
+
+def test_hour_without_values_sums_to_zero(spark):
+    from rainfold.operators.resample import hourly_sum
+    df = spark.sql("SELECT 'a' AS station, TIMESTAMP_NTZ '2024-01-01 00:30:00' AS datetime_utc, CAST(NULL AS DOUBLE) AS rain_mm")
+    assert [r.rain_mm for r in hourly_sum(df).collect()] == [0.0]

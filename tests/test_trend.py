@@ -160,6 +160,70 @@ def test_ks_two_sample_statistic(spark):
     assert t.t == pytest.approx(-2.190890, abs=1e-6) and t.df == 6
 
 
+@pytest.mark.parametrize("scale", [1e-13, 1.0, 1e9])
+def test_sen_is_exact_at_every_scale(scale):
+    import numpy as np
+    from rainfold.operators import theil_sen as ts
+    rng = np.random.default_rng(5)
+    x = np.arange(400.0)
+    y = (rng.normal(size=400) + 0.001 * x) * scale
+    dx = x[None, :] - x[:, None]
+    all_slopes = np.sort(((y[None, :] - y[:, None])[dx > 0]) / dx[dx > 0])
+    before = ts.LISTED
+    ts.LISTED = 3000  # make the search narrow its bracket several times
+    try:
+        ranks = [0, 17, len(all_slopes) // 2, len(all_slopes) - 1]
+        assert ts.select_slopes(x, y, ranks) == [all_slopes[r] for r in ranks]
+    finally:
+        ts.LISTED = before
+
+
+def test_sen_equal_slopes_and_repeated_x():
+    import numpy as np
+    from rainfold.operators import theil_sen as ts
+    x = np.repeat(np.arange(200.0), 2)
+    y = np.where(np.arange(400) % 7 == 0, 3.0, np.floor(x / 10))
+    dx = x[None, :] - x[:, None]
+    all_slopes = np.sort(((y[None, :] - y[:, None])[dx > 0]) / dx[dx > 0])
+    before = ts.LISTED
+    ts.LISTED = 2000
+    try:
+        ranks = list(range(0, len(all_slopes), 9973)) + [len(all_slopes) - 1]
+        assert ts.select_slopes(x, y, ranks) == [all_slopes[r] for r in ranks]
+    finally:
+        ts.LISTED = before
+    assert ts.sen_statistics(np.ones(5), np.arange(5.0)) is None
+
+
+def test_tails_keep_relative_precision(spark):
+    from rainfold.functions.numeric import normal_two_sided_p, student_t_two_sided_p
+    # closed forms: erfc by math.erfc; Student: df 1 is Cauchy, df 2 is algebraic
+    zs = [0.0, 0.3, 1.0, 2.0, 2.2, 4.0, 6.5, 9.0]
+    df = spark.createDataFrame([(z,) for z in zs], "z DOUBLE")
+    import math
+    for r in df.select("z", normal_two_sided_p(F.col("z")).alias("p")).collect():
+        assert r.p == pytest.approx(math.erfc(r.z / math.sqrt(2)), rel=1e-12)
+    ts = [0.01, 0.7, 3.0, 50.0, 1e5]
+    rows = [(t, d) for t in ts for d in (1, 2)]
+    got = {(r.t, r.d): r.p for r in spark.createDataFrame(rows, "t DOUBLE, d INT")
+           .select("t", "d", student_t_two_sided_p(F.col("t"), F.col("d")).alias("p")).collect()}
+    for t in ts:
+        assert got[t, 1] == pytest.approx(2 / math.pi * math.atan(1 / t), rel=1e-9)
+        s = t / math.sqrt(2 + t * t)
+        assert got[t, 2] == pytest.approx(2 / (2 + t * t) / (1 + s), rel=1e-9)
+    # both forms meet where the large-df form takes over, and stay finite far beyond it
+    near = spark.createDataFrame([(3.0, 19_999), (3.0, 20_001), (3.0, 10**11)], "t DOUBLE, d BIGINT")
+    a, b, c = [r.p for r in near.orderBy("d").select(student_t_two_sided_p(F.col("t"), F.col("d")).alias("p")).collect()]
+    assert a == pytest.approx(b, rel=1e-6) and c == pytest.approx(math.erfc(3 / math.sqrt(2)), rel=1e-8)
+
+
+def test_small_p_values_survive_the_output_rounding(spark):
+    from rainfold.plans.output import finalize
+    df = spark.createDataFrame([(1.2345678901e-11, 0.1 + 0.2, 0.0, None)], "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE")
+    r = finalize(df).collect()[0]
+    assert r.a == pytest.approx(1.2345678901e-11, rel=1e-9) and r.b == pytest.approx(0.3, rel=1e-9) and (r.c, r.d) == (0.0, None)
+
+
 def test_theil_sen_fractional_x(spark):
     from brute import sen
     from rainfold.operators.theil_sen import theil_sen
