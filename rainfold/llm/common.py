@@ -145,7 +145,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     repeated edges are allowed; null ends are ignored.
     """
     spark = edges.sparkSession
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    e = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = materialise(e.distinct(), "cc")
     e, nodes = e.where("a > b"), e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     before = None

@@ -80,19 +80,30 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], at
 
 
-def ngram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n characters that end at each place (the first n - 1 places
-    hold meaningless values)."""
+def ngram_hashes(codes: np.ndarray, n: int, place: np.ndarray) -> np.ndarray:
+    """Hash of the n characters that end at each position; ``place`` is the
+    position within its text.  What is before a text's begin counts as spaces,
+    so a value depends on its own text alone."""
     h = np.zeros(len(codes), dtype=np.uint64)
     for k in range(n - 1, -1, -1):
-        shifted = np.roll(codes, k).astype(np.uint64)
-        h = h * np.uint64(0x100000001B3) + shifted + np.uint64(1)
+        h = h * np.uint64(0x100000001B3) + np.roll(codes, k).astype(np.uint64) + np.uint64(1)
+    h = _fmix(h + np.uint64(n))
+    early = np.flatnonzero(place < n - 1)
+    h[early] = _at(codes, early, n, place[early])
+    return h
+
+
+def _at(codes: np.ndarray, ends: np.ndarray, n: int, place: np.ndarray) -> np.ndarray:
+    """``ngram_hashes`` of chosen positions only."""
+    h = np.zeros(len(ends), dtype=np.uint64)
+    for k in range(n - 1, -1, -1):
+        c = np.where(place >= k, codes[(ends - k) % len(codes)], 32)
+        h = h * np.uint64(0x100000001B3) + c.astype(np.uint64) + np.uint64(1)
     return _fmix(h + np.uint64(n))
 
 
-def _count(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    v, c = np.unique(values, return_counts=True)
-    return v, c.astype(np.float64)
+def _places(at: np.ndarray) -> np.ndarray:
+    return np.arange(int(at[-1])) - np.repeat(at[:-1], np.diff(at))
 
 
 @dataclass
@@ -108,16 +119,14 @@ class CharModel:
 
 def fit_char_model(codes: np.ndarray, at: np.ndarray) -> CharModel:
     """Interpolated Kneser-Ney from the characters of one language's texts."""
-    n = len(codes)
-    place = np.arange(n) - np.repeat(at[:-1], np.diff(at))  # place within its text
-    hashes = [ngram_hashes(codes, k) for k in range(1, ORDER + 1)]
+    place = _places(at)
+    hashes = [ngram_hashes(codes, k, place) for k in range(1, ORDER + 1)]
+    ok = place >= 1  # the space before a text is context only
     m = CharModel()
     for k in range(1, ORDER + 1):
-        ok = place >= k - 1
         if k == ORDER:
             own, ctx, low = hashes[k - 1][ok], np.roll(hashes[k - 2], 1)[ok], hashes[k - 2][ok]
         else:  # distinct left neighbours: one occurrence of each longer n-gram
-            ok = place >= k
             longer = np.unique(hashes[k][ok], return_index=True)[1]
             own = hashes[k - 1][ok][longer]
             ctx = np.roll(hashes[k - 2], 1)[ok][longer] if k > 1 else np.zeros(len(own), np.uint64)
@@ -166,24 +175,23 @@ class LanguageModels:
     limits: np.ndarray          # highest accepted cross-entropy per language
     sharpness: float = 20.0     # of the score, calibrated
 
-    def char_logp(self, codes: np.ndarray) -> np.ndarray:
-        """(characters, languages): log probability of each character given up
-        to three before it, across the whole array."""
+    def char_logp(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(characters, languages): log probability of each character given
+        the three before it in its text."""
         if not len(codes):
             return np.zeros((0, len(self.langs)), np.float32)
-        hashes = {ORDER: ngram_hashes(codes, ORDER)}
-        j, hit = _find(self.grams[-1], hashes[ORDER])
+        j, hit = _find(self.grams[-1], ngram_hashes(codes, ORDER, place))
         out = self.logp[-1][j] if len(self.grams[-1]) else np.zeros((len(codes), len(self.langs)), np.float32)
         todo = np.flatnonzero(~hit)
         carried = np.zeros((len(todo), len(self.langs)), np.float32)
         for k in range(ORDER - 1, 0, -1):  # back off for the few that no language has seen
             if not len(todo):
                 break
-            ctx = _at(codes, todo - 1, k)
+            ctx = _at(codes, todo - 1, k, place[todo] - 1)
             i, known = _find(self.contexts[k - 1], ctx)
             if len(self.contexts[k - 1]):
                 carried += np.where(known[:, None], self.logw[k - 1][i], 0.0)
-            i, hit = _find(self.grams[k - 1], _at(codes, todo, k))
+            i, hit = _find(self.grams[k - 1], _at(codes, todo, k, place[todo]))
             if len(self.grams[k - 1]):
                 out[todo[hit]] = carried[hit] + self.logp[k - 1][i[hit]]
             todo, carried = todo[~hit], carried[~hit]
@@ -193,26 +201,17 @@ class LanguageModels:
 
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) mean negative log probability per character,
-        natural units, and the letters of each text.  The first ORDER - 1
-        characters of a text only serve as context."""
+        natural units, and the letters of each text."""
         codes, at = folded(texts)
-        logp = self.char_logp(codes)
-        place = np.arange(len(codes)) - np.repeat(at[:-1], np.diff(at))
-        logp[place < min(ORDER - 1, 1)] = 0.0
+        place = _places(at)
+        logp = self.char_logp(codes, place)
+        logp[place == 0] = 0.0  # the space before the text
         n = np.diff(at)
         sums = np.add.reduceat(logp, at[:-1], axis=0, dtype=np.float64) if len(n) else np.zeros((0, len(self.langs)))
         letters = np.add.reduceat(codes != 32, at[:-1], dtype=np.int64) if len(n) else np.zeros(0, np.int64)
         return -sums / np.maximum(n - 1, 1)[:, None], letters
 
 
-def _at(codes: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """``ngram_hashes`` of chosen places only."""
-    h = np.zeros(len(ends), dtype=np.uint64)
-    for k in range(n - 1, -1, -1):
-        h = h * np.uint64(0x100000001B3) + codes[(ends - k) % len(codes)].astype(np.uint64) + np.uint64(1)
-    return _fmix(h + np.uint64(n))
-
-
 def merge_models(models: dict[str, CharModel]) -> LanguageModels:
     langs = sorted(models)
     floor = np.log(np.array([models[x].floor for x in langs]))
@@ -269,11 +268,11 @@ def _fill(models: LanguageModels, fit: dict[str, CharModel], chars: dict) -> Non
         keys, place, source = [], [], []
         for x in langs:
             codes, at = chars[x]
-            ok = (np.arange(len(codes)) - np.repeat(at[:-1], np.diff(at))) >= k - 1
-            h = ngram_hashes(codes, k)
-            v, first = np.unique(h[ok], return_index=True)
+            places = _places(at)
+            ok = np.flatnonzero(places >= 1)
+            v, first = np.unique(ngram_hashes(codes, k, places)[ok], return_index=True)
             keys.append(v)
-            place.append(np.flatnonzero(ok)[first])
+            place.append(ok[first])
             source.append(np.full(len(v), langs.index(x)))
         union, pick = np.unique(np.concatenate(keys), return_index=True)
         where, which = np.concatenate(place)[pick], np.concatenate(source)[pick]
@@ -281,8 +280,9 @@ def _fill(models: LanguageModels, fit: dict[str, CharModel], chars: dict) -> Non
         for i, x in enumerate(langs):
             mine = which == i
             if k > 1 and mine.any():
-                ctx[mine] = _at(chars[x][0], where[mine] - 1, k - 1)
-                low[mine] = _at(chars[x][0], where[mine], k - 1)
+                inside = _places(chars[x][1])[where[mine]]
+                ctx[mine] = _at(chars[x][0], where[mine] - 1, k - 1, inside - 1)
+                low[mine] = _at(chars[x][0], where[mine], k - 1, inside)
         table_ = np.zeros((len(union), len(langs)), np.float32)
         for i, x in enumerate(langs):
             j, hit = _find(fit[x].grams[k - 1], union)
@@ -372,7 +372,8 @@ def _scores(m: LanguageModels, texts: list[str]) -> tuple[np.ndarray, np.ndarray
     codes, _ = folded(texts)
     total = np.zeros(len(m.langs))
     for i in range(0, len(codes), PIECE):
-        logp = m.char_logp(codes[max(0, i - ORDER):i + PIECE])[min(i, ORDER):]
+        begin = max(0, i - ORDER)
+        logp = m.char_logp(codes[begin:i + PIECE], np.arange(begin, min(i + PIECE, len(codes))))[i - begin:]
         total += logp[1 if i == 0 else 0:].sum(axis=0, dtype=np.float64)
     return -total[None, :] / max(len(codes) - 1, 1), np.array([int((codes != 32).sum())])
 
