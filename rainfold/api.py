@@ -39,8 +39,7 @@ def check_year_coverage(hourly: DataFrame, by: Sequence[str] = ("station",), thr
 
 def hour_month_heatmap(hourly_valid: DataFrame, by: Sequence[str] = ("station",)) -> DataFrame:
     """Data behind the month × hour heatmap: mean rain per (keys, month) with one column per hour."""
-    wide = hourly_valid.groupBy(*by, "month").pivot("hour", list(range(24))).agg(F.avg("rain_mm"))
-    return wide.select(*by, "month", *[F.col(str(h)).alias(f"h{h:02d}") for h in range(24)])
+    return _rh.month_hour_means(hourly_valid, by)
 
 
 def load_station_data(spark: SparkSession, paths, schema=None, date: str = "date") -> DataFrame:

@@ -19,10 +19,6 @@ def floor_to(ts: Column | str, duration: str) -> Column:
     return F.window(_c(ts), duration).start
 
 
-def floor_to_day(ts: Column | str) -> Column:
-    return F.to_date(_c(ts))
-
-
 def year(c: Column | str) -> Column:
     return F.year(_c(c))
 
@@ -61,11 +57,6 @@ def night_date(ts: Column | str, last_hour: int = 5) -> Column:
     return F.when(F.hour(ts) <= last_hour, F.date_sub(F.to_date(ts), 1)).otherwise(F.to_date(ts))
 
 
-def hour_label(h: Column | str) -> Column:
-    """Hour → 'HH:00' (B20)."""
-    return F.format_string("%02d:00", _c(h))
-
-
 # Month labels used by the reports (English short names).
 MONTH_LABELS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
                 "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]

@@ -50,11 +50,13 @@ def normal_two_sided_p(z: Column) -> Column:
 
 
 def _gamma_ratio(a: Column) -> Column:
-    """Γ(a + 1/2) / Γ(a): asymptotic at a + 24, then down by the recurrence."""
+    """Γ(a + 1/2) / Γ(a): asymptotic at a + 48, then down by the recurrence."""
     def at_large(v: Column) -> Column:
-        i = F.lit(1.0) / v
-        return F.sqrt(v) * (1 + i * (F.lit(-1 / 8) + i * (F.lit(1 / 128) + i * (F.lit(5 / 1024) + i * F.lit(-21 / 32768)))))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(23)), at_large(a + 24), lambda r, k: r * (a + k) / (a + k + 0.5))
+        i, sum_ = F.lit(1.0) / v, F.lit(869 / 4194304)
+        for c in (-399 / 262144, -21 / 32768, 5 / 1024, 1 / 128, -1 / 8, 1.0):
+            sum_ = F.lit(c) + i * sum_
+        return F.sqrt(v) * sum_
+    return F.aggregate(F.sequence(F.lit(0), F.lit(47)), at_large(a + 48), lambda r, k: r * (a + k) / (a + k + 0.5))
 
 
 #: Degrees of freedom from which the normal form of the Student tail is used.

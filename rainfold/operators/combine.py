@@ -59,8 +59,3 @@ def union_eras(frames: Sequence[DataFrame], key: Sequence[str] | None = None,
 def common_keys(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Keys present in both."""
     return a.select(*cols).intersect(b.select(*cols))
-
-
-def all_keys(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Keys present in either."""
-    return a.select(*cols).union(b.select(*cols)).distinct()

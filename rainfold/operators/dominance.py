@@ -1,8 +1,7 @@
 """Pair-order counting without materialising pairs.
 
 For a series ordered by position, the number of pairs i < j whose keys
-satisfy key_i ≤ key_j is needed by Mann-Kendall (concordant pairs) and by
-Theil-Sen slope selection (pairs whose slope is ≤ s).  Listing the
+satisfy key_i ≤ key_j is needed by Mann-Kendall (concordant pairs).  Listing the
 n(n-1)/2 pairs is quadratic; instead every element is replicated once per
 *level* L = 0..⌈log2 n⌉-1.  At level L the positions are cut into parent
 blocks of 2^(L+1); the left half of a block precedes its right half, so
@@ -50,11 +49,3 @@ def pairs_le(series: DataFrame, sid: Sequence[str], pos: str, key: str, size: st
     lev = leveled(series.select(*sid, pos, key, size), pos, F.col(size))
     cnt = lev.select(*sid, right_le_counts(lev, sid, key).alias("_c"))
     return cnt.groupBy(*sid).agg(F.sum("_c").alias("pairs_le"))
-
-
-def per_element_le(series: DataFrame, sid: Sequence[str], pos: str, key: str, size: str) -> DataFrame:
-    """Per element j: #{i < j : key_i ≤ key_j} as column ``le_before``."""
-    sid = list(sid)
-    lev = leveled(series.select(*sid, pos, key, size), pos, F.col(size))
-    cnt = lev.select(*sid, pos, right_le_counts(lev, sid, key).alias("_c"))
-    return cnt.groupBy(*sid, pos).agg(F.sum("_c").alias("le_before"))

@@ -127,9 +127,7 @@ def theil_sen(series: DataFrame, sid: Sequence[str], min_n: int = 4, z: float =
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         n = len(rows)
-        if n < 2:
-            return pd.DataFrame({c: [] for c in [*sid, "n", *names]})
         found = sen_statistics(rows["x"].to_numpy(float), rows["y"].to_numpy(float), z) if n >= min_n else None
         return pd.DataFrame([[*key, n, *(found or [None] * 4)]], columns=[*sid, "n", *names])
 
-    return series.select(*sid, "x", "y").groupBy(*sid).applyInPandas(run, schema)
+    return series.select(*sid, "x", "y").groupBy(*sid).applyInPandas(run, schema).where("n >= 2")

@@ -9,8 +9,7 @@ result rows only.
 
 Pair statistics never list the n(n-1)/2 pairs: Mann-Kendall S comes from
 the level decomposition in :mod:`rainfold.operators.dominance`; Pettitt's U
-from mid-rank prefix sums; Theil-Sen (in :mod:`rainfold.operators.theil_sen`)
-from slope selection by pair counting.  Each series' length is bounded by
+from mid-rank prefix sums; Theil-Sen is in :mod:`rainfold.operators.theil_sen`.  Each series' length is bounded by
 its calendar grain (years, months, days); the data volume grows with the
 number of series, which spread across tasks.
 """
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 from rainfold.functions.numeric import (factorial, kolmogorov_q, normal_two_sided_p,
                                         student_t_two_sided_p)
 from rainfold.operators.dominance import pairs_le
-from rainfold.session import materialise_once
 
 EXACT_MAX_N = 33
 
@@ -108,7 +106,6 @@ def _kendall_cdf_native(spark: SparkSession, max_n: int = EXACT_MAX_N) -> DataFr
 def mk_counts(series: DataFrame, sid: Sequence[str]) -> DataFrame:
     """S, tie terms and concordance counts per series."""
     sid = list(sid)
-    series = materialise_once(series)
     t = F.col("t")
     base = (series.groupBy(*sid, "y").agg(F.count(F.lit(1)).alias("t"), F.max("span").alias("span"))
             .groupBy(*sid).agg(F.sum("t").alias("n"), F.max("span").alias("span"),
@@ -265,47 +262,6 @@ def ols(series: DataFrame, sid: Sequence[str], min_n: int = 3) -> DataFrame:
 
 # ---------------------------------------------------------------- two samples
 
-def ks_two_sample(df: DataFrame, by: Sequence[str], sample: str, value: str,
-                  first: str = "early", second: str = "late") -> DataFrame:
-    """D = max |F1 − F2| over the pooled values; asymptotic p = Q(λ),
-    λ = D·√(n1·n2/(n1+n2)).  Values are first collapsed to counts, so the
-    per-key cumulative window runs over distinct values only."""
-    by = list(by)
-    smp = F.col(sample)
-    counts = (df.where(F.col(value).isNotNull() & smp.isin(first, second))
-              .groupBy(*by, F.col(value).alias("_v"))
-              .agg(F.count_if(smp == first).alias("_a"), F.count_if(smp == second).alias("_b")))
-    w_cum = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*by)
-    cdf = counts.select(*by, F.sum("_a").over(w_cum).alias("_ca"), F.sum("_b").over(w_cum).alias("_cb"),
-                        F.sum("_a").over(w_all).alias("n1"), F.sum("_b").over(w_all).alias("n2"))
-    d = cdf.groupBy(*by).agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"),
-                             F.max(F.abs(F.col("_ca") / F.col("n1") - F.col("_cb") / F.col("n2"))).alias("d"))
-    en = F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))
-    ok = (F.col("n1") > 0) & (F.col("n2") > 0)
-    return d.select(*by, "n1", "n2", F.when(ok, F.col("d")).alias("d"),
-                    F.when(ok, kolmogorov_q(F.col("d") * F.sqrt(en))).alias("p_value"))
-
-
-def t_test(df: DataFrame, by: Sequence[str], sample: str, value: str,
-           first: str = "early", second: str = "late") -> DataFrame:
-    """Two-sample t test with pooled variance; also both means."""
-    by = list(by)
-    smp, v = F.col(sample), F.col(value)
-    a, b = F.when(smp == first, v), F.when(smp == second, v)
-    g = df.groupBy(*by).agg(F.count(a).alias("n1"), F.count(b).alias("n2"),
-                            F.avg(a).alias("mean1"), F.avg(b).alias("mean2"),
-                            F.var_samp(a).alias("_v1"), F.var_samp(b).alias("_v2"))
-    n1, n2 = F.col("n1"), F.col("n2")
-    dfree = n1 + n2 - 2
-    sp2 = ((n1 - 1) * F.col("_v1") + (n2 - 1) * F.col("_v2")) / dfree
-    t = (F.col("mean1") - F.col("mean2")) / F.sqrt(sp2 * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
-    ok = (n1 >= 2) & (n2 >= 2) & (sp2 > 0)
-    out = g.select(*by, "n1", "n2", "mean1", "mean2", F.when(ok, t).alias("t"), dfree.alias("df"))
-    return out.withColumn("p_value", F.when(F.col("t").isNotNull(),
-                                            student_t_two_sided_p(F.col("t"), F.col("df"))))
-
-
 def two_sample_tests(df: DataFrame, by: Sequence[str], sample: str, value: str,
                      first: str = "early", second: str = "late") -> DataFrame:
     """T7 and T8 from one pass: (keys, n1, n2, ks_d, ks_p_value, mean1, mean2,

@@ -795,9 +795,9 @@ SELECT station, season, n, {r6('s')} AS s, {r6('var_s')} AS var_s FROM ({_season
 # --- the night chain and further compositions ----------------------------------
 
 NIGHT_DAYS = NIGHTS + """,
-vn AS (SELECT station, year FROM nights GROUP BY ALL HAVING count(*) FILTER (WHERE is_complete) / 21.0 >= 0.70),
+vn AS (SELECT station, year FROM nights GROUP BY ALL HAVING count(*) FILTER (WHERE readings_count >= 8) / 21.0 >= 0.70),
 days AS (SELECT station, night_date AS date, year, night_T_min AS T_min, night_T_max AS T_max FROM nights
-         WHERE is_complete AND (station, year) IN (SELECT (station, year) FROM vn))"""
+         WHERE readings_count >= 8 AND (station, year) IN (SELECT (station, year) FROM vn))"""
 
 
 def _warm(*thresholds: float) -> str:
@@ -869,8 +869,8 @@ ORACLES["yearly_maxima_trends"] = sql(
   FROM (UNPIVOT mx ON max_daily, max_hourly, max_30min INTO NAME measure VALUE v))""")
 
 ORACLES["seasonal_mk_hourly_means"] = seasonal_sql((VALID_HOURLY, """sser AS (
-  SELECT station, season, row_number() OVER (PARTITION BY station, season ORDER BY year) - 1 AS pos, y FROM (
-    SELECT station, month AS season, year, avg(rain_mm) AS y FROM valid GROUP BY ALL))"""))
+  SELECT station, hour AS season, row_number() OVER (PARTITION BY station, hour ORDER BY day) - 1 AS pos, y FROM (
+    SELECT station, hour, day, avg(rain_mm) AS y FROM valid GROUP BY ALL))"""))
 
 ORACLES["two_station_count_trend"] = sql(ols_sql("ser", ["station", "threshold"]), WARM, """ser AS (
   SELECT k.station, k.threshold, CAST(k.year AS DOUBLE) AS x, CAST(coalesce(wc.count, 0) AS DOUBLE) AS y

@@ -57,13 +57,17 @@ def station_hour_comparison(halfhourly: DataFrame, left: str, right: str, statio
                            names=("mean_left", "mean_right"))
 
 
-def month_hour_matrix(halfhourly: DataFrame, by: Sequence[str] = ("station",), **valid_kw) -> DataFrame:
-    """Month × hour matrix of mean rain; fixed pivot values avoid a distinct pass."""
-    valid = valid_hourly(halfhourly, by, **valid_kw)
+def month_hour_means(valid: DataFrame, by: Sequence[str] = ("station",)) -> DataFrame:
+    """Mean rain per (keys, month), one column per hour; fixed pivot values avoid a distinct pass."""
     wide = valid.groupBy(*by, "month").pivot("hour", list(range(24))).agg(F.avg("rain_mm"))
     return wide.select(*by, "month", *[F.col(str(h)).alias(f"h{h:02d}") for h in range(24)])
 
 
+def month_hour_matrix(halfhourly: DataFrame, by: Sequence[str] = ("station",), **valid_kw) -> DataFrame:
+    """Month × hour matrix of mean rain over valid periods."""
+    return month_hour_means(valid_hourly(halfhourly, by, **valid_kw), by)
+
+
 def early_late_samples(valid: DataFrame, by: Sequence[str], period: str, k: int = 5) -> DataFrame:
     """Rows of the first k and last k valid periods per key, tagged
     'early'/'late' (a row is in both samples when there are < 2k periods).

@@ -41,14 +41,15 @@ def seasonal_mk_monthly_means(daily: DataFrame, by: Sequence[str] = ("station",)
     return overall
 
 
-def seasonal_mk_hourly_means(valid_hours: DataFrame, by: Sequence[str] = ("station",), ts: str = "datetime_utc",
-                             value: str = "rain_mm") -> DataFrame:
-    """Q6: seasonal MK on the monthly mean of gap-filled, well-covered hours
-    (season = month, ordered by year)."""
+def seasonal_mk_hourly_means(valid_hours: DataFrame, by: Sequence[str] = ("station",), value: str = "rain_mm",
+                             season: str = "month", period: str = "year") -> DataFrame:
+    """Q6: seasonal MK on the mean of gap-filled, well-covered hours per
+    (season, period): each month over the years, or for a short record each
+    hour of the day over the days."""
     by = list(by)
-    m = (valid_hours.groupBy(*by, F.year(ts).alias("year"), F.month(ts).alias("season"))
+    m = (valid_hours.groupBy(*by, F.col(season).alias("season"), F.col(period).alias("_period"))
          .agg(F.avg(value).alias("mean_value")))
-    overall, _ = seasonal_mann_kendall(make_series(m, [*by, "season"], "year", "mean_value"), by, "season")
+    overall, _ = seasonal_mann_kendall(make_series(m, [*by, "season"], "_period", "mean_value"), by, "season")
     return overall
 
 

@@ -9,15 +9,11 @@ from pyspark.sql import functions as F
 
 from rainfold.operators.theil_sen import theil_sen
 from rainfold.operators.trend import mann_kendall, pettitt
-from rainfold.session import materialise_once
 
 
 def trend_row(series: DataFrame, sid: Sequence[str]) -> DataFrame:
     """T5: Mann-Kendall + Theil-Sen + Pettitt for every series in one table."""
     sid = list(sid)
-    # the three statistics read the same series: materialise it once in the
-    # checkpoint folder instead of recomputing its source three times
-    series = materialise_once(series)
     mk = mann_kendall(series, sid)
     ts = theil_sen(series, sid)
     pt = pettitt(series, sid)

@@ -1,4 +1,4 @@
-"""Session construction and lineage helpers."""
+"""Session construction and the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job assumes: UTC wall clock (the station data is naive UTC),
 # AQE for runtime coalescing and skew splitting of shuffles.
@@ -56,22 +56,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local).
-
-    The input is persisted first so that writing the checkpoint files reads
-    the cached partitions instead of recomputing the whole plan a second
-    time; the cache is released once the checkpoint exists.
-    """
-    from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
@@ -79,16 +63,3 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
-
-
-def materialise_once(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` unless it already is a checkpointed series.
-
-    Used where an operator reads its (small, aggregated) input in more than
-    one branch: without it each branch would recompute the input from the
-    raw tables."""
-    if getattr(df, "_rainfold_checkpointed", False):
-        return df
-    out = cut_lineage(df)
-    out._rainfold_checkpointed = True
-    return out

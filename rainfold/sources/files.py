@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rainfold.functions.clean import nan_to_null
+
 STRAY_INDEX_COLUMNS = ["Unnamed: 0", "_c0"]
 
 
@@ -24,6 +26,8 @@ def read_station_csv(spark: SparkSession, paths: list[str] | str, schema: Struct
     if station_from_file and "station" not in df.columns:
         name = F.element_at(F.split(F.input_file_name(), "/"), -1)
         df = df.withColumn("station", F.regexp_replace(name, r"(_hourly|_daily)?\.csv$", ""))
+    # NaN text is a missing reading: map it to NULL once, at load
+    df = df.withColumns({c: nan_to_null(c) for c, t in df.dtypes if t in ("double", "float")})
     return drop_stray_index(df)
 
 

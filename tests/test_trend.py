@@ -154,10 +154,9 @@ def test_kolmogorov_tail_published_values(spark):
 def test_ks_two_sample_statistic(spark):
     rows = [("a", "early", float(v)) for v in (1, 2, 3, 4)] + [("a", "late", float(v)) for v in (3, 4, 5, 6)]
     df = spark.createDataFrame(rows, "station STRING, sample STRING, v DOUBLE")
-    r = trend.ks_two_sample(df, ["station"], "sample", "v").collect()[0]
-    assert (r.n1, r.n2, r.d) == (4, 4, 0.5)
-    t = trend.t_test(df, ["station"], "sample", "v").collect()[0]
-    assert t.t == pytest.approx(-2.190890, abs=1e-6) and t.df == 6
+    r = trend.two_sample_tests(df, ["station"], "sample", "v").collect()[0]
+    assert (r.n1, r.n2, r.ks_d, r.mean1, r.mean2) == (4, 4, 0.5, 2.5, 4.5)
+    assert r.t == pytest.approx(-2.190890, abs=1e-6) and r.t_p_value == pytest.approx(0.0710053, abs=1e-6)  # 6 degrees of freedom
 
 
 @pytest.mark.parametrize("scale", [1e-13, 1.0, 1e9])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from rainfold.operators.periods import rain_periods  # noqa: E402
 from rainfold.operators.trend import make_series, mann_kendall, pettitt  # noqa: E402
 from rainfold.plans import rain_hours  # noqa: E402
-from rainfold.session import build_session, cut_lineage  # noqa: E402
+from rainfold.session import build_session  # noqa: E402
 from rainfold.sources import fixtures as fx  # noqa: E402
 
 
@@ -40,8 +40,8 @@ def main():
     orders = fx.load(spark, sf, "orders")
     for k in ks:
         # materialise the replicated inputs once so only the operators are timed
-        hh = cut_lineage(fx.halfhourly_from_events(replicate(events, "event_type", k)))
-        dd = cut_lineage(fx.daily_from_orders(replicate(orders, "o_orderpriority", k)))
+        hh = fx.halfhourly_from_events(replicate(events, "event_type", k)).checkpoint()
+        dd = fx.daily_from_orders(replicate(orders, "o_orderpriority", k)).checkpoint()
         monthly = (dd.groupBy("station", F.year("date").alias("year"), F.month("date").alias("month"))
                    .agg(F.sum("rain_mm").alias("total")))
         series = make_series(monthly, ["station"], ["year", "month"], "total")
