@@ -1,11 +1,12 @@
 """Token ids as length-delimited binary records (operator 1).
 
-File format, one ``shard-NNNNNN.rec`` per range of ids::
+File format, one ``shard-NNNNNN.rec`` per range of ids: a header (``TOKR`` and
+the bytes of an id as uint32), then records::
 
     uint64 length | uint32 masked crc32 of the length | payload | uint32 masked crc32 of the payload
 
-(all little-endian; the payload is the id sequence as unsigned 32-bit
-integers) and beside it ``shard-NNNNNN.idx``: one ``<q Q Q>`` entry (document
+(all little-endian; the payload is the id sequence as unsigned integers of 2
+bytes if the whole vocabulary fits, else 4) and beside it ``shard-NNNNNN.idx``: one ``<q Q Q>`` entry (document
 id, offset of the frame, payload length) per record, in the same order.  The
 checksum is CRC-32 with the usual rotate-and-add mask, so that a stored
 checksum of data that itself holds checksums stays strong.
@@ -42,6 +43,9 @@ NO_ID = -(1 << 63)
 CACHE_PIECES = 600_000
 
 
+MAGIC, HEADER_BYTES = b"TOKR", 8
+
+
 class CorruptRecord(ValueError):
     """A length or checksum does not match."""
 
@@ -70,6 +74,14 @@ def read_frame(stream) -> bytes | None:
     return body[:n]
 
 
+def read_header(stream) -> np.dtype:
+    """Type of the ids in a file that is at its beginning."""
+    head = stream.read(HEADER_BYTES)
+    if len(head) < HEADER_BYTES or head[:4] != MAGIC or head[4:] not in (b"\2\0\0\0", b"\4\0\0\0"):
+        raise CorruptRecord("header")
+    return np.dtype(f"<u{head[4]}")
+
+
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     """Filesystem and path of a folder given as URI or absolute path."""
     if uri.startswith("/"):
@@ -109,8 +121,21 @@ class PieceEncoder:
         self.after_space: dict[str, int] = {}  # piece -> entry; 0: not usable
         self.pool = np.zeros(1 << 20, dtype="<u4")  # ids of all entries, one after the other
         self.begins = np.zeros(CACHE_PIECES + 2, dtype=np.int64)
+        self.uses = np.zeros(CACHE_PIECES + 2, dtype=np.int32)  # batches that used the entry
         self.used = 1  # entry 0 is empty
 
+    def _forget(self) -> None:
+        """Keep the entries that the most batches used, half of the cache at most."""
+        old, pool, begins, uses, used = self.after_space, self.pool, self.begins, self.uses, self.used
+        least = np.partition(uses[1:used], -(CACHE_PIECES // 2))[-(CACHE_PIECES // 2)] + 1
+        words = [w for w, k in old.items() if k and uses[k] >= least]
+        entry = np.array([old[w] for w in words], np.int64)
+        self._clear()
+        if words:
+            lens = begins[entry + 1] - begins[entry]
+            ends = np.cumsum(lens)
+            self._add(words, pool[np.arange(ends[-1]) + np.repeat(begins[entry] - ends + lens, lens)], ends - lens)
+
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -120,6 +145,7 @@ class PieceEncoder:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while self.used + n + 1 > len(self.begins):
             self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         self.pool[at:at + len(ids)] = ids
         self.begins[self.used:self.used + n] = at + begins
         self.begins[self.used + n] = at + len(ids)
@@ -156,16 +182,19 @@ class PieceEncoder:
         at = np.asarray(pieces.offsets) - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()
         codes, words = np.array(coded.indices), coded.dictionary.to_pylist()
-        if len(self.after_space) > CACHE_PIECES:
-            self._clear()
+        if self.used > CACHE_PIECES:
+            self._forget()
         known = self.after_space
         missing = [w for w in words if w not in known]
         if missing:
             self._learn(missing)
         entry = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.uses[entry] += 1
 
         # a piece that is empty or ends with white space hides a cut that isn't one
-        slow = np.add.reduceat(entry[codes] == 0, at[:-1]) > 0
+        slow = np.zeros(len(texts), bool)
+        if not entry.all():
+            slow |= np.add.reduceat(entry[codes] == 0, at[:-1]) > 0
         for x in self.special:
             slow |= np.asarray(pc.match_substring(texts, x))
         # the first piece of each text has no space before it; slow texts are one entry
@@ -173,19 +202,22 @@ class PieceEncoder:
         begin = {c: self._ids(words[c]) for c in set(firsts[~slow].tolist())}
         own = [self.encode(texts[i].as_py()) if slow[i] else begin[c] for i, c in enumerate(firsts.tolist())]
         own_lens = np.fromiter(map(len, own), np.int64, len(own))
-        own_begins = len(self.pool) + np.concatenate([[0], np.cumsum(own_lens)[:-1]])
-        pool = np.concatenate([self.pool, *own])
-
-        keep = np.repeat(~slow, np.diff(at))
-        keep[at[:-1]] = True
-        where = self.begins[entry][codes]
-        n = (self.begins[entry + 1] - self.begins[entry])[codes]
-        where[at[:-1]], n[at[:-1]] = own_begins, own_lens
-        counts = np.add.reduceat(keep, at[:-1], dtype=np.int64)
-        where, n = where[keep], n[keep]
-        ends = np.cumsum(n)
-        ids = pool[np.arange(ends[-1]) + np.repeat(where - ends + n, n)]
-        return ids, np.concatenate([[0], ends[np.cumsum(counts) - 1]])
+        size = int(self.begins[self.used])
+        pool = np.concatenate([self.pool[:size], *own])
+
+        begins = self.begins.astype(np.int32) if len(pool) < 1 << 31 else self.begins
+        where, n = begins[entry][codes], (begins[entry + 1] - begins[entry])[codes]
+        where[at[:-1]], n[at[:-1]] = size + np.cumsum(own_lens) - own_lens, own_lens
+        counts = np.diff(at)
+        if slow.any():
+            keep = np.repeat(~slow, counts)
+            keep[at[:-1]] = True
+            counts = np.add.reduceat(keep, at[:-1], dtype=np.int64)
+            where, n = where[keep], n[keep]
+        ends = np.cumsum(n, dtype=where.dtype)
+        gather = np.repeat(where - ends + n, n)
+        gather += np.arange(len(gather), dtype=gather.dtype)
+        return pool[gather], np.concatenate([[0], ends[np.cumsum(counts) - 1]])
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -214,7 +246,7 @@ def write_token_records(df: DataFrame, out_uri: str, tokenizer_path: str, id_col
     ranged = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = ranged.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    end = b"" if end_id is None else struct.pack("<I", end_id)
+    end = [] if end_id is None else [end_id]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -222,21 +254,24 @@ def write_token_records(df: DataFrame, out_uri: str, tokenizer_path: str, id_col
         fs, folder = open_folder(out_uri)
         encoder = _encoder(tokenizer_path)
         part = rec = idx = None
-        offset = records = tokens = 0
+        width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
+        offset, records, tokens = HEADER_BYTES, 0, 0
         for batch in chunks(batches, limit=4 * CHUNK_BYTES):
             if rec is None:
                 fs.create_dir(folder, recursive=True)
                 part = f"{folder}/_{shard:06d}-{uuid.uuid4().hex}"
                 rec, idx = fs.open_output_stream(part + ".rec"), fs.open_output_stream(part + ".idx")
+                rec.write(MAGIC + struct.pack("<I", width))
             ids, at = encoder.encode_batch(batch.column("text").fill_null(""))
+            ids, last = ids.astype(f"<u{width}"), np.array(end, f"<u{width}").tobytes()
             for doc, i, j in zip(batch.column("id").to_pylist(), at[:-1], at[1:]):
-                payload = ids[i:j].tobytes() + end
+                payload = ids[i:j].tobytes() + last
                 framed = frame(payload)
                 rec.write(framed)
                 idx.write(struct.pack(INDEX_ENTRY, NO_ID if doc is None else doc, offset, len(payload)))
                 offset += len(framed)
                 records += 1
-                tokens += len(payload) // 4
+                tokens += len(payload) // width
         if rec is not None:
             rec.close()
             idx.close()
@@ -250,7 +285,8 @@ def write_token_records(df: DataFrame, out_uri: str, tokenizer_path: str, id_col
 def read_token_records(manifest: DataFrame, out_uri: str, ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids binary]) read back from the
     shards, every length and checksum verified.  ``start`` counts the ids of
-    all records before, in shard order."""
+    all records before, in shard order; ``ids`` holds (and the crc32 is over)
+    unsigned 32-bit integers."""
     starts = _shard_starts(manifest)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +296,7 @@ def read_token_records(manifest: DataFrame, out_uri: str, ids: bool = True) -> D
                 name = f"{folder}/shard-{shard:06d}"
                 rows, held = [], 0
                 with fs.open_input_stream(name + ".rec", buffer_size=1 << 20) as rec, fs.open_input_stream(name + ".idx", buffer_size=1 << 20) as idx:
+                    kind = read_header(rec)
                     for _ in range(n_records):
                         payload = read_frame(rec)
                         entry = idx.read(INDEX_BYTES)
@@ -268,9 +305,10 @@ def read_token_records(manifest: DataFrame, out_uri: str, ids: bool = True) -> D
                         doc, _, n = struct.unpack(INDEX_ENTRY, entry)
                         if n != len(payload):
                             raise CorruptRecord(f"{name}: index and record differ")
-                        rows.append((None if doc == NO_ID else doc, start, len(payload) // 4, zlib.crc32(payload), payload if ids else None))
-                        start += len(payload) // 4
-                        held += len(payload) if ids else 40
+                        found = np.frombuffer(payload, kind).astype("<u4").tobytes()
+                        rows.append((None if doc == NO_ID else doc, start, len(found) // 4, zlib.crc32(found), found if ids else None))
+                        start += len(found) // 4
+                        held += len(found) if ids else 40
                         if held > 4 << 20:
                             yield _record_batch(rows, ids)
                             rows, held = [], 0
@@ -332,20 +370,23 @@ def shuffled_records(spark: SparkSession, manifest: DataFrame, out_uri: str, see
 
     def read(batches):
         fs, folder = open_folder(out_uri)
-        files: dict[int, object] = {}
+        files: dict[int, tuple] = {}
         for batch in batches:
             for doc, shard, offset, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "shard", "offset", "length"))):
                 if shard not in files:
                     if len(files) >= 64:
-                        files.pop(next(iter(files))).close()
-                    files[shard] = fs.open_input_file(f"{folder}/shard-{shard:06d}.rec")
-                files[shard].seek(offset)
-                payload = read_frame(files[shard])
+                        files.pop(next(iter(files)))[0].close()
+                    opened = fs.open_input_file(f"{folder}/shard-{shard:06d}.rec")
+                    files[shard] = opened, read_header(opened)
+                file, kind = files[shard]
+                file.seek(offset)
+                payload = read_frame(file)
                 if payload is None or len(payload) != n:
                     raise CorruptRecord(f"shard {shard} at {offset}")
+                payload = np.frombuffer(payload, kind).astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([payload], pa.binary())], ["doc_id", "ids"])
-        for f in files.values():
-            f.close()
+        for file, _ in files.values():
+            file.close()
     return order.mapInArrow(read, "doc_id long, ids binary")
 
 
