@@ -40,7 +40,7 @@ RULES = (
     Rule("symbol_ratio", "symbol_ratio", None, 0.10),
     Rule("stop_words", "n_stop_words", 2, None),
     Rule("stop_word_ratio", "stop_word_ratio", 0.02, None),
-    Rule("duplicate_lines", "dup_line_ratio", None, 0.30),
+    Rule("duplicate_lines", "dup_line_ratio", None, 0.50),
     Rule("bullet_lines", "bullet_line_ratio", None, 0.90),
     Rule("ellipsis_lines", "ellipsis_line_ratio", None, 0.30),
     Rule("alphabetic_words", "alpha_word_ratio", 0.60, None),
@@ -232,6 +232,6 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 15.0 * n_words
          AND n_symbols / word_chars <= 0.10 AND n_stop >= 2 AND n_stop / n_words >= 0.02
-         AND n_dup_lines / n_lines <= 0.30 AND n_bullet / n_lines <= 0.90 AND n_ellipsis / n_lines <= 0.30
+         AND n_dup_lines / n_lines <= 0.50 AND n_bullet / n_lines <= 0.90 AND n_ellipsis / n_lines <= 0.30
          AND n_alpha / n_words >= 0.60 AS kept
 FROM v"""
