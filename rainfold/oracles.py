@@ -697,10 +697,12 @@ SELECT format, status, count(*) AS documents, CAST(sum(rows) AS BIGINT) AS rows
   UNION ALL
   SELECT 'html', 'ok', count(*) FROM rv GROUP BY station, year, month
   UNION ALL
-  SELECT fmt, CASE WHEN fmt = 'unsupported' THEN 'unsupported_format'
-                   WHEN lower(html) LIKE '%<table%' THEN 'parsed_zero_rows' ELSE 'no_table' END, 0
+  SELECT fmt, CASE WHEN gone THEN 'not_found' WHEN fmt = 'unsupported' THEN 'unsupported_format'
+                   WHEN fmt = 'txt' OR lower(html) LIKE '%<table%' THEN 'parsed_zero_rows' ELSE 'no_table' END, 0
   FROM (SELECT html, CASE WHEN u LIKE '%.txt' THEN 'txt' WHEN u LIKE '%.html' OR u LIKE '%.htm' THEN 'html'
-                          ELSE 'unsupported' END AS fmt
+                          WHEN regexp_matches(html, '(?is)<(!doctype[[:space:]]+html|html|body|table)\\b') THEN 'html'
+                          ELSE 'unsupported' END AS fmt,
+               html IS NULL OR trim(html) = '' OR regexp_matches(html, '(?is)<title>[^<]*\\b(404|not found)\\b[^<]*</title>') AS gone
         FROM (SELECT html, lower(regexp_replace(url, '[?#].*$', '')) AS u FROM pages)))
 GROUP BY ALL""", REPORT_VALUES)
 

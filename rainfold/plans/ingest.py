@@ -54,10 +54,6 @@ def two_era_city_table(daily: DataFrame, split_month: str = "1998-01-01", dedupe
                     F.dayofmonth("date").alias("day"), "T_max", "T_min", "T_avg", "rain_mm", "wind_dir")
 
 
-def _with_ids(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_id", F.xxhash64("url"))
-
-
 def text_roundtrip(daily: DataFrame) -> DataFrame:
     """Render monthly text reports from the daily table and parse them back."""
     docs = reports.render_text_reports(reports.report_values(daily))
@@ -66,34 +62,28 @@ def text_roundtrip(daily: DataFrame) -> DataFrame:
 
 def html_roundtrip(daily: DataFrame) -> DataFrame:
     """S8 (+S4 cell extraction): render row-wise HTML monthly reports and parse them back."""
-    docs = _with_ids(reports.render_html_reports(reports.report_values(daily)))
-    cells = reports.html_cells(docs, keep=("station", "year", "month"))
-    return reports.parse_html_rows(cells.where(F.col("cells").isNotNull()), docs).drop("doc_id")
+    return reports.parse_html_rows(reports.render_html_reports(reports.report_values(daily)))
 
 
 def ingest_ledger(daily: DataFrame, pages: DataFrame) -> DataFrame:
     """Text reports, HTML reports and raw web pages through one
-    dispatcher; documents and rows per (format, status)."""
+    dispatcher; documents and rows per (format, status).  Every document is
+    judged inside its own row, so no identity is needed and none is merged."""
     values = reports.report_values(daily)
-    txt = reports.render_text_reports(values).select("url", "body", "year", "month")
-    html = reports.render_html_reports(values).select("url", "body", "year", "month")
-    web = pages.select("url", F.col("html").alias("body"), F.lit(None).cast("int").alias("year"),
-                       F.lit(None).cast("int").alias("month"))
-    docs = _with_ids(txt.unionByName(html).unionByName(web))
-    return reports.ledger_summary(reports.ingest_status(docs))
+    txt = reports.render_text_reports(values).select("url", "body")
+    html = reports.render_html_reports(values).select("url", "body")
+    web = pages.select("url", F.col("html").alias("body"))
+    return reports.ledger_summary(reports.ledger(txt.unionByName(html).unionByName(web), keys=()))
 
 
 def day_page_roundtrip(halfhourly: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Render half-hourly day pages and parse them back; returns (rows, rejects)."""
-    docs = _with_ids(reports.render_day_pages(halfhourly))
-    cells = reports.html_cells(docs, keep=("station", "date"))
-    return reports.parse_day_pages(cells, docs)
+    return reports.parse_day_pages(reports.render_day_pages(halfhourly))
 
 
 def stacked_roundtrip(daily: DataFrame) -> DataFrame:
     """Render column-stacked monthly reports and parse them back."""
-    docs = _with_ids(reports.render_stacked_reports(daily))
-    return reports.parse_stacked_reports(reports.html_cells(docs, keep=("station", "year", "month")), docs)
+    return reports.parse_stacked_reports(reports.render_stacked_reports(daily))
 
 
 def page_ledger(pages: DataFrame) -> DataFrame:

@@ -11,11 +11,11 @@ raises, and the rejects form a ledger.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.functions.clean import (COMPASS_DEGREES, iso_date, report_int, report_number, report_time, report_wind_dir,
-                                      strip_text)
+                                      sentinel_to_null, strip_approx_mark, strip_text, text_to_double)
 
 # Fixed value: one line of a monthly text report (F7): day, mean, high,
 # high time, low, low time, heating and cooling degree days, rain, mean
@@ -63,16 +63,6 @@ def parse_text_reports(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "year
     return out.withColumn("date", iso_date("year", "month", "day")).withColumn("source_format", F.lit("txt"))
 
 
-def text_line_stats(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Lines seen and lines accepted per document (the silent drops made visible)."""
-    lines = docs.select(*keys, F.explode(F.split("body", "\n")).alias("line"))
-    return lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("lines"),
-                                    F.count_if(F.col("line").rlike(TEXT_ROW_PATTERN)).alias("accepted"))
-
-
-HTML_CELL_COLUMNS = ["doc_id", "n_tables", "table_no", "row_no", "cells", "error"]
-
-
 # The HTML character references decoded in cell text.
 HTML_ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
                  ("&#39;", "'"), ("&amp;", "&")]
@@ -129,30 +119,28 @@ def html_cells(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     keep = list(keep)
     nested = F.coalesce(nested_tables(F.col("body")), F.lit(False))
-    d = docs.select("doc_id", *keep, F.coalesce(n_tables(F.col("body")), F.lit(0)).cast("int").alias("n_tables"),
+    d = docs.select(*keep, F.coalesce(n_tables(F.col("body")), F.lit(0)).cast("int").alias("n_tables"),
                     F.when(nested, F.lit("tables inside tables")).alias("error"),
                     F.when(~nested, table_rows(F.col("body"))).alias("_tables"))
-    t = d.select("doc_id", *keep, "n_tables", "error", F.posexplode_outer("_tables").alias("table_no", "_rows"))
-    r = t.select("doc_id", *keep, "n_tables", "error", "table_no", F.posexplode_outer("_rows").alias("row_no", "cells"))
-    return r.select("doc_id", "n_tables", F.col("table_no").cast("int").alias("table_no"), F.col("row_no").cast("int").alias("row_no"),
-                    "cells", "error", *keep)
+    t = d.select(*keep, "n_tables", "error", F.posexplode_outer("_tables").alias("table_no", "_rows"))
+    return t.select(*keep, "n_tables", "error", "table_no", F.posexplode_outer("_rows").alias("row_no", "cells"))
 
 
-def parse_html_rows(cells: DataFrame, docs: DataFrame) -> DataFrame:
+def parse_html_rows(docs: DataFrame, keys: tuple[str, ...] = ("station", "year", "month")) -> DataFrame:
     """Rows with ≥ 17 cells whose first cell is a day number; numbers by
     the lenient report rule, condition and direction as trimmed text, the
-    times that only text reports give missing."""
-    rows = cells.where(_is_html_day_row(F.col("cells")))
+    times that only text reports give missing.  ``keys`` are carried along
+    (year and month among them); documents with tables inside tables give no
+    rows."""
+    rows = F.filter(F.flatten(table_rows(F.col("body"))), _is_html_day_row)
+    nested = F.coalesce(nested_tables(F.col("body")), F.lit(False))
+    found = docs.where(~nested).select(*keys, F.explode(rows).alias("cells"))
     cols = []
     for i, name in enumerate(HTML_FIELDS):
         raw = F.get(F.col("cells"), i)
         cols.append((report_int(raw) if name == "day" else strip_text(raw) if name in HTML_TEXTS else report_number(raw)).alias(name))
     cols += [F.lit(None).cast("string").alias(c) for c in sorted(TEXT_TIMES)]
-    carried = [c for c in cells.columns if c not in HTML_CELL_COLUMNS]
-    if {"year", "month"} <= set(carried):
-        out = rows.select("doc_id", *carried, *cols)
-    else:
-        out = rows.select("doc_id", *cols).join(docs.select("doc_id", "year", "month"), "doc_id")
+    out = found.select(*keys, *cols)
     return out.withColumn("date", iso_date("year", "month", "day")).withColumn("source_format", F.lit("html_old"))
 
 
@@ -168,47 +156,21 @@ def _is_html_day_row(cells: F.Column) -> F.Column:
     return cells.isNotNull() & (F.size(cells) >= HTML_MIN_CELLS) & report_int(F.get(cells, 0)).between(1, 31)
 
 
-def ingest_status(docs: DataFrame) -> DataFrame:
-    """One status row per document; ``ok`` documents carry row counts.
-
-    The parsed HTML cells are consumed by a single aggregation (table count,
-    parse error and accepted rows together), so the Python extraction runs
-    once per document.
-    """
-    d = docs.withColumn("format", format_of("url"))
-    txt = d.where(F.col("format") == "txt")
-    html = d.where(F.col("format") == "html")
-    txt_counts = (text_line_stats(txt.select("doc_id", "body"))
-                  .select("doc_id", F.lit(None).cast("int").alias("n_tables"), F.lit(None).cast("string").alias("error"),
-                          F.col("accepted").alias("rows")))
-    html_counts = (html_cells(html).groupBy("doc_id")
-                   .agg(F.max("n_tables").alias("n_tables"), F.max("error").alias("error"),
-                        F.count_if(_is_html_day_row(F.col("cells"))).alias("rows")))
-    counts = txt_counts.unionByName(html_counts)
-    st = d.select("doc_id", "url", "format").join(counts, "doc_id", "left")
-    status = (F.when(F.col("format") == "unsupported", "unsupported_format")
-              .when(F.col("error").isNotNull(), "parse_error")
-              .when((F.col("format") == "html") & (F.coalesce("n_tables", F.lit(0)) == 0), "no_table")
-              .when(F.coalesce("rows", F.lit(0)) == 0, "parsed_zero_rows")
-              .otherwise("ok"))
-    return st.select("doc_id", "url", "format", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
-                     status.alias("status"))
-
-
 # Fixed value: a body that is an error page of the server.
 NOT_FOUND_BODY = r"(?is)\A\s*(?:<[^>]*>\s*)*(?:error\s+)?404\b|<title>[^<]*\b(?:404|not found)\b[^<]*</title>"
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
-    """Lines and accepted report lines of each document, counted inside
-    the row (no shuffle; a null body has no lines)."""
+def line_counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Lines and accepted report lines of each document (the silent drops
+    made visible), counted inside the row: no shuffle; a null body has no
+    lines."""
     lines = F.split("body", "\n")
-    return docs.select("doc_id", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines"),
+    return docs.select(*keys, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines"),
                        F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(TEXT_ROW_PATTERN))), F.lit(0)).cast("long").alias("accepted"))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """(doc_id, url, format, status, message, rows), one row per
+def ledger(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, url, format, status, message, rows), one row per
     document, all counted inside the document's row (one scan, no shuffle).
 
     The format is the url's suffix or, without a known one, what the body
@@ -236,7 +198,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     message = (F.when(F.col("status") == "not_found", "document not found").when(F.col("status") == "unsupported_format", "no report format recognised")
                .when(F.col("status") == "parse_error", "tables inside tables").when(F.col("status") == "no_table", "no table in the document")
                .when(F.col("status") == "parsed_zero_rows", "no report rows").otherwise(""))
-    return d.withColumn("status", status).select("doc_id", "url", "format", "status", message.alias("message"),
+    return d.withColumn("status", status).select(*keys, "url", "format", "status", message.alias("message"),
                                                  F.when(F.col("status").isin("ok", "parsed_zero_rows"), F.col("rows")).otherwise(F.lit(0).cast("long")).alias("rows"))
 
 
@@ -345,21 +307,22 @@ CANONICAL_NAMES = {
 DAY_PAGE_MIN_TABLES = 3
 
 
-def parse_day_pages(cells: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readings from the third table of each day page, and the reject
-    ledger of pages with fewer than three tables.
+def parse_day_pages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readings from the third table of each day page (station, date,
+    body), and the reject ledger of pages with fewer than three tables (or
+    tables inside tables, whose count means nothing).
 
-    Columns are located by header text (renamed to raw, then canonical names),
-    the period 'HH:MM - HH:MM' gives the reading's start time on the page's
-    day, unparsable times are dropped, numbers are coerced to double.
+    A page's rows stay one array: its first row is the header, by whose text
+    columns are located (renamed to raw, then canonical names), the others are
+    exploded.  The period 'HH:MM - HH:MM' gives the reading's start time on
+    the page's day, unparsable times are dropped, numbers are coerced to
+    double.
     """
-    ok = cells.where((F.col("n_tables") >= DAY_PAGE_MIN_TABLES) & (F.col("table_no") == DAY_PAGE_MIN_TABLES - 1))
-    # the header row reaches every data row of its page through a window
-    # (one pass over the parsed cells instead of a self-join)
-    hdr = F.first(F.when(F.col("row_no") == 0, F.col("cells")), ignorenulls=True).over(Window.partitionBy("doc_id"))
-    data = ok.withColumn("_hdr", hdr).where(F.col("row_no") > 0)
-    if not {"station", "date"} <= set(cells.columns):
-        data = data.join(docs.select("doc_id", "station", "date"), "doc_id")
+    body = F.col("body")
+    nested = F.coalesce(nested_tables(body), F.lit(False))
+    enough = ~nested & (F.coalesce(n_tables(body), F.lit(0)) >= DAY_PAGE_MIN_TABLES)
+    table = docs.where(enough).select("station", "date", F.get(table_rows(body), DAY_PAGE_MIN_TABLES - 1).alias("_rows"))
+    data = table.select("station", "date", F.get("_rows", 0).alias("_hdr"), F.explode(F.slice("_rows", 2, 1 << 30)).alias("cells"))
     raw_cols = {}
     for label, raw in DAY_PAGE_HEADERS.items():
         pos = F.array_position(F.col("_hdr"), F.lit(label))
@@ -367,14 +330,10 @@ def parse_day_pages(cells: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     start = F.get(F.split(raw_cols["period_utc"], " - ", 2), 0)
     ts = F.try_to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), start), F.lit("yyyy-MM-dd HH:mm"))
     out = data.select("station", ts.cast("timestamp_ntz").alias("datetime_utc"),
-                      *[raw_cols[raw].try_cast("double").alias(CANONICAL_NAMES.get(raw, raw))
+                      *[text_to_double(raw_cols[raw]).alias(CANONICAL_NAMES.get(raw, raw))
                         for raw in DAY_PAGE_HEADERS.values() if raw != "period_utc"])
-    bad = cells.where(F.col("n_tables") < DAY_PAGE_MIN_TABLES)
-    bad = (bad.select("doc_id", "station", "date") if {"station", "date"} <= set(cells.columns)
-           else bad.select("doc_id").join(docs.select("doc_id", "station", "date"), "doc_id"))
-    rejects = (bad.distinct()
-               .select("station", F.date_format("date", "yyyy-MM-dd").alias("date"),
-                       F.lit("Less than 3 tables found").alias("error")))
+    rejects = docs.where(~enough).select("station", F.date_format("date", "yyyy-MM-dd").alias("date"),
+                                         F.lit("Less than 3 tables found").alias("error"))
     return out.where(F.col("datetime_utc").isNotNull()), rejects
 
 
@@ -414,40 +373,35 @@ STACKED_MIN_CELLS = 19
 STACKED_MIN_DAYS = 28
 
 
-def parse_stacked_reports(cells: DataFrame, docs: DataFrame) -> DataFrame:
+def parse_stacked_reports(docs: DataFrame, keys: tuple[str, ...] = ("station", "year", "month")) -> DataFrame:
     """The data row is the first with ≥ 19 cells whose first cell lists
     the days (contains '1', at least 28 day numbers).  Each stacked column is
-    split on line breaks and cut or padded to the number of days."""
+    split on line breaks and cut or padded to the number of days.  All of a
+    document stays in its row until its days are exploded."""
     lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    first = lines(F.get(F.col("cells"), 0))
-    days = F.filter(first, lambda s: s.rlike("^[0-9]+$"))
-    carried = [c for c in ("station", "year", "month") if c in cells.columns]
-    cand = (cells.where(F.col("cells").isNotNull() & (F.size("cells") >= STACKED_MIN_CELLS))
-            .select("doc_id", *carried, "table_no", "row_no", "cells", days.alias("_days"))
-            .where(F.array_contains("_days", "1") & (F.size("_days") >= STACKED_MIN_DAYS)))
-    pick = cand.groupBy("doc_id").agg(
-        F.min_by(F.struct("cells", "_days", *carried), F.struct("table_no", "row_no")).alias("_p"))
-    n = F.size("_p._days")
-    cols = {"day": F.col("_p._days")}
+    days = lambda row: F.filter(lines(F.get(row, 0)), lambda s: s.rlike("^[0-9]+$"))
+    rows = F.filter(F.flatten(table_rows(F.col("body"))), lambda row: (F.size(row) >= STACKED_MIN_CELLS)
+                    & F.array_contains(days(row), "1") & (F.size(days(row)) >= STACKED_MIN_DAYS))
+    nested = F.coalesce(nested_tables(F.col("body")), F.lit(False))
+    pick = docs.where(~nested).select(*keys, F.get(rows, 0).alias("_row")).where(F.col("_row").isNotNull())
+    pick = pick.select(*keys, "_row", days(F.col("_row")).alias("_days"))
+    cols = {"day": F.col("_days")}
+
     def fit(values):
         """Cut or pad to the number of days (a short column yields NULLs)."""
-        return F.transform(F.sequence(F.lit(1), n), lambda k: F.try_element_at(values, k))
+        return F.transform(F.sequence(F.lit(1), F.size("_days")), lambda k: F.try_element_at(values, k))
 
     for i, name in enumerate(STACKED_FIELDS[1:], start=1):
-        cols[name] = fit(lines(F.get(F.col("_p.cells"), i)))
-    zipped = pick.select("doc_id", *[F.col(f"_p.{c}").alias(c) for c in carried],
-                         F.explode(F.arrays_zip(*[c.alias(k) for k, c in cols.items()])).alias("_z"))
-    out = zipped.select("doc_id", *carried, *[F.col(f"_z.{k}").alias(k) for k in STACKED_FIELDS])
+        cols[name] = fit(lines(F.get(F.col("_row"), i)))
+    zipped = pick.select(*keys, F.explode(F.arrays_zip(*[c.alias(k) for k, c in cols.items()])).alias("_z"))
+    out = zipped.select(*keys, *[F.col(f"_z.{k}").alias(k) for k in STACKED_FIELDS])
     typed = []
     for k in STACKED_FIELDS:
-        c = F.when(~F.col(k).isin(*["-----", "---", "-", ""]), F.col(k))
+        c = sentinel_to_null(k)
         if k in ("wind_dir", "wind_max_dir"):
-            c = F.replace(c, F.lit("~"), F.lit(""))
-        typed.append((c if k == "sig_cond" else c.try_cast("double") if k != "day" else c.try_cast("int")).alias(k))
-    res = out.select("doc_id", *carried, *typed)
-    if len(carried) < 3:
-        res = res.drop(*carried).join(docs.select("doc_id", "station", "year", "month"), "doc_id")
-    return res.withColumn("date", iso_date("year", "month", "day")).drop("doc_id")
+            c = strip_approx_mark(c)
+        typed.append((c if k == "sig_cond" else report_int(c) if k == "day" else text_to_double(c)).alias(k))
+    return out.select(*keys, *typed).withColumn("date", iso_date("year", "month", "day"))
 
 
 def render_stacked_reports(daily: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def test_parse_text_report_drops_incomplete_lines(spark):
     assert [r.day for r in rows] == [1]  # line 2 has '---', line 3 has '5E' (digit) → no match
     r = rows[0]
     assert (r.mean_temp_c, r.max_temp_time, r.min_temp_time, r.dom_wind_dir) == (24.1, "14:30", "05:10", "SSW")
-    stats = reports.text_line_stats(docs).collect()[0]
+    stats = reports.line_counts(docs).collect()[0]
     assert (stats.lines, stats.accepted) == (6, 1)
 
 
@@ -70,8 +70,7 @@ def test_html_cells_and_rejects(spark):
     docs = spark.createDataFrame([(1, "a/report.html", good, 2020, 7), (2, "b/page.html", "<p>no table</p>", None, None),
                                   (3, "c/page.php", "<table></table>", None, None)],
                                  "doc_id BIGINT, url STRING, body STRING, year INT, month INT")
-    cells = reports.html_cells(docs)
-    rows = reports.parse_html_rows(cells.where(F.col("cells").isNotNull()), docs).collect()
+    rows = reports.parse_html_rows(docs, keys=("doc_id", "year", "month")).collect()
     assert len(rows) == 1
     r = rows[0]
     assert (r.day, r.max_temp_c, r.min_temp_c, r.mean_temp_c, r.dep_from_normal_c, r.avg_dew_point_c, r.avg_wet_bulb_c) == \
@@ -80,8 +79,8 @@ def test_html_cells_and_rejects(spark):
     assert (r.avg_sea_level_pressure_hpa, r.avg_wind_kmh, r.dom_wind_dir, r.max_wind_kmh, r.max_wind_dir_deg) == \
         (1013.2, 6.1, "SSW", 33.8, 202.5)
     assert (r.max_temp_time, r.min_temp_time, r.max_wind_time, r.source_format) == (None, None, None, "html_old")
-    st = {r.doc_id: r.status for r in reports.ingest_status(docs).collect()}
-    assert st == {1: "ok", 2: "no_table", 3: "unsupported_format"}
+    st = {r.doc_id: r.status for r in reports.ledger(docs).collect()}
+    assert st == {1: "ok", 2: "no_table", 3: "parsed_zero_rows"}
 
 
 def test_ledger_statuses(spark):
@@ -138,7 +137,7 @@ def test_native_cells_match_a_tag_parser(spark):
              "<table><tr><td>1\n2<br>3</td></tr></table>", "<table></table>", "no table"]
     docs = spark.createDataFrame(list(enumerate(pages)), "doc_id BIGINT, body STRING")
     got = {}
-    for r in reports.html_cells(docs).where("cells IS NOT NULL").orderBy("doc_id", "table_no", "row_no").collect():
+    for r in reports.html_cells(docs, keep=("doc_id",)).where("cells IS NOT NULL").orderBy("doc_id", "table_no", "row_no").collect():
         got.setdefault(r.doc_id, []).append((r.n_tables, r.table_no, r.row_no, r.cells))
     for i, html in enumerate(pages):
         assert got.get(i, []) == _parsed(html), html
