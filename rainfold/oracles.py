@@ -678,12 +678,13 @@ _RV_NUM = ["mean_temp_c", "max_temp_c", "min_temp_c", "heat_deg_days", "cool_deg
 _RV_COLS = ("station, year, month, day, date, " + ", ".join(f"{r6(c)} AS {c}" for c in _RV_NUM)
             + ", max_temp_time, min_temp_time, max_wind_time, dom_wind_dir")
 
-ORACLES["text_report_roundtrip"] = sql(f"SELECT {_RV_COLS}, 'txt' AS source_format FROM rv WHERE day % 9 <> 0",
+ORACLES["text_report_roundtrip"] = sql(f"SELECT {_RV_COLS}, 'txt' AS source_format, printf('reports/%s/%d/%02d_NOAA.TXT', station, year, month) AS source_url "
+                                       "FROM rv WHERE day % 9 <> 0",
                                        REPORT_VALUES)
 
 ORACLES["html_report_roundtrip"] = sql(f"""
 SELECT station, year, month, day, date, {", ".join(f"{r6(c)} AS {c}" for c in _RV_NUM)}, dom_wind_dir,
-       'html_old' AS source_format, 'fog' AS sig_condition, CAST(NULL AS DOUBLE) AS avg_dew_point_c, CAST(NULL AS DOUBLE) AS snow_fall_cm,
+       'html_old' AS source_format, printf('reports/%s/%d/climatedata%d%d.html', station, year, month, year) AS source_url, 'fog' AS sig_condition, CAST(NULL AS DOUBLE) AS avg_dew_point_c, CAST(NULL AS DOUBLE) AS snow_fall_cm,
        {r6("CAST(printf('%.1f', mean_temp_c - 20) AS DOUBLE)")} AS dep_from_normal_c, {r6("min_temp_c")} AS avg_wet_bulb_c,
        {r6("CAST(printf('%.1f', max_temp_c / 5) AS DOUBLE)")} AS sun_hours,
        {r6('1013.2')} AS avg_sea_level_pressure_hpa, {r6('22.5')} AS max_wind_dir_deg,
@@ -928,3 +929,19 @@ SELECT page_id, TRY_CAST(nullif(regexp_extract(coalesce(url, ''), '/((?:19|20)[0
             WHEN format = 'html' AND NOT has_table THEN 'no table in the document' ELSE 'no report rows' END AS message,
        CAST(0 AS BIGINT) AS rows
 FROM f"""
+
+ORACLES["candidate_sources"] = sql("""
+SELECT station, CAST(m AS DATE) AS month_start, CAST(p - CASE WHEN p > 1 THEN 1 ELSE 0 END AS INTEGER) AS priority, url FROM (
+  SELECT station, m, 0 AS p, year(m) || '/' || ['Gener', 'Febrer', 'Mar', 'Abril', 'Maig', 'Juny', 'Juliol', 'Agost', 'Setembre',
+         'Octubre', 'Novembre', 'Desembre'][month(m)] || '_' || year(m) || '_NOAA.TXT' AS url FROM mm
+  UNION ALL
+  SELECT station, m, 2, year(m) || '/' || ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September',
+         'October', 'November', 'December'][month(m)] || year(m) || '/climatedataout' || month(m) || year(m) || '.html' FROM mm)""", DD,
+    """mm AS (SELECT station, unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)),
+                                            INTERVAL 1 MONTH)) AS m FROM dd GROUP BY station)""")
+
+ORACLES["daily_all_columns"] = sql(f"""
+SELECT station, CAST(datetime_utc AS DATE) AS date, {r6('avg(T_avg)')} AS T_avg, {r6('max(T_max)')} AS T_max, {r6('min(T_min)')} AS T_min,
+       {r6('avg(T_avg * 5)')} AS humidity_avg, {r6('sum(rain_mm)')} AS rain_mm, {r6('avg(T_min)')} AS avg_wind_kmh,
+       {r6('max(T_max)')} AS max_wind_kmh, {r6('avg(1000 + T_avg)')} AS pressure_avg, {r6('avg(T_max * 10)')} AS radiation_avg
+FROM hh GROUP BY ALL""", HH)

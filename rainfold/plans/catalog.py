@@ -642,3 +642,21 @@ def q_document_report_lines(spark, sf_dir):
     """Lines and accepted report lines of every document."""
     from rainfold.plans import ingest
     return ingest.document_report_lines(fx.load(spark, sf_dir, "documents"))
+
+
+@register("candidate_sources")
+def q_candidate_sources(spark, sf_dir):
+    """The names each month's report may be stored under."""
+    from rainfold.sources.manifest import candidate_sources, month_manifest
+    return candidate_sources(month_manifest(_dd(spark, sf_dir), ["station"]), ["station"])
+
+
+@register("daily_all_columns")
+def q_daily_all_columns(spark, sf_dir):
+    """A1 with every column of the half-hourly report (all but the direction,
+    whose circular mean is in ``daily_from_halfhourly``)."""
+    from rainfold.operators.resample import daily_from_halfhourly
+    hh = _hh(spark, sf_dir).drop("wind_dir").withColumns({
+        "humidity": F.col("T_avg") * 5, "avg_wind_kmh": F.col("T_min"), "max_wind_kmh": F.col("T_max"),
+        "pressure": F.col("T_avg") + 1000, "radiation": F.col("T_max") * 10})
+    return finalize(daily_from_halfhourly(hh))

@@ -57,12 +57,13 @@ def two_era_city_table(daily: DataFrame, split_month: str = "1998-01-01", dedupe
 def text_roundtrip(daily: DataFrame) -> DataFrame:
     """Render monthly text reports from the daily table and parse them back."""
     docs = reports.render_text_reports(reports.report_values(daily))
-    return reports.parse_text_reports(docs, keys=("station", "year", "month"))
+    return reports.parse_text_reports(docs, keys=("station", "year", "month", "url")).withColumnRenamed("url", "source_url")
 
 
 def html_roundtrip(daily: DataFrame) -> DataFrame:
     """S8 (+S4 cell extraction): render row-wise HTML monthly reports and parse them back."""
-    return reports.parse_html_rows(reports.render_html_reports(reports.report_values(daily)))
+    docs = reports.render_html_reports(reports.report_values(daily))
+    return reports.parse_html_rows(docs, keys=("station", "year", "month", "url")).withColumnRenamed("url", "source_url")
 
 
 def ingest_ledger(daily: DataFrame, pages: DataFrame) -> DataFrame:

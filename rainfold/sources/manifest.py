@@ -32,6 +32,27 @@ def missing_days(df: DataFrame, by: Sequence[str], date: str = "date") -> DataFr
     return day_manifest(df, by, date).join(df.select(*by, date), [*by, date], "left_anti")
 
 
+# Month names in the names of stored reports.
+TEXT_MONTHS = ["Gener", "Febrer", "Mar", "Abril", "Maig", "Juny", "Juliol", "Agost", "Setembre", "Octubre", "Novembre", "Desembre"]
+HTML_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
+
+def candidate_sources(months: DataFrame, by: Sequence[str], month: str = "month_start", base: str = "") -> DataFrame:
+    """Per (keys, month) the names a report may be stored under, in the
+    order in which they are tried: text, its variant for March, HTML.
+
+    Repeated names of a month are listed once (the special name of January
+    2018 is the ordinary HTML name)."""
+    by = list(by)
+    y, m = F.year(month), F.month(month)
+    text, html = (F.get(F.array(*[F.lit(x) for x in names]), m - 1) for names in (TEXT_MONTHS, HTML_MONTHS))
+    names = F.array_compact(F.array(
+        F.format_string("%s%d/%s_%d_NOAA.TXT", F.lit(base), y, text, y),
+        F.when(m == 3, F.format_string("%s%d/Mar_%d_NOAA.TXT", F.lit(base), y, y)),
+        F.format_string("%s%d/%s%d/climatedataout%d%d.html", F.lit(base), y, html, y, m, y)))
+    return months.select(*by, month, F.posexplode(F.array_distinct(names)).alias("priority", "url"))
+
+
 def pick_source(available: DataFrame, keys: Sequence[str], source: str,
                 candidates: Sequence[str]) -> DataFrame:
     """Per key, the first candidate (in the given priority order) that exists."""
