@@ -103,9 +103,9 @@ def _line_measures(lines: Column) -> Column:
     )
 
 
-def measures(df: DataFrame, text_col: str = "text", prefix: str = "_q") -> DataFrame:
-    """``df`` with one struct column ``prefix`` of all counts and ratios."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def measures(text: Column) -> Column:
+    """All counts and ratios of a text as one struct."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
     words = F.filter(F.split(text, WORD_SEPARATORS), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_HAS_WORD))
     counted = F.struct(
@@ -129,7 +129,7 @@ def measures(df: DataFrame, text_col: str = "text", prefix: str = "_q") -> DataF
             ratio(n["n_bullet_lines"], n["n_lines"]).alias("bullet_line_ratio"),
             ratio(n["n_ellipsis_lines"], n["n_lines"]).alias("ellipsis_line_ratio"))
 
-    return df.withColumn(prefix, let(counted, flat))
+    return let(counted, flat)
 
 
 def compile_rules(q: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -150,6 +150,10 @@ def base_failed(q: Column) -> Column:
     return (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
 
 
+def passed(q: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    return ~base_failed(q) & (F.size(compile_rules(q, rules)) == 0)
+
+
 def quality_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` plus n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, broken_rules (array) and kept.
@@ -161,24 +165,26 @@ def quality_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     taken = {*names, "base_failed", "broken_rules", "kept"}
-    prefix = "_q"
-    while prefix in df.columns:
-        prefix += "_"
-    q = F.col(prefix)
+    name = "_q"
+    while name in df.columns:
+        name += "_"
+
+    def verdict(q: Column) -> Column:
+        broken = compile_rules(q, rules)
+        return F.struct(*[q[n].alias(n) for n in names], base_failed(q).alias("base_failed"), broken.alias("broken_rules"),
+                        passed(q, rules).alias("kept"))
+
     fields = [F.col(f"`{c}`") for c in df.columns if c not in taken]
-    verdict = measures(df, text_col, prefix).select(
-        *fields, *[q[n].alias(n) for n in names], base_failed(q).alias("base_failed"), compile_rules(q, rules).alias("broken_rules"))
-    return verdict.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+    return df.select(*fields, let(measures(F.col(f"`{text_col}`")), verdict).alias(name)).select(*fields, f"{name}.*")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, columns as given."""
-    prefix = "_q"
-    while prefix in docs.columns:
-        prefix += "_"
-    q = F.col(prefix)
-    passed = ~base_failed(q) & (F.size(compile_rules(q, rules)) == 0)
-    return measures(docs, text_col, prefix).where(passed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass, columns as given.
+
+    The condition is one expression that names the measures once: a filter on
+    columns of them would be pushed below their projection and compute them
+    again for every use."""
+    return docs.where(let(measures(F.col(f"`{text_col}`")), lambda q: passed(q, rules)))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
