@@ -42,6 +42,15 @@ def id_remainder(id_col: str, k: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(k))
 
 
+def hash_sample(df: DataFrame, cols: list[str], most: int, total: int, salt: str) -> DataFrame:
+    """About ``most`` of the ``total`` rows (all if there are no more): those
+    whose columns' hash is below the share.  No sort and no gathering; the
+    number is binomial, so a few per cent beyond ``most`` at the very most for
+    samples of thousands."""
+    unit = F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return df.where(unit < F.lit(min(1.0, most / max(1, total))))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import chunks, id_remainder, materialise, raw_texts, table
+from rainfold.llm.common import chunks, hash_sample, id_remainder, materialise, raw_texts, table
 
 
 @dataclass(frozen=True)
@@ -370,8 +370,7 @@ def train(encoded: DataFrame, lexicon: Lexicon, p: HmmParams) -> Hmm:
     common /= common.sum()
     m = new_hmm(common, p)
     total = encoded.where("train").count()
-    share = p.sample_docs / max(1, total)
-    chosen = encoded.where("train").where(F.pmod(F.xxhash64("doc_id", F.lit("hmm")), F.lit(1 << 30)) / F.lit(1 << 30) < share)
+    chosen = hash_sample(encoded.where("train"), ["doc_id"], p.sample_docs, total, "hmm")
     seqs, held = [], 0
     for r in chosen.select("seq").toLocalIterator():
         if held < p.sample_words:  # the documented bound of the sample

@@ -36,8 +36,8 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class LanguageIdParams:
-    """Production parameters: bounds of the training sample (the rows with the
-    smallest id hashes) and the calibration quantile."""
+    """Production parameters: bounds of the training sample (chosen by id hash) and
+    the calibration quantile."""
 
     max_langs: int = 64
     max_docs_per_lang: int = 1500
@@ -301,15 +301,14 @@ def _fill(models: LanguageModels, fit: dict[str, CharModel], chars: dict) -> Non
 
 def train(docs: DataFrame, p: LanguageIdParams = LanguageIdParams(), lang_col: str = "lang") -> LanguageModels | None:
     """Fit on whole texts of rows with a language whose crc32(doc_id as text)
-    mod 5 is not 0: per language the rows with the smallest id hashes, within
-    the bounds of ``p``.  None if there are none."""
-    from pyspark.sql import Window as W
+    mod 5 is not 0: per language rows chosen by id hash, within the bounds of
+    ``p``.  None if there are none."""
     pool = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")) \
         .where("lang IS NOT NULL AND text IS NOT NULL").where(id_remainder("doc_id", 5) != 0)
     counts = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs).collect()
     if not counts:
         return None
-    # keep about twice the bound by hash (binomial), so no more is ever sent
+    # about the bound of each language, by hash
     share = F.lit(1.0)
     for row in counts:
         share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, p.max_docs_per_lang / row["count"]))).otherwise(share)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import batch_word_hashes, chunks, materialise, raw_texts, table
+from rainfold.llm.common import batch_word_hashes, chunks, hash_sample, materialise, raw_texts, table
 
 
 @dataclass(frozen=True)
@@ -113,14 +113,12 @@ def fit_classifier(examples: list[tuple[np.ndarray, str]], p: MixParams) -> Clas
 
 def train(labelled: DataFrame, p: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text",
           domain_col: str = "domain") -> Classifier | None:
-    """Fit on at most ``max_train_docs`` rows with a domain (those with the
-    smallest id hashes); None if there are none.  Null texts count as empty."""
+    """Fit on about ``max_train_docs`` rows with a domain, chosen by id hash;
+    None if there are none.  Null texts count as empty."""
     bits = p.bits
     known = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
                             F.col(domain_col).cast("string").alias("domain")).where("domain IS NOT NULL")
-    total = known.count()
-    share = min(1.0, p.max_train_docs / max(1, total))
-    sample = known.where(F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) / F.lit(1 << 30) < share)
+    sample = hash_sample(known, ["id"], p.max_train_docs, known.count(), "mixing")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

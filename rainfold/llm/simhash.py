@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import chunks, connected_components, materialise, raw_texts, table
+from rainfold.llm.common import chunks, connected_components, hash_sample, materialise, raw_texts, table
 from rainfold.llm.linking import TILE, column, forest, whole_groups
 
 BITS = 64
@@ -251,8 +251,9 @@ def components(own: DataFrame, max_distance: int) -> DataFrame:
     """(fp, root, component_id) for the distinct fingerprints of ``own``
     (doc_id, fp)."""
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], dtype=np.int64)
-    parts = plan(sample.view(np.uint64), distinct.count(), max_distance)
+    total = distinct.count()
+    sample = np.array(sorted(r.fp for r in hash_sample(distinct.select("fp"), ["fp"], SAMPLE, total, "simhash").collect()), dtype=np.int64)
+    parts = plan(sample.view(np.uint64), total, max_distance)
     root = connected_components(links(distinct.select("fp"), parts, max_distance))
     rooted = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "simhash-roots")

@@ -9,7 +9,7 @@ weights (at most ``2**bits`` pairs, in practice a few thousand) are the whole
 model and the only thing broadcast.
 
 The classifier is fitted on a bounded sample of labelled rows
-(``max_train_docs``, the rows with the smallest id hashes); scoring reads
+(about ``max_train_docs``, chosen by id hash); scoring reads
 every whole text.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import batch_word_hashes, chunks, id_remainder, mix_pair, raw_texts, table
+from rainfold.llm.common import batch_word_hashes, chunks, hash_sample, id_remainder, mix_pair, raw_texts, table
 
 
 @dataclass(frozen=True)
@@ -107,14 +107,14 @@ def fit_ftrl(examples: list[tuple[np.ndarray, int]], p: Ftrl, seed: int = 7) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), label_col: str = "toxic") -> Model:
-    """Fit on labelled rows whose crc32(doc_id as text) mod 3 is not 1, at
-    most ``max_train_docs`` of them.  Rows without label or id are no
+    """Fit on labelled rows whose crc32(doc_id as text) mod 3 is not 1,
+    about ``max_train_docs`` of them.  Rows without label or id are no
     examples; null text has no features; conflicting labels of one id both
     count.  The texts are hashed to features by the tasks; the driver gets
     feature numbers of the bounded sample only."""
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL")
     known = known.where(id_remainder("doc_id", 3) != 1)
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(p.max_train_docs)
+    known = hash_sample(known, ["doc_id"], p.max_train_docs, known.count(), "toxicity")
     bits = p.bits
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
