@@ -83,8 +83,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def _word_measures(words: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    lowered = F.filter(words, lambda w: F.array_contains(stop, F.rtrim(F.lower(w), F.lit(",."))))
+    lowered = F.filter(words, lambda w: F.rtrim(F.lower(w), F.lit(",.")).isin(*dict.fromkeys(STOP_WORDS)))
     return F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
