@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import connected_components, materialise, table
+from rainfold.llm.common import connected_components, hash_sample, materialise, table
 from rainfold.llm.linking import TILE, column, forest, whole_groups
 
 
@@ -39,7 +39,7 @@ class DedupParams:
     sample: int = 8192       # nodes the centres are fitted on
     max_cells: int = 2048
     rounds: int = 8
-    block: int = 4096        # nodes of a cell on one side of a task
+    block: int = 8192        # nodes of a cell on one side of a task
 
 
 def unit_rows(column_: pa.Array) -> np.ndarray:
@@ -99,7 +99,8 @@ def _cells(nodes: DataFrame, centres: dict[int, np.ndarray], p: DedupParams) ->
                         [out.column("dim"), pa.array(cell.astype(np.int32)), pa.array(cell == home[i]), out.column("node"),
                          out.column("n"), out.column("vec")], ["dim", "cell", "home", "node", "n", "vec"])
 
-    return nodes.mapInArrow(run, "dim int, cell int, home boolean, node long, n long, vec array<double>")
+    kind = nodes.schema["vec"].dataType.simpleString()
+    return nodes.mapInArrow(run, f"dim int, cell int, home boolean, node long, n long, vec {kind}")
 
 
 def _block_links(cells: DataFrame, p: DedupParams) -> DataFrame:
@@ -179,17 +180,19 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     columns are ignored.
     """
     spark = df.sparkSession
-    vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    # single-precision vectors travel as such; every computation is in double precision
+    kind = "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"))
     vectors = vectors.withColumn("usable", F.coalesce(F.expr(_usable("vec")), F.lit(False)))
     nodes = vectors.where("usable").groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), F.size("vec").alias("dim"), "vec", "n", "least"), "embed-nodes")
     total = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(p.sample).select("dim", "vec").collect()
+    sample = hash_sample(nodes, ["least", "node"], p.sample, total, "embeddings").select("dim", "vec").collect()
     centres: dict[int, np.ndarray] = {}
     for dim in {r.dim for r in sample}:
         x = np.array([r.vec for r in sample if r.dim == dim])
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        k = max(1, min(p.max_cells, math.ceil(math.sqrt(total * len(x) / len(sample)) / 8)))
+        k = max(1, min(p.max_cells, math.ceil(math.sqrt(total * len(x) / len(sample)) / 16)))
         centres[dim] = spherical_kmeans(x, k, p.rounds)
     found = materialise(_block_links(_cells(nodes, centres, p), p), "embed-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))

@@ -131,3 +131,9 @@ def test_embedding_links_components(spark):
         assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert ed.near_duplicates(df.where(F.lit(False))).count() == 0
+    # single-precision vectors, compared in double precision
+    small = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.95, 0.31224990]), (2, [0.949, 0.3152]), (3, [0.0, 1.0])],
+                                  "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    v = np.array([r.embedding for r in small.orderBy("vec_id").collect()])
+    c = (v @ v.T) / np.sqrt((v * v).sum(1))[:, None] / np.sqrt((v * v).sum(1))[None, :]
+    assert [r.n_links for r in ed.near_duplicates(small).orderBy("vec_id").collect()] == [int((x >= 0.95).sum()) - 1 for x in c]
