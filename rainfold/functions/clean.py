@@ -46,12 +46,12 @@ def strip_approx_mark(c: Column | str) -> Column:
 # suffixes, hexadecimal, 'nan' and 'infinity', which are no readings.
 DECIMAL_PATTERN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 # White space as a text parser strips it (blanks, tabs, line ends, no-break space).
-EDGE_SPACE = r"^[\s\x{A0}]+|[\s\x{A0}]+$"
+EDGE_SPACE = " \t\n\x0b\x0c\r\u00a0"
 
 
 def strip_text(c: Column | str) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(_c(c), EDGE_SPACE, "")
+    return F.btrim(_c(c), F.lit(EDGE_SPACE))
 
 
 def decimal_or_null(c: Column) -> Column:

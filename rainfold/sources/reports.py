@@ -70,12 +70,12 @@ HTML_ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"),
 
 def _cell_text(c: F.Column) -> F.Column:
     # one value per text node: line ends of the source are blanks, line and block tags separate
-    t = F.regexp_replace(F.regexp_replace(c, r"[\r\n]+", " "), r"(?i)</?(?:br|p|div|li)\b[^>]*>", "\n")
+    t = F.regexp_replace(F.translate(c, "\r\n", "  "), r"(?i)</?(?:br|p|div|li)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
     for ent, ch in HTML_ENTITIES:
         t = F.replace(t, F.lit(ent), F.lit(ch))
     t = F.replace(t, F.lit("\u00a0"), F.lit(" "))
-    return F.regexp_replace(t, r"^\s+|\s+$", "")
+    return strip_text(t)
 
 
 def n_tables(body: F.Column) -> F.Column:
