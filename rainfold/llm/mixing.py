@@ -12,7 +12,9 @@
    the expected share of domain d, and the ridge picks among all solutions the
    one closest to taking every document once.  Projected gradient in the
    q-weighted metric: a step is r <- max(0, r - step * (sum_d e_d p_id + ridge
-   (r - 1))) with e_d = (S_d - target_d) / S_d(1).  It depends on the other
+   (r - 1))) with e_d = (S_d - target_d) / S_d(1).  A domain without a target
+   keeps the tokens it has: it counts only by what it would lose, e_d =
+   min(0, S_d - S_d(1)) / S_d(1).  A step depends on the other
    documents through the few numbers e_d only, so an iteration is one
    aggregation; the list of e's is the whole state and tasks replay it from
    the posteriors.  Nothing is kept between iterations that could be lost.
@@ -44,7 +46,7 @@ class MixParams:
     ridge: float = 1e-5
     rounds: int = 60
     tolerance: float = 1e-6         # of the relative change of the domain totals
-    budget: float | None = None     # expected tokens of the mixed corpus, times the given ones
+    budget: float | None = None     # expected tokens of the domains with a target, times those they have
 
 
 #: Target shares of expected tokens by domain (here: the language), used by the query and the pipeline.
@@ -175,12 +177,14 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], p:
     step: each task replays the steps so far for its rows and returns one row
     of partial sums.
 
-    Targets are shares, scaled to sum to 1 over the domains that occur;
-    domains without a target get 0.  They are shares of ``budget`` times the
-    given tokens; without a budget, of as many as are needed for every domain
-    with a target to keep all it has (mixing then only repeats documents)."""
+    Targets are shares, scaled to sum to 1 over the domains that occur, of
+    the tokens of the domains that ``targets`` names; the others keep what
+    they have.  They are shares of ``budget`` times the given tokens; without
+    a budget, of as many as are needed for every domain with a target to keep
+    all it has (mixing then only repeats documents)."""
     k = len(domains)
     wanted = np.array([max(0.0, float(targets.get(d, 0.0))) for d in domains])
+    named = np.array([d in targets for d in domains])
     if wanted.sum() <= 0:
         return np.zeros((0, k))
     spark = members.sparkSession
@@ -211,11 +215,11 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], p:
                 return np.zeros((0, k))
             goal = goal / goal.sum()
             some = goal > 0
-            budget = p.budget or float((base[some] / goal[some]).max() / base.sum())
-            goal = goal * budget * base.sum()
+            goal = goal * (p.budget * base[named].sum() if p.budget else float((base[some] / goal[some]).max()))
         elif np.abs(totals - before).max() <= p.tolerance * base.sum():
             break
-        errors = np.vstack([errors, np.where(base > 0, (totals - goal) / np.maximum(base, 1e-300), 0.0)])
+        off = np.where(named, totals - goal, np.minimum(0.0, totals - base))
+        errors = np.vstack([errors, np.where(base > 0, off / np.maximum(base, 1e-300), 0.0)])
     return errors[:p.rounds]
 
 

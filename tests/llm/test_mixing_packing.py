@@ -50,6 +50,21 @@ def test_targets_are_met_and_nothing_is_lost(spark):
     assert sum(r.copies for r in rated) == pytest.approx(sum(r.rate for r in rated), rel=0.05)
 
 
+@pytest.mark.parametrize("budget", [None, 0.7])
+def test_a_domain_without_a_target_keeps_its_tokens(spark, budget):
+    rows = [(100 * j + i, " ".join(f"{d}{(i * 7 + w) % 40}" for w in range(30 + i)), d)
+            for j, (d, n) in enumerate({"en": 80, "de": 20, "it": 15}.items()) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    labelled, lang = docs.withColumn("domain", F.col("lang")), {r[0]: r[2] for r in rows}
+    p = mx.MixParams(budget=budget)
+    rated = mx.mix(docs, labelled, {"en": 0.5, "de": 0.5}, p)[0].collect()
+    assert all(r.rate == pytest.approx(1, abs=0.02) for r in rated if lang[r.doc_id] == "it")
+    total = {d: sum(r.n_tokens * r.rate for r in rated if lang[r.doc_id] == d) for d in ("en", "de")}
+    assert total["en"] / total["de"] == pytest.approx(1, abs=0.05)
+    kept = {r.doc_id for r in mx.repeat_rows(docs, labelled, {"en": 0.5, "de": 0.5}, p).collect()}
+    assert {i for i in lang if lang[i] == "it"} - kept == set()
+
+
 def test_mixing_edge_cases(spark):
     df = frame(spark)
     labelled = df.withColumn("domain", F.col("lang"))
