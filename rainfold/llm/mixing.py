@@ -20,6 +20,10 @@
    the posteriors.  Nothing is kept between iterations that could be lost.
 3. A document is taken floor(r + u) times, u uniform from a hash of its id,
    so the expected number of copies is r.
+
+Without a budget no document is dropped: rates are kept at 1 or more (max(1,
+...) in the step) and the corpus grows with the rates until the targets are
+the shares of its tokens.
 """
 
 from __future__ import annotations
@@ -158,13 +162,13 @@ def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text
     return source.mapInArrow(run, "key long, doc_id long, n_tokens long, post array<double>")
 
 
-def replay(post: np.ndarray, errors: np.ndarray, ridge: float) -> np.ndarray:
-    """Rates after the projected-gradient steps whose domain errors are the
-    rows of ``errors``, starting at 1."""
+def replay(post: np.ndarray, errors: np.ndarray, ridge: float, floor: float = 0.0) -> np.ndarray:
+    """Rates (``floor`` at least) after the projected-gradient steps whose
+    domain errors are the rows of ``errors``, starting at 1."""
     r = np.ones(len(post))
     step = 1.0 / (1.0 + ridge)
     for e in errors:
-        r = np.maximum(0.0, r - step * (post @ e + ridge * (r - 1.0)))
+        r = np.maximum(floor, r - step * (post @ e + ridge * (r - 1.0)))
     return r
 
 
@@ -172,16 +176,20 @@ def _posts(column: pa.Array, k: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, k)
 
 
-def solve(members: DataFrame, domains: list[str], targets: dict[str, float], p: MixParams = MixParams()) -> np.ndarray:
+def solve(members: DataFrame, domains: list[str], targets: dict[str, float], p: MixParams = MixParams(), floor: float = 0.0) -> np.ndarray:
     """The errors of all steps (steps, domains).  ``members`` is read once a
     step: each task replays the steps so far for its rows and returns one row
     of partial sums.
 
     Targets are shares, scaled to sum to 1 over the domains that occur, of
     the tokens of the domains that ``targets`` names; the others keep what
-    they have.  They are shares of ``budget`` times the given tokens; without
-    a budget, of as many as are needed for every domain with a target to keep
-    all it has (mixing then only repeats documents)."""
+    they have.  They are shares of ``budget`` times the named domains' tokens;
+    without a budget, of the least for which each of them can keep all it has.
+    With a ``floor`` of 1 and no budget that is where the size starts:
+    documents of several domains bring tokens of domains that need none, so
+    at every step the size is the one that fits the domain totals best, and
+    not below the start.  Shares that no rates of ``floor`` or more can give
+    (say a target of 0) are met as nearly as they can."""
     k = len(domains)
     wanted = np.array([max(0.0, float(targets.get(d, 0.0))) for d in domains])
     named = np.array([d in targets for d in domains])
@@ -198,7 +206,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], p:
             for batch in batches:
                 post = _posts(batch.column("post"), k)
                 n = batch.column("n_tokens").to_numpy().astype(np.float64)
-                sums += (n * replay(post, sent.value, ridge)) @ post
+                sums += (n * replay(post, sent.value, ridge, floor)) @ post
             yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(sums)], ["d", "s"])
 
         rows = members.select("n_tokens", "post").mapInArrow(run, "d int, s double").groupBy("d").agg(F.sum("s").alias("s")).collect()
@@ -215,22 +223,25 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], p:
                 return np.zeros((0, k))
             goal = goal / goal.sum()
             some = goal > 0
-            goal = goal * (p.budget * base[named].sum() if p.budget else float((base[some] / goal[some]).max()))
+            share = goal
+            size = least = p.budget * base[named].sum() if p.budget else float((base[some] / goal[some]).max())
         elif np.abs(totals - before).max() <= p.tolerance * base.sum():
             break
-        off = np.where(named, totals - goal, np.minimum(0.0, totals - base))
+        if floor > 0 and not p.budget:
+            size = max(least, float((totals[some] * share[some] / base[some]).sum() / (share[some] ** 2 / base[some]).sum()))
+        off = np.where(named, totals - size * share, np.minimum(0.0, totals - base))
         errors = np.vstack([errors, np.where(base > 0, off / np.maximum(base, 1e-300), 0.0)])
     return errors[:p.rounds]
 
 
-def with_rates(members: DataFrame, errors: np.ndarray, p: MixParams = MixParams()) -> DataFrame:
+def with_rates(members: DataFrame, errors: np.ndarray, p: MixParams = MixParams(), floor: float = 0.0) -> DataFrame:
     """(key, doc_id, n_tokens, rate, copies, post)."""
     k, ridge = errors.shape[1], p.ridge
     sent = members.sparkSession.sparkContext.broadcast(errors)
 
     def run(batches):
         for batch in batches:
-            rate = replay(_posts(batch.column("post"), k), sent.value, ridge)
+            rate = replay(_posts(batch.column("post"), k), sent.value, ridge, floor)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "doc_id", "n_tokens", "post")] + [pa.array(rate)],
                                              ["key", "doc_id", "n_tokens", "post", "rate"])
 
@@ -244,7 +255,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], p: MixP
     """((key, doc_id, n_tokens, post, rate, copies), domains) for every row.
 
     Rows without words have the prior as posteriors and no weight in the
-    totals; without labelled rows or without targets every rate is 1.  Ties do
+    totals; without labelled rows or without targets every rate is 1; without
+    a budget no rate is below 1 and so no copies are 0.  Ties do
     not arise (a rate depends on the posteriors alone); repeated rows get
     equal rates and, having one id, equal copies; null ids are numbered by
     row.  An empty table gives an empty result; other columns are ignored.
@@ -253,8 +265,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], p: MixP
     if model is None:
         model = Classifier(["all"], 1, np.zeros((2, 1), np.float32), np.zeros(1), 1.0)
     members = materialise(memberships(docs, model), "mix-members")
-    errors = solve(members, model.domains, targets, p)
-    return with_rates(members, errors, p), model.domains
+    floor = 0.0 if p.budget else 1.0
+    errors = solve(members, model.domains, targets, p, floor)
+    return with_rates(members, errors, p, floor), model.domains
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

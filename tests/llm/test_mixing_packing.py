@@ -65,6 +65,29 @@ def test_a_domain_without_a_target_keeps_its_tokens(spark, budget):
     assert {i for i in lang if lang[i] == "it"} - kept == set()
 
 
+def test_mixed_posteriors_drop_nothing_without_a_budget(spark):
+    pure = np.eye(4) * 0.9996 + 1e-4
+    kinds = {"both": (70, (pure[0] + pure[1]) / 2), "en": (800, pure[0]), "de": (40, pure[1]), "fr": (50, pure[2]), "es": (40, pure[3])}
+    posts = [v / v.sum() for m, v in kinds.values() for _ in range(m)]
+    members = materialise(spark.createDataFrame([(i, i, 100, x.tolist()) for i, x in enumerate(posts)],
+                                                "key BIGINT, doc_id BIGINT, n_tokens BIGINT, post ARRAY<DOUBLE>").repartition(2), "test-floor")
+    domains = ["en", "de", "fr", "es"]
+    errors = mx.solve(members, domains, mx.TARGETS, floor=1.0)
+    rated = mx.with_rates(members, errors, floor=1.0).collect()
+    assert min(r.rate for r in rated) >= 1 and min(r.copies for r in rated) >= 1
+    got = sum(r.rate * np.array(r.post) for r in rated)
+    assert got / got.sum() == pytest.approx([mx.TARGETS[d] for d in domains], abs=2e-3)
+
+
+def test_mix_keeps_texts_of_two_languages_and_theirs(spark):
+    def text(i, *langs):
+        return " ".join(f"{d}{(i * 7 + w) % 40}" for w in range(40) for d in langs)
+    rows = [(i, text(i, "en"), "en") for i in range(80)] + [(100 + i, text(i, "de"), "de") for i in range(8)]
+    docs = spark.createDataFrame(rows + [(200 + i, text(i, "en", "de"), None) for i in range(20)], "doc_id BIGINT, text STRING, lang STRING")
+    rated = mx.mix(docs, docs.withColumn("domain", F.col("lang")), {"en": 0.5, "de": 0.5})[0].collect()
+    assert len(rated) == 108 and all(r.rate >= 1 and r.copies >= 1 for r in rated)
+
+
 def test_mixing_edge_cases(spark):
     df = frame(spark)
     labelled = df.withColumn("domain", F.col("lang"))
