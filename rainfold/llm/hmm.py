@@ -12,9 +12,8 @@ the whole corpus.
 
 Training: expected counts (Baum-Welch) are computed by the tasks with the
 scaled forward and backward recursions and summed by class across partitions
-with one shuffle; the driver normalises tables of fixed size.  The first
-iterations run on a bounded sample only to break the symmetry of the states;
-the last ones run over all training texts and determine the parameters.
+with one shuffle; the driver normalises tables of fixed size.  Every
+iteration runs over all training texts, until the likelihood settles.
 
 Scoring: the scaled forward recursion gives the exact likelihood of each
 whole text.  Texts of a batch advance together, longest first.
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import chunks, hash_sample, id_remainder, materialise, raw_texts, table
+from rainfold.llm.common import chunks, id_remainder, materialise, raw_texts, table
 
 
 @dataclass(frozen=True)
@@ -44,10 +43,9 @@ class HmmParams:
     rare_classes: int = 2048        # shared classes
     known_words: int = 131_072      # words whose counts every task knows, at most
     max_word_bytes: int = 64        # longer words are never among those
-    sample_docs: int = 1500         # bound of the sample that breaks the symmetry
-    sample_words: int = 600_000
-    sample_rounds: int = 12
-    rounds: int = 2                 # Baum-Welch over all training texts
+    sample_rounds: int = 0          # not used: no round runs over a sample; callers may still name it
+    rounds: int = 30                # Baum-Welch over all training texts, at most
+    settled: float = 1e-4           # the gain of the log likelihood, relative to it, that ends training
     smoothing: float = 0.5
     batch_words: int = 800_000      # words that advance together, about
 
@@ -290,33 +288,38 @@ def forward(m: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
 def expect(m: Hmm, seqs: list[np.ndarray], into: Expected) -> None:
     """Add the expected counts of the sequences (longest first, none empty)."""
     symbols, begins = _by_step(seqs)
-    steps, k = len(begins) - 1, len(m.start)
-    alpha = np.empty((len(symbols), k))
+    begins, steps, k = begins.tolist(), len(begins) - 1, len(m.start)
+    ahead = np.ascontiguousarray(m.move.T)
+    emitted = np.take(np.ascontiguousarray(m.emit.T), symbols, axis=1)  # a row per state; divided by the scales on the way
+    alpha = np.empty_like(emitted)
     scale = np.empty(len(symbols))
-    emitted = m.emit[symbols]
     for t in range(steps):
         i, j = begins[t], begins[t + 1]
-        a = (m.start[None, :] if t == 0 else alpha[begins[t - 1]:begins[t - 1] + j - i] @ m.move) * emitted[i:j]
-        scale[i:j] = a.sum(axis=1)
-        alpha[i:j] = a / scale[i:j, None]
+        before = m.start[:, None] if t == 0 else ahead @ alpha[:, begins[t - 1]:begins[t - 1] + j - i]
+        a = before * emitted[:, i:j]
+        scale[i:j] = a.sum(axis=0)
+        inverse = 1 / scale[i:j]
+        np.multiply(a, inverse, out=alpha[:, i:j])
+        emitted[:, i:j] *= inverse
     into.log += float(np.log10(scale).sum())
-    beta = np.ones((begins[steps] - begins[steps - 1], k))
+    beta = np.ones((k, begins[steps] - begins[steps - 1]))
     gamma = alpha  # overwritten from the last step on
+    moves = np.zeros((k, k))
     for t in range(steps - 1, -1, -1):
         i, j = begins[t], begins[t + 1]
-        if len(beta) < j - i:  # the sequences that end here
-            beta = np.vstack([beta, np.ones((j - i - len(beta), k))])
+        if beta.shape[1] < j - i:  # the sequences that end here
+            beta = np.hstack([beta, np.ones((k, j - i - beta.shape[1]))])
         if t:
-            before = alpha[begins[t - 1]:begins[t - 1] + j - i]
-            ahead = emitted[i:j] * beta / scale[i:j, None]
-            into.move += (before.T @ ahead) * m.move
-            following = ahead @ m.move.T
-        gamma[i:j] *= beta
+            coming = emitted[:, i:j] * beta
+            moves += alpha[:, begins[t - 1]:begins[t - 1] + j - i] @ coming.T
+            following = m.move @ coming
+        gamma[:, i:j] *= beta
         if t:
             beta = following
-    into.start += gamma[:begins[1]].sum(axis=0)
+    into.move += moves * m.move
+    into.start += gamma[:, :begins[1]].sum(axis=1)
     for s in range(k):
-        into.emit[:, s] += np.bincount(symbols, gamma[:, s], minlength=len(into.emit))
+        into.emit[:, s] += np.bincount(symbols, gamma[s], minlength=len(into.emit))
     into.rows += len(seqs)
 
 
@@ -326,8 +329,8 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
 
 def baum_welch(encoded: DataFrame, m: Hmm, p: HmmParams) -> Expected:
     """Expected counts over all training rows: a partial table per task, one
-    row for each class it met, summed by class (classes below 0: the start and
-    the moves)."""
+    row for each class it met, summed by class (classes below 0: the start,
+    the moves and the log likelihood under ``m``)."""
     sent = encoded.sparkSession.sparkContext.broadcast(m)
     classes, k = m.emit.shape
 
@@ -339,19 +342,22 @@ def baum_welch(encoded: DataFrame, m: Hmm, p: HmmParams) -> Expected:
                 expect(sent.value, [seqs[i] for i in part], e)
         if e.rows:
             met = np.flatnonzero(e.emit.any(axis=1))
-            cls = np.concatenate([[-1], -2 - np.arange(k), met])
-            values = np.vstack([e.start[None, :], e.move, e.emit[met]])
+            cls = np.concatenate([[-1], -2 - np.arange(k + 1), met])
+            values = np.vstack([e.start[None, :], e.move, np.full((1, k), e.log), e.emit[met]])
             yield pa.RecordBatch.from_arrays([pa.array(cls.astype(np.int32))] + [pa.array(values[:, s]) for s in range(k)],
                                              ["cls"] + [f"s{s}" for s in range(k)])
 
     names = [f"s{s}" for s in range(k)]
     rows = encoded.where("train").select("seq").mapInArrow(run, "cls int, " + ", ".join(f"{n} double" for n in names)) \
         .groupBy("cls").agg(*[F.sum(n).alias(n) for n in names]).collect()
+    sent.unpersist()
     e = Expected.zero(k, classes)
     for r in rows:
         v = np.array(r[1:])
         if r.cls == -1:
             e.start = v
+        elif r.cls == -2 - k:
+            e.log = v[0]
         elif r.cls < -1:
             e.move[-2 - r.cls] = v
         else:
@@ -360,7 +366,8 @@ def baum_welch(encoded: DataFrame, m: Hmm, p: HmmParams) -> Expected:
 
 
 def train(encoded: DataFrame, lexicon: Lexicon, p: HmmParams) -> Hmm:
-    """Symmetry broken on a bounded sample, then Baum-Welch over all rows."""
+    """Baum-Welch over all training rows from states that differ at random,
+    until a round gains less than ``settled`` of the log likelihood."""
     classes = lexicon.classes(p)
     common = np.full(classes, 0.5)
     common[0] += lexicon.ends
@@ -370,19 +377,13 @@ def train(encoded: DataFrame, lexicon: Lexicon, p: HmmParams) -> Hmm:
     common /= common.sum()
     m = new_hmm(common, p)
     total = encoded.where("train").count()
-    chosen = hash_sample(encoded.where("train"), ["doc_id"], p.sample_docs, total, "hmm")
-    seqs, held = [], 0
-    for r in chosen.select("seq").toLocalIterator():
-        if held < p.sample_words:  # the documented bound of the sample
-            seqs.append(np.frombuffer(r.seq, np.uint16))
-            held += len(seqs[-1])
-    for _ in range(p.sample_rounds if seqs else 0):
-        e = Expected.zero(p.states, classes)
-        for part in _together(seqs, p.batch_words):
-            expect(m, [seqs[i] for i in part], e)
-        m = normalised(e, common, p)
+    before = -np.inf
     for _ in range(p.rounds if total else 0):
-        m = normalised(baum_welch(encoded, m, p), common, p)
+        e = baum_welch(encoded, m, p)
+        m = normalised(e, common, p)
+        if e.log - before <= p.settled * abs(e.log):
+            break
+        before = e.log
     return m
 
 

@@ -10,6 +10,7 @@ from docs_fixture import documents, frame, words
 from pyspark.sql import functions as F
 
 from rainfold.llm import hmm
+from rainfold.llm.common import materialise
 
 
 def _model(k=3, classes=5, seed=1):
@@ -84,6 +85,35 @@ def test_scores(spark, known):
     assert len(same) == 1
 
 
+def test_every_round_sees_the_corpus_until_it_settles(spark, monkeypatch):
+    """Half of the texts, all shorter than one long text, have words of their own."""
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{x}" for x in r.integers(0, 30, 40))) for i in range(60)] + [(60, "c " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumn("train", F.lit(True))
+    p = hmm.HmmParams(states=3, frequent=80, rare_classes=8)
+    counts = hmm.word_counts(docs)
+    lexicon = hmm.fit_lexicon(counts, len(rows), p)
+    encoded = materialise(hmm.encode(docs, lexicon, p), "test-hmm")
+    logs, rows_seen = [], hmm.baum_welch
+
+    def watched(*args):
+        e = rows_seen(*args)
+        logs.append(e.log)
+        assert e.start.sum() == pytest.approx(len(rows), rel=1e-9)     # each text counts in each round
+        assert e.emit.sum() == pytest.approx(60 * 41 + 5001, rel=1e-9)
+        return e
+    monkeypatch.setattr(hmm, "baum_welch", watched)
+    m = hmm.train(encoded, lexicon, p)
+    assert 2 < len(logs) <= p.rounds and logs[-1] - logs[-2] <= p.settled * abs(logs[-1])
+    assert logs[-1] > logs[0] + 100
+    seqs = [np.frombuffer(x.seq, np.uint16) for x in encoded.orderBy(F.desc("n_tokens")).collect()]
+    exact = hmm.Expected.zero(3, lexicon.classes(p))
+    hmm.expect(m, seqs, exact)
+    again = rows_seen(encoded, m, p)
+    assert again.log == pytest.approx(exact.log) and exact.log >= logs[-1] - 0.01
+    assert np.allclose(again.emit, exact.emit) and np.allclose(again.move, exact.move)
+
+
 def test_untrained_and_empty(spark):
     p = hmm.HmmParams(states=2, frequent=10, rare_classes=8, sample_rounds=1, rounds=1)
     got = hmm.score(frame(spark), F.lit(False), p).collect()
