@@ -12,6 +12,3 @@ def spark():
     s = build_session("local[4]", 4, app_name="rainfold-tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
-
-
-SF = "/root/testdata/sf0.001"

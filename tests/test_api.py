@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF
+from paths import SF
 from rainfold import api
 from rainfold.sources import fixtures as fx
 

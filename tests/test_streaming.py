@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF
+from paths import SF
 from rainfold.operators.periods import rain_periods
 from rainfold.operators.resample import hourly_sum
 from rainfold.sources import fixtures as fx
