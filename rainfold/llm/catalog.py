@@ -6,9 +6,12 @@ from rainfold.llm import quality, url_filter
 from rainfold.llm.embedding_dedup import op3_embedding_dedup
 from rainfold.llm.hmm import op6_hmm_score
 from rainfold.llm.language_id import op5_language_id
+from rainfold.llm.merkle import op11_merkle
 from rainfold.llm.mixing import op8_mixing
 from rainfold.llm.packing import op9_packing
+from rainfold.llm.prefix_trie import op12_prefix_trie
 from rainfold.llm.quality import op2_quality_rules
+from rainfold.llm.quality_classifier import op13_quality_classifier
 from rainfold.llm.simhash import op4_simhash
 from rainfold.llm.token_records import op1_token_records
 from rainfold.llm.toxicity import op7_toxicity
@@ -25,6 +28,9 @@ LLM_QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle": op11_merkle,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 #: DuckDB SQL where it can express the query.
