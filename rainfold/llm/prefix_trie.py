@@ -47,6 +47,8 @@ GROUP = 256
 #: Bytes of a prefix digest; the digest of the empty prefix.
 DIGEST = 16
 ROOT = bytes(DIGEST)
+#: Parts of a prefix that more than ``GROUP`` distinct conversations share.
+SALTS = 64
 #: Text of joined ids handed on in one row (bytes).
 ID_CHUNK = 1 << 16
 
@@ -129,8 +131,11 @@ def with_floors(distinct: DataFrame, group: int = GROUP) -> DataFrame:
     most ``group`` rows share; null where there is none up to the row's end."""
     rungs = distinct.select("key", "path", F.explode(ladder(F.col("depth"))).alias("rung"))
     rungs = rungs.select("key", "rung", prefix_key(F.col("rung")).alias("prefix"))
-    heavy = rungs.groupBy("rung", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("rung", "prefix")
-    deepest = rungs.join(heavy, ["rung", "prefix"]).groupBy("key").agg(F.max("rung").alias("deepest"))
+    heavy = rungs.groupBy("rung", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
+    # every heavy prefix is a hot key of this join: the rows are dealt over SALTS parts of it
+    heavy = heavy.select("rung", "prefix", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rungs.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    deepest = salted.join(heavy, ["rung", "prefix", "salt"]).groupBy("key").agg(F.max("rung").alias("deepest"))
     after = F.filter(ladder(F.col("depth")), lambda k: k > F.coalesce(F.col("deepest"), F.lit(-1)))
     return distinct.join(deepest, "key", "left").withColumn("floor", F.get(after, F.lit(0))).drop("deepest")
 
@@ -232,8 +237,11 @@ def trie(sequences: DataFrame, group: int = GROUP) -> DataFrame:
             F.col("up").alias("key"), F.lit(depth).cast("long").alias("depth"), "conv_id", F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
             "n_children", F.greatest("leaves", F.lit(1)).alias("n_leaves"),
             (F.col("saved") + (F.col("n_convs") - 1) * last).alias("saved_tokens"), "path", "sizes", F.lit(False).alias("ended")), "trie-level")
-        up = here.select(F.col("key").alias("up"), F.col("conv_id").alias("parent"))
-        named = below.withColumn("up", prefix_key(F.lit(depth))).join(up, "up").withColumn("parent_conv_id", F.col("parent"))
+        if depth:
+            up = here.select(F.col("key").alias("up"), F.col("conv_id").alias("parent"))
+            named = below.withColumn("up", prefix_key(F.lit(depth))).join(up, "up").withColumn("parent_conv_id", F.col("parent"))
+        else:   # the root is one row: its smallest member is one number
+            named = below.withColumn("parent_conv_id", F.lit(here.first()["conv_id"]).cast("long"))
         done.append(named.select(*names))
         below = here.unionByName(floors.where(F.col("depth") == depth))
     done.append(below.where("depth = 0").select(*names))   # the root
