@@ -5,7 +5,7 @@ into (keys, value, count) — a map-side-combined shuffle that splits a hot
 key across tasks by value — then cumulative counts over the *distinct*
 values of each group locate the order statistics, which are linearly
 interpolated (numpy's default rule).  No group is ever collected into a
-list, and the per-group sort is bounded by its number of distinct values.
+list, and the cumulative counts are two-level (blocks of distinct values).
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainfold.operators.blocks import running, value_blocks
+
 
 def _name(p: float, prefix: str = "p") -> str:
     txt = f"{p * 100:g}".replace(".", "_")
@@ -32,9 +34,8 @@ def quantiles_from_counts(counts: DataFrame, by: Sequence[str], probs: Sequence[
                           names: Sequence[str], with_count: bool = True) -> DataFrame:
     """Linear-interpolation quantiles from a value-count table."""
     by = list(by)
-    w_cum = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*by)
-    cum = counts.select(*by, "_v", F.sum("_c").over(w_cum).alias("_cum"), F.sum("_c").over(w_all).alias("_n"))
+    cum = running(value_blocks(counts, by, "_v"), by, "_block", ["_v"], {"_before": F.col("_c")}, {"_n": "_before"})
+    cum = cum.select(*by, "_v", (F.col("_before") + F.col("_c")).alias("_cum"), "_n")
     aggs: list[Column] = [F.first("_n").alias("_n")]
     for p, nm in zip(probs, names):
         h = (F.col("_n") - 1) * F.lit(float(p))
@@ -257,7 +258,7 @@ def yearly_summary(df: DataFrame, by: Sequence[str], period: str, cols: Sequence
     keys = [*by, period]
     base = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(threshold_col) > F.lit(float(t))).alias(f"gt_{_num(t)}") for t in thresholds])
+        *[F.count_if(F.col(threshold_col) > F.lit(float(t))).alias(f"gt_{threshold_name(t)}") for t in thresholds])
     stacked = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in cols])).alias("_s"))
     stacked = stacked.select(*keys, "_s._col", "_s._val")
@@ -267,7 +268,7 @@ def yearly_summary(df: DataFrame, by: Sequence[str], period: str, cols: Sequence
     return base.join(wide, on=keys, how="left")
 
 
-def _num(t: float) -> str:
+def threshold_name(t: float) -> str:
     return str(int(t)) if float(t).is_integer() else str(t).replace(".", "_")
 
 

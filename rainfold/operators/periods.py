@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainfold.functions.calendar import seconds_between
+from rainfold.session import materialise
 
 
 def rain_periods(df: DataFrame, by: Sequence[str] = ("station",), ts: str = "datetime_utc",
@@ -54,12 +55,19 @@ def reindex_fill(counts: DataFrame, keys: DataFrame, by: Sequence[str], period:
 
 def rain_period_counts(df: DataFrame, by: Sequence[str] = ("station",), ts: str = "datetime_utc",
                        value: str = "rain_mm", threshold: float = 0.2, max_gap_minutes: int = 30) -> DataFrame:
-    """Q9: number of rain periods per (keys, year), zero-filled over all years in the data."""
+    """Q9: number of rain periods per (keys, year), zero-filled over all years in the data.
+
+    One pass over the readings: a wet one opens a period if the wet one before
+    it in its year is missing or too long ago.  The small table of keys and
+    years (dry years included) is written, and read for keys, years and counts."""
     by = list(by)
-    per = rain_periods(df, by, ts, value, threshold, max_gap_minutes)
-    counts = per.groupBy(*by, "year").agg(F.count(F.lit(1)).alias("periods"))
-    years = df.select(F.year(ts).alias("year"))
-    return reindex_fill(counts, df, by, "year", years, ["periods"])
+    w = Window.partitionBy(*by, "year").orderBy("_t")
+    rows = df.select(*by, F.year(ts).alias("year"), F.col(ts).alias("_t"), (F.col(value) > threshold).alias("_wet"))
+    rows = rows.withColumn("_before", F.last(F.when(F.col("_wet"), F.col("_t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    gap = seconds_between("_before", "_t")
+    opens = F.col("_wet") & (gap.isNull() | (gap > max_gap_minutes * 60))
+    counts = materialise(rows.groupBy(*by, "year").agg(F.count_if(opens).alias("periods")), "period-counts")
+    return reindex_fill(counts, counts, by, "year", counts, ["periods"])
 
 
 def rain_period_totals(counts: DataFrame, by: Sequence[str] = ("station",)) -> DataFrame:
@@ -90,9 +98,7 @@ def streaks(df: DataFrame, by: Sequence[str], period: str, order: str, value: st
         island = F.row_number().over(Window.partitionBy(*part).orderBy("_o")) - \
             F.row_number().over(Window.partitionBy(*part, above).orderBy("_o"))
     tagged = rows.select(*part, above.alias("_above"), island.alias("_island"))
-    runs = (tagged.where("_above").groupBy(*part, "_island").agg(F.count(F.lit(1)).alias("_len")))
-    per = runs.groupBy(*part).agg(F.max("_len").alias("longest_streak"),
-                                  F.count_if(F.col("_len") >= min_len).alias("n_streaks_min"))
-    all_keys = rows.select(*part).distinct()
-    return (all_keys.join(per, on=part, how="left")
-            .fillna(0, subset=["longest_streak", "n_streaks_min"]))
+    # runs of rows not above the threshold have length 0: every key stays, without a second look at the rows
+    runs = tagged.groupBy(*part, "_above", "_island").agg(F.count_if("_above").alias("_len"))
+    return runs.groupBy(*part).agg(F.max("_len").alias("longest_streak"),
+                                   F.count_if((F.col("_len") > 0) & (F.col("_len") >= min_len)).alias("n_streaks_min"))

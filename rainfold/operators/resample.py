@@ -1,16 +1,16 @@
 """Resampling: half-hourly → hourly / daily (A1-A4).
 
 Spark drops empty groups; pandas' resample emits every bucket between the
-first and last reading.  The gap-filled form (A3) reproduces that with a
-per-series spine that is generated on executors and unioned (not joined)
-into the aggregation, so the filled table costs one shuffle.
+first and last reading.  The gap-filled form (A3) aggregates the readings to
+hours once; every hour then looks at the next one and is exploded over the gap
+between them, so the source is scanned once and no hour spine is joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainfold.functions.calendar import floor_to
@@ -75,6 +75,10 @@ def resample_hourly(df: DataFrame, by: Sequence[str] = ("station",), ts: str = "
     ``fill_gaps=True`` (reference behaviour) emits every hour from each
     series' first to last reading; an empty hour has rain 0 and NULL means.
     ``fill_gaps=False`` keeps observed hours only.
+
+    The next hour is found inside (series, year); the last hour of a year and
+    the first of the next one with readings meet in a second window over the
+    years' first and last hours only.
     """
     by = list(by)
     if mean_cols is None:
@@ -82,15 +86,22 @@ def resample_hourly(df: DataFrame, by: Sequence[str] = ("station",), ts: str = "
                      if c not in set(by) | {ts, rain} and t in ("double", "float", "int", "bigint")]
     hour_col = floor_to(ts, "1 hour").alias("datetime_utc")
     readings = df.select(*by, hour_col, F.col(rain).alias("_rain"), *[F.col(c) for c in mean_cols])
-    if fill_gaps:
-        span = readings.groupBy(*by).agg(F.min("datetime_utc").alias("_lo"), F.max("datetime_utc").alias("_hi"))
-        spine = span.select(*by, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 HOUR"))).alias("datetime_utc"))
-        spine = spine.select(*by, "datetime_utc", F.lit(None).cast("double").alias("_rain"),
-                             *[F.lit(None).cast("double").alias(c) for c in mean_cols])
-        readings = readings.unionByName(spine)
     out = (readings.groupBy(*by, "datetime_utc")
            .agg(F.coalesce(F.sum("_rain"), F.lit(0.0)).alias(rain),
                 *[F.avg(c).alias(c) for c in mean_cols]))
+    if fill_gaps:
+        out = out.where(F.col("datetime_utc").isNotNull()).withColumn("_year", F.year("datetime_utc"))
+        w = Window.partitionBy(*by, "_year").orderBy("datetime_utc")
+        out = out.withColumns({"_next": F.lead("datetime_utc").over(w), "_first": F.row_number().over(w) == 1})
+        edge = F.when(F.col("_first") | F.col("_next").isNull(), F.lit(None)).otherwise(F.col("_year"))
+        over_years = Window.partitionBy(*by, edge).orderBy("datetime_utc")
+        out = out.withColumn("_next", F.coalesce("_next", F.lead("datetime_utc").over(over_years)))
+        hours = F.when(F.col("_next").isNull(), F.array("datetime_utc")).otherwise(
+            F.expr("sequence(datetime_utc, _next - INTERVAL 1 HOUR, INTERVAL 1 HOUR)"))
+        out = out.select(*by, F.posexplode(hours).alias("_gap", "_hour"), rain, *mean_cols)
+        read = F.col("_gap") == 0
+        out = out.select(*by, F.col("_hour").alias("datetime_utc"), F.when(read, F.col(rain)).otherwise(0.0).alias(rain),
+                         *[F.when(read, F.col(c)).alias(c) for c in mean_cols])
     return out.select(*by, "datetime_utc", rain, *mean_cols,
                       F.hour("datetime_utc").alias("hour"),
                       F.year("datetime_utc").alias("year"),

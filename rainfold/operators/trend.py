@@ -8,10 +8,11 @@ one distributed pass; p-values are native expressions evaluated on the
 result rows only.
 
 Pair statistics never list the n(n-1)/2 pairs: Mann-Kendall S comes from
-the level decomposition in :mod:`rainfold.operators.dominance`; Pettitt's U
-from mid-rank prefix sums; Theil-Sen is in :mod:`rainfold.operators.theil_sen`.  Each series' length is bounded by
-its calendar grain (years, months, days); the data volume grows with the
-number of series, which spread across tasks.
+the block and level decomposition in :mod:`rainfold.operators.dominance`,
+Pettitt's U from mid-rank prefix sums, Theil-Sen is in
+:mod:`rainfold.operators.theil_sen`.  Counts and sums along a series are
+two-level (:mod:`rainfold.operators.blocks`): a series of any length is spread
+over tasks, as many series are.
 """
 
 from __future__ import annotations
@@ -22,32 +23,48 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rainfold.functions.numeric import (factorial, kolmogorov_q, normal_two_sided_p,
+from rainfold.functions.numeric import (factorial, kolmogorov_q, ks_exact_p, normal_two_sided_p,
                                         student_t_two_sided_p)
+from rainfold.operators import blocks
+from rainfold.operators.blocks import join_keys, natural_block, running, value_blocks
 from rainfold.operators.dominance import pairs_le
+from rainfold.session import materialise
 
 EXACT_MAX_N = 33
+#: Fixed value: values of a sample up to which the two-sample KS p-value is exact.
+KS_EXACT_MAX = 10_000
 
 
 def make_series(df: DataFrame, by: Sequence[str], order: Sequence[str] | str, value: str,
                 x: str | None = None, label: str | None = None) -> DataFrame:
-    """Shape a table into series rows (by..., pos, x, y, label, n, span, idx)."""
+    """Shape a table into series rows (by..., pos, x, y, label, n, span, idx).
+
+    ``pos`` counts all rows, ``idx`` the rows with a value, both from 0 in
+    order, as two-level counts over blocks of the first order column, so a
+    series of any length is spread over tasks.  The table is written to the
+    shared folder: whatever reads the series evaluates its source once."""
     by = list(by)
     order = [order] if isinstance(order, str) else list(order)
     label = label or order[0]
-    w = Window.partitionBy(*by).orderBy(*[F.col(c) for c in order])
-    s = df.select(*by, *[c for c in dict.fromkeys(order + [label])], F.col(value).alias("y"),
+    s = df.select(*by, *[c for c in dict.fromkeys(order + [label])], F.col(value).cast("double").alias("_y"),
                   *( [F.col(x).alias("_x")] if x else []))
-    s = s.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
-    s = s.where(F.col("y").isNotNull() & ~F.isnan("y"))
-    xcol = F.col("_x").cast("double") if x else F.col("pos").cast("double")
-    wa = Window.partitionBy(*by)
-    # dense 0-based index among the kept rows (same partitioning and order: no extra shuffle)
-    idx = (F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1).cast("long")
-    return s.select(*by, "pos", xcol.alias("x"), F.col("y").cast("double").alias("y"),
-                    F.col(label).alias("label"),
-                    F.count(F.lit(1)).over(wa).alias("n"),
-                    (F.max("pos").over(wa) + 1).alias("span"), idx.alias("idx"))
+    has = F.col("_y").isNotNull() & ~F.isnan("_y")
+    block = natural_block(s, order[0], alone=len(order) == 1)
+    if block is None:
+        firsts = value_blocks(s.select(*by, order[0]).distinct(), by, order[0])
+        s = join_keys(s, firsts, [*by, order[0]])
+    else:
+        s = s.withColumn("_block", F.coalesce(block, F.lit(-(1 << 62))))
+    s = running(s, by, "_block", order, {"_pos": F.lit(1), "_idx": F.when(has, 1).otherwise(0)}, {"_span": "_pos", "_n": "_idx"})
+    xcol = (F.col("_x") if x else F.col("_pos")).cast("double")
+    counts = [F.col(f"_{c}").cast("long").alias(c) for c in ("pos", "n", "span", "idx")]
+    s = s.where(has).select(*by, counts[0], xcol.alias("x"), F.col("_y").alias("y"), F.col(label).alias("label"), *counts[1:])
+    return materialise(s, "series")
+
+
+def longest(series: DataFrame) -> int:
+    """Points of the longest series (one number)."""
+    return series.agg(F.max("n")).first()[0] or 0
 
 
 # ---------------------------------------------------------------- Mann-Kendall
@@ -111,7 +128,7 @@ def mk_counts(series: DataFrame, sid: Sequence[str]) -> DataFrame:
             .groupBy(*sid).agg(F.sum("t").alias("n"), F.max("span").alias("span"),
                                F.sum(t * (t - 1) / 2).cast("long").alias("tied_pairs"),
                                F.sum(t * (t - 1) * (2 * t + 5)).cast("double").alias("tie_var")))
-    le = pairs_le(series, sid, "pos", "y", "span")
+    le = pairs_le(series, sid, "pos", "y", "span", longest(series))
     j = base.join(le, sid)
     n = F.col("n")
     total = (n * (n - 1) / 2).cast("long")
@@ -210,16 +227,16 @@ def pettitt(series: DataFrame, sid: Sequence[str], min_n: int = 4, alpha: float
     the 0-based index of the first element of the second segment (first
     maximum wins); ``cp_label`` is that element's period label."""
     sid = list(sid)
-    w_rank = Window.partitionBy(*sid).orderBy("y")
-    w_tie = Window.partitionBy(*sid, "y")
-    ranked = series.select(*sid, "pos", "y", "label", "n",
-                           (F.rank().over(w_rank) + (F.count(F.lit(1)).over(w_tie) - 1) / 2.0).alias("_r"))
-    w_pos = Window.partitionBy(*sid).orderBy("pos")
-    k = F.row_number().over(w_pos)
-    pref = F.sum("_r").over(w_pos.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = ranked.select(*sid, "n", k.alias("_k"), (2 * pref - k * (F.col("n") + 1)).alias("_u"),
-                      F.lead("label").over(w_pos).alias("_next"))
-    best = (u.where(F.col("_k") < F.col("n"))
+    # different values of a series with their counts: the values before (two-level) give the mid-rank
+    ties = value_blocks(series.groupBy(*sid, "y").agg(F.count(F.lit(1)).alias("_t")), sid, "y")
+    ranks = running(ties, sid, "_block", ["y"], {"_before": F.col("_t")})
+    ranks = ranks.select(*sid, "y", (F.col("_before") + (F.col("_t") + 1) / 2.0).alias("_r"))
+    ranked = series.select(*sid, "idx", "y", "label", "n", F.floor(F.col("idx") / blocks.BLOCK).alias("_block"))
+    ranked = join_keys(ranked, ranks, [*sid, "y"])
+    # a point and the sum of the ranks before it: the split in front of that point, whose label it has
+    u = running(ranked, sid, "_block", ["idx"], {"_sum": F.col("_r")})
+    u = u.select(*sid, "n", F.col("idx").alias("_k"), F.col("label").alias("_next"), (2 * F.col("_sum") - F.col("idx") * (F.col("n") + 1)).alias("_u"))
+    best = (u.where(F.col("_k") > 0)
             .groupBy(*sid).agg(F.first("n").alias("n"),
                                F.max(F.struct(F.abs("_u").alias("a"), (-F.col("_k")).alias("nk"),
                                               F.col("_next").alias("lab"))).alias("_b")))
@@ -264,24 +281,21 @@ def ols(series: DataFrame, sid: Sequence[str], min_n: int = 3) -> DataFrame:
 
 def two_sample_tests(df: DataFrame, by: Sequence[str], sample: str, value: str,
                      first: str = "early", second: str = "late") -> DataFrame:
-    """T7 and T8 from one pass: (keys, n1, n2, ks_d, ks_p_value, mean1, mean2,
-    t, t_p_value).  The rows are collapsed to counts per value and sample; the
+    """T7 and T8 from one pass: (keys, n1, n2, ks_d, ks_p_value, ks_method,
+    mean1, mean2, t, t_p_value).  The KS p-value is exact if neither sample
+    has more than ``KS_EXACT_MAX`` values, else the Kolmogorov tail.  The rows are collapsed to counts per value and sample; the
     cumulative counts give D, the weighted moments give t."""
     by = list(by)
     smp = F.col(sample)
     counts = (df.where(F.col(value).isNotNull() & smp.isin(first, second))
               .groupBy(*by, F.col(value).alias("_v"))
               .agg(F.count_if(smp == first).alias("_a"), F.count_if(smp == second).alias("_b")))
-    w_cum = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*by)
-
-    def mean(c: str) -> Column:
-        return F.sum(F.col(c) * F.col("_v")).over(w_all) / F.nullif(F.sum(c).over(w_all), F.lit(0))
-
-    cdf = counts.select(*by, "_v", "_a", "_b", F.sum("_a").over(w_cum).alias("_ca"), F.sum("_b").over(w_cum).alias("_cb"),
-                        F.sum("_a").over(w_all).alias("n1"), F.sum("_b").over(w_all).alias("n2"),
-                        mean("_a").alias("mean1"), mean("_b").alias("mean2"))
     v = F.col("_v")
+    cdf = running(value_blocks(counts, by, "_v"), by, "_block", ["_v"],
+                  {"_ba": F.col("_a"), "_bb": F.col("_b"), "_sa": F.col("_a") * v, "_sb": F.col("_b") * v},
+                  {"n1": "_ba", "n2": "_bb", "_wa": "_sa", "_wb": "_sb"})
+    cdf = cdf.select(*by, "_v", "_a", "_b", (F.col("_ba") + F.col("_a")).alias("_ca"), (F.col("_bb") + F.col("_b")).alias("_cb"), "n1", "n2",
+                     F.try_divide("_wa", "n1").alias("mean1"), F.try_divide("_wb", "n2").alias("mean2"))
     g = cdf.groupBy(*by).agg(
         F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("mean1").alias("mean1"), F.first("mean2").alias("mean2"),
         F.max(F.abs(F.try_divide("_ca", "n1") - F.try_divide("_cb", "n2"))).alias("_d"),
@@ -293,7 +307,9 @@ def two_sample_tests(df: DataFrame, by: Sequence[str], sample: str, value: str,
     pooled = (F.col("_s1") + F.col("_s2")) / F.nullif(dfree, F.lit(0))
     t = (F.col("mean1") - F.col("mean2")) / F.sqrt(pooled * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
     ok = (n1 >= 2) & (n2 >= 2) & (pooled > 0)
+    exact = F.greatest(n1, n2) <= KS_EXACT_MAX
     out = g.select(*by, "n1", "n2", F.when(some, F.col("_d")).alias("ks_d"),
-                   F.when(some, kolmogorov_q(F.col("_d") * F.sqrt(n1 * n2 / (n1 + n2)))).alias("ks_p_value"),
-                   "mean1", "mean2", F.when(ok, t).alias("t"), dfree.alias("_df"))
+                   F.when(some & exact, ks_exact_p("n1", "n2", F.col("_d")))
+                   .when(some, kolmogorov_q(F.col("_d") * F.sqrt(n1 * n2 / (n1 + n2)))).alias("ks_p_value"),
+                   F.when(some & exact, "exact").when(some, "asymptotic").alias("ks_method"), "mean1", "mean2", F.when(ok, t).alias("t"), dfree.alias("_df"))
     return out.withColumn("t_p_value", F.when(F.col("t").isNotNull(), student_t_two_sided_p(F.col("t"), F.col("_df")))).drop("_df")

@@ -107,6 +107,19 @@ def ks_q(lam: str) -> str:
     return f"(CASE WHEN ({lam}) < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, {s})) END)"
 
 
+def ks_exact(n1: str, n2: str, d: str) -> str:
+    """Exact two-sample p: 1 less the probability that a random order of both
+    samples, drawn without replacement, keeps all differences below d."""
+    j = "(s - i)"
+    inside = f"{j} BETWEEN 0 AND {n2} AND abs(i * {n2} - {j} * {n1}) < {d} * {n1} * {n2} - 0.5"
+    came = (f"(acc[i + 1] * greatest({n2} - {j} + 1, 0) + (CASE WHEN i > 0 THEN acc[i] ELSE 0 END) * ({n1} - i + 1))"
+            f" / ({n1} + {n2} - s + 1)")
+    start = f"list_transform(range(0, {n1} + 1), lambda i: (CASE WHEN i = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE)"
+    end = (f"list_reduce(range(1, {n1} + {n2} + 1), lambda acc, s: list_transform(range(0, {n1} + 1), "
+           f"lambda i: (CASE WHEN {inside} THEN {came} ELSE 0 END)::DOUBLE), {start})")
+    return f"(1 - ({end})[{n1} + 1])"
+
+
 def kendall_cdf(n: str, c: str) -> str:
     """P(C ≤ c) of the concordant-pair count of a random permutation of n."""
     pmf = (f"list_reduce(range(2, {n} + 1), lambda acc, m: list_transform(range(0, len(acc) + m - 1), "
@@ -301,7 +314,7 @@ ORACLES["month_hour_matrix"] = sql(
                                           for h in range(24)) + " FROM valid GROUP BY ALL", VALID_HOURLY)
 
 ORACLES["distribution_shift"] = sql(f"""
-SELECT k.station, k.n1, k.n2, {r6('k.d')} AS ks_d, {r6(ks_q('k.d * sqrt(k.n1 * k.n2 / (k.n1 + k.n2))'))} AS ks_p_value,
+SELECT k.station, k.n1, k.n2, {r6('k.d')} AS ks_d, {r6(ks_exact('k.n1', 'k.n2', 'k.d'))} AS ks_p_value, 'exact' AS ks_method,
        {r6('t.m1')} AS mean1, {r6('t.m2')} AS mean2, {r6('t.tt')} AS t, {r6(student_p('t.tt', 't.df'))} AS t_p_value
 FROM (SELECT station, max(n1) AS n1, max(n2) AS n2, max(abs(ca / n1 - cb / n2)) AS d FROM (
         SELECT v.station, v.v, count(*) FILTER (WHERE s.sample = 'early') AS ca,
@@ -826,8 +839,9 @@ def _measure_ser() -> str:
     return """ym AS (
   SELECT station, 'mean_T_min' AS measure, year, avg(T_min) AS v FROM days GROUP BY ALL
   UNION ALL SELECT station, 'mean_T_max', year, avg(T_max) FROM days GROUP BY ALL
-  UNION ALL SELECT station, 'count_gt_' || CAST(trunc(threshold) AS INTEGER), year, CAST(count AS DOUBLE) FROM wc
-  UNION ALL SELECT station, 'streak_gt_' || CAST(trunc(threshold) AS INTEGER), year, CAST(longest_streak AS DOUBLE) FROM st),
+  UNION ALL SELECT station, 'count_gt_' || replace(regexp_replace(CAST(threshold AS VARCHAR), '[.]0$', ''), '.', '_'), year, CAST(count AS DOUBLE) FROM wc
+  UNION ALL SELECT station, 'streak_gt_' || replace(regexp_replace(CAST(threshold AS VARCHAR), '[.]0$', ''), '.', '_'), year,
+                   CAST(longest_streak AS DOUBLE) FROM st),
 ser AS (SELECT station, measure, row_number() OVER (PARTITION BY station, measure ORDER BY year, v) - 1 AS pos,
                CAST(row_number() OVER (PARTITION BY station, measure ORDER BY year, v) - 1 AS DOUBLE) AS x, v AS y, year AS label
         FROM ym)"""

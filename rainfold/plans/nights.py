@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.functions.calendar import in_season, is_night, night_date
-from rainfold.operators.aggregates import box_summary, exact_quantiles, threshold_counts, yearly_summary
+from rainfold.operators.aggregates import box_summary, exact_quantiles, threshold_counts, threshold_name, yearly_summary
 from rainfold.operators.combine import common_keys, two_way_compare
 from rainfold.operators.coverage import filter_covered, keep_valid
 from rainfold.operators.periods import streaks
 from rainfold.operators.trend import make_series, ols
 from rainfold.plans.trends import trend_row
+from rainfold.session import materialise
 
 # The reference's summer (21 Jun - 21 Sep, 93 days), night
 # (23:00-05:30, 14 half-hours, complete at 11) and warm-night thresholds (°C).
@@ -177,7 +178,10 @@ def yearly_measures(days: DataFrame, by: Sequence[str] = ("station",), date: str
     means = means.select(*by, "_m.measure", "year", "_m.value")
 
     def label(kind: str):
-        return F.concat(F.lit(kind), F.col("threshold").cast("int").cast("string")).alias("measure")
+        named = F.lit(None).cast("string")
+        for t in thresholds:
+            named = F.when(F.col("threshold") == F.lit(float(t)), F.lit(kind + threshold_name(t))).otherwise(named)
+        return named.alias("measure")
 
     counts = warm_counts(days, by, value, thresholds).select(*by, label("count_gt_"), "year", F.col("count").cast("double").alias("value"))
     longest = warm_streaks(days, by, date, value, thresholds).select(
@@ -186,6 +190,7 @@ def yearly_measures(days: DataFrame, by: Sequence[str] = ("station",), date: str
 
 
 def measure_trends(days: DataFrame, by: Sequence[str] = ("station",), **kw) -> DataFrame:
-    """MK + Sen + Pettitt on every yearly measure."""
+    """MK + Sen + Pettitt on every yearly measure.  The days are
+    written once; means, counts and streaks read them from there."""
     by = [*by, "measure"]
-    return trend_row(make_series(yearly_measures(days, by[:-1], **kw), by, "year", "value"), by)
+    return trend_row(make_series(yearly_measures(materialise(days, "days"), by[:-1], **kw), by, "year", "value"), by)

@@ -11,6 +11,7 @@ from rainfold.operators.combine import two_way_compare
 from rainfold.operators.coverage import filter_covered, first_last_periods
 from rainfold.operators.ranking import arg_extremes, top_k
 from rainfold.operators.resample import resample_hourly
+from rainfold.session import materialise
 
 # Hours expected per calendar year (365.25 × 24) and per day.
 HOURS_PER_YEAR = 8766
@@ -94,10 +95,11 @@ def distribution_shift(halfhourly: DataFrame, by: Sequence[str] = ("station",),
     from rainfold.operators.trend import two_sample_tests
     by = list(by)
     period = valid_kw.get("period", "year")
-    both = early_late_samples(valid_hourly(halfhourly, by, **valid_kw), by, period, k)
+    valid = materialise(valid_hourly(halfhourly, by, **valid_kw).select(*by, period, "rain_mm"), "valid-hours")
+    both = early_late_samples(valid, by, period, k)
     out = two_sample_tests(both, by, "sample", "rain_mm")
     enough = (F.col("n1") >= min_n) & (F.col("n2") >= min_n)
-    return out.select(*by, "n1", "n2", *[F.when(enough, F.col(c)).alias(c) for c in ("ks_d", "ks_p_value")], "mean1", "mean2",
+    return out.select(*by, "n1", "n2", *[F.when(enough, F.col(c)).alias(c) for c in ("ks_d", "ks_p_value", "ks_method")], "mean1", "mean2",
                       *[F.when(enough, F.col(c)).alias(c) for c in ("t", "t_p_value")])
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job assumes: UTC wall clock (the station data is naive UTC),
 # AQE for runtime coalescing and skew splitting of shuffles.
@@ -42,6 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is (and must be set).  Only in local mode, when it is unset (tests),
     a private temp folder is created.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -56,10 +58,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per context:
+    the driver's path says nothing about the executors'."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rainfold_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="rainfold-pkg-"), "rainfold.zip")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("rainfold", os.path.relpath(path, here)))
+    sc.addPyFile(name)
+    sc._rainfold_shipped = True
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back: its
+    plan is evaluated once, and a lost executor costs no more than a read."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
