@@ -56,6 +56,13 @@ def slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (y[j] - y[i])[later] / dx[later]
 
 
+def select_slopes(x: np.ndarray, y: np.ndarray, ranks: Sequence[int]) -> list[float]:
+    """The slopes of the given 0-based ranks of a short series."""
+    order = np.argsort(x, kind="stable")
+    s = slopes(x[order], y[order])
+    return [float(v) for v in np.partition(s, sorted(set(ranks)))[list(ranks)]]
+
+
 def _tie_sum(v: np.ndarray) -> float:
     t = np.unique(v, return_counts=True)[1].astype(float)
     return float((t * (t - 1) * (2 * t + 5)).sum())
@@ -72,14 +79,13 @@ def wanted_ranks(n: int, pairs: int, ties: float, z: float) -> tuple[int, int, i
 def sen_statistics(x: np.ndarray, y: np.ndarray, z: float = Z_975) -> tuple[float, float, float, float] | None:
     """(slope, intercept, lower, upper) of a short series; None without two
     different x."""
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    s = slopes(x, y)
-    if not len(s):
+    n = len(x)
+    t = np.unique(x, return_counts=True)[1].astype(np.int64)
+    pairs = n * (n - 1) // 2 - int((t * (t - 1) // 2).sum())
+    if pairs < 1:
         return None
-    ranks = wanted_ranks(len(x), len(s), _tie_sum(x) + _tie_sum(y), z)
-    a, b, lo, hi = (float(v) for v in np.partition(s, sorted(set(ranks)))[list(ranks)])
-    slope = a if len(s) % 2 else (a + b) / 2
+    a, b, lo, hi = select_slopes(x, y, wanted_ranks(n, pairs, _tie_sum(x) + _tie_sum(y), z))
+    slope = a if pairs % 2 else (a + b) / 2
     return slope, float(np.median(y) - slope * np.median(x)), lo, hi
 
 
