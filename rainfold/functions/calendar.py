@@ -67,6 +67,12 @@ def month_label(m: Column | str) -> Column:
     return F.try_element_at(F.array(*[F.lit(x) for x in MONTH_LABELS]), _c(m).cast("int"))
 
 
+def hour_label(h: Column | str) -> Column:
+    """Hour number → 'HH:00' (B20); null when out of range."""
+    h = _c(h).cast("int")
+    return F.when(h.between(0, 23), F.format_string("%02d:00", h))
+
+
 def seconds_between(start: str, end: str) -> Column:
     """Whole seconds from column ``start`` to column ``end``."""
     return F.expr(f"timestampdiff(SECOND, `{start}`, `{end}`)")

@@ -59,3 +59,13 @@ def union_eras(frames: Sequence[DataFrame], key: Sequence[str] | None = None,
 def common_keys(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Keys present in both."""
     return a.select(*cols).intersect(b.select(*cols))
+
+
+def all_keys(frames: Sequence[DataFrame], cols: Sequence[str]) -> DataFrame:
+    """Every key that any of the frames has, once.  Each frame is reduced
+    to its own keys before the union, and the union again."""
+    keys = [f.select(*cols).distinct() for f in frames]
+    out = keys[0]
+    for f in keys[1:]:
+        out = out.unionByName(f)
+    return out.distinct()

@@ -959,3 +959,71 @@ SELECT station, CAST(datetime_utc AS DATE) AS date, {r6('avg(T_avg)')} AS T_avg,
        {r6('avg(T_avg * 5)')} AS humidity_avg, {r6('sum(rain_mm)')} AS rain_mm, {r6('avg(T_min)')} AS avg_wind_kmh,
        {r6('max(T_max)')} AS max_wind_kmh, {r6('avg(1000 + T_avg)')} AS pressure_avg, {r6('avg(T_max * 10)')} AS radiation_avg
 FROM hh GROUP BY ALL""", HH)
+
+
+# --- stores, ledgers, ordered files, several years ---------------------------
+
+HH_YEARS = HH + """,
+hhy AS (SELECT station, datetime_utc - to_years(CAST((day(datetime_utc) * 5 + hour(datetime_utc) // 6) % 8 AS INTEGER)) AS datetime_utc,
+               T_avg, T_min, T_max, rain_mm FROM hh)"""
+
+ORACLES["stored_reports"] = sql("""
+SELECT m.station, CAST(m.m AS DATE) AS month_start,
+       CASE WHEN coalesce(n, 0) = 0 OR kind = 3 THEN NULL
+            WHEN kind IN (0, 2) THEN place || '/' || year(m.m) || '/' || ['Gener', 'Febrer', 'Mar', 'Abril', 'Maig', 'Juny', 'Juliol', 'Agost',
+                 'Setembre', 'Octubre', 'Novembre', 'Desembre'][month(m.m)] || '_' || year(m.m) || '_NOAA.TXT'
+            ELSE place || '/' || year(m.m) || '/' || strftime(m.m, '%B') || year(m.m) || '/climatedataout' || month(m.m) || year(m.m) || '.html'
+       END AS picked,
+       CAST(CASE WHEN coalesce(n, 0) = 0 OR kind = 3 THEN 0 WHEN kind = 2 THEN 2 ELSE 1 END AS BIGINT) AS n_available,
+       CASE WHEN coalesce(n, 0) = 0 OR kind = 3 THEN NULL WHEN kind IN (0, 2) THEN 'txt' ELSE 'html' END AS format,
+       CASE WHEN coalesce(n, 0) = 0 OR kind = 3 THEN 'not_found' WHEN kind IN (0, 2) AND plain = 0 THEN 'parsed_zero_rows' ELSE 'ok' END AS status,
+       CAST(CASE WHEN coalesce(n, 0) = 0 OR kind = 3 THEN 0 WHEN kind IN (0, 2) THEN plain ELSE n END AS BIGINT) AS rows
+FROM (SELECT *, (year(m) + month(m)) % 4 AS kind, regexp_replace(station, '[^A-Za-z0-9]+', '_', 'g') AS place FROM mm) m
+LEFT JOIN (SELECT station, date_trunc('month', date) AS m, count(*) AS n, count(*) FILTER (WHERE day(date) % 9 <> 0) AS plain FROM dd GROUP BY ALL) d
+  ON d.station = m.station AND d.m = m.m""", DD,
+    """mm AS (SELECT station, unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)),
+                                            INTERVAL 1 MONTH)) AS m FROM dd GROUP BY station)""")
+
+ORACLES["time_ordered_sink"] = sql("""
+SELECT station, strftime(datetime_utc, '%Y-%m') AS month, count(*) AS rows, min(datetime_utc) AS first_time, max(datetime_utc) AS last_time,
+       true AS ascending, true AS disjoint
+FROM hhy GROUP BY 1, 2""", HH_YEARS)
+
+ORACLES["csv_reject_ledger"] = sql("""
+SELECT event_id, status, CASE WHEN status = 'good' THEN TRY_CAST(raw_number AS DOUBLE) END AS value,
+       CASE WHEN status <> 'good' THEN event_id || ',' || event_id || ',' ||
+            CASE WHEN contains(raw_number, ',') THEN '"' || raw_number || '"' ELSE raw_number END END AS record,
+       count(*) OVER (PARTITION BY status) AS of
+FROM (SELECT *, CASE WHEN k < 5 OR k = 13 OR k >= 15 THEN 'good' ELSE 'rejected' END AS status FROM m)""", MESSY)
+
+ORACLES["preview_by_time"] = sql(f"""
+SELECT station, CAST(CASE WHEN up <= 3 THEN up ELSE -down END AS INTEGER) AS place, datetime_utc, {r6('T_avg')} AS T_avg FROM (
+  SELECT *, row_number() OVER (PARTITION BY station ORDER BY datetime_utc) AS up,
+         row_number() OVER (PARTITION BY station ORDER BY datetime_utc DESC) AS down FROM hh)
+WHERE up <= 3 OR down <= 3""", HH)
+
+ORACLES["all_station_years"] = sql(f"""
+SELECT station, month, ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][month] AS label,
+       max(n) FILTER (WHERE src = 1) AS first_days, max(n) FILTER (WHERE src = 2) AS second_days,
+       {r6('round(100 * sum(n) / sum(sum(n)) OVER (PARTITION BY station), 1)')} AS share_pct
+FROM (SELECT station, CAST(month(date) AS INTEGER) AS month, 1 AS src, count(*) AS n FROM dd GROUP BY ALL
+      UNION ALL
+      SELECT l_returnflag, CAST(month(l_shipdate) AS INTEGER), 2, count(DISTINCT CAST(l_shipdate AS DATE)) FROM lineitem GROUP BY 1, 2)
+GROUP BY station, month""", DD)
+
+ORACLES["hour_labels"] = sql(f"""
+SELECT station, lpad(CAST(hour AS VARCHAR), 2, '0') || ':00' AS hour, {r6('avg(rain_mm)')} AS mean_rain FROM valid GROUP BY station, valid.hour""", VALID_HOURLY)
+
+ORACLES["month_hour_over_years"] = sql("""
+SELECT s.station, CAST(y.year AS INTEGER) AS year, coalesce(c.periods, 0) AS periods
+FROM (SELECT DISTINCT station FROM kept) s, (SELECT DISTINCT year FROM kept) y
+LEFT JOIN (SELECT station, year, count(*) AS periods FROM wet
+           WHERE prev IS NULL OR datetime_utc - prev > INTERVAL 30 MINUTE GROUP BY ALL) c ON c.station = s.station AND c.year = y.year""", HH_YEARS,
+    """kept AS (SELECT *, year(datetime_utc) AS year FROM hhy WHERE station <> 'click' OR year(datetime_utc) <> 2021),
+wet AS (SELECT *, lag(datetime_utc) OVER (PARTITION BY station, year ORDER BY datetime_utc) AS prev FROM kept WHERE rain_mm > 0.2)""")
+
+_NIGHTS_Y = HH_YEARS + NIGHTS[len(HH):].replace("FROM hh WHERE", "FROM hhy WHERE") + """,
+vn AS (SELECT station, year FROM nights GROUP BY ALL HAVING count(*) / 21.0 >= 0.20),
+days AS (SELECT station, night_date AS date, year, night_T_min AS T_min, night_T_max AS T_max FROM nights
+         WHERE readings_count >= 1 AND (station, year) IN (SELECT (station, year) FROM vn))"""
+ORACLES["night_trends_over_years"] = sql(trend_row_sql("ser", ["station", "measure"]), _NIGHTS_Y, _warm(*_NIGHT_TH), _runs(), _measure_ser())

@@ -660,3 +660,85 @@ def q_daily_all_columns(spark, sf_dir):
         "humidity": F.col("T_avg") * 5, "avg_wind_kmh": F.col("T_min"), "max_wind_kmh": F.col("T_max"),
         "pressure": F.col("T_avg") + 1000, "radiation": F.col("T_max") * 10})
     return finalize(daily_from_halfhourly(hh))
+
+
+# ------------------------------------------------------------ stores, ledgers and ordered files
+
+@register("stored_reports")
+def q_stored_reports(spark, sf_dir):
+    """Monthly reports written as files under their candidate names
+    (text, HTML, both or neither by month), the first existing name of every
+    month of the record read back, decoded and parsed."""
+    from rainfold.plans.ingest import store_reports, stored_report_rows
+    from rainfold.session import scratch_path
+    daily = _dd(spark, sf_dir)
+    folder = scratch_path(spark, "store")
+    store_reports(daily, folder)
+    return stored_report_rows(spark, daily, folder)
+
+
+@register("time_ordered_sink")
+def q_time_ordered_sink(spark, sf_dir):
+    """Half-hourly readings written in time order, the months of every
+    second year then delivered again; what the files say about order."""
+    from rainfold.session import materialise, scratch_path
+    from rainfold.sources import files
+    hh = materialise(fx.spread_over_years(_hh(spark, sf_dir)).withColumn("month", F.date_format("datetime_utc", "yyyy-MM")), "readings")
+    path = scratch_path(spark, "ordered")
+    files.write_in_time_order(hh, path)
+    files.write_in_time_order(hh.where(F.month("datetime_utc").between(1, 6) & (F.year("datetime_utc") % 2 == 0)), path)
+    return files.file_order(spark.read.parquet(path))
+
+
+@register("csv_reject_ledger")
+def q_csv_reject_ledger(spark, sf_dir):
+    """Messy CSV files with a stray index column, routed in
+    one pass into good rows and a written reject ledger."""
+    from rainfold.plans.ingest import csv_good_and_rejected
+    return csv_good_and_rejected(spark, fx.load(spark, sf_dir, "events"))
+
+
+@register("preview_by_time")
+def q_preview_by_time(spark, sf_dir):
+    """The first and last three readings of each station."""
+    from rainfold.operators.ranking import head_tail
+    return finalize(head_tail(_hh(spark, sf_dir).select("station", "datetime_utc", "T_avg"), ["station"], "datetime_utc", 3))
+
+
+@register("all_station_years")
+def q_all_station_years(spark, sf_dir):
+    """Every (station, month) that either daily source has, with
+    its share of that station's readings in per cent and its label."""
+    from rainfold.plans.ingest import month_shares
+    return finalize(month_shares(_dd(spark, sf_dir), fx.daily_from_lineitem(fx.load(spark, sf_dir, "lineitem"))))
+
+
+@register("hour_labels")
+def q_hour_labels(spark, sf_dir):
+    """Mean rain by hour of the day, hours labelled HH:00."""
+    from rainfold.functions.calendar import hour_label
+    prof = rain_hours.hour_profile(rain_hours.valid_hourly(_hh(spark, sf_dir), **DAY_COVERAGE))
+    return finalize(prof.select("station", hour_label("hour").alias("hour"), "mean_rain"))
+
+
+def _nights_of_years(spark, sf_dir):
+    from rainfold.plans import nights
+    hh = fx.spread_over_years(_hh(spark, sf_dir))
+    return nights.valid_nights(nights.night_table(hh, season=JAN_NIGHTS, complete_at=1), expected=21, threshold=0.2)
+
+
+@register("night_trends_over_years")
+def q_night_trends_over_years(spark, sf_dir):
+    """Q28 on nights of several years: Mann-Kendall, Sen and Pettitt of every
+    yearly measure."""
+    from rainfold.plans import nights
+    days = nights.as_days(_nights_of_years(spark, sf_dir).select("station", "night_date", "year", "night_T_min", "night_T_max"))
+    return finalize(nights.measure_trends(days, thresholds=[0.5, 1.0, 2.0, 4.0]))
+
+
+@register("month_hour_over_years")
+def q_month_hour_over_years(spark, sf_dir):
+    """Q3, Q9, J4 on several months and years: rain periods of every station
+    and year, years without any filled with 0."""
+    from rainfold.operators.periods import rain_period_counts
+    return rain_period_counts(fx.spread_over_years(_hh(spark, sf_dir)).where((F.col("station") != EV_LEFT) | (F.year("datetime_utc") != 2021)))

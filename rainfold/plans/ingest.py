@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rainfold.functions.calendar import month_label
 from rainfold.functions.clean import (COMPASS_DEGREES, compass_to_degrees, report_int, report_number,
                                       report_time, report_wind_dir, sentinel_to_null, strip_approx_mark,
                                       text_to_double)
-from rainfold.operators.combine import union_eras
+from rainfold.operators.combine import all_keys, outer_merge, union_eras
+from rainfold.session import scratch_path
 from rainfold.sources import reports
+from rainfold.sources.files import drop_stray_index
+from rainfold.sources.fixtures import messy_text_view
+from rainfold.sources.manifest import candidate_sources, month_manifest
+from rainfold.sources.stored import first_existing, read_csv_rows, read_picked, route, stored_names, write_documents
 
 
 def clean_report_text(messy: DataFrame) -> DataFrame:
@@ -101,3 +108,58 @@ def page_ledger(pages: DataFrame) -> DataFrame:
 def document_report_lines(documents: DataFrame) -> DataFrame:
     """Per document its lines and those that match the report pattern."""
     return reports.line_counts(documents.select("doc_id", F.col("text").alias("body")))
+
+
+# ------------------------------------------------------------ stored reports
+
+def store_reports(daily: DataFrame, folder: str) -> None:
+    """Write each month's reports under their candidate names: by (year +
+    month) mod 4 text only, HTML only, both, or none."""
+    values = reports.report_values(daily)
+    names = candidate_sources(daily.select("station", F.trunc("date", "month").alias("month_start")).distinct(), ["station"])
+    names = names.withColumn("year", F.year("month_start")).withColumn("month", F.month("month_start"))
+    kind = F.pmod(F.col("year") + F.col("month"), F.lit(4))
+    text = reports.render_text_reports(values).drop("url").join(names.where(F.col("priority") == 0), ["station", "year", "month"]).where(kind.isin(0, 2))
+    html = reports.render_html_reports(values).drop("url").join(names.where(F.lower("url").endswith(".html")), ["station", "year", "month"]).where(kind.isin(1, 2))
+    both = text.select("station", "url", "body").unionByName(html.select("station", "url", "body"))
+    named = both.select(F.concat_ws("/", F.regexp_replace("station", "[^A-Za-z0-9]+", "_"), "url").alias("name"), "body")
+    write_documents(named, folder).agg(F.sum("bytes")).collect()   # one number; the files are written
+
+
+def stored_report_rows(spark, daily: DataFrame, folder: str) -> DataFrame:
+    """Per station and month of the record: the name read, how many of its
+    names exist, the document's format and status, and the report rows in it."""
+    months = month_manifest(daily, ["station"])
+    names = candidate_sources(months, ["station"]).withColumn("url", F.concat_ws("/", F.regexp_replace("station", "[^A-Za-z0-9]+", "_"), "url"))
+    picked = first_existing(names, stored_names(spark, folder), ["station", "month_start"])
+    docs = read_picked(spark, folder, picked.drop("status"))
+    status = reports.ledger(docs, keys=("station", "month_start", "picked", "n_available"))
+    return status.select("station", "month_start", "picked", "n_available",
+                         F.when(F.col("picked").isNotNull(), F.col("format")).alias("format"), "status", "rows")
+
+
+def csv_good_and_rejected(spark, events: DataFrame) -> DataFrame:
+    """Messy rows written as CSV with a stray index column, read with a schema,
+    routed in one pass; (event_id, status, value, record) of both parts."""
+    messy = messy_text_view(events).select("event_id", F.when(F.col("raw_number") != " ", F.col("raw_number")).alias("value"))
+    folder = scratch_path(spark, "csv")
+    messy.select(F.col("event_id").alias("Unnamed: 0"), "event_id", "value").write.option("header", True).csv(f"{folder}/in")
+    schema = T.StructType([T.StructField("Unnamed: 0", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())])
+    rows = drop_stray_index(read_csv_rows(spark, f"{folder}/in", schema))
+    good, ledger, counts = route(rows, F.col("_corrupt_record").isNotNull(), F.lit("malformed row"), f"{folder}/out", ["event_id"])
+    total = F.lit(counts["good"]).cast("long"), F.lit(counts["rejected"]).cast("long")
+    return (good.select("event_id", F.lit("good").alias("status"), "value", F.lit(None).cast("string").alias("record"), total[0].alias("of"))
+            .unionByName(ledger.select("event_id", "status", F.lit(None).cast("double").alias("value"), "record", total[1].alias("of"))))
+
+
+def month_shares(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(station, month) of either source, the days each has in that month
+    of the year and their per cent (one decimal, B22) of the station's days."""
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("station", F.month("date").alias("month")).agg(F.count(F.lit(1)).alias(name))
+    a, b = counted(first, "first_days"), counted(second, "second_days")
+    keys = all_keys([a, b], ["station", "month"])
+    both = outer_merge([keys, a, b], ["station", "month"])
+    days = F.coalesce("first_days", F.lit(0)) + F.coalesce("second_days", F.lit(0))
+    share = F.round(100 * days / F.sum(days).over(Window.partitionBy("station")), 1)   # twelve rows a station
+    return both.select("station", "month", month_label("month").alias("label"), "first_days", "second_days", share.alias("share_pct"))

@@ -96,3 +96,12 @@ def messy_text_view(events: DataFrame) -> DataFrame:
         F.when(F.pmod(F.col("event_id"), F.lit(13)) == 0, None).otherwise(F.col("user_id")).alias("user_with_nulls"),
         F.when(F.pmod(F.col("event_id"), F.lit(11)) == 0, None).otherwise(F.col("event_type")).alias("type_with_nulls"),
     )
+
+
+def spread_over_years(readings: DataFrame, years: int = 8) -> DataFrame:
+    """The readings of one month spread over several years: each (station,
+    slot) moves by whole years, by its hour and day (no row is copied or
+    dropped)."""
+    t = F.col("datetime_utc")
+    shift = F.pmod(F.dayofmonth(t) * 5 + F.floor(F.hour(t) / 6), F.lit(years)).cast("int")
+    return readings.withColumn("datetime_utc", (t + F.make_ym_interval(-shift)).cast("timestamp_ntz"))

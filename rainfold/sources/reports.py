@@ -5,8 +5,7 @@ documents ``(doc_id, url, body)``.  Text and HTML reports are parsed with
 native expressions.
 
 Every document ends with a status ('ok', 'parsed_zero_rows',
-'unsupported_format', 'no_table', 'not_found', 'parse_error'); nothing
-raises, and the rejects form a ledger.
+'unsupported_format', 'no_table', 'not_found'); nothing raises, and the rejects form a ledger.
 """
 
 from __future__ import annotations
@@ -78,11 +77,111 @@ def _cell_text(c: F.Column) -> F.Column:
     return strip_text(t)
 
 
+_COMMENT = r"(?s)<!--.*?-->"
+
+
 def n_tables(body: F.Column) -> F.Column:
-    return F.regexp_count(body, F.lit(r"(?i)<table\b"))
+    return F.regexp_count(F.regexp_replace(body, _COMMENT, ""), F.lit(r"(?i)<table\b"))
+
+
+# Tags that open or close a table, a section, a row or a cell.
+_TABLE_TAG = r"(?i)(</?(?:table|thead|tbody|tfoot|tr|td|th)\b[^>]*>)"
+_CELL = "struct<a:int,b:int>"
+_OPEN = f"struct<t:int,inside:boolean,start:int,cells:array<{_CELL}>>"
+
+
+def _once(value: F.Column, use) -> F.Column:
+    """``use(value)`` with the value computed once, wherever it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _pieces(body: F.Column) -> F.Column:
+    """The body cut in front of every table tag, comments left out."""
+    clean = F.regexp_replace(F.translate(body, "\u0001", " "), _COMMENT, "")
+    return F.split(F.regexp_replace(clean, _TABLE_TAG, "\u0001$1"), "\u0001")
+
+
+def _walk(pieces: F.Column) -> F.Column:
+    """Rows of all tables as (table, cells), a cell being the pieces from ``a``
+    up to ``b``: a fold over the pieces that keeps a stack of the open tables,
+    each with its open row and cell.
+
+    A row or cell ends where it is closed or where the next one (or the end of
+    its row, section or table) begins, so closing tags may be left out as the
+    markup language allows.  A table inside a cell is a table of its own; its
+    text also belongs to that cell.  Cells outside rows are ignored."""
+    def opened(t, inside, start, cells) -> F.Column:
+        return F.struct(t.cast("int").alias("t"), inside.alias("inside"), start.cast("int").alias("start"), cells.alias("cells"))
+
+    def ended(top: F.Column, i: F.Column) -> F.Column:
+        cell = F.array(F.struct(top["start"].alias("a"), i.cast("int").alias("b")))
+        return F.when(top["start"].isNull(), top["cells"]).otherwise(F.concat(top["cells"], cell))
+
+    def row(top: F.Column, i: F.Column) -> F.Column:
+        return F.array(F.struct(top["t"].alias("t"), ended(top, i).alias("cells")))
+
+    nothing, no_cells = F.lit(None).cast("int"), F.array().cast(f"array<{_CELL}>")
+
+    def step(s: F.Column, p: F.Column) -> F.Column:
+        tag, i = p["tag"], p["i"]
+        stack, out = s["stack"], s["out"]
+        top, under = F.element_at(stack, -1), F.slice(stack, F.lit(1), F.size(stack) - 1)
+        done = F.when(top["inside"], F.concat(out, row(top, i))).otherwise(out)
+
+        def state(stack_, n, out_) -> F.Column:
+            return F.struct(stack_.alias("stack"), n.cast("int").alias("n"), out_.alias("out"))
+
+        def on_top(new: F.Column) -> F.Column:
+            return F.concat(under, F.array(new))
 
+        return (F.when(tag == "", s)
+                .when(tag == "table", state(F.concat(stack, F.array(opened(s["n"], F.lit(False), nothing, no_cells))), s["n"] + 1, out))
+                .when(F.size(stack) == 0, s)
+                .when(tag == "/table", state(under, s["n"], done))
+                .when(tag == "tr", state(on_top(opened(top["t"], F.lit(True), nothing, no_cells)), s["n"], done))
+                .when(tag.isin("td", "th"), state(on_top(opened(top["t"], top["inside"], F.when(top["inside"], i), ended(top, i))), s["n"], out))
+                .when(tag.isin("/td", "/th"), state(on_top(opened(top["t"], top["inside"], nothing, ended(top, i))), s["n"], out))
+                .otherwise(state(on_top(opened(top["t"], F.lit(False), nothing, no_cells)), s["n"], done)))
 
-def nested_tables(body: F.Column) -> F.Column:
+    tags = F.transform(pieces, lambda p, i: F.struct(F.lower(F.regexp_extract(p, r"(?i)^<(/?(?:table|thead|tbody|tfoot|tr|td|th))\b", 1)).alias("tag"),
+                                                     i.alias("i")))
+    start = F.struct(F.array().cast(f"array<{_OPEN}>").alias("stack"), F.lit(0).alias("n"),
+                     F.array().cast(f"array<struct<t:int,cells:array<{_CELL}>>>").alias("out"))
+    # tables that are never closed end with the document
+    return F.aggregate(tags, start, step, lambda s: F.concat(
+        s["out"], F.flatten(F.transform(F.filter(s["stack"], lambda t: t["inside"]), lambda t: row(t, F.size(tags))))))
+
+
+def _span(piece: F.Column, name: str) -> F.Column:
+    tag = F.regexp_extract(piece, r"^<[^>]*>", 0)
+    found = F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*[\"']?\s*(\d{{1,3}})", 1).try_cast("int")
+    return F.greatest(F.coalesce(found, F.lit(1)), F.lit(1))
+
+
+def _grid(rows: F.Column) -> F.Column:
+    """Rows of (text, across, down) → rows of texts: a cell fills the columns
+    and rows that it spans.  Per column the fold carries the text that still
+    reaches down and for how many rows; a row's cells take the columns that are
+    left.  Spans end with the table."""
+    reach = "array<struct<text:string,left:int>>"
+
+    def step(s: F.Column, row: F.Column) -> F.Column:
+        wide = F.flatten(F.transform(row, lambda c: F.array_repeat(F.struct(c["text"].alias("text"), (c["down"] - 1).alias("left")), c["across"])))
+        before = s["reach"]
+        taken = lambda k: F.coalesce(F.get(before, k)["left"], F.lit(0)) > 0
+        free = F.filter(F.sequence(F.lit(0), F.size(before) + F.size(wide)), lambda k: ~taken(k))
+        last = F.greatest(F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.size(before)), taken)), F.lit(-1)),
+                          F.when(F.size(wide) > 0, F.get(free, F.size(wide) - 1)).otherwise(F.lit(-1)))
+        columns = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        filled = F.transform(columns, lambda k: F.when(taken(k), F.struct(F.get(before, k)["text"].alias("text"), (F.get(before, k)["left"] - 1).alias("left")))
+                             .otherwise(F.get(wide, (F.array_position(free, k) - 1).cast("int"))))
+        return F.struct(F.concat(s["out"], F.array(F.transform(filled, lambda c: c["text"]))).alias("out"), filled.cast(reach).alias("reach"))
+
+    start = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast(reach).alias("reach"))
+    return F.aggregate(rows, start, step, lambda s: s["out"])
+
+
+def _nested_tables(body: F.Column) -> F.Column:
     """Does a table open before the one before it is closed?"""
     tags = F.regexp_extract_all(body, F.lit(r"(?i)<(/?)table\b"), 1)
     depth = F.aggregate(tags, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, t: F.struct(
@@ -91,10 +190,9 @@ def nested_tables(body: F.Column) -> F.Column:
     return depth["most"] > 1
 
 
-def table_rows(body: F.Column) -> F.Column:
-    """Tables → rows → cell texts.  A row or cell ends where it is closed or
-    where the next one (or the end of its row, section or table) begins, so
-    closing tags may be left out as the markup language allows."""
+def _side_by_side(body: F.Column) -> F.Column:
+    """``table_rows`` of a body without tables inside tables, spans and
+    comments, where cutting at the opening tags is enough."""
     tables = F.slice(F.split(body, r"(?i)<table\b[^>]*>"), 2, 1 << 30)
     tables = F.transform(tables, lambda t: F.regexp_replace(t, r"(?is)</table\s*>.*$", ""))
 
@@ -109,32 +207,54 @@ def table_rows(body: F.Column) -> F.Column:
     return F.transform(tables, lambda t: F.transform(rows(t), cells))
 
 
+def table_rows(body: F.Column) -> F.Column:
+    """Tables (in the order in which they open) → rows → cell texts, tables
+    inside tables and spanned cells included.  Only bodies that have these (or
+    comments) are walked with a stack."""
+    walk = body.rlike(r"(?i)<t[dh]\b[^>]*\b(?:col|row)span|<!--") | _nested_tables(body)
+    return F.when(walk, _walked_tables(body)).otherwise(_side_by_side(body))
+
+
+def _walked_tables(body: F.Column) -> F.Column:
+    def tables(pieces: F.Column) -> F.Column:
+        def text(c: F.Column) -> F.Column:
+            return _cell_text(F.array_join(F.slice(pieces, c["a"] + 1, c["b"] - c["a"]), ""))
+
+        def spanned(row: F.Column) -> F.Column:
+            return F.transform(row["cells"], lambda c: F.struct(
+                text(c).alias("text"), _span(F.get(pieces, c["a"]), "colspan").alias("across"), _span(F.get(pieces, c["a"]), "rowspan").alias("down")))
+
+        def of_walk(walked: F.Column) -> F.Column:
+            def of_table(t: F.Column) -> F.Column:
+                own = F.filter(walked, lambda r: r["t"] == t)
+                return F.when(body.rlike(r"(?i)<t[dh]\b[^>]*\b(?:col|row)span"), _grid(F.transform(own, spanned))) \
+                    .otherwise(F.transform(own, lambda r: F.transform(r["cells"], text)))
+            n = n_tables(body)
+            return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), of_table)).otherwise(F.array().cast("array<array<array<string>>>"))
+        return _once(_walk(pieces), of_walk)
+    return _once(_pieces(body), tables)
+
+
 def html_cells(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cell text of every table row of every HTML document, natively.
 
     Tags are stripped, ``<br>`` becomes a line break and character references
     are decoded.  Documents without rows keep one row with NULL cells and
-    their table count.  Tables inside tables cannot be told apart this way:
-    such a document is a reject (``error``), without cells.
+    their table count.
     """
     keep = list(keep)
-    nested = F.coalesce(nested_tables(F.col("body")), F.lit(False))
-    d = docs.select(*keep, F.coalesce(n_tables(F.col("body")), F.lit(0)).cast("int").alias("n_tables"),
-                    F.when(nested, F.lit("tables inside tables")).alias("error"),
-                    F.when(~nested, table_rows(F.col("body"))).alias("_tables"))
-    t = d.select(*keep, "n_tables", "error", F.posexplode_outer("_tables").alias("table_no", "_rows"))
-    return t.select(*keep, "n_tables", "error", "table_no", F.posexplode_outer("_rows").alias("row_no", "cells"))
+    d = docs.select(*keep, F.coalesce(n_tables(F.col("body")), F.lit(0)).cast("int").alias("n_tables"), table_rows(F.col("body")).alias("_tables"))
+    t = d.select(*keep, "n_tables", F.posexplode_outer("_tables").alias("table_no", "_rows"))
+    return t.select(*keep, "n_tables", "table_no", F.posexplode_outer("_rows").alias("row_no", "cells"))
 
 
 def parse_html_rows(docs: DataFrame, keys: tuple[str, ...] = ("station", "year", "month")) -> DataFrame:
     """Rows with ≥ 17 cells whose first cell is a day number; numbers by
     the lenient report rule, condition and direction as trimmed text, the
     times that only text reports give missing.  ``keys`` are carried along
-    (year and month among them); documents with tables inside tables give no
-    rows."""
+    (year and month among them)."""
     rows = F.filter(F.flatten(table_rows(F.col("body"))), _is_html_day_row)
-    nested = F.coalesce(nested_tables(F.col("body")), F.lit(False))
-    found = docs.where(~nested).select(*keys, F.explode(rows).alias("cells"))
+    found = docs.select(*keys, F.explode(rows).alias("cells"))
     cols = []
     for i, name in enumerate(HTML_FIELDS):
         raw = F.get(F.col("cells"), i)
@@ -176,8 +296,7 @@ def ledger(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     The format is the url's suffix or, without a known one, what the body
     looks like: markup is html, lines of a report are txt, else unsupported.
     Statuses: ``not_found`` (no body, or a server's error page),
-    ``unsupported_format``, ``parse_error`` (tables inside tables),
-    ``no_table``, ``parsed_zero_rows``, ``ok``."""
+    ``unsupported_format``, ``no_table``, ``parsed_zero_rows``, ``ok``."""
     body = F.col("body")
     d = docs.withColumn("_accepted", F.coalesce(F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(TEXT_ROW_PATTERN))), F.lit(0)))
     by_suffix = format_of("url")
@@ -186,17 +305,16 @@ def ledger(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     d = d.withColumn("format", F.when(by_suffix != "unsupported", by_suffix).otherwise(F.coalesce(by_content, F.lit("unsupported"))))
     tables = table_rows(body)
     day_rows = F.size(F.filter(F.flatten(tables), _is_html_day_row))
-    d = d.withColumn("_tables", F.coalesce(n_tables(body), F.lit(0))).withColumn("_nested", F.coalesce(nested_tables(body), F.lit(False)))
-    rows = F.when(F.col("format") == "txt", F.col("_accepted")).when((F.col("format") == "html") & ~F.col("_nested"), F.coalesce(day_rows, F.lit(0))).otherwise(0)
+    d = d.withColumn("_tables", F.coalesce(n_tables(body), F.lit(0)))
+    rows = F.when(F.col("format") == "txt", F.col("_accepted")).when(F.col("format") == "html", F.coalesce(day_rows, F.lit(0))).otherwise(0)
     d = d.withColumn("rows", rows.cast("long"))
     status = (F.when(body.isNull() | (F.length(strip_text(body)) == 0) | body.rlike(NOT_FOUND_BODY), "not_found")
               .when(F.col("format") == "unsupported", "unsupported_format")
-              .when((F.col("format") == "html") & F.col("_nested"), "parse_error")
               .when((F.col("format") == "html") & (F.col("_tables") == 0), "no_table")
               .when(F.col("rows") == 0, "parsed_zero_rows")
               .otherwise("ok"))
     message = (F.when(F.col("status") == "not_found", "document not found").when(F.col("status") == "unsupported_format", "no report format recognised")
-               .when(F.col("status") == "parse_error", "tables inside tables").when(F.col("status") == "no_table", "no table in the document")
+               .when(F.col("status") == "no_table", "no table in the document")
                .when(F.col("status") == "parsed_zero_rows", "no report rows").otherwise(""))
     return d.withColumn("status", status).select(*keys, "url", "format", "status", message.alias("message"),
                                                  F.when(F.col("status").isin("ok", "parsed_zero_rows"), F.col("rows")).otherwise(F.lit(0).cast("long")).alias("rows"))
@@ -309,8 +427,7 @@ DAY_PAGE_MIN_TABLES = 3
 
 def parse_day_pages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Readings from the third table of each day page (station, date,
-    body), and the reject ledger of pages with fewer than three tables (or
-    tables inside tables, whose count means nothing).
+    body), and the reject ledger of pages with fewer than three tables.
 
     A page's rows stay one array: its first row is the header, by whose text
     columns are located (renamed to raw, then canonical names), the others are
@@ -319,8 +436,7 @@ def parse_day_pages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     double.
     """
     body = F.col("body")
-    nested = F.coalesce(nested_tables(body), F.lit(False))
-    enough = ~nested & (F.coalesce(n_tables(body), F.lit(0)) >= DAY_PAGE_MIN_TABLES)
+    enough = F.coalesce(n_tables(body), F.lit(0)) >= DAY_PAGE_MIN_TABLES
     table = docs.where(enough).select("station", "date", F.get(table_rows(body), DAY_PAGE_MIN_TABLES - 1).alias("_rows"))
     data = table.select("station", "date", F.get("_rows", 0).alias("_hdr"), F.explode(F.slice("_rows", 2, 1 << 30)).alias("cells"))
     raw_cols = {}
@@ -382,8 +498,7 @@ def parse_stacked_reports(docs: DataFrame, keys: tuple[str, ...] = ("station", "
     days = lambda row: F.filter(lines(F.get(row, 0)), lambda s: s.rlike("^[0-9]+$"))
     rows = F.filter(F.flatten(table_rows(F.col("body"))), lambda row: (F.size(row) >= STACKED_MIN_CELLS)
                     & F.array_contains(days(row), "1") & (F.size(days(row)) >= STACKED_MIN_DAYS))
-    nested = F.coalesce(nested_tables(F.col("body")), F.lit(False))
-    pick = docs.where(~nested).select(*keys, F.get(rows, 0).alias("_row")).where(F.col("_row").isNotNull())
+    pick = docs.select(*keys, F.get(rows, 0).alias("_row")).where(F.col("_row").isNotNull())
     pick = pick.select(*keys, "_row", days(F.col("_row")).alias("_days"))
     cols = {"day": F.col("_days")}
 

@@ -90,7 +90,7 @@ def test_ledger_statuses(spark):
         (4, "d", "<html><head><title>404 Not Found</title></head></html>"), (5, "e.txt", REPORT), (6, "f", REPORT), (7, "g", "just words"),
         (8, "h", "<html><p>x"), (9, "i.txt", "nothing"), (10, "j", "  ")], "doc_id BIGINT, url STRING, body STRING")
     got = {r.doc_id: (r.format, r.status, r.rows) for r in reports.ledger(docs).collect()}
-    assert got[1] == ("html", "ok", 1) and got[2] == ("html", "parse_error", 0)
+    assert got[1] == ("html", "ok", 1) and got[2] == ("html", "parsed_zero_rows", 0)
     assert got[3][1] == got[4][1] == got[10][1] == "not_found"
     assert got[5] == got[6] == ("txt", "ok", 1)
     assert got[7][1] == "unsupported_format" and got[8] == ("html", "no_table", 0) and got[9] == ("txt", "parsed_zero_rows", 0)
@@ -143,11 +143,42 @@ def test_native_cells_match_a_tag_parser(spark):
         assert got.get(i, []) == _parsed(html), html
 
 
-def test_tables_inside_tables_are_rejected(spark):
-    docs = spark.createDataFrame([(1, "<table><tr><td><table><tr><td>1</td></tr></table></td></tr></table>")], "doc_id BIGINT, body STRING")
-    r = reports.html_cells(docs).collect()
-    assert [(x.n_tables, x.cells, x.error) for x in r] == [(2, None, "tables inside tables")]
+def _cells(spark, *bodies):
+    docs = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "doc_id INT, body STRING")
+    got = {}
+    for r in reports.html_cells(docs, keep=("doc_id",)).where("cells IS NOT NULL").orderBy("doc_id", "table_no", "row_no").collect():
+        got.setdefault(r.doc_id, {}).setdefault(r.table_no, []).append(r.cells)
+    return got
+
+
+def test_tables_inside_tables(spark):
+    """Each is a table of its own; its text belongs to the outer cell too."""
+    body = ("<table><tr><td>a<table><tr><td>b</td><td>c<table><tr><td>deep</table></td></tr></table>z</td><td>d</td></tr>"
+            "<tr><td>e</td></tr></table><table><tr><td>f")
+    assert _cells(spark, body)[0] == {0: [["abcdeepz", "d"], ["e"]], 1: [["b", "cdeep"]], 2: [["deep"]], 3: [["f"]]}
+
+
+def test_spanned_cells_fill_the_grid(spark):
+    body = ("<table><tr><th rowspan=2>day</th><th colspan='2'>wind</th><th rowspan=\"3\">r</th></tr><tr><th>a</th><th>b</th></tr>"
+            "<tr><td>1</td><td COLSPAN=2>x</td></tr><tr><td>2</td><td>y</td><td>z</td><td rowspan=9>w</td></tr><tr><td>3</td></tr></table>")
+    assert _cells(spark, body)[0][0] == [["day", "wind", "wind", "r"], ["day", "a", "b", "r"], ["1", "x", "x", "r"], ["2", "y", "z", "w"],
+                                         ["3", None, None, "w"]]
+
+
+def test_table_tags_in_comments_and_outside(spark):
+    body = "<td>lost</td></tr><!-- <table><tr><td>no --><table><caption>c</caption><td>no row</td><tbody><tr><td>1<th>2</tbody></table></table><p>end"
+    assert _cells(spark, body, None, "", "plain") == {0: {0: [["1", "2"]]}}
+
 
+def test_nested_and_spanned_reports_give_their_rows(spark):
+    """A row-wise report inside a layout table, its day in a spanned cell."""
+    cells = "".join(f"<td>{x}</td>" for x in ["1", "20.5", "10.1", "15.0"])
+    body = (f"<table><tr><td>menu</td><td><table><tr>{cells}<td colspan=13>0.5</td></tr></table></td></tr></table>")
+    docs = spark.createDataFrame([("s", 2012, 5, "x.html", body)], "station STRING, year INT, month INT, url STRING, body STRING")
+    (row,) = reports.parse_html_rows(docs).collect()
+    assert (row.day, row.max_temp_c, row.min_temp_c, row.mean_temp_c, row.rain_mm, row.avg_wind_kmh) == (1, 20.5, 10.1, 15.0, 0.5, 0.5)
+    (status,) = reports.ledger(docs, keys=("station",)).collect()
+    assert (status.status, status.rows) == ("ok", 1)
 
 def test_text_that_is_no_decimal_number(spark):
     odd = ["12d", "12f", "0x1p3", "nan", "NaN", "Infinity", "1e3", ".5", "5.", "+2", "\t7.5\n"]
