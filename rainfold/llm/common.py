@@ -51,6 +51,21 @@ def hash_sample(df: DataFrame, cols: list[str], most: int, total: int, salt: str
     return df.where(unit < F.lit(min(1.0, most / max(1, total))))
 
 
+def free_name(base: str, columns: list[str]) -> str:
+    """A column name that ``columns`` doesn't have (names differ by more than
+    case)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def hash_unit(column: str, salt: str) -> Column:
+    """A number in 0..1 for each value, by hash: the order in which samples of
+    rows are taken, whatever file they lie in."""
+    return F.pmod(F.xxhash64(F.lit(salt), F.col(column)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes."""

@@ -11,6 +11,7 @@ distrust reaches ``min_distrust`` and exceeds its trust.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ LINK = r"""(?i)\bhref\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 @dataclass(frozen=True)
 class Propagation:
     damping: float = 0.85
-    rounds: int = 12
+    rounds: int = 400               # an error is raised if that many do not settle the scores
+    settled: float = 1e-6           # of min_distrust: what all steps to come may still add to a score
     min_distrust: float = 0.01
 
 
@@ -76,22 +78,33 @@ def host_edges(pages: DataFrame, host_col: str = "host", html_col: str = "html")
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, p: Propagation = Propagation()) -> DataFrame:
-    """(host, score): ``rounds`` steps of personalised PageRank from ``seeds``
-    (host, seed) along ``edges`` (src, dst, n).  A host hands its score on in
-    proportion to its links; scores of hosts without links go nowhere."""
+    """(host, score): personalised PageRank from ``seeds`` (host, seed) along
+    ``edges`` (src, dst, n).  A host hands its score on in proportion to its
+    links; scores of hosts without links go nowhere.
+
+    A step hands on only what the step before brought.  What it brings in all
+    (one number a step) bounds what is still to come, and the steps end when
+    that cannot change a verdict."""
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
     steps = materialise(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "url-steps")
     start = seeds.select("host", ((1 - p.damping) * F.col("seed")).alias("score"))
     if steps.isEmpty():
         return start
-    score = start
-    for k in range(p.rounds):
-        handed = score.join(steps, score["host"] == steps["src"]).select(
-            F.col("dst").alias("host"), (p.damping * F.col("score") * F.col("share")).alias("score"))
-        score = start.unionAll(handed).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3 or k == p.rounds - 1:
-            score = materialise(score, "url-score")
-    return score
+    brought, parts = start, [start]
+
+    def summed(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionAll, parts).groupBy("host").agg(F.sum("score").alias("score"))
+
+    for _ in range(p.rounds):
+        handed = brought.join(steps, brought["host"] == steps["src"]).select(F.col("dst").alias("host"), (p.damping * F.col("score") * F.col("share")).alias("score"))
+        brought = materialise(handed.groupBy("host").agg(F.sum("score").alias("score")), "url-step")
+        parts.append(brought)
+        if len(parts) > 8:
+            parts = [materialise(summed(parts), "url-score")]
+        mass = brought.agg(F.sum("score")).first()[0] or 0.0
+        if mass * p.damping / (1 - p.damping) <= p.settled * p.min_distrust:
+            return summed(parts)
+    raise RuntimeError(f"scores did not settle in {p.rounds} steps")
 
 
 def url_filter(pages: DataFrame, rules=CONTRACT_RULES, p: Propagation = Propagation(),
@@ -99,7 +112,9 @@ def url_filter(pages: DataFrame, rules=CONTRACT_RULES, p: Propagation = Propagat
     """(page_id, host, path, rule, verdict, trust, distrust), a row per page.
 
     Null or malformed urls have empty host and path: no rule fits and no
-    score exists, so they are allowed by the method.  Null html has no links.
+    score exists, so they are allowed by the method.  Null html has no links;
+    html of any length is searched in its row.  A host whose distrust equals
+    its trust is allowed.
     Repeated rows are judged alike (and weigh on their host as often as they
     occur); an empty table gives an empty result.  Other columns are ignored.
     """
@@ -129,17 +144,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(p: Propagation = Propagation()) -> str:
-    """DuckDB SQL of the same verdicts, the rounds written out."""
-    def rounds(kind: str, src: str, dst: str, seed: str) -> str:
-        out = [f"{kind}s AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM edges)",
-               f"{kind}0 AS (SELECT host, {1 - p.damping} * {seed} AS score FROM hosts WHERE {seed} > 0)"]
-        for k in range(1, p.rounds + 1):
-            out.append(f"{kind}{k} AS (SELECT host, sum(score) AS score FROM (SELECT * FROM {kind}0 UNION ALL "
-                       f"SELECT dst, {p.damping} * score * share FROM {kind}{k - 1} JOIN {kind}s ON src = host) GROUP BY host)")
-        return ",\n".join(out)
+    """DuckDB SQL of the same verdicts, the steps as a recursion."""
+    def scores(kind: str, src: str, dst: str, seed: str) -> str:
+        return f"""{kind}s AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM edges),
+{kind}c(host, score, k) AS (
+  SELECT host, {1 - p.damping} * {seed}, 0 FROM hosts WHERE {seed} > 0
+  UNION ALL
+  SELECT dst, sum({p.damping} * score * share), max(k) + 1 FROM {kind}c JOIN {kind}s ON src = host WHERE k < {p.rounds} AND score > 1e-15 GROUP BY dst),
+{kind} AS (SELECT host, sum(score) AS score FROM {kind}c GROUP BY host)"""
 
     return rf"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, coalesce(html, '') AS html, position('://' IN coalesce(url, '')) AS cut, coalesce(url, '') AS url FROM pages),
 hp AS (
   SELECT page_id, html,
@@ -161,9 +176,9 @@ edges AS (
   SELECT host AS src, translate(dst, '{_UPPER}', '{_LOWER}') AS dst, count(*) AS n
   FROM (SELECT host, unnest(regexp_extract_all(html, '\bhref\s*=\s*["'']?(?:https?:)?//([^/?#"''\s<>]+)', 1, 'i')) AS dst FROM hp)
   WHERE host <> '' AND translate(dst, '{_UPPER}', '{_LOWER}') NOT IN ('', host) GROUP BY 1, 2),
-{rounds("t", "src", "dst", "allowed")},
-{rounds("b", "dst", "src", "blocked")}
+{scores("t", "src", "dst", "allowed")},
+{scores("b", "dst", "src", "blocked")}
 SELECT page_id, j.host, path, rule,
        coalesce(kind, CASE WHEN coalesce(b.score, 0) >= {p.min_distrust} AND coalesce(b.score, 0) > coalesce(t.score, 0)
                            THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN t{p.rounds} t ON t.host = j.host LEFT JOIN b{p.rounds} b ON b.host = j.host"""
+FROM j LEFT JOIN t ON t.host = j.host LEFT JOIN b ON b.host = j.host"""
