@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import _fmix, chunks, id_remainder, table
+from rainfold.llm.common import _fmix, chunks, free_name, hash_unit, id_remainder, materialise, table
 
 ORDER = 4
 UNDETERMINED = "und"
@@ -39,7 +39,7 @@ class LanguageIdParams:
     """Production parameters: bounds of the training sample (chosen by id hash) and
     the calibration quantile."""
 
-    max_langs: int = 64
+    max_langs: int = 1024
     max_docs_per_lang: int = 1500
     max_chars_per_lang: int = 3_000_000
     calibration_share: int = 5  # one document in so many calibrates
@@ -300,26 +300,45 @@ def _fill(models: LanguageModels, fit: dict[str, CharModel], chars: dict) -> Non
 
 
 def train(docs: DataFrame, p: LanguageIdParams = LanguageIdParams(), lang_col: str = "lang") -> LanguageModels | None:
-    """Fit on whole texts of rows with a language whose crc32(doc_id as text)
-    mod 5 is not 0: per language rows chosen by id hash, within the bounds of
-    ``p``.  None if there are none."""
-    pool = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")) \
+    """Fit on texts of rows with a language whose crc32(doc_id as text) mod 5
+    is not 0: per language rows chosen by id hash, about as many as the bounds
+    of ``p`` allow, in hash order.  Where the chosen rows have more characters
+    than that, pieces of them are chosen by hash, so no text can be a
+    language's whole sample.  More than ``max_langs`` languages are an error.
+    None if there are none."""
+    pool = docs.select(hash_unit("doc_id", "language").alias("u"), "doc_id", F.col("text").cast("string").alias("text"),
+                       F.col(lang_col).cast("string").alias("lang")) \
         .where("lang IS NOT NULL AND text IS NOT NULL").where(id_remainder("doc_id", 5) != 0)
-    counts = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs).collect()
+    counts = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).limit(p.max_langs + 1).collect()
+    if len(counts) > p.max_langs:
+        raise ValueError(f"more than {p.max_langs} languages")
     if not counts:
         return None
-    # about the bound of each language, by hash
-    share = F.lit(1.0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, p.max_docs_per_lang / row["count"]))).otherwise(share)
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(1 << 30)
-    chosen = pool.where(F.col("lang").isin([r["lang"] for r in counts])).where(unit < share)
+    # about the bounds of each language, by hash: documents, then pieces of them where these are too long
+    docs_share = {r["lang"]: min(1.0, p.max_docs_per_lang / r["n"]) for r in counts}
+    piece_share = {r["lang"]: min(1.0, p.max_chars_per_lang / max(1.0, r["chars"] * docs_share[r["lang"]])) for r in counts}
+    rows = [(k, docs_share[k], piece_share[k]) for k in docs_share]
+    shares = docs.sparkSession.createDataFrame(rows, "lang string, docs_share double, piece_share double")
+    chosen = pool.join(F.broadcast(shares), "lang").where("u < docs_share").select("lang", "u", "piece_share", "text")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            out = []
+            for lang, u, share, text in zip(*(batch.column(k).to_pylist() for k in ("lang", "u", "piece_share", "text"))):
+                if share >= 1.0:
+                    out.append((lang, u, 0, text))
+                    continue
+                n = -(-len(text) // SAMPLE_PIECE)
+                kept = np.flatnonzero(np.random.default_rng(int(u * (1 << 40))).random(n) < share)
+                out += [(lang, u, int(k), text[k * SAMPLE_PIECE:(k + 1) * SAMPLE_PIECE]) for k in kept]
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.int64(), pa.string()))],
+                                             ["lang", "u", "piece", "text"])
+
+    sample = materialise(chosen.mapInArrow(pieces, "lang string, u double, piece long, text string"), "language-sample")
     samples: dict[str, list[str]] = {}
-    chars: dict[str, int] = {}
-    for row in chosen.toLocalIterator():
-        if chars.get(row.lang, 0) < p.max_chars_per_lang:
-            samples.setdefault(row.lang, []).append(row.text)
-            chars[row.lang] = chars.get(row.lang, 0) + len(row.text)
+    for row in sample.orderBy("lang", "u", "piece", "text").toLocalIterator():
+        samples.setdefault(row.lang, []).append(row.text)
     return fit_language_models(samples, p) if samples else None
 
 
@@ -337,14 +356,15 @@ def identify(docs: DataFrame, models: LanguageModels | None, text_col: str = "te
     sent = spark.sparkContext.broadcast(models)
     out = ["lang_pred", "score", "accepted"]
     kept = [c for c in docs.columns if c not in out]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_lid_text"))
+    hidden = free_name("_lid_text", [*docs.columns, *out])
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias(hidden))
     schema = T.StructType(source.schema.fields[:-1] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                                                        T.StructField("accepted", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in chunks(batches, "_lid_text"):
-            texts = [t or "" for t in batch.column("_lid_text").to_pylist()]
+        for batch in chunks(batches, hidden):
+            texts = [t or "" for t in batch.column(hidden).to_pylist()]
             if m is None:
                 pred, score, ok = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             else:
@@ -361,6 +381,8 @@ def identify(docs: DataFrame, models: LanguageModels | None, text_col: str = "te
     return source.mapInArrow(run, schema)
 
 
+#: Characters of a piece where texts are sampled in pieces.
+SAMPLE_PIECE = 2000
 #: Characters scored in one step; a longer text is scored in pieces that overlap by the context.
 PIECE = 1 << 19
 

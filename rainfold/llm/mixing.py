@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import batch_word_hashes, chunks, hash_sample, materialise, raw_texts, table
+from rainfold.llm.common import batch_word_hashes, chunks, hash_unit, materialise, raw_texts, table
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,7 @@ class MixParams:
 
     bits: int = 18
     max_train_docs: int = 8_000     # bound of the labelled sample
+    least_train_docs: int = 200     # of every domain, about
     max_train_words: int = 12_000_000
     smoothing: float = 0.1
     ridge: float = 1e-5
@@ -84,9 +85,10 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_classifier(examples: list[tuple[np.ndarray, str]], p: MixParams) -> Classifier:
+def fit_classifier(examples: list[tuple[np.ndarray, str]], p: MixParams, documents: dict[str, int] | None = None) -> Classifier:
     """Multinomial naive Bayes; the sharpness is calibrated on every fifth
-    example (likelihoods of long texts are far too sure of themselves)."""
+    example (likelihoods of long texts are far too sure of themselves).
+    ``documents`` of each domain, where the examples are not in proportion."""
     domains = sorted({d for _, d in examples})
     size, k = 1 << p.bits, len(domains)
     counts, docs = np.zeros((size, k)), np.zeros(k)
@@ -103,6 +105,8 @@ def fit_classifier(examples: list[tuple[np.ndarray, str]], p: MixParams) -> Clas
     common /= common.sum()
     counts += p.smoothing * size * 0.05 * common
     logp = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    if documents:
+        docs = np.array([float(documents[d]) for d in domains])
     prior = np.log((docs + 1) / (docs + 1).sum())
     best = Classifier(domains, p.bits, logp, prior, 1.0)
     if held:
@@ -119,26 +123,36 @@ def fit_classifier(examples: list[tuple[np.ndarray, str]], p: MixParams) -> Clas
 
 def train(labelled: DataFrame, p: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text",
           domain_col: str = "domain") -> Classifier | None:
-    """Fit on about ``max_train_docs`` rows with a domain, chosen by id hash;
-    None if there are none.  Null texts count as empty."""
+    """Fit on about ``max_train_docs`` rows with a domain, chosen by id hash
+    and read in its order; if they have more than ``max_train_words`` words,
+    the share is lowered in proportion.  None if there are none.  Null texts
+    count as empty."""
     bits = p.bits
     known = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
                             F.col(domain_col).cast("string").alias("domain")).where("domain IS NOT NULL")
-    sample = hash_sample(known, ["id"], p.max_train_docs, known.count(), "mixing")
+    known = known.withColumn("u", hash_unit("id", "mixing"))
+    # in proportion, but about ``least_train_docs`` of every domain (all if it has fewer)
+    counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
+    share = p.max_train_docs / max(1, sum(counts.values()))
+    shares = [(d, min(1.0, max(share, p.least_train_docs / n))) for d, n in counts.items()]
+    if not shares:
+        return None
+    shares = labelled.sparkSession.createDataFrame(shares, "domain string, share double")
+    sample = known.join(F.broadcast(shares), "domain").where("u < share").select("u", "share", "domain", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             (words,), at = batch_word_hashes(raw_texts(batch.column("text")))
             small = (words & np.uint64((1 << bits) - 1)).astype(np.int32)
             rows = [small[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array(rows, pa.binary())], ["domain", "words"])
-
-    examples, held = [], 0
-    for row in sample.mapInArrow(run, "domain string, words binary").toLocalIterator():
-        if held < p.max_train_words:
-            examples.append((np.frombuffer(row.words, np.int32), row.domain))
-            held += len(row.words) // 4
-    return fit_classifier(examples, p) if examples else None
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("share"), batch.column("domain"), pa.array(rows, pa.binary())],
+                                             ["u", "share", "domain", "words"])
+
+    sample = materialise(sample.mapInArrow(run, "u double, share double, domain string, words binary"), "mixing-sample")
+    held = sample.agg(F.sum(F.octet_length("words") / 4)).first()[0] or 0
+    sample = sample.where(F.col("u") < F.col("share") * min(1.0, p.max_train_words / max(1, held)))
+    examples = [(np.frombuffer(r.words, np.int32), r.domain) for r in sample.orderBy("u", "domain", "words").toLocalIterator()]
+    return fit_classifier(examples, p, counts) if examples else None
 
 
 def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

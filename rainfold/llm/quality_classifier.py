@@ -24,11 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rainfold.llm.common import CHUNK_BYTES, _fmix, _power_table, chunks, id_remainder, materialise, mix_pair, raw_texts, table
+from rainfold.llm.common import CHUNK_BYTES, _fmix, _power_table, chunks, free_name, hash_unit, id_remainder, materialise, mix_pair, raw_texts, table
 
 
 @dataclass(frozen=True)
@@ -169,11 +169,6 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], p: Params = Params()
     return Model(p.bits, keys, w[keys].astype(np.float32), float(w[-1]))
 
 
-def _share(column: Column) -> Column:
-    """Uniform in 0..1 by hash."""
-    return F.pmod(F.xxhash64(F.lit("quality"), column), F.lit(1 << 40)) / F.lit(float(1 << 40))
-
-
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), label_col: str = "quality") -> Model:
     """Fit on labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
@@ -185,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), label_col: s
     every label keeps its share of the sample.  The driver reads the sample in
     hash order."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL")
-    known = known.where(id_remainder("doc_id", 3) != 1).withColumn("u", _share(F.col("doc_id")))
+    known = known.where(id_remainder("doc_id", 3) != 1).withColumn("u", hash_unit("doc_id", "quality"))
     share = min(1.0, p.max_train_docs / max(1, known.count()))
     bits = p.bits
 
@@ -218,9 +213,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     column named like the result is replaced; any other names may occur."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != out_col]
-    hidden = "_text"
-    while hidden in docs.columns:
-        hidden += "_"
+    hidden = free_name("_text", [*docs.columns, out_col])
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias(hidden))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(out_col, T.DoubleType())])
 

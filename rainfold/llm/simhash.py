@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import chunks, connected_components, hash_sample, materialise, raw_texts, table
+from rainfold.llm.common import chunks, connected_components, free_name, hash_sample, materialise, raw_texts, table
 from rainfold.llm.linking import TILE, column, forest, whole_groups
 
 BITS = 64
@@ -267,8 +267,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``component_id`` is the smallest id among the rows whose fingerprints the
     links connect (null only if all of them are null).  Null and wordless
-    texts have fingerprint 0, linked like any other.  Repeated rows share a
-    component; an empty table gives an empty result; other columns are
+    texts have fingerprint 0, linked like any other; texts of any length are
+    read whole.  Repeated rows share a component; an empty table gives an empty result; other columns are
     ignored.
     """
     own = materialise(fingerprints(df, id_col, text_col, shingle), "simhash-fp")
@@ -283,23 +283,26 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFr
     own = materialise(fingerprints(docs, shingle=shingle), "simhash-fp")
     grouped = own.join(components(own, max_distance), "fp")
     chosen = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("c"))
-    chosen = chosen.select(F.col("c.doc_id").alias("_id"), F.col("c.fp").alias("_fp"))
-    shared = materialise(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "simhash-shared")
-    same_id = docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
+    id_, fp, row_fp = (free_name(n, docs.columns) for n in ("_id", "_fp", "_row_fp"))
+    chosen = chosen.select(F.col("c.doc_id").alias(id_), F.col("c.fp").alias(fp))
+    shared = own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(id_))
+    shared = materialise(shared, "simhash-shared")
+    same_id = docs["doc_id"].cast("long").eqNullSafe(F.col(id_))
     if shared.isEmpty():
-        return docs.join(chosen, docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
-    single = docs.join(chosen.join(shared, "_id", "left_anti").where("_id IS NOT NULL"), docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
+        return docs.join(chosen, docs["doc_id"].cast("long") == F.col(id_), "left_semi")
+    alone = chosen.join(shared, id_, "left_anti").where(F.col(id_).isNotNull())
+    single = docs.join(alone, docs["doc_id"].cast("long") == F.col(id_), "left_semi")
     several = docs.join(shared, same_id, "left_semi")
 
     def run(batches):
         for batch in chunks(batches):
             fps = np.array([fingerprint(t, shingle) for t in raw_texts(batch.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "_row_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, row_fp])
 
     from pyspark.sql import types as T
-    marked = several.mapInArrow(run, T.StructType([*several.schema.fields, T.StructField("_row_fp", T.LongType())]))
-    marked = marked.join(chosen, marked["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_row_fp") == F.col("_fp")), "left_semi")
-    return single.unionByName(marked.dropDuplicates(["doc_id", "_row_fp"]).drop("_row_fp"))
+    marked = several.mapInArrow(run, T.StructType([*several.schema.fields, T.StructField(row_fp, T.LongType())]))
+    marked = marked.join(chosen, marked["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.col(row_fp) == F.col(fp)), "left_semi")
+    return single.unionByName(marked.dropDuplicates(["doc_id", row_fp]).drop(row_fp))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

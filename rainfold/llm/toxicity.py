@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import batch_word_hashes, chunks, hash_sample, id_remainder, mix_pair, raw_texts, table
+from rainfold.llm.common import batch_word_hashes, chunks, free_name, hash_unit, id_remainder, materialise, mix_pair, raw_texts, table
 
 
 @dataclass(frozen=True)
@@ -108,30 +108,29 @@ def fit_ftrl(examples: list[tuple[np.ndarray, int]], p: Ftrl, seed: int = 7) ->
 
 def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), label_col: str = "toxic") -> Model:
     """Fit on labelled rows whose crc32(doc_id as text) mod 3 is not 1,
-    about ``max_train_docs`` of them.  Rows without label or id are no
+    about ``max_train_docs`` of them, by id hash; if these have more than
+    ``max_train_features`` features, the hash share is lowered in proportion,
+    so no id or file is preferred.  Rows without label or id are no
     examples; null text has no features; conflicting labels of one id both
     count.  The texts are hashed to features by the tasks; the driver gets
     feature numbers of the bounded sample only."""
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL")
-    known = known.where(id_remainder("doc_id", 3) != 1)
-    known = hash_sample(known, ["doc_id"], p.max_train_docs, known.count(), "toxicity")
+    known = known.where(id_remainder("doc_id", 3) != 1).withColumn("u", hash_unit("doc_id", "toxicity"))
+    share = min(1.0, p.max_train_docs / max(1, known.count()))
     bits = p.bits
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             words, at = batch_word_hashes(raw_texts(batch.column("text")), STEMS)
             rows = [features([w[i:j] for w in words], bits).tobytes() for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("y"), pa.array(rows, pa.binary())], ["u", "y", "x"])
 
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id") \
-        .select("doc_id", "y", "text").mapInArrow(hashed, "doc_id long, y int, x binary")
-    examples, held = [], 0
-    for row in sample.orderBy("doc_id", "y", "x").toLocalIterator():
-        held += len(row.x) // 4
-        if held > p.max_train_features:  # the documented bound of the sample
-            break
-        examples.append((np.frombuffer(row.x, np.int32), row.y))
-    return fit_ftrl(examples, p)
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known.where(F.col("u") < share)), "doc_id") \
+        .select("u", "y", "text").mapInArrow(hashed, "u double, y int, x binary")
+    sample = materialise(sample, "toxicity-sample")
+    held = sample.agg(F.sum(F.octet_length("x") / 4)).first()[0] or 0
+    sample = sample.where(F.col("u") < share * min(1.0, p.max_train_features / max(1, held)))
+    return fit_ftrl([(np.frombuffer(r.x, np.int32), r.y) for r in sample.orderBy("u", "y", "x").toLocalIterator()], p)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -144,14 +143,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     sent = spark.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != out_col]
     from pyspark.sql import types as T
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_tox_text"))
+    hidden = free_name("_tox_text", [*docs.columns, out_col])
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias(hidden))
     schema = T.StructType(source.schema.fields[:-1] + [T.StructField(out_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         weights, mask = m.dense(), np.uint64((1 << m.bits) - 1)
-        for batch in chunks(batches, "_tox_text"):
-            words, at = batch_word_hashes(raw_texts(batch.column("_tox_text")), STEMS)
+        for batch in chunks(batches, hidden):
+            words, at = batch_word_hashes(raw_texts(batch.column(hidden)), STEMS)
             sums = _active_sums(words, at, weights, mask)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(_sigmoid(sums + m.bias).astype(np.float64))]
             yield pa.RecordBatch.from_arrays(columns, kept + [out_col])
@@ -186,7 +186,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, p: Ftrl = Ftrl()) -> DataFrame:
     """Rows of ``docs`` that the model does not call toxic, columns as given."""
-    name = "_toxic_score"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("_toxic_score", docs.columns)
     return score(docs, model, out_col=name).where(F.col(name) < p.threshold).select(*[f"`{c}`" for c in docs.columns])
