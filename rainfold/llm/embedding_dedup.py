@@ -46,6 +46,7 @@ def unit_rows(column_: pa.Array) -> np.ndarray:
     """Matrix of unit vectors from a list column of equal, usable vectors."""
     flat = np.asarray(column_.flatten(), dtype=np.float64)
     m = flat.reshape(len(column_), -1)
+    m = m / np.abs(m).max(axis=1, keepdims=True)   # squares of any finite vector stay finite and above zero
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
@@ -64,9 +65,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 5) -> np.nd
 
 
 def _usable(vec: str) -> str:
-    norm = f"aggregate({vec}, 0D, (a, x) -> a + cast(x AS DOUBLE) * cast(x AS DOUBLE))"
     return (f"{vec} IS NOT NULL AND size({vec}) > 0 AND NOT exists({vec}, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))"
-            f" AND {norm} > 0 AND {norm} < double('Infinity')")
+            f" AND exists({vec}, x -> x <> 0)")
 
 
 def _cells(nodes: DataFrame, centres: dict[int, np.ndarray], p: DedupParams) -> DataFrame:
@@ -191,6 +191,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     centres: dict[int, np.ndarray] = {}
     for dim in {r.dim for r in sample}:
         x = np.array([r.vec for r in sample if r.dim == dim])
+        x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         k = max(1, min(p.max_cells, math.ceil(math.sqrt(total * len(x) / len(sample)) / 16)))
         centres[dim] = spherical_kmeans(x, k, p.rounds)
