@@ -39,6 +39,8 @@ INDEX_ENTRY, INDEX_BYTES = "<qQQ", 24
 LENGTH, CHECK = "<Q", "<I"
 #: Stands for a null document id in the index.
 NO_ID = -(1 << 63)
+#: Text of a shard, about, where that makes more shards than shuffle partitions.
+SHARD_BYTES = 256 << 20
 #: Pieces whose ids each worker remembers (about 200 bytes each).
 CACHE_PIECES = 600_000
 
@@ -89,11 +91,17 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
 
 
-# White space of the tokenizer's pattern.  (Python's \s also has \x1c-\x1f,
+# White space of the tokenizer's pattern.  (Python's \\s also has \\x1c-\\x1f,
 # which that pattern treats as symbols.)
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WS_CHARS = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_WS}]", chr(c)))
 _UNIT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: Marks a piece that has no space before it.
+MARK = "\x01"
+#: Cuts beside those at spaces: between a letter (of a block that no version of
+#: Unicode disputes) and an ASCII symbol, and on both sides of a single line end.
+_CUTS = ((r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-/:-@\[-`{-~])", rf"\1 {MARK}\2"),
+         (rf"([^{_WS}])\n([^{_WS}])", f"\\1 {MARK}\n {MARK}\\2"))
 
 
 class PieceEncoder:
@@ -101,11 +109,11 @@ class PieceEncoder:
     piece once.
 
     The tokenizer's pattern never joins a visible character with white space
-    after it, so a text may be cut after any visible character that white
-    space follows without changing its ids.  Most texts are cut at every
-    space; the pieces (mostly words) repeat, are encoded once a batch and kept
-    in a bounded cache.  Texts with white space before a space are cut by a
-    pattern instead, and texts that hold a special string are encoded whole.
+    after it, nor a letter with a symbol after it, so a text may be cut there
+    without changing its ids.  The pieces (mostly words) repeat: each is
+    encoded once and kept in a bounded cache, and the ids of a batch of texts
+    are gathered piece by piece.  A text is encoded by a plainer cut if it has
+    white space before a space, whole if it holds a special string.
     """
 
     def __init__(self, path: str):
@@ -113,111 +121,96 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         #: ids whose bytes begin with a space (shown as U+0120 in the vocabulary)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self._clear()
-
-    def _clear(self) -> None:
-        self.after_space: dict[str, int] = {}  # piece -> entry; 0: not usable
-        self.pool = np.zeros(1 << 20, dtype="<u4")  # ids of all entries, one after the other
-        self.begins = np.zeros(CACHE_PIECES + 2, dtype=np.int64)
-        self.uses = np.zeros(CACHE_PIECES + 2, dtype=np.int32)  # batches that used the entry
-        self.used = 1  # entry 0 is empty
-
-    def _forget(self) -> None:
-        """Keep the entries that the most batches used, half of the cache at most."""
-        old, pool, begins, uses, used = self.after_space, self.pool, self.begins, self.uses, self.used
-        least = np.partition(uses[1:used], -(CACHE_PIECES // 2))[-(CACHE_PIECES // 2)] + 1
-        words = [w for w, k in old.items() if k and uses[k] >= least]
-        entry = np.array([old[w] for w in words], np.int64)
-        self._clear()
-        if words:
-            lens = begins[entry + 1] - begins[entry]
-            ends = np.cumsum(lens)
-            self._add(words, pool[np.arange(ends[-1]) + np.repeat(begins[entry] - ends + lens, lens)], ends - lens)
+        newline = self._ids("\n")
+        self.newline = int(newline[0]) if len(newline) == 1 else None
+        self.new: dict[str, bytes | None] = {}   # piece -> ids; None: not usable
+        self.old: dict[str, bytes | None] = {}   # the generation before, read until the next one is full
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _add(self, words: list[str], ids: np.ndarray, begins: np.ndarray) -> None:
-        n, at = len(words), int(self.begins[self.used])
-        while at + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.used + n + 1 > len(self.begins):
-            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
-            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
-        self.pool[at:at + len(ids)] = ids
-        self.begins[self.used:self.used + n] = at + begins
-        self.begins[self.used + n] = at + len(ids)
-        self.after_space.update(zip(words, range(self.used, self.used + n)))
-        self.used += n
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of " " + word for each word.  Words that end with white space
-        (or are empty) are no pieces.  The others hold no space, so in a text
-        of several each one begins at an id that begins with a space."""
-        self.after_space.update((w, 0) for w in words if not w or w[-1] in _WS_CHARS)
-        plain = [w for w in words if w and w[-1] not in _WS_CHARS]
-        for at in range(0, len(plain), 256):
-            some = plain[at:at + 256]
+        """Ids of " " + word, of marked words without the space.  Words that
+        end with white space (or are empty) are no pieces, but for the marked
+        line end.  Many are encoded in one call, where the place of each is
+        certain: words after a space begin at an id that begins with a space,
+        marked words without white space are joined by line ends."""
+        known, plain, marked = self.new, [], []
+        for w in words:
+            if w == MARK + "\n":
+                known[w] = self._ids("\n").tobytes()
+            elif not w or w[-1] in _WS_CHARS or w == MARK:
+                known[w] = None
+            elif w[0] != MARK:
+                plain.append(w)
+            elif len(w[1:].split()) == 1 and not w[1].isspace() and self.newline is not None:
+                marked.append(w)
+            else:
+                known[w] = self._ids(w[1:]).tobytes()
+        for some in (plain[at:at + 256] for at in range(0, len(plain), 256)):
             ids = self._ids(" " + " ".join(some))
             begins = np.flatnonzero(self.spaced[ids])
             if len(begins) == len(some) and begins[0] == 0:
-                self._add(some, ids, begins)
+                self._keep(some, ids, begins, np.append(begins[1:], len(ids)))
+            else:
+                known.update((w, self._ids(" " + w).tobytes()) for w in some)
+        for some in (marked[at:at + 256] for at in range(0, len(marked), 256)):
+            ids = self._ids("\n".join(w[1:] for w in some))
+            ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
+            if len(ends) == len(some):
+                self._keep(some, ids, np.append(0, ends[:-1] + 1), ends)
             else:
-                for w in some:
-                    self._add([w], self._ids(" " + w), np.zeros(1, np.int64))
+                known.update((w, self._ids(w[1:]).tobytes()) for w in some)
+
+    def _keep(self, words: list[str], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        raw, n = ids.tobytes(), ids.itemsize
+        self.new.update((w, raw[i:j]) for w, i, j in zip(words, (begins * n).tolist(), (ends * n).tolist()))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text, cut by pattern."""
         if any(x in text for x in self.special):
             return self._ids(text)
         parts = [self._ids(u) for u in _UNIT.findall(text)]
-        return np.concatenate(parts) if parts else np.zeros(0, "<u4")
+        return np.concatenate(parts) if parts else np.zeros(0, self.kind)
+
+    def _pieces(self, words: list[str]) -> list[bytes | None]:
+        """Ids of the words, from the cache or learnt now."""
+        if len(self.new) > CACHE_PIECES // 2:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        again = [w for w in words if w not in new]
+        new.update((w, old[w]) for w in again if w in old)
+        self._learn([w for w in again if w not in old])
+        return list(map(new.__getitem__, words))
 
     def encode_batch(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (no nulls) and where each text's ids begin (one
         more entry than texts)."""
-        pieces = pc.split_pattern(texts, " ")
+        cut = texts
+        for pattern, replacement in _CUTS:
+            cut = pc.replace_substring_regex(cut, pattern=pattern, replacement=replacement)
+        pieces = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(MARK), cut, ""), " ")
         at = np.asarray(pieces.offsets) - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()
-        codes, words = np.array(coded.indices), coded.dictionary.to_pylist()
-        if self.used > CACHE_PIECES:
-            self._forget()
-        known = self.after_space
-        missing = [w for w in words if w not in known]
-        if missing:
-            self._learn(missing)
-        entry = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        self.uses[entry] += 1
-
-        # a piece that is empty or ends with white space hides a cut that isn't one
-        slow = np.zeros(len(texts), bool)
-        if not entry.all():
-            slow |= np.add.reduceat(entry[codes] == 0, at[:-1]) > 0
+        found = pa.array(self._pieces(coded.dictionary.to_pylist()), pa.binary())
+        gathered = found.take(coded.indices)
+        ids = np.frombuffer(gathered.buffers()[2] or b"", self.kind)
+        begins = np.frombuffer(gathered.buffers()[1], np.int32)[at].astype(np.int64) // self.kind.itemsize
+
+        # an unusable piece, a text with the mark in it or a special string: that text is encoded by itself
+        odd = np.asarray(pc.match_substring(texts, MARK))
         for x in self.special:
-            slow |= np.asarray(pc.match_substring(texts, x))
-        # the first piece of each text has no space before it; slow texts are one entry
-        firsts = codes[at[:-1]]
-        begin = {c: self._ids(words[c]) for c in set(firsts[~slow].tolist())}
-        own = [self.encode(texts[i].as_py()) if slow[i] else begin[c] for i, c in enumerate(firsts.tolist())]
-        own_lens = np.fromiter(map(len, own), np.int64, len(own))
-        size = int(self.begins[self.used])
-        pool = np.concatenate([self.pool[:size], *own])
-
-        begins = self.begins.astype(np.int32) if len(pool) < 1 << 31 else self.begins
-        where, n = begins[entry][codes], (begins[entry + 1] - begins[entry])[codes]
-        where[at[:-1]], n[at[:-1]] = size + np.cumsum(own_lens) - own_lens, own_lens
-        counts = np.diff(at)
-        if slow.any():
-            keep = np.repeat(~slow, counts)
-            keep[at[:-1]] = True
-            counts = np.add.reduceat(keep, at[:-1], dtype=np.int64)
-            where, n = where[keep], n[keep]
-        ends = np.cumsum(n, dtype=where.dtype)
-        gather = np.repeat(where - ends + n, n)
-        gather += np.arange(len(gather), dtype=gather.dtype)
-        return pool[gather], np.concatenate([[0], ends[np.cumsum(counts) - 1]])
+            odd = odd | np.asarray(pc.match_substring(texts, x))
+        if gathered.null_count:
+            odd = odd | (np.add.reduceat(np.asarray(pc.is_null(gathered)).astype(np.int64), at[:-1]) > 0)
+        odd &= np.asarray(pc.binary_length(texts)) > 0
+        if not odd.any():
+            return ids[begins[0]:begins[-1]], begins - begins[0]
+        parts = [self.encode(texts[i].as_py()) if odd[i] else ids[begins[i]:begins[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -237,15 +230,22 @@ def write_token_records(df: DataFrame, out_uri: str, tokenizer_path: str, id_col
     """Encode ``text_col``, write shards in ascending ``id_col`` order and
     return the manifest (shard, n_records, n_tokens), one row per shard.
 
-    Rows are dealt by id range (sampled splits), so shards are balanced by
-    rows whatever the source; all texts are taken whole.  Null text is empty
-    (its record holds only the end id); a null id sorts first; rows with the
-    same id are ordered by text; an empty input writes no shard.  Other
-    columns are ignored.
+    Rows are dealt by range of (id, beginning and hash of the text, row), so
+    shards are balanced by rows whatever the source, and an id (or null) that
+    many rows share is split too; there are at least as many as the text has
+    ``SHARD_BYTES``.  All texts are taken whole.  Null text is empty (its record
+    holds only the end id); a null id sorts first; rows with the same id are
+    ordered by the first 32 characters of their text, then by its hash (equal
+    rows in any order, their records are equal); an empty input writes no
+    shard.  Other columns are ignored.
     """
-    ranged = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    n = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ranged.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if not shards:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0   # one number
+        shards = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    keys = ["id", "_head", "_hash", "_row"]
+    ranged = rows.withColumns({"_head": F.substring("text", 1, 32), "_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    ranged = ranged.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("id", "text")
     end = [] if end_id is None else [end_id]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,7 @@ def write_token_records(df: DataFrame, out_uri: str, tokenizer_path: str, id_col
         fs, folder = open_folder(out_uri)
         encoder = _encoder(tokenizer_path)
         part = rec = idx = None
-        width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
+        width = max(encoder.kind.itemsize, 2 if (end_id or 0) < 1 << 16 else 4)
         offset, records, tokens = HEADER_BYTES, 0, 0
         for batch in chunks(batches, limit=4 * CHUNK_BYTES):
             if rec is None:
@@ -263,7 +263,7 @@ def write_token_records(df: DataFrame, out_uri: str, tokenizer_path: str, id_col
                 rec, idx = fs.open_output_stream(part + ".rec"), fs.open_output_stream(part + ".idx")
                 rec.write(MAGIC + struct.pack("<I", width))
             ids, at = encoder.encode_batch(batch.column("text").fill_null(""))
-            ids, last = ids.astype(f"<u{width}"), np.array(end, f"<u{width}").tobytes()
+            ids, last = ids.astype(f"<u{width}", copy=False), np.array(end, f"<u{width}").tobytes()
             for doc, i, j in zip(batch.column("id").to_pylist(), at[:-1], at[1:]):
                 payload = ids[i:j].tobytes() + last
                 framed = frame(payload)

@@ -76,3 +76,41 @@ def test_damage_is_noticed(spark, tmp_path):
     shard.write_bytes(bytes(data))
     with pytest.raises(Exception, match="CorruptRecord"):
         tr.read_token_records(manifest, str(tmp_path / "r")).collect()
+
+
+def test_cuts_change_no_ids(spark):
+    """Symbols after letters, line ends, disputed letters, marks and white
+    space of every kind: the ids of a plain encode."""
+    texts = ["a\x01b c", "don't 'tis rest'rest it's\nthe\n\nThe  x.\n x", "é.ñ ñ,ß\xa0x. y z.", "", " lead", "trail ", "a\tb.c\td",
+             "x\x85.y", " \n", "a\nb\nc\nd.", "<|endoftext|> a.b", "\x01", "\x01\n", "中文.字 ,a.", "漢字\nx\n漢", "é.x ͣ.y", "a1.b 2,c\r\n.d",
+             "w" * 5000 + "." + "w" * 100, "x \n y.z", "\n", "a.\n", ".\na", "a \nb", "a\n b"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = tr.PieceEncoder(path).tokenizer
+    encoder = tr.PieceEncoder(path)
+    for _ in range(2):      # learnt, then from the cache
+        ids, at = encoder.encode_batch(pa.array(texts))
+        for text, i, j in zip(texts, at[:-1], at[1:]):
+            assert list(ids[i:j]) == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_small_cache_forgets_and_learns_again(spark, monkeypatch):
+    monkeypatch.setattr(tr, "CACHE_PIECES", 20)
+    encoder = tr.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(6):
+        text = " ".join(f"word{i} the." for i in range(k * 10, k * 10 + 30))
+        ids, _ = encoder.encode_batch(pa.array([text]))
+        assert list(ids) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.new) + len(encoder.old) < 200
+
+
+def test_one_id_for_all_rows_is_split(spark, tmp_path):
+    """Equal and null ids are dealt over shards; the files stay in order."""
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, "same")] * 300 + [(7, f"other {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(5)
+    out = str(tmp_path / "r")
+    manifest = tr.write_token_records(df, out, public_tokenizers.path("byte_bpe_50k.json"), shards=8)
+    counts = [r.n_records for r in manifest.collect()]
+    assert sum(counts) == 700 and max(counts) < 200
+    got = tr.read_token_records(manifest, out).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 300 + [7] * 400
+    assert len({r.ids_crc32 for r in got[300:]}) == 101
