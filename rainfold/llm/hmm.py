@@ -12,8 +12,9 @@ the whole corpus.
 
 Training: expected counts (Baum-Welch) are computed by the tasks with the
 scaled forward and backward recursions and summed by class across partitions
-with one shuffle; the driver normalises tables of fixed size.  Every
-iteration runs over all training texts, until the likelihood settles.
+with one shuffle; the driver normalises tables of fixed size.  Every pass runs
+over all training texts, in a few parts with a refreshed model after each, until
+the likelihood settles.
 
 Scoring: the scaled forward recursion gives the exact likelihood of each
 whole text.  Texts of a batch advance together, longest first.
@@ -23,15 +24,16 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import chunks, id_remainder, materialise, raw_texts, table
+from rainfold.llm.common import CHUNK_BYTES, chunks, id_remainder, materialise, table, workspace
 
 
 @dataclass(frozen=True)
@@ -43,11 +45,14 @@ class HmmParams:
     rare_classes: int = 2048        # shared classes
     known_words: int = 131_072      # words whose counts every task knows, at most
     max_word_bytes: int = 64        # longer words are never among those
-    sample_rounds: int = 0          # not used: no round runs over a sample; callers may still name it
-    rounds: int = 30                # Baum-Welch over all training texts, at most
-    settled: float = 1e-4           # the gain of the log likelihood, relative to it, that ends training
+    rounds: int = 30                # passes over all training texts, at most
+    parts: int = 4                  # the model is refreshed after each part of a pass
+    settled: float = 3e-4           # the gain of the log likelihood, relative to it, that ends training
     smoothing: float = 0.5
-    batch_words: int = 800_000      # words that advance together, about
+
+
+#: Words that advance together, about.
+BATCH_WORDS = 800_000
 
 
 def rare_class(word: bytes, p: HmmParams) -> int:
@@ -79,14 +84,41 @@ class Lexicon:
         return np.log10((count + 0.5) / (self.rare_total[cls] + 0.5 * (self.rare_kinds[cls] + 1)))
 
 
+def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Where each text's words begin (one entry more than texts), the number
+    of each word, and the distinct words (A-Z lower-cased; null has none)."""
+    lower = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    lists = pc.ascii_split_whitespace(lower)
+    at = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+    words = lists.flatten().cast(pa.binary())
+    blank = np.asarray(pc.binary_length(lower)) == 0        # split into one empty word
+    if blank.any():
+        keep = np.ones(len(words), bool)
+        keep[at[:-1][blank & (np.diff(at) > 0)]] = False
+        lens = np.where(blank, 0, np.diff(at))
+        at = np.concatenate([[0], np.cumsum(lens)])
+        words = words.filter(pa.array(keep))
+    coded = words.dictionary_encode()
+    return at, np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def _per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the values of each text."""
+    if len(at) < 2:
+        return np.zeros(0, values.dtype)
+    sums = np.add.reduceat(np.append(values, 0).astype(values.dtype), at[:-1])   # the zero keeps every beginning inside
+    sums[np.diff(at) == 0] = 0
+    return sums
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word: binary, c): occurrences over all texts of ``docs``; each task
     sums before the shuffle and holds a bounded table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for batch in chunks(batches):
-            for t in raw_texts(batch.column("text")):
-                held.update(t.lower().split())
+        for batch in chunks(batches, limit=4 * CHUNK_BYTES):
+            _, codes, words = batch_words(batch.column("text"))
+            held.update(dict(zip(words, np.bincount(codes, minlength=len(words)).tolist())))
             if len(held) > 400_000:
                 yield _counted(held)
                 held.clear()
@@ -132,49 +164,46 @@ def fit_lexicon(counts: DataFrame, ends: int, p: HmmParams) -> Lexicon:
 
 
 def encode(docs: DataFrame, lexicon: Lexicon, p: HmmParams, id_col: str = "doc_id") -> DataFrame:
-    """(key, doc_id, train, n_tokens, seq, logs...): a row per text; ``seq``
-    its classes as unsigned 16-bit numbers, the end included.  Sums over the
+    """(key, part, doc_id, train, n_tokens, seq, logs...): a row per text, each
+    in one of ``parts`` parts by its key's hash; ``seq`` its classes as unsigned 16-bit numbers, the end included.  Sums over the
     words that the lexicon counts are complete; the others are listed with
     their number of occurrences (``rest``, ``times``)."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
-    source = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), "train", "text")
+    key = F.monotonically_increasing_id()
+    source = docs.select(key.alias("key"), F.pmod(F.xxhash64(key), F.lit(p.parts)).cast("int").alias("part"), F.col(id_col).cast("long").alias("doc_id"), "train", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = sent.value
-        first_rare = 1 + x.frequent
-        numbers: dict[bytes, int] = {}       # class of each word met, emptied when it grows
-        logs = {w: np.log10(c + 0.5) for w, c in x.count.items()}
-        inside = {w: float(x.log_in_class(c, rare_class(w, p))) for w, c in x.count.items() if w not in x.number}
-        for batch in chunks(batches):
-            out = []
-            for text in raw_texts(batch.column("text")):
-                words = text.lower().split()
-                if len(numbers) > 500_000:
-                    numbers.clear()
-                for w in set(words).difference(numbers):
-                    numbers[w] = x.number.get(w) or first_rare + rare_class(w, p)
-                seq = np.fromiter(map(numbers.__getitem__, words), np.uint16, len(words))
-                times = Counter(words)
-                known = base = emitted = 0.0
-                rest, rest_times = [], []
-                for w, k in times.items():
-                    v = logs.get(w)
-                    if v is None:
-                        rest.append(w)
-                        rest_times.append(k)
-                    else:
-                        known += k
-                        base += k * v
-                        emitted += k * inside.get(w, 0.0)
-                out.append((len(words) + 1, np.append(seq, np.uint16(0)).tobytes(), int(known), base, emitted, rest, rest_times))
-            cols = list(zip(*out))
+        place = {w: i for i, w in enumerate(x.count)}      # most frequent first: the first ``frequent`` are classes
+        occurs = np.fromiter(x.count.values(), np.float64, len(place))
+        for batch in chunks(batches, limit=4 * CHUNK_BYTES):
+            at, codes, words = batch_words(batch.column("text"))
+            i = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
+            known, own = i >= 0, (i >= 0) & (i < x.frequent)
+            cls = i + 1
+            cls[~own] = 1 + x.frequent + np.fromiter((rare_class(words[k], p) for k in np.flatnonzero(~own)), np.int64, int((~own).sum()))
+            base, inside = np.zeros(len(words)), np.zeros(len(words))
+            base[known] = np.log10(occurs[i[known]] + 0.5)
+            rare = known & ~own
+            inside[rare] = x.log_in_class(occurs[i[rare]], cls[rare] - 1 - x.frequent)
+            lens, n = np.diff(at), batch.num_rows
+            seq = np.zeros(len(codes) + n, np.uint16)        # each text's classes, then the end
+            owner = np.repeat(np.arange(n), lens)
+            seq[np.arange(len(codes)) + owner] = cls[codes]
+            offsets = np.concatenate([[0], np.cumsum(lens + 1)]).astype(np.int32) * 2
+            # the words that the lexicon doesn't count, once a text
+            open_ = np.flatnonzero(~known[codes])
+            pairs, times = np.unique((owner[open_].astype(np.int64) << 32) | codes[open_], return_counts=True)
+            cuts = pa.array(np.searchsorted(pairs, np.arange(n + 1, dtype=np.int64) << 32).astype(np.int32))
+            rest = pa.array(words, pa.binary()).take(pa.array(pairs & 0xFFFFFFFF))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id"), batch.column("train"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()),
-                 pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()),
-                 pa.array(cols[5], pa.list_(pa.binary())), pa.array(cols[6], pa.list_(pa.int64()))],
-                ["key", "doc_id", "train", "n_tokens", "seq", "known", "base", "emitted", "rest", "times"])
+                [batch.column("key"), batch.column("part"), batch.column("doc_id"), batch.column("train"), pa.array(lens + 1),
+                 pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(seq)]),
+                 pa.array(_per_text(known[codes].astype(np.int64), at)), pa.array(_per_text(base[codes], at)), pa.array(_per_text(inside[codes], at)),
+                 pa.ListArray.from_arrays(cuts, rest), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64)))],
+                ["key", "part", "doc_id", "train", "n_tokens", "seq", "known", "base", "emitted", "rest", "times"])
 
-    return source.mapInArrow(run, "key long, doc_id long, train boolean, n_tokens long, seq binary, known long, base double, "
+    return source.mapInArrow(run, "key long, part int, doc_id long, train boolean, n_tokens long, seq binary, known long, base double, "
                                   "emitted double, rest array<binary>, times array<long>")
 
 
@@ -327,8 +356,21 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
 
 
-def baum_welch(encoded: DataFrame, m: Hmm, p: HmmParams) -> Expected:
-    """Expected counts over all training rows: a partial table per task, one
+def baum_welch(encoded: DataFrame, m: Hmm, p: HmmParams, refresh: Callable[[int, Expected], Hmm] | None = None) -> Expected:
+    """Expected counts over all training rows, part by part.  Without
+    ``refresh`` all are under ``m``; with it, each part's counts go to
+    ``refresh(part, counts)``, whose model the next part uses."""
+    total = Expected.zero(len(m.start), len(m.emit))
+    for part in range(p.parts):
+        e = expected_counts(encoded.where(F.col("part") == part), m)
+        total = Expected(total.start + e.start, total.move + e.move, total.emit + e.emit, total.log + e.log)
+        if refresh:
+            m = refresh(part, e)
+    return total
+
+
+def expected_counts(encoded: DataFrame, m: Hmm) -> Expected:
+    """Expected counts over the training rows: a partial table per task, one
     row for each class it met, summed by class (classes below 0: the start,
     the moves and the log likelihood under ``m``)."""
     sent = encoded.sparkSession.sparkContext.broadcast(m)
@@ -336,9 +378,9 @@ def baum_welch(encoded: DataFrame, m: Hmm, p: HmmParams) -> Expected:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Expected.zero(k, classes)
-        for batch in chunks(batches, "seq", 4 * p.batch_words):
+        for batch in chunks(batches, "seq", 4 * BATCH_WORDS):
             seqs = _sequences(batch.column("seq"))
-            for part in _together(seqs, p.batch_words):
+            for part in _together(seqs, BATCH_WORDS):
                 expect(sent.value, [seqs[i] for i in part], e)
         if e.rows:
             met = np.flatnonzero(e.emit.any(axis=1))
@@ -366,8 +408,11 @@ def baum_welch(encoded: DataFrame, m: Hmm, p: HmmParams) -> Expected:
 
 
 def train(encoded: DataFrame, lexicon: Lexicon, p: HmmParams) -> Hmm:
-    """Baum-Welch over all training rows from states that differ at random,
-    until a round gains less than ``settled`` of the log likelihood."""
+    """Incremental Baum-Welch over all training rows from states that differ
+    at random: every part's counts replace those of the pass before, and the
+    model follows after each part.  A pass that gains less than ``settled`` of
+    the log likelihood ends it.  The driver holds ``parts`` tables of fixed
+    size."""
     classes = lexicon.classes(p)
     common = np.full(classes, 0.5)
     common[0] += lexicon.ends
@@ -378,9 +423,17 @@ def train(encoded: DataFrame, lexicon: Lexicon, p: HmmParams) -> Hmm:
     m = new_hmm(common, p)
     total = encoded.where("train").count()
     before = -np.inf
+    held: dict[int, Expected] = {}
+
+    def refresh(part: int, e: Expected) -> Hmm:
+        nonlocal m
+        held[part] = e
+        scale = p.parts / len(held)     # in the first pass the parts to come are taken to be like those seen
+        m = normalised(Expected(*(scale * sum(getattr(x, c) for x in held.values()) for c in ("start", "move", "emit"))), common, p)
+        return m
+
     for _ in range(p.rounds if total else 0):
-        e = baum_welch(encoded, m, p)
-        m = normalised(e, common, p)
+        e = baum_welch(encoded, m, p, refresh)
         if e.log - before <= p.settled * abs(e.log):
             break
         before = e.log
@@ -392,10 +445,10 @@ def likelihoods(encoded: DataFrame, m: Hmm, p: HmmParams) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "seq", 4 * p.batch_words):
+        for batch in chunks(batches, "seq", 4 * BATCH_WORDS):
             seqs = _sequences(batch.column("seq"))
             out = np.zeros(len(seqs))
-            for part in _together(seqs, p.batch_words):
+            for part in _together(seqs, BATCH_WORDS):
                 out[part] = forward(sent.value, [seqs[i] for i in part])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "doc_id", "train", "n_tokens", "known", "base", "emitted")]
                                              + [pa.array(out)], ["key", "doc_id", "train", "n_tokens", "known", "base", "emitted", "hmm"])
@@ -419,7 +472,10 @@ def score(docs: DataFrame, train_rows, p: HmmParams = HmmParams(), id_col: str =
     ends = docs.where("train").count()
     lexicon = fit_lexicon(counts, ends, p)
     # texts of like length side by side, so that those that advance together end together
-    encoded = materialise(encode(docs, lexicon, p).sortWithinPartitions(F.desc("n_tokens")), "hmm-encoded")
+    spark, path = docs.sparkSession, workspace(docs.sparkSession, "hmm-encoded")
+    encoded = encode(docs, lexicon, p)
+    encoded.sortWithinPartitions("part", F.desc("n_tokens")).write.partitionBy("part").parquet(path)
+    encoded = spark.read.schema(encoded.schema).parquet(path)
     m = train(encoded, lexicon, p)
     scored = likelihoods(encoded, m, p).join(rest_sums(encoded, counts, lexicon, p), "key", "left")
     end = float(np.log10(lexicon.ends + 0.5))

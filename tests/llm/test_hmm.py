@@ -65,7 +65,7 @@ def test_training_raises_the_likelihood():
 @pytest.mark.parametrize("known", [131_072, 40])   # all counts known to the tasks, and most by the join
 def test_scores(spark, known):
     docs = documents()
-    p = hmm.HmmParams(states=3, frequent=30, rare_classes=16, known_words=known, sample_rounds=3, rounds=1, max_word_bytes=6)
+    p = hmm.HmmParams(states=3, frequent=30, rare_classes=16, known_words=known, rounds=1, max_word_bytes=6)
     train = [zlib.crc32(("" if d[0] is None else str(d[0])).encode()) % 5 != 1 for d in docs]
     counts = Counter()
     for d, t in zip(docs, train):
@@ -115,7 +115,7 @@ def test_every_round_sees_the_corpus_until_it_settles(spark, monkeypatch):
 
 
 def test_untrained_and_empty(spark):
-    p = hmm.HmmParams(states=2, frequent=10, rare_classes=8, sample_rounds=1, rounds=1)
+    p = hmm.HmmParams(states=2, frequent=10, rare_classes=8, rounds=1)
     got = hmm.score(frame(spark), F.lit(False), p).collect()
     assert {r.n_known for r in got} == {0} and {r.train_tokens for r in got} == {0}
     assert all(np.isfinite(r.score) for r in got)
