@@ -378,7 +378,7 @@ def expected_counts(encoded: DataFrame, m: Hmm) -> Expected:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Expected.zero(k, classes)
-        for batch in chunks(batches, "seq", 4 * BATCH_WORDS):
+        for batch in chunks(batches, "seq", 16 * BATCH_WORDS):   # so that the few long texts of many advance together
             seqs = _sequences(batch.column("seq"))
             for part in _together(seqs, BATCH_WORDS):
                 expect(sent.value, [seqs[i] for i in part], e)
@@ -390,7 +390,10 @@ def expected_counts(encoded: DataFrame, m: Hmm) -> Expected:
                                              ["cls"] + [f"s{s}" for s in range(k)])
 
     names = [f"s{s}" for s in range(k)]
-    rows = encoded.where("train").select("seq").mapInArrow(run, "cls int, " + ", ".join(f"{n} double" for n in names)) \
+    # a few splits a task, down to one task a core: fewer partial tables, and the long texts of a task advance together
+    source = encoded.where("train").select("seq")
+    tasks = max(source.sparkSession.sparkContext.defaultParallelism, source.rdd.getNumPartitions() // 8)
+    rows = source.coalesce(tasks).mapInArrow(run, "cls int, " + ", ".join(f"{n} double" for n in names)) \
         .groupBy("cls").agg(*[F.sum(n).alias(n) for n in names]).collect()
     sent.unpersist()
     e = Expected.zero(k, classes)
