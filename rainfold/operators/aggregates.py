@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainfold.operators.blocks import running, value_blocks
+from rainfold.session import materialise
 
 
 def _name(p: float, prefix: str = "p") -> str:
@@ -32,8 +33,10 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def quantiles_from_counts(counts: DataFrame, by: Sequence[str], probs: Sequence[float],
                           names: Sequence[str], with_count: bool = True) -> DataFrame:
-    """Linear-interpolation quantiles from a value-count table."""
+    """Linear-interpolation quantiles from a value-count table, which is
+    written first: blocks, offsets and positions all read it."""
     by = list(by)
+    counts = materialise(counts.select(*by, "_v", "_c"), "value-counts")
     cum = running(value_blocks(counts, by, "_v"), by, "_block", ["_v"], {"_before": F.col("_c")}, {"_n": "_before"})
     cum = cum.select(*by, "_v", (F.col("_before") + F.col("_c")).alias("_cum"), "_n")
     aggs: list[Column] = [F.first("_n").alias("_n")]

@@ -290,6 +290,7 @@ def two_sample_tests(df: DataFrame, by: Sequence[str], sample: str, value: str,
     counts = (df.where(F.col(value).isNotNull() & smp.isin(first, second))
               .groupBy(*by, F.col(value).alias("_v"))
               .agg(F.count_if(smp == first).alias("_a"), F.count_if(smp == second).alias("_b")))
+    counts = materialise(counts, "value-counts")
     v = F.col("_v")
     cdf = running(value_blocks(counts, by, "_v"), by, "_block", ["_v"],
                   {"_ba": F.col("_a"), "_bb": F.col("_b"), "_sa": F.col("_a") * v, "_sb": F.col("_b") * v},
