@@ -53,6 +53,11 @@ class HmmParams:
 
 #: Words that advance together, about.
 BATCH_WORDS = 800_000
+#: Words whose states a task holds at once while it trains.
+SEGMENT_WORDS = 1_000_000
+#: The recursions are scaled once in so many steps; the least emission to this
+#: power is far above the least double.
+SCALE_STEPS = 4
 
 
 def rare_class(word: bytes, p: HmmParams) -> int:
@@ -284,9 +289,11 @@ def _together(seqs: list[np.ndarray], words: int) -> Iterator[list[int]]:
         yield part
 
 
-def _by_step(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _by_step(seqs: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
     """Symbols of sequences (longest first) ordered by step, and where each
     step begins: step t holds the sequences longer than t."""
+    if len(seqs) == 1:
+        return seqs[0].astype(np.int64), list(range(len(seqs[0]) + 1))
     lens = np.array([len(s) for s in seqs])
     alive = np.searchsorted(-lens, -np.arange(int(lens[0])), side="left")  # sequences with len > t
     begins = np.concatenate([[0], np.cumsum(alive)])
@@ -294,61 +301,160 @@ def _by_step(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(lens)), lens)
     out = np.empty(int(lens.sum()), np.int64)
     out[begins[step] + owner] = np.concatenate(seqs)
-    return out, begins
+    return out, begins.tolist()
 
 
-def forward(m: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
-    """log10 likelihood of each class sequence (longest first, none empty):
-    the forward recursion, scaled to 1 at every step; the logarithms of the
-    scales add up to the exact likelihood."""
-    symbols, begins = _by_step(seqs)
-    total = np.zeros(len(seqs))
-    alpha = np.repeat(m.start[None, :], len(seqs), axis=0)
-    for t in range(len(begins) - 1):
-        n = begins[t + 1] - begins[t]
-        a = alpha[:n] if t == 0 else alpha[:n] @ m.move
-        a = a * m.emit[symbols[begins[t]:begins[t + 1]]]
-        scale = a.sum(axis=1)
-        alpha = a / scale[:, None]
-        total[:n] += np.log10(scale)
-    return total
+class Room:
+    """Work arrays of a task, used again from batch to batch."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def of(self, name: str, size: int) -> np.ndarray:
+        if len(self.held.get(name, ())) < size:
+            self.held[name] = np.empty(size)
+        return self.held[name][:size]
 
 
-def expect(m: Hmm, seqs: list[np.ndarray], into: Expected) -> None:
-    """Add the expected counts of the sequences (longest first, none empty)."""
+def _segments(begins: list[int], words: int) -> list[tuple[int, int]]:
+    """Runs of steps of at most ``words`` symbols (a wider step alone)."""
+    cuts = [0]
+    for t in range(1, len(begins) - 1):
+        if begins[t + 1] - begins[cuts[-1]] > words:
+            cuts.append(t)
+    return list(zip(cuts, cuts[1:] + [len(begins) - 1]))
+
+
+def forward(m: Hmm, seqs: list[np.ndarray], room: Room | None = None) -> np.ndarray:
+    """log10 likelihood of each class sequence (longest first, none empty):
+    the forward recursion, scaled to 1 at every ``SCALE_STEPS``-th step; the
+    logarithms of the scales and of the last sum add up to the exact likelihood."""
+    room = room or Room()
+    symbols, begins = _by_step(seqs)
+    k, most = len(m.start), len(seqs)
+    emit, ahead = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
+    states = room.of("even", k * most), room.of("odd", k * most)
+    total = np.zeros(most)
+    before = None
+    for first, last in _segments(begins, 1 << 17):
+        zero = begins[first]
+        size = begins[last] - zero
+        emitted = emit.take(symbols[zero:begins[last]], axis=1, out=room.of("emitted", k * size).reshape(k, size), mode="clip")
+        for t in range(first, last):
+            i, j = begins[t] - zero, begins[t + 1] - zero
+            n = j - i
+            a = states[t % 2][:k * n].reshape(k, n)
+            if t:
+                np.matmul(ahead, before[:, :n], out=a)
+                a *= emitted[:, i:j]
+            else:
+                np.multiply(m.start[:, None], emitted[:, i:j], out=a)
+            if t % SCALE_STEPS == SCALE_STEPS - 1:
+                scale = a.sum(axis=0)
+                a /= scale
+                total[:n] += np.log(scale)
+            lasting = begins[t + 2] - begins[t + 1] if t + 2 < len(begins) else 0
+            if lasting < n:
+                total[lasting:n] += np.log(a[:, lasting:].sum(axis=0))
+            before = a
+    return total / np.log(10)
+
+
+def expect(m: Hmm, seqs: list[np.ndarray], into: Expected, room: Room | None = None, segment: int = SEGMENT_WORDS) -> None:
+    """Add the expected counts of the sequences (longest first, none empty).
+
+    Forward states are scaled to 1 at every ``SCALE_STEPS``-th step, and the
+    emissions of that step by the same.  The recursions hold the states of
+    about ``segment`` symbols: of longer input the forward states before each
+    segment are kept and the others computed again on the way back."""
+    room = room or Room()
     symbols, begins = _by_step(seqs)
-    begins, steps, k = begins.tolist(), len(begins) - 1, len(m.start)
-    ahead = np.ascontiguousarray(m.move.T)
-    emitted = np.take(np.ascontiguousarray(m.emit.T), symbols, axis=1)  # a row per state; divided by the scales on the way
-    alpha = np.empty_like(emitted)
-    scale = np.empty(len(symbols))
-    for t in range(steps):
-        i, j = begins[t], begins[t + 1]
-        before = m.start[:, None] if t == 0 else ahead @ alpha[:, begins[t - 1]:begins[t - 1] + j - i]
-        a = before * emitted[:, i:j]
-        scale[i:j] = a.sum(axis=0)
-        inverse = 1 / scale[i:j]
-        np.multiply(a, inverse, out=alpha[:, i:j])
-        emitted[:, i:j] *= inverse
-    into.log += float(np.log10(scale).sum())
-    beta = np.ones((k, begins[steps] - begins[steps - 1]))
-    gamma = alpha  # overwritten from the last step on
-    moves = np.zeros((k, k))
-    for t in range(steps - 1, -1, -1):
-        i, j = begins[t], begins[t + 1]
-        if beta.shape[1] < j - i:  # the sequences that end here
-            beta = np.hstack([beta, np.ones((k, j - i - beta.shape[1]))])
-        if t:
-            coming = emitted[:, i:j] * beta
-            moves += alpha[:, begins[t - 1]:begins[t - 1] + j - i] @ coming.T
-            following = m.move @ coming
-        gamma[:, i:j] *= beta
-        if t:
-            beta = following
+    k, most, classes = len(m.start), len(seqs), len(into.emit)
+    segments = _segments(begins, segment)
+    size = max(begins[last] - begins[first] for first, last in segments)
+    emit, ahead = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
+    cap = max(2 * most, min(size, 1 << 17))
+    held, scales = room.of("beta", k * cap).reshape(k, cap), room.of("scale", size)
+    emitted, moves, log = np.zeros((k, classes)), np.zeros((k, k)), 0.0
+
+    def onwards(first: int, last: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Forward states and emissions of the steps, a row per state, and the
+        sum of the scales' logarithms."""
+        zero, size, at = begins[first], begins[last] - begins[first], 0
+        alpha = room.of("alpha", k * size).reshape(k, size)
+        e = emit.take(symbols[zero:begins[last]], axis=1, out=room.of("emitted", k * size).reshape(k, size), mode="clip")
+        for t in range(first, last):
+            i, j = begins[t] - zero, begins[t + 1] - zero
+            a = alpha[:, i:j]
+            if t:
+                np.matmul(ahead, before[:, :j - i], out=a)
+                a *= e[:, i:j]
+            else:
+                np.multiply(m.start[:, None], e[:, i:j], out=a)
+            if t % SCALE_STEPS == SCALE_STEPS - 1:
+                s = scales[at:at + j - i]
+                np.add.reduce(a, axis=0, out=s)
+                a /= s
+                e[:, i:j] /= s
+                at += j - i
+            before = a
+        return alpha, e, float(np.log(scales[:at]).sum())
+
+    entering: list[np.ndarray | None] = [None]     # the states before each segment
+    for first, last in segments:
+        alpha, e, logs = onwards(first, last, entering[-1])
+        log += logs
+        entering.append(alpha[:, begins[last - 1] - begins[last]:].copy())
+
+    width, coming = 0, np.zeros((k, 0))            # sequences that go on after a segment, and what follows for them
+    for number in range(len(segments) - 1, -1, -1):
+        first, last = segments[number]
+        if number < len(segments) - 1:
+            alpha, e, _ = onwards(first, last, entering[number])
+        zero, high = begins[first], begins[last] - begins[first]
+        # backward states of symbols up to ``high``, filled from the end of ``held``
+        held[:, cap - (high + zero - begins[last - 1]):][:, :width] = coming
+
+        def flush(low: int, high: int) -> None:
+            gamma = held[:, cap - (high - low):]
+            gamma *= alpha[:, low:high]
+            for s in range(k):
+                emitted[s] += np.bincount(symbols[zero + low:zero + high], gamma[s], minlength=classes)
+
+        for t in range(last - 1, first - 1, -1):
+            i, j = begins[t] - zero, begins[t + 1] - zero
+            n, at = j - i, cap - (high - i)
+            if n > width:                          # the sequences that end here
+                ends = alpha[:, i + width:j].sum(axis=0)
+                log += float(np.log(ends).sum())
+                held[:, at + width:at + n] = 1 / ends
+                width = n
+            e[:, i:j] *= held[:, at:at + n]
+            if t > first:
+                h = begins[t - 1] - zero
+                if high - h > cap:
+                    flush(i, high)
+                    high = i
+                to = cap - (high - h)
+                np.matmul(m.move, e[:, i:j], out=held[:, to:to + n])
+            elif t:
+                coming = m.move @ e[:, i:j]
+                moves += entering[number][:, :n] @ e[:, i:j].T
+        flush(0, high)
+        if first == 0:
+            into.start += held[:, cap - high:][:, :most].sum(axis=1)
+        # the moves of steps whose predecessors are equally wide lie side by side
+        t = first + 1
+        while t < last:
+            until, back = t + 1, begins[t] - begins[t - 1]
+            while until < last and begins[until] - begins[until - 1] == back:
+                until += 1
+            i, j = begins[t] - zero, begins[until] - zero
+            moves += alpha[:, i - back:j - back] @ e[:, i:j].T
+            t = until
+    into.log += log / float(np.log(10))
     into.move += moves * m.move
-    into.start += gamma[:, :begins[1]].sum(axis=1)
-    for s in range(k):
-        into.emit[:, s] += np.bincount(symbols, gamma[s], minlength=len(into.emit))
+    into.emit += emitted.T
     into.rows += len(seqs)
 
 
@@ -377,11 +483,11 @@ def expected_counts(encoded: DataFrame, m: Hmm) -> Expected:
     classes, k = m.emit.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Expected.zero(k, classes)
+        e, room = Expected.zero(k, classes), Room()
         for batch in chunks(batches, "seq", 16 * BATCH_WORDS):   # so that the few long texts of many advance together
             seqs = _sequences(batch.column("seq"))
             for part in _together(seqs, BATCH_WORDS):
-                expect(sent.value, [seqs[i] for i in part], e)
+                expect(sent.value, [seqs[i] for i in part], e, room)
         if e.rows:
             met = np.flatnonzero(e.emit.any(axis=1))
             cls = np.concatenate([[-1], -2 - np.arange(k + 1), met])
@@ -448,11 +554,12 @@ def likelihoods(encoded: DataFrame, m: Hmm, p: HmmParams) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = Room()
         for batch in chunks(batches, "seq", 4 * BATCH_WORDS):
             seqs = _sequences(batch.column("seq"))
             out = np.zeros(len(seqs))
             for part in _together(seqs, BATCH_WORDS):
-                out[part] = forward(sent.value, [seqs[i] for i in part])
+                out[part] = forward(sent.value, [seqs[i] for i in part], room)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "doc_id", "train", "n_tokens", "known", "base", "emitted")]
                                              + [pa.array(out)], ["key", "doc_id", "train", "n_tokens", "known", "base", "emitted", "hmm"])
 
@@ -466,8 +573,11 @@ def score(docs: DataFrame, train_rows, p: HmmParams = HmmParams(), id_col: str =
 
     Null texts are empty: one token, the end.  Without training rows nothing
     is known; base_score then is that of a vocabulary of one unknown word.
-    Repeated rows are counted as often as they occur and score equally; an
-    empty table gives an empty result; other columns are ignored.
+    Repeated rows are counted as often as they occur and score equally; words
+    of equal count take their classes in byte order; an empty table gives an
+    empty result; other columns are ignored.  Very long texts are scored and
+    learned from whole; training holds the states of ``SEGMENT_WORDS`` words
+    of them at once.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.coalesce(train_rows, F.lit(False)).alias("train"))

@@ -48,6 +48,36 @@ def test_forward_and_expected_counts_are_exact():
     assert e.log == pytest.approx(sum(logs))
 
 
+@pytest.mark.parametrize("segment", [1, 7, 50, 400])
+def test_segments_change_no_count(segment):
+    """Long input is trained in segments of steps, with work arrays used before."""
+    r = np.random.default_rng(2)
+    m, room = _model(), hmm.Room()
+    seqs = [r.integers(0, 5, n).astype(np.uint16) for n in (90, 90, 41, 41, 40, 7, 1, 1)]
+    whole = hmm.Expected.zero(3, 5)
+    hmm.expect(m, seqs, whole)
+    assert whole.log == pytest.approx(hmm.forward(m, seqs).sum(), rel=1e-12)
+    for some in (seqs, seqs[:1], seqs):
+        apart, alone = hmm.Expected.zero(3, 5), hmm.Expected.zero(3, 5)
+        hmm.expect(m, some, apart, room, segment)
+        for s in some:
+            hmm.expect(m, [s], alone)
+        for name in ("start", "move", "emit", "log"):
+            assert np.allclose(getattr(apart, name), getattr(alone, name), rtol=1e-11)
+    assert np.allclose(apart.emit, whole.emit, rtol=1e-11)
+
+
+def test_rare_classes_of_long_texts_do_not_underflow():
+    """Emissions as small as 1e-60 for as long as the scale waits."""
+    m = _model()
+    m.emit[4] = 1e-60
+    seqs = [np.array([4] * 30, np.uint16)]
+    e = hmm.Expected.zero(3, 5)
+    hmm.expect(m, seqs, e)
+    assert e.emit[4].sum() == pytest.approx(30)
+    assert hmm.forward(m, seqs)[0] == pytest.approx(-1800, abs=1e-6) and e.log == pytest.approx(-1800, abs=1e-6)
+
+
 def test_training_raises_the_likelihood():
     r = np.random.default_rng(0)
     seqs = sorted(([np.array(r.choice([1, 2] if i % 2 else [3, 4], r.integers(5, 40)), np.uint16) for i in range(60)]), key=lambda s: -len(s))
