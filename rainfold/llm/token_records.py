@@ -24,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,14 @@ LENGTH, CHECK = "<Q", "<I"
 NO_ID = -(1 << 63)
 #: Text of a shard, about, where that makes more shards than shuffle partitions.
 SHARD_BYTES = 256 << 20
-#: Pieces whose ids each worker remembers (about 200 bytes each).
-CACHE_PIECES = 600_000
+#: Pieces whose ids each worker remembers (about 20 bytes each, and 50 while a chunk is looked up).
+CACHE_PIECES = 300_000
+#: Text of an Arrow batch that Spark sends to a writing task, about (a longer text goes alone).  Its
+#: default of 64 MB is held about six times over: in the JVM's vectors and stream, and by the worker.
+BATCH_BYTES = 4 << 20
+#: Rows that Spark's Parquet reader decodes at once; its default of 4096 holds whole texts in arrays
+#: that double as they grow, so the heap grows with the length of the texts.
+READ_ROWS = 256
 
 
 MAGIC, HEADER_BYTES = b"TOKR", 8
@@ -126,19 +133,22 @@ class PieceEncoder:
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         newline = self._ids("\n")
         self.newline = int(newline[0]) if len(newline) == 1 else None
-        self.new: dict[str, bytes | None] = {}   # piece -> ids; None: not usable
-        self.old: dict[str, bytes | None] = {}   # the generation before, read until the next one is full
+        # Pieces met since the cache last turned over and those of the turn before, each with its ids
+        # (null: not usable).  Arrow arrays take some 20 bytes a piece, a dict ten times that.
+        self.new = self.old = pa.array([], pa.string())
+        self.new_ids = self.old_ids = pa.array([], pa.binary())
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> list[bytes | None]:
         """Ids of " " + word, of marked words without the space.  Words that
         end with white space (or are empty) are no pieces, but for the marked
         line end.  Many are encoded in one call, where the place of each is
         certain: words after a space begin at an id that begins with a space,
         marked words without white space are joined by line ends."""
-        known, plain, marked = self.new, [], []
+        known: dict[str, bytes | None] = {}
+        plain, marked = [], []
         for w in words:
             if w == MARK + "\n":
                 known[w] = self._ids("\n").tobytes()
@@ -154,20 +164,22 @@ class PieceEncoder:
             ids = self._ids(" " + " ".join(some))
             begins = np.flatnonzero(self.spaced[ids])
             if len(begins) == len(some) and begins[0] == 0:
-                self._keep(some, ids, begins, np.append(begins[1:], len(ids)))
+                known.update(self._parts(some, ids, begins, np.append(begins[1:], len(ids))))
             else:
                 known.update((w, self._ids(" " + w).tobytes()) for w in some)
         for some in (marked[at:at + 256] for at in range(0, len(marked), 256)):
             ids = self._ids("\n".join(w[1:] for w in some))
             ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
             if len(ends) == len(some):
-                self._keep(some, ids, np.append(0, ends[:-1] + 1), ends)
+                known.update(self._parts(some, ids, np.append(0, ends[:-1] + 1), ends))
             else:
                 known.update((w, self._ids(w[1:]).tobytes()) for w in some)
+        return [known[w] for w in words]
 
-    def _keep(self, words: list[str], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+    @staticmethod
+    def _parts(words: list[str], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, bytes]]:
         raw, n = ids.tobytes(), ids.itemsize
-        self.new.update((w, raw[i:j]) for w, i, j in zip(words, (begins * n).tolist(), (ends * n).tolist()))
+        return ((w, raw[i:j]) for w, i, j in zip(words, (begins * n).tolist(), (ends * n).tolist()))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text, cut by pattern."""
@@ -176,15 +188,21 @@ class PieceEncoder:
         parts = [self._ids(u) for u in _UNIT.findall(text)]
         return np.concatenate(parts) if parts else np.zeros(0, self.kind)
 
-    def _pieces(self, words: list[str]) -> list[bytes | None]:
-        """Ids of the words, from the cache or learnt now."""
+    def _pieces(self, words: pa.StringArray) -> pa.BinaryArray:
+        """Ids of the (distinct) words, from the cache or learnt now."""
         if len(self.new) > CACHE_PIECES // 2:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        again = [w for w in words if w not in new]
-        new.update((w, old[w]) for w in again if w in old)
-        self._learn([w for w in again if w not in old])
-        return list(map(new.__getitem__, words))
+            self.old, self.old_ids = self.new, self.new_ids
+            self.new, self.new_ids = self.new[:0], self.new_ids[:0]
+        at = pc.index_in(words, value_set=pa.concat_arrays([self.new, self.old]))
+        unknown = words.filter(pc.is_null(at))
+        ids = pa.concat_arrays([self.new_ids, self.old_ids, pa.array(self._learn(unknown.to_pylist()), pa.binary())])
+        place = np.array(at.fill_null(-1), np.int64)
+        place[place < 0] = np.arange(len(ids) - len(unknown), len(ids))
+        found = ids.take(pa.array(place))
+        fresh = pa.array(place >= len(self.new))
+        self.new = pa.concat_arrays([self.new, words.filter(fresh)])
+        self.new_ids = pa.concat_arrays([self.new_ids, found.filter(fresh)])
+        return found
 
     def encode_batch(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (no nulls) and where each text's ids begin (one
@@ -195,8 +213,7 @@ class PieceEncoder:
         pieces = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(MARK), cut, ""), " ")
         at = np.asarray(pieces.offsets) - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()
-        found = pa.array(self._pieces(coded.dictionary.to_pylist()), pa.binary())
-        gathered = found.take(coded.indices)
+        gathered = self._pieces(coded.dictionary).take(coded.indices)
         ids = np.frombuffer(gathered.buffers()[2] or b"", self.kind)
         begins = np.frombuffer(gathered.buffers()[1], np.int32)[at].astype(np.int64) // self.kind.itemsize
 
@@ -241,7 +258,8 @@ def write_token_records(df: DataFrame, out_uri: str, tokenizer_path: str, id_col
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     if not shards:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0   # one number
+        with _small_batches(df.sparkSession):
+            size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0   # one number
         shards = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     keys = ["id", "_head", "_hash", "_row"]
     ranged = rows.withColumns({"_head": F.substring("text", 1, 32), "_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
@@ -256,7 +274,7 @@ def write_token_records(df: DataFrame, out_uri: str, tokenizer_path: str, id_col
         part = rec = idx = None
         width = max(encoder.kind.itemsize, 2 if (end_id or 0) < 1 << 16 else 4)
         offset, records, tokens = HEADER_BYTES, 0, 0
-        for batch in chunks(batches, limit=4 * CHUNK_BYTES):
+        for batch in chunks(batches, limit=2 * CHUNK_BYTES):
             if rec is None:
                 fs.create_dir(folder, recursive=True)
                 part = f"{folder}/_{shard:06d}-{uuid.uuid4().hex}"
@@ -272,6 +290,8 @@ def write_token_records(df: DataFrame, out_uri: str, tokenizer_path: str, id_col
                 offset += len(framed)
                 records += 1
                 tokens += len(payload) // width
+            del batch, ids
+            pa.default_memory_pool().release_unused()   # else the pool keeps a chunk's work space, in every worker
         if rec is not None:
             rec.close()
             idx.close()
@@ -279,7 +299,25 @@ def write_token_records(df: DataFrame, out_uri: str, tokenizer_path: str, id_col
                 fs.move(part + kind, f"{folder}/shard-{shard:06d}{kind}")
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_records": [records], "n_tokens": [tokens]})
 
-    return materialise(ranged.mapInArrow(write, "shard long, n_records long, n_tokens long"), "token-manifest")
+    with _small_batches(df.sparkSession):
+        return materialise(ranged.mapInArrow(write, "shard long, n_records long, n_tokens long"), "token-manifest")
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hold few texts at a time: the session's limits are
+    lowered (never raised) and then set back."""
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS}
+    before = {key: spark.conf.get(key, None) for key in limits}
+    try:
+        for key, limit in limits.items():
+            own = re.fullmatch(r"(\d+)b?", before[key] or "")
+            if not own or int(own[1]) > limit:
+                spark.conf.set(key, str(limit))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def read_token_records(manifest: DataFrame, out_uri: str, ids: bool = True) -> DataFrame:
@@ -308,7 +346,7 @@ def read_token_records(manifest: DataFrame, out_uri: str, ids: bool = True) -> D
                         found = np.frombuffer(payload, kind).astype("<u4").tobytes()
                         rows.append((None if doc == NO_ID else doc, start, len(found) // 4, zlib.crc32(found), found if ids else None))
                         start += len(found) // 4
-                        held += len(found) if ids else 40
+                        held += len(found) if ids else 160    # bytes of a row's numbers as Python objects
                         if held > 4 << 20:
                             yield _record_batch(rows, ids)
                             rows, held = [], 0

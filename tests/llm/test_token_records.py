@@ -114,3 +114,42 @@ def test_one_id_for_all_rows_is_split(spark, tmp_path):
     got = tr.read_token_records(manifest, out).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None] * 300 + [7] * 400
     assert len({r.ids_crc32 for r in got[300:]}) == 101
+
+
+def test_a_workers_memory_is_bounded(spark):
+    """Many distinct pieces: the cache stays a few MB, and what a chunk takes
+    besides is given back."""
+    encoder = tr.PieceEncoder(PATH)
+    r = random.Random(5)
+    for _ in range(4):
+        encoder.encode_batch(pa.array([" ".join(f"{r.randrange(1 << 40):x}" for _ in range(60_000))]))
+    kept = [encoder.new, encoder.new_ids, encoder.old, encoder.old_ids]
+    pieces = len(encoder.new) + len(encoder.old)
+    assert 200_000 < pieces < 2 * tr.CACHE_PIECES and sum(a.nbytes for a in kept) < 50 * pieces
+
+
+def test_writing_gets_small_batches(spark, tmp_path, monkeypatch):
+    """Arrow batches of a writing task are bounded by a few bytes, not by
+    10,000 rows or 64 MB; the session's settings are as before."""
+    sizes = tmp_path / "sizes"
+    plain = tr.chunks
+
+    def noted(batches, *args, **kw):
+        def seen():
+            for b in batches:
+                with sizes.open("a") as f:
+                    f.write(f"{b.nbytes}\n")
+                yield b
+        return plain(seen(), *args, **kw)
+
+    monkeypatch.setattr(tr, "chunks", noted)
+    monkeypatch.setattr(tr, "BATCH_BYTES", 1 << 16, raising=False)
+    keys = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(key, None) for key in keys]
+    df = spark.range(2000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 20) AS text")
+    out = str(tmp_path / "r")
+    manifest = tr.write_token_records(df, out, PATH, shards=1)
+    assert [spark.conf.get(key, None) for key in keys] == before
+    assert tr.read_token_records(manifest, out).count() == 2000
+    found = [int(x) for x in sizes.read_text().split()]
+    assert len(found) > 3 and max(found) < 2 << 16
